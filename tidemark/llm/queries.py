@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing, vector_topk
+from tidemark.llm import licenses, packing, simhash, substring, vector_topk
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
+    "op4_license_join": licenses.op4_license_join,
+    "op5_superkmer_dedup": substring.op5_superkmer_dedup,
+    "op6_simhash_golay": simhash.op6_simhash_golay,
     "op7_voronoi_topk": vector_topk.op7_voronoi_topk,
 }
 
 ORACLE_SQL = {
     "op1_length_buckets": packing.OP1_SQL,
+    "op4_license_join": licenses.OP4_SQL,
+    "op5_superkmer_dedup": substring.OP5_SQL,
     "op7_voronoi_topk": vector_topk.OP7_SQL,
 }
