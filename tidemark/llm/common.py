@@ -36,3 +36,11 @@ def shuffle_width(spark: SparkSession) -> int:
 def is_held_out(remainder: int):
     """crc32 of the decimal doc_id modulo 5 equals ``remainder`` (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == remainder
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import licenses, packing, simhash, substring, vector_topk
+from tidemark.llm import decontaminate, gru_lm, licenses, lines, packing, quality, simhash, substring, toxicity, vector_topk
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
+    "op2_cotraining": quality.op2_cotraining,
+    "op3_toxicity_bigru": toxicity.op3_toxicity_bigru,
     "op4_license_join": licenses.op4_license_join,
     "op5_superkmer_dedup": substring.op5_superkmer_dedup,
     "op6_simhash_golay": simhash.op6_simhash_golay,
     "op7_voronoi_topk": vector_topk.op7_voronoi_topk,
+    "op8_gru_lm": gru_lm.op8_gru_lm,
+    "op9_line_edit_join": lines.op9_line_edit_join,
+    "op10_string_tiling": decontaminate.op10_string_tiling,
 }
 
 ORACLE_SQL = {

@@ -23,10 +23,11 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, free_name, table
 from tidemark.llm.graph import components
 
 SHINGLE, MAX_BITS = 3, 3
@@ -64,6 +65,19 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` and the fingerprint of each row as a long column ``name``."""
+    columns = [*docs.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).cast(pa.binary())
+            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), dtype=np.uint64, count=len(texts))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found.view(np.int64))], columns)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 @cache
 def code_keys() -> tuple[np.ndarray, np.ndarray]:
     """For each 16-bit segment: the message of the nearest codeword, and the messages within distance four (-1 fills)."""
@@ -156,6 +170,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "component_size")
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: the smallest doc_id, and of rows with that doc_id one.
+
+    A group of documents without any doc_id keeps one of them.
+    """
+    name = free_name(docs, "fp")
+    marked = with_fingerprint(docs, name, shingle)
+    distinct = cut(marked.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("first")))
+    labelled = distinct.join(components(links(distinct)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    order = Window.partitionBy("root").orderBy(F.col("first").asc_nulls_last(), "fp")
+    chosen = labelled.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select(F.col("fp").alias("_fp"), "first")
+    kept = marked.join(chosen, (F.col(name) == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    return kept.dropDuplicates([name]).select(*docs.columns)
+
+
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
