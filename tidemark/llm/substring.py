@@ -1,6 +1,6 @@
 """Substring deduplication by super-k-mer partitioning.
 
-A window is 13 consecutive words of a document. Its minimiser is the smallest hash of its 5-word subsequences;
+A window is 13 consecutive words of a document. Its minimiser is the smallest hash of its 3-word subsequences;
 consecutive windows that share a minimiser form a super-k-mer and travel as one packed string to the bucket of that
 minimiser, so equal windows always meet while each word is sent about three times instead of thirteen. Documents are
 dealt to blocks of a few MB by a hash of doc_id; a block sends each distinct string once, with the smallest and the
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-WINDOW, SEED = 13, 5
+WINDOW, SEED = 13, 3
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 _CODEC = "zstd"
 
