@@ -32,13 +32,13 @@ def located(fact: DataFrame, province_edges: DataFrame, provinces: DataFrame) ->
 
     province_edges: idx, x1, y1, x2, y2; provinces: idx, name, recurrence_score.
     """
-    seq = fact.withColumn("_row", F.struct("project_id", F.xxhash64(*fact.columns)))
-    by_place = spatial.first_inside(seq.select("_row", "longitude", "latitude"), province_edges, "_row", "longitude", "latitude", "idx")
-    texts = seq.select(F.col("_row").alias("left_id"), normalise.province_text(F.col("province")).alias("text"))
-    by_text = joins.text_join(texts, provinces.select(F.col("idx").alias("right_id"), F.lower("name").alias("text"))).select(F.col("left_id").alias("_row"), F.col("right_id").alias("text_idx"))
-    j = seq.join(by_place, "_row", "left").join(by_text.dropDuplicates(["_row"]), "_row", "left")
+    seq = fact.withColumn("_rec", F.struct("project_id", F.xxhash64(*fact.columns)))
+    by_place = spatial.first_inside(seq.select("_rec", "longitude", "latitude"), province_edges, "_rec", "longitude", "latitude", "idx")
+    texts = seq.select(F.col("_rec").alias("left_id"), normalise.province_text(F.col("province")).alias("text"))
+    by_text = joins.text_join(texts, provinces.select(F.col("idx").alias("right_id"), F.lower("name").alias("text"))).select(F.col("left_id").alias("_rec"), F.col("right_id").alias("text_idx"))
+    j = seq.join(by_place, "_rec", "left").join(by_text.dropDuplicates(["_rec"]), "_rec", "left")
     idx = F.coalesce("idx", "text_idx")
-    j = j.withColumn("confidence", F.when(F.col("idx").isNull(), 0.6).otherwise(F.col("confidence"))).withColumn("idx", idx).drop("text_idx", "_row")
+    j = j.withColumn("confidence", F.when(F.col("idx").isNull(), 0.6).otherwise(F.col("confidence"))).withColumn("idx", idx).drop("text_idx", "_rec")
     known = provinces.select("idx", F.col("name").alias("province_name"), F.coalesce("recurrence_score", F.lit(0.0)).alias("recurrence_score"))
     return j.join(known, "idx", "left")
 
