@@ -34,8 +34,10 @@ def test_against_brute_force(spark):
         rows.append((d, (" " if d % 2 else "\n ").join(text)))
     rows += [rows[20], rows[21], (rows[22][0], rows[30][1])]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int")
-    out = substring.remove_repeats(docs, block_bytes=5000, bucket_bytes=4000)
-    assert sorted([tuple(r) for r in out.collect()], key=repr) == brute(rows, 13)
+    for one_in in (1, 2, 64):
+        assert (len(substring.heavy_minimisers(docs, 13, 3, 400, one_in)) > 0) == (one_in < 64)
+        out = substring.remove_repeats(docs, block_bytes=5000, bucket_bytes=400 if one_in < 64 else 4000, one_in=one_in)
+        assert sorted([tuple(r) for r in out.collect()], key=repr) == brute(rows, 13)
 
 
 def test_empty_table(spark):

@@ -9,6 +9,10 @@ bucket compares the windows of strings whose minimiser occurs in more than one d
 each block with the smallest doc_id of every window that some document of the block must give up. The block, dealt
 out by the same shuffle, applies the answers to its documents.
 
+A minimiser of common words would bring more strings than a bucket should hold. Such minimisers are looked for in a
+share of the documents; their windows travel one by one, each to the bucket of its own hash, in all blocks alike. The
+list only decides on the way, not on the result.
+
 Defined results: a null or empty text has no words; texts shorter than a window lose none; rows with a null doc_id
 are returned unchanged and are no one's earlier document; rows with equal doc_id don't affect each other; an empty
 table gives no rows; other columns are ignored.
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 WINDOW, SEED = 13, 3
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES, LOOK_AT_ONE_IN = 4 << 20, 16 << 20, 64
 _CODEC = "zstd"
 
 
@@ -41,7 +45,7 @@ class _Hashes(dict):
 class Block:
     """The super-k-mers of a block of documents, the same whatever the order of its rows."""
 
-    def __init__(self, docs: pa.Table, window: int, seed: int, buckets: int):
+    def __init__(self, docs: pa.Table, window: int, seed: int, buckets: int, heavy: np.ndarray | None = None):
         self.docs = docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.ids = ids = docs.column("doc_id").combine_chunks()
         known = np.asarray(ids.is_valid())
@@ -82,6 +86,15 @@ class Block:
             low = np.minimum(low[: len(g) - span + 1], low[span - step :][: len(g) - span + 1])
         mini = low[valid]
         new = np.concatenate([[True], (mini[1:] != mini[:-1]) | (np.diff(valid) != 1)])
+        if heavy is not None and len(heavy):
+            alone = np.isin(mini, heavy)
+            own = np.zeros(int(alone.sum()), dtype=np.uint64)
+            for j in range(window):
+                own = own * np.uint64(0xD6E8FEB86659FD93) + h[valid[alone] + j]
+            mini = mini.copy()
+            mini[alone] = own ^ (own >> np.uint64(31))
+            new |= alone
+            new[1:] |= alone[:-1]
         first = np.flatnonzero(new)
         size = np.diff(np.concatenate([first, [len(valid)]]))
         start = valid[first]
@@ -162,14 +175,30 @@ def _judge(strings: list[bytes], mini: np.ndarray, low: np.ndarray, high: np.nda
                     yield i, first, count, smallest
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def heavy_minimisers(docs: DataFrame, window: int, seed: int, bucket_bytes: int, one_in: int) -> np.ndarray:
+    """Minimisers whose strings would fill a bucket, by a share of the documents; at most total / bucket_bytes of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                mini, n = np.unique(Block(pa.Table.from_batches([b.slice(i, 512)]), window, seed, 1).mini.astype(np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64)), pa.array(n)], ["mini", "n"])
+
+    part = docs.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(one_in)) == 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sums = part.mapInArrow(run, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
+    least = max(2, math.ceil(bucket_bytes / (8 * window * one_in)))
+    return np.sort(np.array([r["mini"] for r in sums.where(F.col("n") >= least).collect()], dtype=np.int64).view(np.uint64))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, one_in: int = LOOK_AT_ONE_IN) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: each document without the words of windows that an earlier one holds."""
+    heavy = heavy_minimisers(docs, window, seed, bucket_bytes, one_in)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(3 * total / bucket_bytes))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
 
     def send(key: tuple, docs: pa.Table) -> pa.Table:
-        block = Block(docs, window, seed, buckets)
+        block = Block(docs, window, seed, buckets, heavy)
         rows: tuple[list, list] = ([], [])
         for bucket, part in block.by_bucket():
             rows[0].append(bucket)
@@ -199,7 +228,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bloc
         return pa.table([pa.array([a[0] for a in answers], pa.int32()), pa.array([a[1] for a in answers], pa.int32()), pa.array([a[2] for a in answers], pa.binary())], ["to_block", "from_bucket", "answer"])
 
     def apply(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(docs, window, seed, buckets)
+        block = Block(docs, window, seed, buckets, heavy)
         n = len(block.words)
         edge = np.zeros(n + 1, dtype=np.int64)
         if answers.num_rows:
