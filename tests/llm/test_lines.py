@@ -36,7 +36,11 @@ def test_banded_distance_and_segments():
         assert lines.within(a, b, t) == near
         if near and min(len(a), len(b)) > t:
             short, long = sorted((a, b), key=len)
-            assert {k for k, kind in lines.keys(short, t) if kind != lines.PROBE} & {k for k, kind in lines.keys(long, t) if kind == lines.PROBE}
+            own, probes = {k for k, kind in lines.keys(short, t) if kind != lines.PROBE}, {k for k, kind in lines.keys(long, t) if kind == lines.PROBE}
+            assert own & probes
+            if len(short) > 4 * t:
+                heavy = frozenset(own)
+                assert {k for k, kind in lines.keys(short, t, heavy) if kind != lines.PROBE} & {k for k, kind in lines.keys(long, t, heavy) if kind == lines.PROBE}
 
 
 def brute(rows, threshold, least):
@@ -76,10 +80,10 @@ def corpus(seed):
 
 
 def test_against_brute_force(spark):
-    for threshold, look in ((1, 16), (2, 2)):
+    for threshold, look, one_in in ((1, 16, 64), (2, 2, 64), (1, 1, 1), (2, 3, 2)):
         rows = corpus(threshold)
         docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, block string").repartition(3)
-        out = lines.remove_lines(docs, threshold=threshold, min_chars=20, first_look=look, block_bytes=800, bucket_bytes=3000)
+        out = lines.remove_lines(docs, threshold=threshold, min_chars=20, first_look=look, block_bytes=800, bucket_bytes=3000 if one_in == 64 else 80, one_in=one_in)
         got = sorted([(r["row"]["doc_id"], r["n_lines"], r["n_removed"], r["kept_text"]) for r in out.collect()], key=repr)
         assert got == brute(rows, threshold, 20)
 

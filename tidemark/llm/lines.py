@@ -13,6 +13,10 @@ their blocks, which send the texts, and a banded bit-parallel edit distance deci
 neighbour: in a group of many lines with a common segment each is first held against the ``first_look`` earliest ones,
 and only lines that are still open are held against the rest, in another round.
 
+A segment that very many lines share (a form letter's beginning) would fill a bucket. Such keys are looked for in a share
+of the documents. If a segment stands unchanged, what is left of both lines is within t edits too, so such a key gives
+way to its combinations with the keys of what is left, in all blocks alike. The list only decides on the way.
+
 Defined results: null and empty texts have no line to remove (null stays null); rows with equal doc_id are ordered by
 text; a null doc_id comes after all others; an empty table gives no rows.
 """
@@ -23,15 +27,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, free_name, table
+from tidemark.llm.common import cut, table
 from tidemark.llm.substring import _packed, _unpacked
 
 THRESHOLD, MIN_CHARS, FIRST_LOOK = 1, 30, 16
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES, LOOK_AT_ONE_IN = 4 << 20, 8 << 20, 64
 BLANKS = " \t\n\v\f\r"
 OWN, PROBE, OWN_FIRST = 0, 1, 2
 LAST = np.iinfo(np.int64).max
@@ -49,16 +54,26 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys(line: str, threshold: int) -> list[tuple[int, int]]:
+def keys(line: str, threshold: int, heavy: frozenset[int] = frozenset()) -> list[tuple[int, int]]:
     """(key, kind) of a line: its own segments, and the substrings that may be segments of lines as long or shorter."""
     n, digest, out = len(line), xxhash.xxh64_intdigest, []
+
+    def put(at: int, size: int, salt: int, kind: int) -> None:
+        key = digest(line[at : at + size].encode(), salt)
+        if key not in heavy:
+            out.append((key, kind))
+            return
+        for more, own in keys(line[:at] + line[at + size :], threshold):
+            if (own == PROBE) == (kind == PROBE):
+                out.append((digest(more.to_bytes(8, "little"), key), PROBE if kind == PROBE else OWN_FIRST if kind == own == OWN_FIRST else OWN))
+
     for i, (at, size) in enumerate(segments(n, threshold)):
-        out.append((digest(line[at : at + size].encode(), n * 64 + i), OWN if i else OWN_FIRST))
-    for m in range(max(threshold + 1, n - threshold), n + 1):
+        put(at, size, n * 64 + i, OWN if i else OWN_FIRST)
+    for m in range(max(1, n - threshold), n + 1):
         for i, (at, size) in enumerate(segments(m, threshold)):
             left, right = i, threshold - i
             for start in range(max(0, at - left, at + n - m - right), min(n - size, at + left, at + n - m + right) + 1):
-                out.append((digest(line[start : start + size].encode(), m * 64 + i), PROBE))
+                put(start, size, m * 64 + i, PROBE)
     return list(dict.fromkeys(out))
 
 
@@ -107,6 +122,7 @@ class Lines:
     """The distinct lines of a block, numbered in order of their first place, the same whatever the order of rows."""
 
     def __init__(self, docs: pa.Table, min_chars: int):
+        docs = docs.append_column("_text", pc.struct_field(docs.column("_row"), "text"))
         self.docs = docs = docs.sort_by([("_id", "ascending"), ("_text", "ascending")])
         self.ids = docs.column("_id").to_numpy()
         self.rows: list[list[str]] = []
@@ -132,11 +148,11 @@ class Lines:
         self.distinct = list(index)
 
 
-def _send(block: int, lines: Lines, threshold: int, buckets: int) -> pa.Table:
+def _send(block: int, lines: Lines, threshold: int, buckets: int, heavy: frozenset[int]) -> pa.Table:
     key, kind, ref, same = [], [], [], np.zeros(len(lines.distinct), dtype=np.uint64)
     for r, x in enumerate(lines.distinct):
         same[r] = xxhash.xxh64_intdigest(x.encode(), 1)
-        for k, t in keys(x, threshold):
+        for k, t in keys(x, threshold, heavy):
             key.append(k)
             kind.append(t)
             ref.append(r)
@@ -201,21 +217,35 @@ def _meet(loads: pa.Table, low: int, high: int) -> pa.Table:
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, threshold: int, min_chars: int, block_bytes: int, bucket_bytes: int):
+    def __init__(self, docs: DataFrame, threshold: int, min_chars: int, block_bytes: int, bucket_bytes: int, one_in: int):
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.blocks, buckets = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total * (threshold + 2) / 6 / bucket_bytes))
-        name = self.block_name = free_name(docs, "block")
-        doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
-        self.docs = docs.select(F.struct("*").alias("_row"), doc.alias("_id"), F.col("text").alias("_text"), F.pmod(F.xxhash64("doc_id"), F.lit(self.blocks)).cast("int").alias(name))
-        self.narrow = docs.select(doc.alias("_id"), F.col("text").alias("_text"), F.pmod(F.xxhash64("doc_id"), F.lit(self.blocks)).cast("int").alias("block"))
+        # one frame for all steps of a round, so that its shuffle is made once and used again
+        self.docs = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("_id"), F.pmod(F.xxhash64("doc_id"), F.lit(self.blocks)).cast("int").alias("block"))
         self.threshold, self.min_chars, self.buckets = threshold, min_chars, buckets
+        self.heavy = self._heavy(max(2, math.ceil(bucket_bytes / (40 * one_in))), one_in)
+
+    def _heavy(self, least: int, one_in: int) -> frozenset[int]:
+        """Keys of so many different lines in a share of the documents that all of them would fill a bucket."""
+        threshold, min_chars = self.threshold, self.min_chars
+
+        def run(batches):
+            for b in batches:
+                for i in range(0, b.num_rows, 512):
+                    found = [k for x in Lines(pa.Table.from_batches([b.slice(i, 512)]), min_chars).distinct for k, kind in keys(x, threshold) if kind != PROBE]
+                    key, n = np.unique(np.array(found, dtype=np.uint64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+        part = self.docs.where(F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(one_in)) == 0)
+        sums = part.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        return frozenset(r["key"] & (1 << 64) - 1 for r in sums.collect())
 
     def round(self, low: int, high: int) -> DataFrame:
         """block, ref, verdict: 0 an earlier line is near or equal, 1 there are more candidates; one row for each."""
-        threshold, min_chars, buckets = self.threshold, self.min_chars, self.buckets
+        threshold, min_chars, buckets, heavy = self.threshold, self.min_chars, self.buckets, self.heavy
 
         def send(key: tuple, docs: pa.Table) -> pa.Table:
-            return _send(key[0].as_py(), Lines(docs, min_chars), threshold, buckets)
+            return _send(key[0].as_py(), Lines(docs, min_chars), threshold, buckets, heavy)
 
         def texts(docs: pa.Table, asked: pa.Table) -> pa.Table:
             lines = Lines(docs, min_chars).distinct
@@ -227,11 +257,11 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([b.column("block"), b.column("ref")], ["block", "ref"]).filter(pa.array(hit, pa.bool_()))
 
         pair = "block int, ref int, other_block int, other_ref int"
-        met = self.narrow.groupBy("block").applyInArrow(send, "bucket int, block int, load binary").groupBy("bucket").applyInArrow(lambda t: _meet(t, low, high), pair)
-        met = cut(met.distinct())
+        met = self.docs.groupBy("block").applyInArrow(send, "bucket int, block int, load binary").groupBy("bucket").applyInArrow(lambda t: _meet(t, low, high), pair)
+        met = met.distinct()
         pairs = met.where("other_block >= 0")
         asked = pairs.select("*", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("block").alias("my_block"), F.col("ref").alias("my_ref")), F.struct(F.lit(1).alias("side"), F.col("other_block").alias("my_block"), F.col("other_ref").alias("my_ref")))).alias("x")).select("block", "ref", "other_block", "other_ref", "x.*")
-        found = self.narrow.groupBy("block").cogroup(asked.groupBy("my_block")).applyInArrow(texts, f"{pair}, side int, line string")
+        found = self.docs.groupBy("block").cogroup(asked.groupBy("my_block")).applyInArrow(texts, f"{pair}, side int, line string")
         both = found.groupBy("block", "ref", "other_block", "other_ref").agg(F.max(F.when(F.col("side") == 0, F.col("line"))).alias("mine"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("other"))
         near = both.mapInArrow(verify, "block int, ref int")
         equal = met.where("other_block = -1").select("block", "ref")
@@ -239,9 +269,9 @@ class _Join:
         return near.unionByName(equal).distinct().select("block", "ref", F.lit(0).alias("verdict")).unionByName(more.distinct())
 
 
-def remove_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, first_look: int = FIRST_LOOK, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, first_look: int = FIRST_LOOK, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, one_in: int = LOOK_AT_ONE_IN) -> DataFrame:
     """row (the columns of ``docs``), n_lines, n_removed, kept_text for every row of ``docs``."""
-    join = _Join(docs, threshold, min_chars, block_bytes, bucket_bytes)
+    join = _Join(docs, threshold, min_chars, block_bytes, bucket_bytes, one_in)
     found = cut(join.round(0, first_look))
     dropped, more = found.where("verdict = 0").select("block", "ref"), found.where("verdict = 1")
     if more.join(dropped, ["block", "ref"], "left_anti").limit(1).count():
@@ -264,7 +294,7 @@ def remove_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
         return pa.table([row, pa.array([len(x) for x in lines.rows], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_lines", "n_removed", "kept_text"])
 
     schema = f"row {join.docs.schema['_row'].dataType.simpleString()}, n_lines long, n_removed long, kept_text string"
-    return join.docs.groupBy(join.block_name).cogroup(dropped.groupBy("block")).applyInArrow(apply, schema)
+    return join.docs.groupBy("block").cogroup(dropped.groupBy("block")).applyInArrow(apply, schema)
 
 
 def op9_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
