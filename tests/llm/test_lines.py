@@ -34,6 +34,7 @@ def test_banded_distance_and_segments():
         b = edited(rng, a, rng.randrange(1, t + 3)) if rng.random() < 0.8 and len(a) > t + 3 else "".join(rng.choice("abc") for _ in range(rng.randrange(1, 18)))
         near = distance(a, b) <= t
         assert lines.within(a, b, t) == near
+        assert not near or (int(lines.signatures([a])[0]) ^ int(lines.signatures(["x", b])[1])).bit_count() <= 4 * t
         if near and min(len(a), len(b)) > t:
             short, long = sorted((a, b), key=len)
             own, probes = {k for k, kind in lines.keys(short, t) if kind != lines.PROBE}, {k for k, kind in lines.keys(long, t) if kind == lines.PROBE}

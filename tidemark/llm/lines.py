@@ -9,9 +9,11 @@ at one of a few places (the multi-match-aware choice). Documents are dealt to bl
 for each of its distinct lines once, the hashes of its own segments under its length, and of the substrings that could be
 segments of lines up to t characters shorter. Keys meet in buckets. Equal lines are settled there by their hashes, so
 a line that a third of the corpus repeats costs a bucket one entry a block; for the others, candidates go back to
-their blocks, which send the texts, and a banded bit-parallel edit distance decides. A line needs only one earlier
-neighbour: in a group of many lines with a common segment each is first held against the ``first_look`` earliest ones,
-and only lines that are still open are held against the rest, in another round.
+their blocks, which send the texts, and a banded bit-parallel edit distance decides. A candidate must also agree in all
+but 4 threshold bits of a signature, the parities of a line's hashed pairs of neighbouring characters (an edit changes
+four at most). A line needs only one earlier neighbour: in a group of many lines with a common segment each is first held
+against the ``first_look`` ones of closest signature, and only lines that are still open are held against all the rest.
+All steps are one query, so the shuffles of documents and keys are made once and read again.
 
 A segment that very many lines share (a form letter's beginning) would fill a bucket. Such keys are looked for in a share
 of the documents. If a segment stands unchanged, what is left of both lines is within t edits too, so such a key gives
@@ -32,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import table
 from tidemark.llm.substring import _packed, _unpacked
 
-THRESHOLD, MIN_CHARS, FIRST_LOOK = 1, 30, 16
+THRESHOLD, MIN_CHARS, FIRST_LOOK = 1, 30, 2
 BLOCK_BYTES, BUCKET_BYTES, LOOK_AT_ONE_IN = 4 << 20, 8 << 20, 64
 BLANKS = " \t\n\v\f\r"
 OWN, PROBE, OWN_FIRST = 0, 1, 2
@@ -148,6 +150,21 @@ class Lines:
         self.distinct = list(index)
 
 
+def signatures(lines: list[str]) -> np.ndarray:
+    """64 parities of each line's hashed pairs of neighbouring characters, its ends included; an edit changes at most four."""
+    if not lines:
+        return np.zeros(0, dtype=np.uint64)
+    chars = np.frombuffer(f"\n{'\n'.join(lines)}\n".encode("utf-32-le"), dtype=np.uint32)
+    code = chars[:-1] * np.uint32(0x9E3779B1) + chars[1:] * np.uint32(0x85EBCA77)
+    code = (code ^ (code >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+    bits = np.uint64(1) << (code >> np.uint32(26)).astype(np.uint64)
+    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1
+    return np.bitwise_xor.reduceat(bits, np.cumsum(sizes) - sizes)
+
+
+_SENT = ("u8", "u8", "u8", "i8", "i4", "i4", "u1")
+
+
 def _send(block: int, lines: Lines, threshold: int, buckets: int, heavy: frozenset[int]) -> pa.Table:
     key, kind, ref, same = [], [], [], np.zeros(len(lines.distinct), dtype=np.uint64)
     for r, x in enumerate(lines.distinct):
@@ -160,67 +177,77 @@ def _send(block: int, lines: Lines, threshold: int, buckets: int, heavy: frozens
     bucket = ((key_ >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     out: tuple[list, list] = ([], [])
-    doc, line = np.array(lines.doc, dtype=np.int64), np.array(lines.line, dtype=np.int32)
+    doc, line, sign = np.array(lines.doc, dtype=np.int64), np.array(lines.line, dtype=np.int32), signatures(lines.distinct)
     for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         if len(part):
             r = ref_[part]
             out[0].append(int(bucket[part[0]]))
-            out[1].append(_packed(key_[part], same[r], np.diff(doc[r], prepend=0), line[r], np.diff(r, prepend=0).astype(np.int32), kind_[part]))
+            out[1].append(_packed(key_[part], same[r], sign[r], np.diff(doc[r], prepend=0), line[r], np.diff(r, prepend=0).astype(np.int32), kind_[part]))
     return pa.table([pa.array(out[0], pa.int32()), pa.array([block] * len(out[0]), pa.int32()), pa.array(out[1], pa.binary())], ["bucket", "block", "load"])
 
 
-def _meet(loads: pa.Table, low: int, high: int) -> pa.Table:
-    """Rows (block, ref, other_block, other_ref): a line and an earlier candidate, or -1 where an equal line is earlier.
+MET = "bucket int, block int, ref int, other_block int, other_ref int"
+
+
+def _meet(bucket: int, loads: pa.Table, threshold: int, first_look: int, still: set[tuple[int, int]] | None = None) -> pa.Table:
+    """Rows of MET: a line and an earlier candidate, or other_block -1 where an equal line is earlier.
 
-    In the group of a key, a line gets its candidates number ``low`` to ``high`` - 1 in order; other_block -2 tells
-    that there are more.
+    In the group of a key, a line gets the ``first_look`` candidates of closest signature; other_block -2 tells that
+    there are more. With ``still`` (block, ref), these lines get all the others instead.
     """
-    parts: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+    parts: list[list[np.ndarray]] = [[] for _ in range(8)]
     for block, data in zip(loads.column("block").to_pylist(), loads.column("load").to_pylist()):
-        key, same, doc, line, ref, kind, _ = _unpacked(data, "u8", "u8", "i8", "i4", "i4", "u1")
-        for to, x in zip(parts, (key, same, np.cumsum(doc), line, np.cumsum(ref), kind, np.full(len(key), block))):
+        key, same, sign, doc, line, ref, kind, _ = _unpacked(data, *_SENT)
+        for to, x in zip(parts, (key, same, sign, np.cumsum(doc), line, np.cumsum(ref), kind, np.full(len(key), block))):
             to.append(x)
-    key, same, doc, line, ref, kind, block = (np.concatenate(p) for p in parts)
-    order = np.lexsort((block, line, doc, kind, same, key))
-    key, same, doc, line, ref, kind, block = (x[order] for x in (key, same, doc, line, ref, kind, block))
-    again = np.concatenate([[False], (key[1:] == key[:-1]) & (same[1:] == same[:-1]) & (kind[1:] == kind[:-1])])
-    equal = np.flatnonzero(again & (kind == OWN_FIRST))
-    out = [[block[equal]], [ref[equal]], [np.full(len(equal), -1)], [np.full(len(equal), -1)]]
+    key, same, sign, doc, line, ref, kind, block = (np.concatenate(p) for p in parts)
+    order = np.lexsort((block, line, doc, kind, same, sign, key))
+    key, same, sign, doc, line, ref, kind, block = (x[order] for x in (key, same, sign, doc, line, ref, kind, block))
+    like = np.concatenate([[False], (key[1:] == key[:-1]) & (same[1:] == same[:-1]) & (sign[1:] == sign[:-1])])
+    again = like & np.concatenate([[False], kind[1:] == kind[:-1]])
+    out: list[list[np.ndarray]] = [[], [], [], []]
+
+    def put(x: np.ndarray, other: np.ndarray | None, mark: int = 0) -> None:
+        for to, y in zip(out, (block[x], ref[x], np.full(len(x), mark) if other is None else block[other], np.full(len(x), mark) if other is None else ref[other])):
+            to.append(y)
+
+    if still is None:
+        put(np.flatnonzero(again & (kind == OWN_FIRST)), None, -1)
     keep = np.flatnonzero(~again)
     first = np.flatnonzero(np.concatenate([[True], key[keep][1:] != key[keep][:-1]])) if len(keep) else np.zeros(0, dtype=np.int64)
-    k, s = key[keep], same[keep]
-    several = np.add.reduceat(np.concatenate([[0], ((k[1:] == k[:-1]) & (s[1:] != s[:-1])).astype(np.int64)]), first) if len(keep) else first
-    ends = np.concatenate([first[1:], [len(keep)]])
-    for g in np.flatnonzero(several > 0).tolist():
+    ends = np.concatenate([first[1:], [len(keep)]]) if len(keep) else first
+    texts = np.add.reduceat((~like[keep]).astype(np.int64), first) if len(keep) else first
+    for g in np.flatnonzero(texts > 1).tolist():
         rows = keep[first[g] : ends[g]]
         rows = rows[np.lexsort((block[rows], line[rows], doc[rows]))]
         probing = kind[rows] == PROBE
         for side in (True, False):
-            mine, other = rows[probing == side], rows[probing != side]
+            at, there = np.flatnonzero(probing == side), np.flatnonzero(probing != side)
+            mine, other = rows[at], rows[there]
             if not len(mine) or not len(other):
                 continue
-            rank = {int(x): i for i, x in enumerate(rows)}
-            before = np.searchsorted(np.array([rank[int(x)] for x in other]), np.array([rank[int(x)] for x in mine]))
-            for x, n in zip(mine.tolist(), before.tolist()):
-                near = other[low : min(n, high)]
-                near = near[same[near] != same[x]]
-                out[0].append(np.full(len(near), block[x]))
-                out[1].append(np.full(len(near), ref[x]))
-                out[2].append(block[near])
-                out[3].append(ref[near])
-                if n > high:
-                    out[0].append(block[[x]])
-                    out[1].append(ref[[x]])
-                    out[2].append(np.array([-2]))
-                    out[3].append(np.array([-2]))
-    return pa.table([pa.array(np.concatenate(x).astype(np.int32)) for x in out], ["block", "ref", "other_block", "other_ref"])
+            signs = sign[other]
+            for x, n in zip(mine.tolist(), np.searchsorted(there, at).tolist()):
+                if not n or (still is not None and (int(block[x]), int(ref[x])) not in still):
+                    continue
+                far = np.bitwise_count(signs[:n] ^ sign[x])
+                near = np.flatnonzero(far <= 4 * threshold)
+                near = near[(far[near] > 0) | (same[other[near]] != same[x])]
+                if len(near) > first_look:
+                    near = near[np.argsort(far[near], kind="stable")]
+                    if still is None:
+                        put(np.array([x]), None, -2)
+                near = other[near[:first_look] if still is None else near[first_look:]]
+                put(np.full(len(near), x), near)
+    found = [np.concatenate(x).astype(np.int32) if x else np.zeros(0, dtype=np.int32) for x in out]
+    return pa.table([pa.array(np.full(len(found[0]), bucket, dtype=np.int32)), *map(pa.array, found)], ["bucket", "block", "ref", "other_block", "other_ref"])
 
 
 class _Join:
     def __init__(self, docs: DataFrame, threshold: int, min_chars: int, block_bytes: int, bucket_bytes: int, one_in: int):
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.blocks, buckets = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total * (threshold + 2) / 6 / bucket_bytes))
-        # one frame for all steps of a round, so that its shuffle is made once and used again
+        # one frame for all steps, so that its shuffle is made once and used again
         self.docs = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("_id"), F.pmod(F.xxhash64("doc_id"), F.lit(self.blocks)).cast("int").alias("block"))
         self.threshold, self.min_chars, self.buckets = threshold, min_chars, buckets
         self.heavy = self._heavy(max(2, math.ceil(bucket_bytes / (40 * one_in))), one_in)
@@ -240,42 +267,53 @@ class _Join:
         sums = part.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         return frozenset(r["key"] & (1 << 64) - 1 for r in sums.collect())
 
-    def round(self, low: int, high: int) -> DataFrame:
-        """block, ref, verdict: 0 an earlier line is near or equal, 1 there are more candidates; one row for each."""
+    def dropped(self, first_look: int) -> DataFrame:
+        """block, ref of the lines of which an equal or near one is earlier."""
         threshold, min_chars, buckets, heavy = self.threshold, self.min_chars, self.buckets, self.heavy
 
         def send(key: tuple, docs: pa.Table) -> pa.Table:
             return _send(key[0].as_py(), Lines(docs, min_chars), threshold, buckets, heavy)
 
+        def meet(key: tuple, loads: pa.Table) -> pa.Table:
+            return _meet(key[0].as_py(), loads, threshold, first_look)
+
+        def meet_rest(key: tuple, loads: pa.Table, still: pa.Table) -> pa.Table:
+            if not still.num_rows:
+                return pa.Table.from_batches([], pa.schema([(c, pa.int32()) for c in ("bucket", "block", "ref", "other_block", "other_ref")]))
+            return _meet(key[0].as_py(), loads, threshold, first_look, set(zip(still.column("block").to_pylist(), still.column("ref").to_pylist())))
+
+        sent = self.docs.groupBy("block").applyInArrow(send, "bucket int, block int, load binary")
+        met = sent.groupBy("bucket").applyInArrow(meet, MET)
+        gone = self._near(met.where("other_block >= 0")).unionByName(met.where("other_block = -1").select("block", "ref")).distinct()
+        still = met.where("other_block = -2").select("bucket", "block", "ref").distinct().join(gone, ["block", "ref"], "left_anti").select("bucket", "block", "ref")
+        rest = sent.groupBy("bucket").cogroup(still.groupBy("bucket")).applyInArrow(meet_rest, MET)
+        return gone.unionByName(self._near(rest)).distinct()
+
+    def _near(self, met: DataFrame) -> DataFrame:
+        """block, ref of the lines that are near the candidate."""
+        threshold, min_chars = self.threshold, self.min_chars
+        pair = ["block", "ref", "other_block", "other_ref"]
+
         def texts(docs: pa.Table, asked: pa.Table) -> pa.Table:
-            lines = Lines(docs, min_chars).distinct
-            return pa.table([*(asked.column(c) for c in ("block", "ref", "other_block", "other_ref", "side")), pa.array([lines[r] for r in asked.column("my_ref").to_pylist()], pa.string())], ["block", "ref", "other_block", "other_ref", "side", "line"])
+            lines = Lines(docs, min_chars).distinct if asked.num_rows else []
+            return pa.table([*(asked.column(c) for c in (*pair, "side")), pa.array([lines[r] for r in asked.column("my_ref").to_pylist()], pa.string())], [*pair, "side", "line"])
 
         def verify(batches):
             for b in batches:
                 hit = [a is not None and o is not None and within(a, o, threshold) for a, o in zip(b.column("mine").to_pylist(), b.column("other").to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column("block"), b.column("ref")], ["block", "ref"]).filter(pa.array(hit, pa.bool_()))
 
-        pair = "block int, ref int, other_block int, other_ref int"
-        met = self.docs.groupBy("block").applyInArrow(send, "bucket int, block int, load binary").groupBy("bucket").applyInArrow(lambda t: _meet(t, low, high), pair)
-        met = met.distinct()
-        pairs = met.where("other_block >= 0")
-        asked = pairs.select("*", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("block").alias("my_block"), F.col("ref").alias("my_ref")), F.struct(F.lit(1).alias("side"), F.col("other_block").alias("my_block"), F.col("other_ref").alias("my_ref")))).alias("x")).select("block", "ref", "other_block", "other_ref", "x.*")
-        found = self.docs.groupBy("block").cogroup(asked.groupBy("my_block")).applyInArrow(texts, f"{pair}, side int, line string")
-        both = found.groupBy("block", "ref", "other_block", "other_ref").agg(F.max(F.when(F.col("side") == 0, F.col("line"))).alias("mine"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("other"))
-        near = both.mapInArrow(verify, "block int, ref int")
-        equal = met.where("other_block = -1").select("block", "ref")
-        more = met.where("other_block = -2").select("block", "ref", F.lit(1).alias("verdict"))
-        return near.unionByName(equal).distinct().select("block", "ref", F.lit(0).alias("verdict")).unionByName(more.distinct())
+        sides = [F.struct(F.lit(i).alias("side"), F.col(b).alias("my_block"), F.col(r).alias("my_ref")) for i, (b, r) in enumerate((pair[:2], pair[2:]))]
+        asked = met.select(*pair).distinct().select(*pair, F.explode(F.array(*sides)).alias("x")).select(*pair, "x.*")
+        found = self.docs.groupBy("block").cogroup(asked.groupBy("my_block")).applyInArrow(texts, "block int, ref int, other_block int, other_ref int, side int, line string")
+        both = found.groupBy(*pair).agg(*[F.max(F.when(F.col("side") == i, F.col("line"))).alias(n) for i, n in enumerate(("mine", "other"))])
+        return both.mapInArrow(verify, "block int, ref int")
 
 
 def remove_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, first_look: int = FIRST_LOOK, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, one_in: int = LOOK_AT_ONE_IN) -> DataFrame:
     """row (the columns of ``docs``), n_lines, n_removed, kept_text for every row of ``docs``."""
     join = _Join(docs, threshold, min_chars, block_bytes, bucket_bytes, one_in)
-    found = cut(join.round(0, first_look))
-    dropped, more = found.where("verdict = 0").select("block", "ref"), found.where("verdict = 1")
-    if more.join(dropped, ["block", "ref"], "left_anti").limit(1).count():
-        dropped = dropped.unionByName(join.round(first_look, 1 << 30).where("verdict = 0").select("block", "ref")).distinct()
+    dropped = join.dropped(first_look)
 
     def apply(docs: pa.Table, dropped: pa.Table) -> pa.Table:
         lines = Lines(docs, min_chars)
