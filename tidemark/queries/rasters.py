@@ -109,15 +109,15 @@ def q_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE c AS (SELECT row, col, row * 10000 + col AS id FROM ({_CELLS}) WHERE v >= 12 AND row < 40),
+WITH RECURSIVE c AS (SELECT row, col, row * 10000 + col AS id FROM ({_CELLS}) WHERE v >= 12),
 e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 l AS (SELECT a AS id, min(b) AS label, count(*) AS size FROM r GROUP BY a)
 SELECT CAST(id // 10000 AS BIGINT) AS row, CAST(id % 10000 AS INTEGER) AS col, CAST(label // 10000 AS BIGINT) AS c_row, CAST(label % 10000 AS INTEGER) AS c_col, size FROM l
 """)
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8-connected components and their sizes, on a part of the grid that is the area of interest."""
-    c = raster.components(_cells(spark, sf_dir).where("v >= 12 and row < 40"))
+    """8-connected components of the wet cells and their sizes."""
+    c = raster.components(_cells(spark, sf_dir).where("v >= 12"))
     return c.select(F.col("row").cast("long").alias("row"), "col", F.col("component.row").cast("long").alias("c_row"), F.col("component.col").alias("c_col"), "size")
 
 

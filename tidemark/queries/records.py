@@ -99,13 +99,13 @@ def q_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains({normalise.KEY_STOPWORDS!r}, w)), '_') AS key
+SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains({normalise.KEY_STOPWORDS!r}, w)), '_') AS key
 FROM documents WHERE lang = 'en'
 """)
 def q_desc_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """description keys; the field is the first 80 characters by definition of a description."""
+    """description keys of whole texts."""
     d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return d.select("doc_id", normalise.description_key(F.substring("text", 1, 80)).alias("key"))
+    return d.select("doc_id", normalise.description_key(F.col("text")).alias("key"))
 
 
 @query("""
@@ -160,8 +160,8 @@ def q_pre_post_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(left(text, 60)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM documents
+SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text),'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM documents
 """)
 def q_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """names without case, marks and punctuation; the field is the title, the first 60 characters."""
-    return table(spark, sf_dir, "documents").select("doc_id", normalise.plain_text(F.substring("text", 1, 60)).alias("plain"))
+    """whole texts without case, marks and punctuation."""
+    return table(spark, sf_dir, "documents").select("doc_id", normalise.plain_text(F.col("text")).alias("plain"))
