@@ -97,6 +97,7 @@ def test_toxicity_held_out_accuracy_and_odd_rows(spark):
     held = [r for r in out if r["held_out"] and r["doc_id"] in truth]
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) > 0.93
     assert next(r["predicted"] for r in out if r["doc_id"] == 902) == 1
+    assert toxicity.score_documents(docs, marks, is_held_out(0), sample_bytes=1).count() == 705
 
 
 def test_toxicity_without_two_classes(spark):
