@@ -38,8 +38,6 @@ def rounded(coords: Column, digits: int = 5) -> Column:
     return F.transform(coords, lambda c: F.struct(F.round(c["x"], digits).alias("x"), F.round(c["y"], digits).alias("y")))
 
 
-def corridor(lon1: Column, lat1: Column, lon2: Column, lat2: Column, step_m: float = 350.0) -> Column:
-    """Evenly spaced points of a line as an array of struct(i, lon, lat): 2 to 120 steps of about ``step_m``."""
-    steps = F.least(F.lit(120), F.greatest(F.lit(2), F.ceil(haversine_km(lat1, lon1, lat2, lon2) * 1000 / step_m))).cast("int")
-    at = lambda a, b, i: a + (b - a) * (i / steps)
-    return F.transform(F.sequence(F.lit(0), steps), lambda i: F.struct(i.alias("i"), at(lon1, lon2, i).alias("lon"), at(lat1, lat2, i).alias("lat")))
+def corridor_steps(lon1: Column, lat1: Column, lon2: Column, lat2: Column, step_m: float = 350.0) -> Column:
+    """Steps of about ``step_m`` along a line, from 2 to 120."""
+    return F.least(F.lit(120), F.greatest(F.lit(2), F.ceil(haversine_km(lat1, lon1, lat2, lon2) * 1000 / step_m))).cast("int")

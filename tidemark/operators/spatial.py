@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import corridor, haversine_km
+from tidemark.functions.geo import corridor_steps, haversine_km
 
 
 def edges(polygons: DataFrame, key: str = "poly_id", rings: str = "rings") -> DataFrame:
@@ -89,7 +89,10 @@ def within_km(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
 
 def corridor_points(lines: DataFrame, step_m: float = 350.0) -> DataFrame:
     """id, i, lon, lat: evenly spaced points of lines (id, lon1, lat1, lon2, lat2)."""
-    return lines.select("id", F.explode(corridor(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), step_m)).alias("p")).select("id", F.col("p.i").alias("i"), F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
+    ends = [F.col(c) for c in ("lon1", "lat1", "lon2", "lat2")]
+    stepped = lines.select("id", *ends, corridor_steps(*ends, step_m).alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
+    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * (F.col("i") / F.col("n"))
+    return stepped.select("id", "i", at("lon1", "lon2").alias("lon"), at("lat1", "lat2").alias("lat"))
 
 
 def best_along(samples: DataFrame, compatible: bool = False) -> DataFrame:
