@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,22 @@ def windows(rain: DataFrame, length: str, slide: str, lateness: str = "1 hour")
 
 
 def run_once(spark: SparkSession, sf_dir: str, length: str, slide: str) -> DataFrame:
-    """All windows of the events table, read as a stream until its end and written to a table, then read from it."""
+    """All windows of the events table, a file or a folder of part files, read as a stream until its end.
+
+    Each batch writes all windows to the shared checkpoint folder (a temporary one where the session names none), and the
+    last one is read from there.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"tidemark_{uuid.uuid4().hex}"
-    job = windows(source, length, slide).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    # a pattern that only the table's own name meets: Spark streams from a folder or a pattern, not from one file
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    folder, last, found = f"{shared}/stream-{uuid.uuid4().hex}", [], windows(source, length, slide)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/windows-{number}")
+        last[:] = [f"{folder}/windows-{number}"]
+
+    job = found.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    out = spark.read.parquet(*last) if last else spark.createDataFrame([], found.schema)
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
