@@ -21,3 +21,10 @@ def test_places_and_labels(spark):
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_mpl_notice_is_one_block(spark):
+    notice = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    rows = [(1, notice), (2, notice.replace("v. 2.0", "v. Two")), (3, notice.replace("v. 2.0", "\n\n2.0"))]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in out.collect()} == {1: ("mpl-2", 1.0), 2: ("", 0.0), 3: ("", 0.0)}

@@ -43,8 +43,8 @@ TEMPLATES = [
 ]
 NOT_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Between blocks: white space after the end of a sentence, and blank lines.
-BLOCK_END, BLANK_LINE = r"([.!?])[\x20\x09-\x0D]+", r"\n[\x20\x09-\x0D]*\n"
+#: Between blocks: white space after the end of a sentence (the stop of "v. 2.0" ends none), and blank lines.
+BLOCK_END, BLANK_LINE = r"((?<![^A-Za-z0-9][Vv])[.!?]|[.!?](?![\x20\x09-\x0D]+[0-9]))[\x20\x09-\x0D]+", r"\n[\x20\x09-\x0D]*\n"
 
 
 def _alone(words: str) -> str:
