@@ -53,7 +53,7 @@ def test_language_model_base_and_gain(spark):
 
 def test_language_model_is_a_distribution():
     words = [b"w%d" % i for i in range(50)]
-    v = gru_lm.Vocabulary(words, list(range(50, 0, -1)), 1275, 50, {gru_lm.ending(w): (0, 0) for w in words}, 20, 4)
+    v = gru_lm.Vocabulary(words, list(range(50, 0, -1)), 1275, 50, {gru_lm.ending(w): (0, 0) for w in words}, 20)
     for e in range(gru_lm.ENDINGS):
         own = [i for i in range(20, 50) if gru_lm.ending(words[i]) == e]
         v.mass[e] = sum(50 - i for i in own) + 0.5 * (len(own) + 1)
@@ -65,6 +65,37 @@ def test_language_model_is_a_distribution():
     assert abs(total - 1) < 1e-4
 
 
+def test_language_model_against_one_word_at_a_time():
+    rng = np.random.default_rng(3)
+    words = [b"w%d" % i for i in range(50)]
+    v = gru_lm.Vocabulary(words, list(range(50, 0, -1)), 1275, 50, {}, 20)
+    w = {k: (x + 0.3 * rng.standard_normal(x.shape)).astype(np.float32) for k, x in gru_lm.fresh(v).items()}
+    texts = [rng.integers(0, v.outputs + gru_lm.ENDINGS, n).astype(np.int32) for n in (1, 7, 300, 40)]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n, want = gru_lm.WIDTH, []
+    for s in texts:
+        h, sum_, last = np.zeros(n), 0.0, v.outputs + gru_lm.ENDINGS
+        for u in s.tolist():
+            a, g = w["emb"][last].astype(float) @ w["wx"] + w["b"], h @ w["wh"]
+            r, z = sigmoid(a[:n] + g[:n]), sigmoid(a[n : 2 * n] + g[n : 2 * n])
+            h = (1 - z) * np.tanh(a[2 * n :] + r * g[2 * n :]) + z * h
+            x = h @ w["wc"] + w["bc"]
+            kind = u // v.size if u < v.outputs else v.classes + u - v.outputs
+            sum_ += x[kind] - np.log(np.exp(x).sum())
+            if u < v.outputs:
+                x = h @ w["ww"][kind] + w["bw"][kind]
+                sum_ += x[u % v.size] - np.log(np.exp(x).sum())
+            last = u
+        want.append(sum_)
+    assert np.allclose(gru_lm.log_probabilities(w, texts, v), want, rtol=1e-4, atol=1e-3)
+
+
+def test_language_model_learns_from_every_training_document():
+    assert math.isclose(sum(gru_lm.ROUNDS), 1) and len(gru_lm.ROUNDS) == len(gru_lm.RATES)
+    assert np.concatenate(gru_lm.pieces(np.arange(10_001))).tolist() == list(range(10_001))
+    assert gru_lm.outputs_for(10**6) > gru_lm.outputs_for(10**4) and gru_lm.outputs_for(10**12) == gru_lm.MOST_OUTPUTS
+
+
 def test_language_model_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     out = gru_lm.score_documents(docs, F.lit(True)).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 F32 = np.float32
@@ -69,14 +71,23 @@ class Adam:
 
     def step(self, grads: dict[str, np.ndarray]) -> None:
         self.t += 1
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         scale = F32(min(1.0, self.clip / (norm + 1e-9)))
         fix1, fix2 = 1 - 0.9**self.t, 1 - 0.999**self.t
         for k, g in grads.items():
+            m, v = self.m[k], self.v[k]
             g = g * scale
-            self.m[k] += F32(0.1) * (g - self.m[k])
-            self.v[k] += F32(0.001) * (g * g - self.v[k])
-            self.w[k] -= F32(self.rate / fix1) * self.m[k] / (np.sqrt(self.v[k] / F32(fix2)) + F32(1e-8))
+            m *= F32(0.9)
+            m += F32(0.1) * g
+            g *= g
+            g *= F32(0.001)
+            v *= F32(0.999)
+            v += g
+            np.sqrt(v, out=g)
+            g += F32(1e-8 * math.sqrt(fix2))
+            np.divide(m, g, out=g)
+            g *= F32(self.rate / fix1 * math.sqrt(fix2))
+            self.w[k] -= g
 
 
 def rows_sum(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:

@@ -1,14 +1,17 @@
 """Language-model scores of whole documents by a gated recurrent network with a class-factored output.
 
-Words of all training documents are counted. The ``outputs`` most frequent ones have output weights of their own, in
-classes of equal size; every other word belongs to one of a few classes by its ending, inside which its probability
-is its smoothed count's share. So P(word | history) = P(class | state) P(word | class, state), a proper distribution
-over known words and one unknown word for each ending.
+Words of all training documents are counted. The most frequent ones, about twice the root of the number of distinct
+words and at most ``MOST_OUTPUTS``, have output weights of their own, in as many classes as a class has words; every
+other word belongs to one of a few classes by its ending, inside which its probability is its smoothed count's share.
+So P(word | history) = P(class | state) P(word | class, state), a proper distribution over known words and one unknown
+word for each ending.
 
 Counts cover all training documents and are summed by a shuffle. The network learns by truncated backpropagation in
-numpy: in each round, every task trains a copy on its own part of that round's documents (a share by hash, so the
-training text grows with the corpus), and the copies are averaged by a shuffle over the weights. Output biases start
-at the counts, so an untrained network equals the unigram model of the classes.
+numpy from every training document once: rounds take disjoint parts of the documents by hash (``ROUNDS``, shares that
+sum to one, the same whatever the size). In a round, every task trains a copy on its documents, in pieces of at most
+``PIECE`` words, and the copies are averaged by a shuffle over the weights. Output biases start at the counts, so an
+untrained network equals the unigram model of the classes. The weights depend on how Spark splits the table into tasks;
+another layout of files gives another, equally trained network. Base scores don't.
 
 When scoring, documents run side by side in lanes; a lane carries its state from window to window to the end of each
 document. Counts of frequent words (a bounded table) are at hand in the task; other words are joined with the counts.
@@ -35,8 +38,9 @@ from tidemark.llm.common import cut, is_held_out, table
 from tidemark.llm.gru import F32
 
 END = b"\n"  # no word holds a line feed
-OUTPUTS, CLASSES, WIDTH, TABLE = 1024, 32, 24, 1 << 17
-ROUNDS, SHARE, LEAST_TOKENS, STEPS, LANES = 3, 1 / 32, 500_000, 16, 256
+MOST_OUTPUTS, WIDTH, TABLE = 1 << 14, 16, 1 << 17
+ROUNDS, RATES, STEPS, LANES, PIECE = (1 / 16, 3 / 16, 3 / 4), (0.02, 0.01, 0.01), 16, 256, 4096
+CHUNK = 64
 SLICE_BYTES, FLUSH = 12 << 20, 200_000
 MARKS, GROUPS = b".,;:!?)]}'\"", 14
 ENDINGS = 2 * GROUPS
@@ -85,30 +89,41 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+class _Index(dict):
+    """Numbers of the frequent words; any other word has the number of its ending after them."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self) + ending(word)
+
+
 class Vocabulary:
     """Frequent words with their counts, the first ``outputs`` of which have outputs of their own."""
 
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, ending_rows: dict[int, tuple[int, int]], outputs: int, classes: int):
-        self.index = {w: i for i, w in enumerate(words)}
+    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, ending_rows: dict[int, tuple[int, int]], outputs: int):
+        self.words = words
         self.total, self.base_mass = total, total + 0.5 * (distinct + 1)
-        self.log_count = np.log10(np.array(counts, dtype=np.float64) + 0.5)
-        self.classes = classes
-        self.size = max(1, math.ceil(min(outputs, len(words)) / classes))
+        self.log_count = np.append(np.log10(np.array(counts, dtype=np.float64) + 0.5), np.zeros(ENDINGS))
         self.outputs = min(outputs, len(words))
-        self.unit = np.arange(len(words))
-        self.unit[self.outputs :] = [self.outputs + ending(w) for w in words[self.outputs :]]
+        self.classes = max(1, math.isqrt(self.outputs))
+        self.size = max(1, math.ceil(self.outputs / self.classes))
+        self.unit = np.concatenate([np.arange(self.outputs), [self.outputs + ending(w) for w in words[self.outputs :]], self.outputs + np.arange(ENDINGS)]).astype(np.int32)
         # mass of each ending: counts of its words plus one half for each of them and for its unknown word
         self.mass = np.array([ending_rows.get(e, (0, 0))[0] + 0.5 * (ending_rows.get(e, (0, 0))[1] + 1) for e in range(ENDINGS)])
         self.frequent = np.array(counts[: self.outputs], dtype=np.float64) + 0.5
+        self._index: _Index | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_index": None}
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers in the table; len(words of the table) + ending for words that aren't there."""
+        if self._index is None:
+            self._index = _Index(zip(self.words, range(len(self.words))))
+        return np.fromiter(map(self._index.__getitem__, words), dtype=np.int32, count=len(words))
 
-    def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers in the table (-1: not there), and units: an output's number, or outputs + ending."""
-        get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        unit = np.zeros(len(words), dtype=np.int64) if not len(self.unit) else self.unit[at]
-        for i in np.flatnonzero(at < 0).tolist():
-            unit[i] = self.outputs + ending(words[i])
-        return at, unit
+    def units(self, words: list[bytes]) -> np.ndarray:
+        """Units: an output's number, or outputs + ending."""
+        return self.unit[self.numbers(words)]
 
 
 def fresh(v: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
@@ -125,20 +140,21 @@ def fresh(v: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
     }
 
 
-def _by_class(unit: np.ndarray, v: Vocabulary) -> Iterator[tuple[int, np.ndarray]]:
+def _by_class(unit: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Places of units with outputs of their own in order of their class, and (class, begin, end) of its runs."""
     own = np.flatnonzero(unit < v.outputs)
-    order = own[np.argsort(unit[own] // v.size, kind="stable")]
-    kind = unit[order] // v.size
-    for part in np.split(order, np.flatnonzero(np.diff(kind)) + 1):
-        if len(part):
-            yield int(unit[part[0]] // v.size), part
+    kind = (unit[own] // v.size).astype(np.int16)
+    order = np.argsort(kind, kind="stable")
+    ends = np.cumsum(np.bincount(kind, minlength=v.classes)).tolist()
+    return own[order], [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = x - x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    total = e.sum(axis=1, keepdims=True)
-    return e / total, x - np.log(total)
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], dtype=F32))[:, None]
+    return x
 
 
 def lanes(sequences: list[np.ndarray], start: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -167,10 +183,10 @@ def lanes(sequences: list[np.ndarray], start: int, count: int) -> tuple[np.ndarr
     return tuple(np.ascontiguousarray(x.T) for x in (into, target, keep, owner))  # type: ignore[return-value]
 
 
-def train(w: dict[str, np.ndarray], sequences: list[np.ndarray], v: Vocabulary, rate: float, width: int = 64) -> None:
+def train(w: dict[str, np.ndarray], sequences: list[np.ndarray], v: Vocabulary, rate: float, width: int = LANES, adam: gru.Adam | None = None) -> None:
     """One pass of truncated backpropagation over sequences of units; ``w`` changes in place."""
     into, target, keep, _ = lanes(sequences, v.outputs + ENDINGS, width)
-    h, adam = np.zeros((into.shape[1], WIDTH), dtype=F32), gru.Adam(w, rate)
+    h, adam = np.zeros((into.shape[1], WIDTH), dtype=F32), adam or gru.Adam(w, rate)
     for t in range(0, len(into), STEPS):
         x, y, k = into[t : t + STEPS], target[t : t + STEPS].ravel(), keep[t : t + STEPS]
         emb = w["emb"][x.ravel()]
@@ -178,20 +194,25 @@ def train(w: dict[str, np.ndarray], sequences: list[np.ndarray], v: Vocabulary,
         h = states[-1]
         flat, real = states.reshape(-1, WIDTH), y >= 0
         n = F32(max(1, real.sum()))
-        d = np.zeros_like(flat)
-        p, _ = _softmax(flat @ w["wc"] + w["bc"])
+        p = _softmax(flat @ w["wc"] + w["bc"])
         kind = np.where(y < v.outputs, y // v.size, v.classes + y - v.outputs)
-        p[np.flatnonzero(real), kind[real]] -= 1
-        p[~real] = 0
+        rows = np.flatnonzero(real)
+        p[rows, kind[rows]] -= 1
+        if len(rows) < len(y):
+            p[~real] = 0
         p /= n
         grads = {"wc": flat.T @ p, "bc": p.sum(axis=0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
-        d += p @ w["wc"].T
-        for c, rows in _by_class(np.where(real, y, v.outputs), v):
-            q, _ = _softmax(flat[rows] @ w["ww"][c] + w["bw"][c])
-            q[np.arange(len(rows)), y[rows] - c * v.size] -= 1
+        d = p @ w["wc"].T
+        order, runs = _by_class(np.where(real, y, v.outputs), v)
+        mine, goal = flat[order], y[order] % v.size
+        back = np.empty_like(mine)
+        for c, i, j in runs:
+            q = _softmax(mine[i:j] @ w["ww"][c] + w["bw"][c])
+            q[np.arange(j - i), goal[i:j]] -= 1
             q /= n
-            grads["ww"][c], grads["bw"][c] = flat[rows].T @ q, q.sum(axis=0)
-            d[rows] += q @ w["ww"][c].T
+            grads["ww"][c], grads["bw"][c] = mine[i:j].T @ q, q.sum(axis=0)
+            back[i:j] = q @ w["ww"][c].T
+        d[order] += back
         da, grads["wh"] = gru.backward(d.reshape(states.shape), kept, w["wh"], k)
         da = da.reshape(-1, 3 * WIDTH)
         grads["wx"], grads["b"] = emb.T @ da, da.sum(axis=0)
@@ -211,20 +232,32 @@ def log_probabilities(w: dict[str, np.ndarray], sequences: list[np.ndarray], v:
         flat, y = states.reshape(-1, WIDTH)[real], y[real]
         logits = flat @ w["wc"] + w["bc"]
         kind = np.where(y < v.outputs, y // v.size, v.classes + y - v.outputs)
-        score = (logits[np.arange(len(y)), kind] - _log_sum(logits)).astype(np.float64)
-        for c, rows in _by_class(y, v):
-            logits = flat[rows] @ w["ww"][c] + w["bw"][c]
-            score[rows] += logits[np.arange(len(rows)), y[rows] - c * v.size] - _log_sum(logits)
+        score = logits[np.arange(len(y)), kind] - _log_sum(logits)
+        order, runs = _by_class(y, v)
+        mine, goal = flat[order], y[order] % v.size
+        more = np.empty(len(order), dtype=F32)
+        for c, i, j in runs:
+            logits = mine[i:j] @ w["ww"][c] + w["bw"][c]
+            more[i:j] = logits[np.arange(j - i), goal[i:j]] - _log_sum(logits)
+        score[order] += more
         out += np.bincount(owner[t : t + 64].ravel()[real], weights=score, minlength=len(sequences))
     return out
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each row; ``x`` is lost."""
     top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return top + np.log(x @ np.ones(x.shape[1], dtype=F32))
 
 
-def vocabulary(counts: DataFrame, outputs: int = OUTPUTS, classes: int = CLASSES, table_words: int = TABLE) -> Vocabulary:
+def outputs_for(distinct: int) -> int:
+    """Words with an output of their own for so many distinct ones: the bound is 2 MB of weights."""
+    return min(MOST_OUTPUTS, 2 * (math.isqrt(distinct) + 1))
+
+
+def vocabulary(counts: DataFrame, outputs: int | None = None, table_words: int = TABLE) -> Vocabulary:
     """The frequent words (at most ``table_words``, by count) and the statistics of all words."""
     band = F.floor(F.log2("c") * 8)
     total, distinct, left, least = 0, 0, table_words, 0
@@ -245,41 +278,54 @@ def vocabulary(counts: DataFrame, outputs: int = OUTPUTS, classes: int = CLASSES
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(ENDINGS, dtype=np.int32)), pa.array(tokens), pa.array(words)], ["e", "tokens", "words"])
 
     rows = {r["e"]: [r["t"], r["w"]] for r in counts.mapInArrow(endings, "e int, tokens long, words long").groupBy("e").agg(F.sum("tokens").alias("t"), F.sum("words").alias("w")).collect()}
+    outputs = outputs_for(distinct) if outputs is None else outputs
     for c, word in frequent[:outputs]:
         rows[ending(word)][0] += c
         rows[ending(word)][1] -= 1
-    return Vocabulary([w for _, w in frequent], [-c for c, _ in frequent], total, distinct, {e: tuple(x) for e, x in rows.items()}, outputs, classes)
+    return Vocabulary([w for _, w in frequent], [-c for c, _ in frequent], total, distinct, {e: tuple(x) for e, x in rows.items()}, outputs)
+
 
+def pieces(sequence: np.ndarray) -> list[np.ndarray]:
+    return [sequence] if len(sequence) <= PIECE else [sequence[i : i + PIECE] for i in range(0, len(sequence), PIECE)]
 
-def learn(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, share: float = SHARE) -> dict[str, np.ndarray]:
-    """Weights learnt from ``docs`` (doc_id, text) in rounds of local training and averaging."""
+
+def learn(docs: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS, rates: tuple[float, ...] = RATES) -> dict[str, np.ndarray]:
+    """Weights learnt from all of ``docs`` (doc_id, text), a share ``rounds[r]`` of them in round r, each by local training and averaging."""
     w = fresh(v)
     names, shapes = list(w), {k: x.shape for k, x in w.items()}
-    share = min(1.0, share + LEAST_TOKENS / max(1, v.total))
+    size = sum(x.size for x in w.values())
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
+    edges = np.round(np.cumsum((0, *rounds)) * (1 << 20)).astype(int).tolist()
 
     def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
         sizes = np.cumsum([math.prod(shapes[k]) for k in names])[:-1]
-        return {k: x.reshape(shapes[k]).astype(F32) for k, x in zip(names, np.split(flat, sizes))}
+        return {k: x.reshape(shapes[k]).astype(F32) for k, x in zip(names, np.split(flat[:size], sizes))}
 
-    for r in range(rounds if v.total else 0):
-        start, rate = np.concatenate([w[k].ravel() for k in names]), 0.02 / (1 + r)
+    for r in range(len(rounds) if v.total else 0):
+        start, rate = np.concatenate([w[k].ravel() for k in names]), rates[r]
 
         def run(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
             own, tokens = unpack(start.copy()), 0
+            adam = gru.Adam(own, rate)
             for b in batches:
                 for _, texts in _texts(b):
-                    sequences = [v.units([*t.lower().split(), END])[1] for t in texts]
-                    train(own, sequences, v, rate)
+                    sequences = [s for t in texts for s in pieces(v.units([*t.lower().split(), END]))]
+                    train(own, sequences, v, rate, adam=adam)
                     tokens += sum(map(len, sequences))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([np.concatenate([own[k].ravel() for k in names])], pa.list_(pa.float32()))], ["n", "w"])
-
-        part = F.pmod(F.xxhash64(F.lit(r), "doc_id", F.xxhash64("text")), F.lit(1 << 20)) < int(share * (1 << 20))
-        copies = docs.where(part).select("text").mapInArrow(run, "n double, w array<float>")
-        mean = copies.select("n", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x"))
-        found = {x["i"]: x["x"] for x in mean.collect()}
-        if found:
-            w = unpack(np.array([found[i] for i in range(len(start))], dtype=F32))
+                flat = np.concatenate([own[k].ravel() for k in names] + [np.zeros(-size % CHUNK, dtype=F32)])
+                n = len(flat) // CHUNK
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, float(tokens))), pa.array(np.arange(n, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * CHUNK), pa.array(flat))], ["n", "i", "w"]
+                )
+
+        part = docs.where((place >= edges[r]) & (place < edges[r + 1])).select("text")
+        copies = part.mapInArrow(run, "n double, i int, w array<float>")
+        sums = copies.groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(F.col("w")[k] * F.col("n")).alias(f"w{k}") for k in range(CHUNK)])
+        found = sums.select("i", F.array(*[F.col(f"w{k}") / F.col("n") for k in range(CHUNK)]).alias("w")).toArrow()
+        if found.num_rows:
+            found = found.sort_by("i")
+            w = unpack(found.column("w").combine_chunks().flatten().to_numpy().astype(F32))
     return w
 
 
@@ -287,25 +333,26 @@ def score(docs: DataFrame, v: Vocabulary, w: dict[str, np.ndarray], counts: Data
     """doc_id, n_tokens, n_known, base_score, score for every row of ``docs`` (doc_id, text)."""
     mass = np.concatenate([np.zeros(v.outputs), np.log10(v.mass)])
     base_mass = math.log10(v.base_mass)
+    rare = np.where(v.unit >= v.outputs, v.log_count - mass[v.unit], 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
+        frequent = len(v.words)
         for b in batches:
             ids = b.column("doc_id")
             for first, texts in _texts(b):
                 owner, word, times, sequences, sums = [], [], [], [], []
                 for k, t in enumerate(texts):
                     words = [*t.lower().split(), END]
-                    at, unit = v.units(words)
-                    sequences.append(unit.astype(np.int32))
-                    there = at >= 0
-                    logs = float(v.log_count[at[there]].sum())
-                    rare = unit >= v.outputs
-                    sums.append((len(words), int(there.sum()), logs - len(words) * base_mass, float(v.log_count[at[there & rare]].sum()) - float(mass[unit].sum())))
-                    unknown = Counter([words[i] for i in np.flatnonzero(~there).tolist()])
-                    owner += [row + k] * len(unknown)
-                    word += unknown
-                    times += unknown.values()
+                    at = v.numbers(words)
+                    sequences.append(v.unit[at])
+                    strange = np.flatnonzero(at >= frequent)
+                    sums.append((len(words), len(words) - len(strange), float(v.log_count[at].sum()) - len(words) * base_mass, float(rare[at].sum())))
+                    if len(strange):
+                        unknown = Counter([words[i] for i in strange.tolist()])
+                        owner += [row + k] * len(unknown)
+                        word += unknown
+                        times += unknown.values()
                 found = log_probabilities(w, sequences, v) / math.log(10)
                 n, some = len(texts), len(word)
                 yield pa.RecordBatch.from_arrays(
