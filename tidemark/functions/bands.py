@@ -166,3 +166,17 @@ def money_short(amount: Column) -> Column:
 def warrants_review(allocation: Column, score: Column, passes: Column) -> Column:
     """Money allocated where floods are modelled or have been observed."""
     return F.coalesce((allocation > 0) & ((F.coalesce(score, F.lit(0.0)) >= PRONE) | (F.coalesce(passes, F.lit(0)) > 0)), F.lit(False))
+
+
+def escaped(text: Column) -> Column:
+    """A text for the body or an attribute of a page."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+def time_of(text: Column) -> Column:
+    """A timestamp of an ISO text with Z, an offset or neither (then UTC), or of a date; NULL for anything else."""
+    bare = F.trim(text)
+    zoned = F.when(bare.rlike(r"(Z|[+-]\d\d:?\d\d)$") & bare.contains(":"), bare).when(bare.contains(":"), F.concat(bare, F.lit("Z"))).otherwise(F.concat(bare, F.lit("T00:00:00Z")))
+    return F.when(bare.rlike(r"^\d{4}-\d\d-\d\d"), zoned.try_cast("timestamp"))

@@ -9,17 +9,30 @@ from pyspark.sql import functions as F
 def jaccard_join(left: DataFrame, right: DataFrame, within: list[str], least: float) -> DataFrame:
     """left_id, right_id, jaccard of pairs with equal ``within`` columns whose token sets are alike.
 
-    left: left_id, tokens; right: right_id, tokens (arrays), both with the ``within`` columns. Pairs come from an inverted index: tokens are
-    joined and counted, so rows without a common token never meet.
+    left: left_id, tokens; right: right_id, tokens (arrays), both with the ``within`` columns; ids are those of one row each. Tokens
+    are put in order of their frequency, the rare ones first. Of two sets n and m that are ``least`` alike, one of the first
+    n - ceil(least n) + 1 tokens of the one is among the same prefix of the other, so only these prefixes are joined, and a
+    token that most rows hold joins few of them. A row without tokens is in no pair.
     """
-    a = left.select(*within, "left_id", F.array_distinct("tokens").alias("t")).withColumn("na", F.size("t"))
-    b = right.select(*within, "right_id", F.array_distinct("tokens").alias("t")).withColumn("nb", F.size("t"))
-    a = a.select(*within, "left_id", "na", F.explode("t").alias("token"))
-    b = b.select(*within, "right_id", "nb", F.explode("t").alias("token"))
-    # of sets at least ``least`` alike, the smaller has at least that share of the larger
-    near = a.join(b, [*within, "token"]).where((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
-    both = near.groupBy("left_id", "right_id").agg(F.count("*").alias("n"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return both.select("left_id", "right_id", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard")).where(F.col("jaccard") >= least)
+    sides = {"left_id": left.select(*within, F.col("left_id").alias("_id"), F.array_distinct("tokens").alias("_t")), "right_id": right.select(*within, F.col("right_id").alias("_id"), F.array_distinct("tokens").alias("_t"))}
+    every = None
+    for df in sides.values():
+        tokens = df.select(F.explode("_t").alias("_token"))
+        every = tokens if every is None else every.unionByName(tokens)
+    often = every.groupBy("_token").agg(F.count("*").alias("_often"))
+
+    def prefixes(name: str, tokens: str) -> DataFrame:
+        df = sides[name]
+        ordered = df.select("_id", F.explode("_t").alias("_token")).join(often, "_token").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_often", "_token"))).alias("_o"))
+        size = F.size("_o")
+        first = F.slice("_o", 1, (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
+        return df.join(ordered, "_id").select(*within, F.col("_id").alias(name), F.col("_t").alias(tokens), F.explode(first).alias("_p")).withColumn("_p", F.col("_p._token"))
+
+    near = prefixes("left_id", "_a").join(prefixes("right_id", "_b"), [*within, "_p"])
+    na, nb = F.size("_a"), F.size("_b")
+    near = near.where((na >= least * nb) & (nb >= least * na))
+    both = F.size(F.array_intersect("_a", "_b"))
+    return near.select("left_id", "right_id", (both / (na + nb - both)).alias("jaccard")).where(F.col("jaccard") >= least).distinct()
 
 
 def text_join(left: DataFrame, right: DataFrame) -> DataFrame:

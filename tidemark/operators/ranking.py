@@ -60,3 +60,15 @@ def newest_where(df: DataFrame, condition: Column, day: str) -> DataFrame:
 def lead(df: DataFrame, allocation: str, passes: str, warrants: str, name: str) -> DataFrame:
     """The row to lead with: the largest allocation among those with an observed pass, else among those that warrant review."""
     return df.where((F.col(passes) > 0) | F.col(warrants)).orderBy((F.col(passes) > 0).desc(), F.col(allocation).desc(), F.col(name)).limit(1)
+
+
+def first_distinct(df: DataFrame, name: str, order: str, n: int | None = None) -> DataFrame:
+    """name, order: each name once, at its first place, in that order; the first ``n`` of them."""
+    out = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(order).alias(order)).orderBy(order, name)
+    return out if n is None else out.limit(n)
+
+
+def bernoulli(df: DataFrame, id_col: str, fraction: float, seed: str = "0") -> DataFrame:
+    """``df`` and grp: 'holdout' with probability ``fraction`` by a seeded hash of the id, else 'train'; no row depends on another."""
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return df.withColumn("grp", F.when(place < fraction, "holdout").otherwise("train"))

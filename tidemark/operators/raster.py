@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import cut
+
 
 def histogram(cells: DataFrame, value: Column, width: float = 0.25) -> DataFrame:
     """bucket, n, mean."""
@@ -69,13 +71,8 @@ def components(cells: DataFrame) -> DataFrame:
     Labels fall to the smallest one around and jump to the label's own label in each round, so that rounds grow with the
     logarithm of a component's extent; every round is checkpointed to the shared folder.
     """
-    spark = cells.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
     own = cells.select("row", "col").distinct()
-    labels = own.select("row", "col", F.struct("row", "col").alias("label")).checkpoint()
+    labels = cut(own.select("row", "col", F.struct("row", "col").alias("label")))
     moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in square(1)])
     before = None
     while True:
@@ -84,7 +81,7 @@ def components(cells: DataFrame) -> DataFrame:
         low = around.groupBy("row", "col").agg(F.min("label").alias("low")).join(labels, ["row", "col"])
         # the label's own cell has a label too, perhaps a smaller one
         target = labels.select(F.struct("row", "col").alias("low"), F.col("label").alias("jump"))
-        labels = low.join(target, "low").select("row", "col", F.least("label", "low", "jump").alias("label")).checkpoint()
+        labels = cut(low.join(target, "low").select("row", "col", F.least("label", "low", "jump").alias("label")))
         mark = labels.agg(F.sum(F.xxhash64("row", "col", "label").cast("decimal(38,0)"))).first()[0]
         if mark == before:
             break

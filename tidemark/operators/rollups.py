@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of scores in the first step of a rank over all rows.
+RANGES = 256
+
 
 def count_where(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).cast("long")
@@ -52,11 +55,17 @@ def binary_metrics(df: DataFrame, y: Column, p: Column, cut: float = 0.5) -> Dat
 def ranked_metrics(df: DataFrame, y: Column, score: Column) -> DataFrame:
     """auc, ap: area under the ROC curve by mid-ranks, and average precision over distinct thresholds.
 
-    Rows are summed for each distinct score first, so the running sums are over scores and not over rows.
+    Rows are summed for each distinct score first. The running sums are made in two steps, over at most ``RANGES`` ranges of scores and
+    then inside each range, so that no task holds all scores.
     """
     g = df.select(y.cast("int").alias("y"), score.alias("s")).groupBy("s").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = g.select("pos", "n", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("pp"))
+    cuts = g.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("cuts"))  # one row
+    g = g.join(F.broadcast(cuts), F.lit(True)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
+    sums = g.groupBy("range").agg(F.sum("pos").alias("rp"), F.sum("n").alias("rn"))
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("bn"))
+    down = Window.partitionBy("range").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    run = g.join(before, "range").select("pos", "n", (F.col("bp") + F.sum("pos").over(down)).alias("tp"), (F.col("bn") + F.sum("n").over(down)).alias("pp"))
     total = run.agg(
         F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"),
         # for each score: its positives beat all negatives below, and half of those beside

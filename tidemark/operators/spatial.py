@@ -1,11 +1,14 @@
-"""Spatial joins as equi-joins on rows of tiles, with even-odd parity instead of a geometry library."""
+"""Spatial joins as equi-joins on tiles, with even-odd parity instead of a geometry library."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import corridor_steps, haversine_km
+from tidemark.functions.geo import EARTH_KM, corridor_steps, haversine_km
+from tidemark.sources.shared import cut
 
 
 def edges(polygons: DataFrame, key: str = "poly_id", rings: str = "rings") -> DataFrame:
@@ -22,17 +25,21 @@ def edges(polygons: DataFrame, key: str = "poly_id", rings: str = "rings") -> Da
 def inside(points: DataFrame, edge: DataFrame, id_col: str, x: str, y: str, key: str = "poly_id", tile: float = 1.0) -> DataFrame:
     """id_col, key of all (point, polygon) with the point inside.
 
-    A ray to the right meets the edges whose rows of tiles hold the point's y: the join is on the row, never on all pairs.
-    A point on the boundary belongs to one side as in half-open ray casting. Points with NULL coordinates are in nothing.
+    Points meet the polygons whose boxes reach into their tile, then the edges of such a polygon in their row of tiles, which a
+    ray to the right may cross. Both are equi-joins, on (tile column, tile row) and on (polygon, row), so no key stands for a
+    whole row of the map. A point on the boundary belongs to one side as in half-open ray casting. Points with NULL coordinates
+    are in nothing.
     """
-    row = lambda c: F.floor(c / F.lit(tile)).cast("long")
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    spread = edge.where("y1 <> y2").select(key, "x1", "y1", "x2", "y2", F.explode(F.sequence(row(low), row(high))).alias("_row"))
-    box = edge.groupBy(key).agg(F.min(F.least("x1", "x2")).alias("_left"))
-    spread = spread.join(box, key)
-    at = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(id_col, F.col(x).alias("_px"), F.col(y).alias("_py"), row(F.col(y)).alias("_row"))
+    at_tile = lambda c: F.floor(c / F.lit(tile)).cast("long")
+    row = lambda low, high: F.explode(F.sequence(at_tile(low), at_tile(high)))
+    spread = edge.where("y1 <> y2").select(key, "x1", "y1", "x2", "y2", row(F.least("y1", "y2"), F.greatest("y1", "y2")).alias("_row"))
+    box = edge.groupBy(key).agg(F.min(F.least("x1", "x2")).alias("_left"), F.max(F.greatest("x1", "x2")).alias("_right"), F.min(F.least("y1", "y2")).alias("_low"), F.max(F.greatest("y1", "y2")).alias("_high"))
+    tiles = box.select(key, "_left", "_right", row(F.col("_left"), F.col("_right")).alias("_col"), "_low", "_high").withColumn("_row", row(F.col("_low"), F.col("_high")))
+    known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    at = known.select(id_col, F.col(x).alias("_px"), F.col(y).alias("_py"), at_tile(F.col(x)).alias("_col"), at_tile(F.col(y)).alias("_row"))
+    near = at.join(tiles, ["_col", "_row"]).where("_px between _left and _right and _py between _low and _high")
     crossing = ((F.col("y1") > F.col("_py")) != (F.col("y2") > F.col("_py"))) & (F.col("_px") < (F.col("x2") - F.col("x1")) * (F.col("_py") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hits = at.join(spread, "_row").where((F.col("_px") >= F.col("_left")) & crossing)
+    hits = near.select(id_col, key, "_px", "_py", "_row").join(spread, [key, "_row"]).where(crossing)
     return hits.groupBy(id_col, key).agg(F.count("*").alias("_n")).where(F.col("_n") % 2 == 1).select(id_col, key)
 
 
@@ -41,50 +48,58 @@ def first_inside(points: DataFrame, edge: DataFrame, id_col: str, x: str, y: str
     return inside(points, edge, id_col, x, y, key, tile).groupBy(id_col).agg(F.min(key).alias(key))
 
 
+def _rows_and_columns(lat: Column, lon: Column, km: float, row: Column | None = None) -> tuple[Column, Column, Column]:
+    """Row, column and number of columns of the cell of a place; cells are at least ``km`` high and, all around the row and its neighbours, wide."""
+    height = km / 111.0
+    row = F.floor(lat / F.lit(height)).cast("long") if row is None else row
+    # two places in neighbouring rows, at most ``km`` apart, differ by no more than this in longitude
+    far = F.least(F.lit(90.0), F.greatest(F.abs(row), F.abs(row + 1)) * height + height)
+    part = F.lit(math.sin(min(km / (2 * EARTH_KM), math.pi / 2))) / F.cos(F.radians(far))
+    columns = F.when((part < 1) & (far < 90), F.greatest(F.lit(1), F.floor(F.lit(math.pi) / F.asin(F.least(F.lit(1.0), part))))).otherwise(1).cast("long")
+    return row, F.pmod(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / (F.lit(360.0) / columns)).cast("long"), columns), columns
+
+
+def _candidates(points: DataFrame, sites: DataFrame, km: float, how: str = "inner") -> DataFrame:
+    """id, lat, lon with site_id, km of at least all sites within ``km``: those of the cell of a point and of the cells around it, across the date line too."""
+    row, column, _ = _rows_and_columns(F.col("s_lat"), F.col("s_lon"), km)
+    place = sites.select("site_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).select("*", row.alias("_row"), column.alias("_col"))
+    rows = points.select("id", "lat", "lon", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.floor(F.col("lat") / F.lit(km / 111.0)).cast("long") + i)).alias("_row"))
+    _, column, columns = _rows_and_columns(F.col("lat"), F.col("lon"), km, F.col("_row"))
+    cells = rows.select("id", "lat", "lon", "_row", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(column + i, columns)))).alias("_col"))
+    found = cells.join(place, ["_row", "_col"], how)
+    return found.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")))
+
+
 def nearest(points: DataFrame, sites: DataFrame, cell: float = 1.0) -> DataFrame:
     """id, site_id, km for points (id, lat, lon) and sites (site_id, lat, lon): the nearest, ties to the smaller site_id.
 
-    Points look at the sites of their own and the eight cells around. What isn't settled that way (nothing found, or the
-    find farther than the cells surely reach) looks again in cells twice as large, until the cells hold the whole globe.
+    Points look at the sites of their own cell and those around, in cells of ``cell`` degrees at first. What has none within the
+    cells' size looks again in cells twice as large. A point comes to cells as large as the globe only if no site is within a
+    quarter of the way around it. Points without coordinates, and all points if there are no sites, have no row.
     """
-    open_points, settled, spark = points.select("id", "lat", "lon"), None, points.sparkSession
-    place = sites.select("site_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    around = F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((F.floor(i / 3) - 1).alias("dy"), (i % 3 - 1).alias("dx"))))
+    points, settled, km = points.select("id", "lat", "lon").where("lat is not null and lon is not null"), None, cell * 111.0
+    sites = sites.where("lat is not null and lon is not null")
     while True:
-        size = F.lit(float(cell))
-        whole = cell >= 360
-        if whole:
-            keyed = place.withColumn("cy", F.lit(0)).withColumn("cx", F.lit(0))
-            asked = open_points.withColumn("ay", F.lit(0)).withColumn("ax", F.lit(0))
-        else:
-            keyed = place.withColumn("cy", F.floor(F.col("s_lat") / size)).withColumn("cx", F.floor(F.col("s_lon") / size))
-            asked = open_points.select("*", around.alias("n")).select("id", "lat", "lon", (F.floor(F.col("lat") / size) + F.col("n.dy")).alias("ay"), (F.floor(F.col("lon") / size) + F.col("n.dx")).alias("ax"))
-        found = asked.join(keyed, (F.col("ay") == F.col("cy")) & (F.col("ax") == F.col("cx")), "left")
-        km = haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
-        best = found.groupBy("id", "lat", "lon").agg(F.min(F.when(F.col("site_id").isNotNull(), F.struct(km.alias("km"), F.col("site_id")))).alias("b"))
-        if whole:
-            last = best.where("b is not null").select("id", F.col("b.site_id").alias("site_id"), F.col("b.km").alias("km"))
-            return last if settled is None else settled.unionByName(last)
-        # a degree of longitude is shortest at the ring's pole-side edge
-        reach = cell * 111.0 * F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + 2 * cell))))
-        sure = F.coalesce(F.col("b.km") <= reach, F.lit(False)) & (F.abs(F.col("lon")) + cell <= 180)
-        best = best.persist()
+        best = cut(_candidates(points, sites, km, "left").groupBy("id", "lat", "lon").agg(F.min(F.when(F.col("site_id").isNotNull(), F.struct("km", "site_id"))).alias("b")))
+        last = km > math.pi * EARTH_KM
+        sure = F.col("b").isNotNull() if last else F.coalesce(F.col("b.km") <= km, F.lit(False))
         done = best.where(sure).select("id", F.col("b.site_id").alias("site_id"), F.col("b.km").alias("km"))
         settled = done if settled is None else settled.unionByName(done)
-        open_points = best.where(~sure).select("id", "lat", "lon")
-        if not open_points.limit(1).count():
+        points = best.where(~sure).select("id", "lat", "lon")
+        if last or points.isEmpty():
             return settled
-        cell *= 2 if cell < 8 else 46
+        km *= 2
 
 
 def within_km(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
-    """id, site_id, km of all pairs at most ``km`` apart: an equi-join on cells of that height, then the distance."""
-    height = km / 111.0
-    row = lambda c: F.floor(c / F.lit(height)).cast("long")
-    at = points.select("id", "lat", "lon", F.explode(F.sequence(row(F.col("lat")) - 1, row(F.col("lat")) + 1)).alias("_row"))
-    place = sites.select("site_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), row(F.col("lat")).alias("_row"))
-    d = haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
-    return at.join(place, "_row").withColumn("km", d).where(F.col("km") <= km).select("id", "site_id", "km")
+    """id, site_id, km of all pairs at most ``km`` apart: an equi-join on cells of that size, then the distance."""
+    return _candidates(points, sites, km).where(F.col("km") <= km).select("id", "site_id", "km")
+
+
+def nearest_ring(points: DataFrame, polygons: DataFrame, key: str = "poly_id", rings: str = "rings", cell: float = 1.0) -> DataFrame:
+    """id, key, km: the polygon with the ring whose vertices' mean is nearest to a point (id, lat, lon)."""
+    centres = ring_centroids(polygons, key, rings).select(F.struct(key, "ring").alias("site_id"), "lat", "lon")
+    return nearest(points, centres, cell).select("id", F.col(f"site_id.{key}").alias(key), "km")
 
 
 def corridor_points(lines: DataFrame, step_m: float = 350.0) -> DataFrame:

@@ -21,7 +21,7 @@ def projects(raw: DataFrame) -> DataFrame:
     there = normalise.in_bbox(lat, lon)
     day = lambda c: normalise.iso_date_of(F.col(c)).try_cast("date")
     return r.where(normalise.is_flood_control(category, F.col("title"))).select(
-        normalise.id_of(F.col("project_id")).alias("project_id"), "title", normalise.amount_of(F.col("contract_amount")).alias("contract_amount"), normalise.status_of(F.col("status")).alias("status"),
+        normalise.record_id(r, "project_id").alias("project_id"), "title", normalise.amount_of(F.col("contract_amount")).alias("contract_amount"), normalise.status_of(F.col("status")).alias("status"),
         normalise.flood_type(F.col("title"), category).alias("project_type"), F.when(there, lat).alias("latitude"), F.when(there, lon).alias("longitude"), normalise.confidence_of(lat, lon).alias("confidence"),
         "region", "province", day("completion_date").alias("completion_date"), day("start_date").alias("start_date"), normalise.year_of(F.col("infra_year")).alias("infra_year"),
     ).where("project_id is not null")
@@ -60,6 +60,17 @@ def with_findings(fact: DataFrame, findings: DataFrame, least: float = 0.6) -> D
     return fact.join(first, "project_id", "left")
 
 
+def with_satellite(fact: DataFrame, cache: DataFrame) -> DataFrame:
+    """``fact`` with satellite_checked and built_change_signal of the cache (id, satellite_checked, built_change_signal); an empty cache leaves all unchecked."""
+    seen = cache.select(F.col("id").alias("project_id"), F.col("satellite_checked").alias("_checked"), "built_change_signal")
+    return fact.join(seen, "project_id", "left").withColumn("satellite_checked", F.coalesce("_checked", F.lit(False))).drop("_checked").select(*fact.columns, "satellite_checked", "built_change_signal")
+
+
+def totals(fact: DataFrame) -> DataFrame:
+    """One row: projects, their allocation, and those that no province was found for."""
+    return fact.agg(F.count("*").alias("n_projects"), F.coalesce(F.sum("contract_amount"), F.lit(0.0)).alias("allocation"), rollups.count_where(F.col("idx").isNull()).alias("n_unresolved"))
+
+
 def by_province(fact: DataFrame) -> DataFrame:
     """Unresolved records are in no province, but in the other roll-ups."""
     amount = F.coalesce("contract_amount", F.lit(0.0))

@@ -89,7 +89,7 @@ def q_within_km(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT o_orderkey AS id, 120 + (o_orderkey % 97) / 100.0 AS lon1, 14 + (o_orderkey % 89) / 100.0 AS lat1, 120.5 + (o_orderkey % 53) / 100.0 AS lon2, 14.2 + (o_orderkey % 71) / 100.0 AS lat2 FROM orders WHERE o_orderstatus = 'P'),
+WITH l AS (SELECT o_orderkey AS id, 120 + (o_orderkey % 97) / 100.0 AS lon1, 14 + (o_orderkey % 89) / 100.0 AS lat1, 120.5 + (o_orderkey % 53) / 100.0 AS lon2, 14.2 + (o_orderkey % 71) / 100.0 AS lat2 FROM orders),
 k AS (SELECT *, 12742.0176 * asin(sqrt(least(1.0, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))) AS km FROM l),
 n AS (SELECT *, CAST(least(120, greatest(2, ceil(km * 1000 / 350))) AS INTEGER) AS n FROM k), p AS (SELECT id, n, unnest(range(0, n + 1)) AS i, lon1, lat1, lon2, lat2 FROM n)
 SELECT id, count(*) AS n_points, round(max(lon1 + (lon2 - lon1) * (i / n)), 6) AS max_lon, round(sum(lat1 + (lat2 - lat1) * (i / n)), 4) AS sum_lat FROM p GROUP BY id
@@ -97,22 +97,30 @@ SELECT id, count(*) AS n_points, round(max(lon1 + (lon2 - lon1) * (i / n)), 6) A
 def q_corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evenly spaced points of corridors."""
     k = F.col("o_orderkey")
-    lines = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(k.alias("id"), (120 + (k % 97) / 100.0).alias("lon1"), (14 + (k % 89) / 100.0).alias("lat1"), (120.5 + (k % 53) / 100.0).alias("lon2"), (14.2 + (k % 71) / 100.0).alias("lat2"))
+    lines = table(spark, sf_dir, "orders").select(k.alias("id"), (120 + (k % 97) / 100.0).alias("lon1"), (14 + (k % 89) / 100.0).alias("lat1"), (120.5 + (k % 53) / 100.0).alias("lon2"), (14.2 + (k % 71) / 100.0).alias("lat2"))
     return spatial.corridor_points(lines).groupBy("id").agg(F.count("*").alias("n_points"), F.round(F.max("lon"), 6).alias("max_lon"), F.round(F.sum("lat"), 4).alias("sum_lat"))
 
 
 @query(f"""{_KNN_SQL}, e AS (SELECT id % 100 AS grp, km, site_id / 25.0 AS score FROM d), b AS (SELECT id, min(km) AS km FROM d GROUP BY id)
 SELECT d.id % 100 AS grp, round(max(d.site_id / 25.0), 6) AS score, round(min(d.km), 6) AS km FROM d JOIN b ON d.id = b.id AND d.km = b.km GROUP BY 1""")
 def q_corridor_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best score and distance along several points."""
+    """Best score and distance along several points."""
     near = spatial.nearest(_customers(spark, sf_dir), _sites(spark, sf_dir), cell=1.0)
     best = spatial.best_along(near.select((F.col("id") % 100).alias("id"), F.col("id").alias("i"), (F.col("site_id") / 25.0).alias("score"), "km"))
     return best.select(F.col("id").alias("grp"), F.round("score", 6).alias("score"), F.round("km", 6).alias("km"))
 
 
-@query()
+_SCALED = ", ".join(f"({i}, {117 + a / 10}, {5 + b / 3}, {117 + c / 10}, {5 + d / 3})" for i, rs in _POLYGONS for r in rs for (a, b), (c, d) in zip(r, r[1:] + r[:1]))
+
+
+@query(f"""{_KNN_SQL}, e(poly_id, x1, y1, x2, y2) AS (VALUES {_SCALED}), b AS (SELECT id, arg_min(site_id, km * 1000000 + site_id / 1e6) / 25.0 AS score, min(km) AS km FROM d GROUP BY id),
+i AS (SELECT DISTINCT id FROM (SELECT id, poly_id FROM c JOIN e ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)),
+n AS (SELECT id, min(12742.0176 * asin(sqrt(least(1.0, pow(sin(radians(y1 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y1)) * pow(sin(radians(x1 - lon) / 2), 2))))) AS edge FROM c, e GROUP BY id),
+t AS (SELECT b.id, round(score, 6) AS score, km, CASE WHEN km > 2.5 THEN 'clear' WHEN score >= 0.6 THEN 'intersects' ELSE 'near' END AS recurrence,
+  CASE WHEN i.id IS NOT NULL OR edge <= 0.05 THEN 'intersects' WHEN edge <= 1 THEN 'near' ELSE 'clear' END AS recorded FROM b JOIN n ON b.id = n.id LEFT JOIN i ON i.id = b.id)
+SELECT *, CASE WHEN recurrence <> 'clear' AND recorded <> 'intersects' THEN 'modelled_not_recorded' WHEN recurrence <> 'clear' THEN 'modelled_and_recorded' WHEN recorded = 'intersects' THEN 'recorded_not_modelled' ELSE 'neither' END AS outcome FROM t""")
 def q_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers held against the same points; tested on a small fixture."""
+    """Layers held against the same points."""
     points = _customers(spark, sf_dir).withColumn("i", F.lit(0))
     samples = _sites(spark, sf_dir).withColumn("score", F.col("site_id") / 25.0)
     scaled = _polygons(spark).withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((117 + p["x"] / 10).alias("x"), (5 + p["y"] / 3).alias("y")))))
@@ -124,13 +132,12 @@ def q_road_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of roads in the water; tested on a small fixture."""
     k = F.col("o_orderkey")
     ends = F.array(*[F.struct((121 + (k % a) / 1000).alias("x"), (14.5 + (k % b) / 1000).alias("y")) for a, b in ((97, 89), (71, 53), (41, 61))])
-    lines = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(k.alias("osm_id"), F.lit("trunk").alias("highway"), F.lit("").alias("ref"), F.when(k % 2 == 0, "SLEX").otherwise("Coastal Road").alias("name"), ends.alias("coords"))
+    lines = table(spark, sf_dir, "orders").select(k.alias("osm_id"), F.lit("trunk").alias("highway"), F.lit("").alias("ref"), F.when(k % 2 == 0, "SLEX").otherwise("Coastal Road").alias("name"), ends.alias("coords"))
     water = _polygons(spark).withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((284000 + p["x"] * 100).alias("x"), (1604000 + p["y"] * 200).alias("y")))))
     return roads.exposure(lines, spatial.edges(water), True)
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, round(max(12742.0176 * asin(sqrt(pow(sin(radians(1.0) / 2), 2)))), 6) AS degree_km FROM region")
+@query("SELECT c_custkey AS id, round(12742.0176 * asin(sqrt(least(1.0, pow(sin(radians(14.6 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(14.6)) * pow(sin(radians(121.0 - lon) / 2), 2)))), 6) AS km FROM (SELECT c_custkey, 5 + (c_custkey * 7919 % 16000) / 1000.0 AS lat, 117 + (c_custkey * 104729 % 9500) / 1000.0 AS lon FROM customer)")
 def q_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One degree of latitude."""
-    one = haversine_km(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0))
-    return table(spark, sf_dir, "region").agg(F.count("*").alias("n"), F.round(F.max(one), 6).alias("degree_km"))
+    """The way from each place to one other."""
+    return _customers(spark, sf_dir).select("id", F.round(haversine_km(F.col("lat"), F.col("lon"), F.lit(14.6), F.lit(121.0)), 6).alias("km"))

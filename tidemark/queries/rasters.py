@@ -34,7 +34,7 @@ WITH m AS (SELECT user_id, median(value) FILTER (WHERE ts < TIMESTAMP '2024-01-1
 SELECT user_id, round(b - a, 6) AS delta, CASE WHEN b - a >= 3 THEN 'strong' WHEN b - a >= 1.5 THEN 'weak' ELSE 'none' END AS signal FROM m
 """)
 def q_median_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians before and after, and the class of the change."""
+    """Medians before and after, and the class of the change."""
     early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
     m = table(spark, sf_dir, "events").groupBy("user_id").agg(F.median(F.when(early, F.col("value"))).alias("a"), F.median(F.when(~early, F.col("value"))).alias("b"))
     return m.select("user_id", F.round(F.col("b") - F.col("a"), 6).alias("delta"), bands.change_signal(F.col("b") - F.col("a")).alias("signal"))
@@ -62,27 +62,29 @@ def q_rolling_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) / 150 AS coverage FROM events GROUP BY ALL),
+WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM events) AS coverage FROM events GROUP BY ALL),
 g AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, event_type) AS rn FROM d)
 SELECT day, event_type, n, round(coverage, 6) AS coverage FROM g WHERE rn = 1 AND coverage >= 0.2 ORDER BY day DESC LIMIT 1
 """)
 def q_latest_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest day whose dominant group covers enough."""
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    d = e.groupBy("day", "event_type").agg(F.count("*").alias("n"), (F.countDistinct("user_id") / 150).alias("coverage"))
+    whole = F.broadcast(e.agg(F.countDistinct("user_id").alias("all")))  # one row
+    d = e.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("own")).join(whole, F.lit(True)).withColumn("coverage", F.col("own") / F.col("all"))
     lead = ranking.top_of_each(d, ["day"], [F.desc("n"), F.col("event_type")])
     return ranking.newest_where(lead, F.col("coverage") >= 0.2, "day").select("day", "event_type", "n", F.round("coverage", 6).alias("coverage"))
 
 
 @query("""
-WITH d AS (SELECT CAST(ts AS DATE) AS day, -30 + avg(value) AS thr, sum(value) AS area, count(DISTINCT user_id) / 150 AS cov FROM events GROUP BY 1),
+WITH d AS (SELECT CAST(ts AS DATE) AS day, -30 + avg(value) AS thr, sum(value) AS area, count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM events) AS cov FROM events GROUP BY 1),
 s AS (SELECT day, CASE WHEN cov < 0.55 THEN 'no_usable_pass' WHEN thr <= -24 + 1e-6 OR thr >= -14 - 1e-6 THEN 'degenerate_threshold' WHEN area > 4000 THEN 'low_confidence' ELSE 'ok' END AS scan_status FROM d)
 SELECT s.day, scan_status, count(e.event_id) AS n_features FROM s LEFT JOIN events e ON CAST(e.ts AS DATE) = s.day AND scan_status = 'ok' GROUP BY ALL
 """)
 def q_status_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A status for each layer; what isn't ok publishes no features."""
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    d = e.groupBy("day").agg((F.avg("value") - 30).alias("thr"), F.sum("value").alias("area"), (F.countDistinct("user_id") / 150).alias("cov"))
+    whole = F.broadcast(e.agg(F.countDistinct("user_id").alias("all")))  # one row
+    d = e.groupBy("day").agg((F.avg("value") - 30).alias("thr"), F.sum("value").alias("area"), F.countDistinct("user_id").alias("own")).join(whole, F.lit(True)).withColumn("cov", F.col("own") / F.col("all"))
     status = d.select("day", gates.status_of_layer("extent", F.col("thr"), F.col("area"), F.col("cov"))[1])
     shown = gates.publishable(e, status, ["day"]).groupBy("day").agg(F.count("*").alias("n"))
     return status.join(shown, "day", "left").select("day", "scan_status", F.coalesce("n", F.lit(0)).alias("n_features"))
@@ -140,7 +142,7 @@ WITH s AS (SELECT count(*) FILTER (WHERE a AND b) AS i, count(*) FILTER (WHERE a
 SELECT round(i / greatest(u, 1), 6) AS iou, round(i / greatest(p, 1), 6) AS precision, round(i / greatest(g, 1), 6) AS recall, round(2 * (i / greatest(p, 1)) * (i / greatest(g, 1)) / (i / greatest(p, 1) + i / greatest(g, 1)), 6) AS f1 FROM s
 """)
 def q_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of two masks."""
+    """Overlap of two masks."""
     return raster.overlap(table(spark, sf_dir, "lineitem"), F.col("l_discount") > 0.05, F.col("l_quantity") > 24)
 
 

@@ -100,11 +100,11 @@ def q_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains({normalise.KEY_STOPWORDS!r}, w)), '_') AS key
-FROM documents WHERE lang = 'en'
+FROM documents
 """)
 def q_desc_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """description keys of whole texts."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", normalise.description_key(F.col("text")).alias("key"))
 
 
@@ -160,7 +160,7 @@ def q_pre_post_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text),'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM documents
+SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM documents
 """)
 def q_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """whole texts without case, marks and punctuation."""

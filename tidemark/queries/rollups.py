@@ -96,7 +96,7 @@ SELECT event_type, count(*) FILTER (WHERE value >= 60) AS red, count(*) FILTER (
        round(sum(CASE WHEN value >= 60 THEN value ELSE 0 END), 3)::DOUBLE AS red_km FROM events GROUP BY event_type
 """)
 def q_pivot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of classes as columns."""
+    """Counts of classes as columns."""
     e = table(spark, sf_dir, "events").withColumn("cls", bands.rain_band(F.col("value"), (10.0, 30.0, 60.0)))
     return rollups.pivot_counts(e, "event_type", "cls", ["red", "orange", "yellow", "none"], [F.round(rollups.sum_where(F.col("value") >= 60, F.col("value")), 3).alias("red_km")])
 
@@ -144,7 +144,7 @@ WITH u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT user_id, row_numbe
 SELECT user_id, CASE WHEN rn <= round(n * 0.3) THEN 'holdout' ELSE 'train' END AS grp FROM r
 """)
 def q_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole ids held out in hash order, disjoint by construction."""
+    """Whole ids held out in hash order, disjoint by construction."""
     return ranking.split_ids(table(spark, sf_dir, "events"), "user_id", 0.3, "42")
 
 
@@ -202,14 +202,16 @@ UNION ALL SELECT 'status_known', 'fail', count(*) FILTER (WHERE o_orderstatus NO
 UNION ALL SELECT 'fresh', 'warn', count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1995-06-01'), count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1995-06-01') = 0 FROM orders
 """)
 def q_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules in one pass."""
+    """All rules in one pass."""
     rules = [("amount_positive", "fail", F.col("o_totalprice") <= 0), ("status_known", "fail", ~F.col("o_orderstatus").isin("F", "O")), ("fresh", "warn", F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp_ntz"))]
     return gates.check(table(spark, sf_dir, "orders"), rules)
 
 
-@query("SELECT lower(trim(n_name)) AS name, r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE lower(trim(upper(n_name))) = lower(trim(n_name))")
+@query("SELECT n_name, count(*) AS n_suppliers, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def q_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names joined whatever their case and blanks."""
-    n = table(spark, sf_dir, "nation").select(F.lower(F.trim("n_name")).alias("name"), "n_nationkey", "n_regionkey")
-    other = table(spark, sf_dir, "nation").select(F.lower(F.trim(F.upper("n_name"))).alias("name"))
-    return n.join(other, "name", "left_semi").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("name", "r_name", "n_nationkey")
+    """Names of records joined with a list of names, whatever their case and blanks."""
+    t = lambda n: table(spark, sf_dir, n)
+    k, name = F.col("s_suppkey"), F.col("n_name")
+    written = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.when(k % 3 == 0, F.upper(name)).when(k % 3 == 1, F.concat(F.lit("  "), F.lower(name))).otherwise(F.concat(F.initcap(name), F.lit(" "))).alias("written"))
+    listed = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", F.lower(F.trim("n_name")).alias("key"))
+    return written.select(F.lower(F.trim("written")).alias("key")).join(listed, "key").groupBy("n_name", "r_name").agg(F.count("*").alias("n_suppliers"))
