@@ -1,3 +1,5 @@
+import duckdb
+
 from tidemark.llm import licenses
 
 ROWS = [
@@ -28,3 +30,23 @@ def test_mpl_notice_is_one_block(spark):
     rows = [(1, notice), (2, notice.replace("v. 2.0", "v. Two")), (3, notice.replace("v. 2.0", "\n\n2.0"))]
     out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"]: (r["labels"], r["score"]) for r in out.collect()} == {1: ("mpl-2", 1.0), 2: ("", 0.0), 3: ("", 0.0)}
+
+
+def test_notices_and_the_sql(spark):
+    notices = [
+        ("mit", "Released under the MIT License."), ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"),
+        ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\");"), ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
+        ("gpl", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3"), ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+        ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+        ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed"),
+    ]
+    rows = [*ROWS, *((100 + i, f"Some words before. {t}\n\nAnd after.") for i, (_, t) in enumerate(notices)), (200, "See v. 2 and V! 3. Under v.\n4 it ends."), (201, "v. 2 the terms"), (202, "rev. 2.0 x v.2 y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r)[:8] for r in licenses.scan(docs).collect()]
+    assert {r[0]: r[6] for r in got if r[0] is not None and 100 <= r[0] < 200} == {100 + i: label for i, (label, _) in enumerate(notices)}
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = con.sql(licenses.OP4_SQL).select(*names).fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr)

@@ -152,7 +152,7 @@ b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, l
 t AS (SELECT * FROM (VALUES {templates}) AS v(t, label, words)),
 k AS (
   SELECT r, list_distinct(regexp_extract_all(translate(block, '{UPPER}', '{LOWER}'), '{words}')) AS own
-  FROM (SELECT r, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), '\n[\x20\x09-\x0D]*\n', chr(1), 'g'), chr(1))) AS block FROM d)
+  FROM (SELECT r, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([^A-Za-z0-9][Vv])[.!?]([\x20\x09-\x0D]+[0-9])', '\1' || chr(2) || '\2', 'g'), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), '\n[\x20\x09-\x0D]*\n', chr(1), 'g'), chr(1))) AS block FROM d)
 ),
 m AS (SELECT r, label, len(list_intersect(own, words)) / len(words) AS score FROM k, t WHERE len(list_intersect(own, words)) >= ceil({THRESHOLD} * len(words) - 1e-9)),
 f AS (SELECT r, list(DISTINCT label) AS found, max(score) AS score FROM m GROUP BY r)
