@@ -5,20 +5,33 @@ from pyspark.sql import functions as F
 from tidemark.llm import vector_topk
 
 
-def test_against_brute_force_with_hot_and_odd_vectors(spark):
+def brute(rows, k=5):
+    """Each query row against every other row."""
+    want = []
+    for at, (q, x) in enumerate(rows):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, v)), i) for n, (i, v) in enumerate(rows) if n != at and len(v) == len(x))
+            want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
+    return sorted(want)
+
+
+def test_against_brute_force_with_hot_odd_and_repeated_vectors(spark):
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(400)]
     rows += [(i, [0.25] * 6) for i in range(400, 600)] + [(700, None), (750, [0.1, None, 0.1, 0.1, 0.1, 0.1]), (800, [float("nan")] * 6), (850, [float("inf")] * 6), (None, [0.1] * 6), (900, [0.5, 0.5]), (901, [0.1, 0.9]), (950, [])]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, cell int")
+    rows += [(1000, [90.0] * 6), (1000, [-90.0] * 6), (1000, [1e6, 1.0, 1.0, 1.0, 1.0, 1.0])] + [(50, rows[50][1])] * 6 + [(7, rows[50][1])] * 2 + [(50, rows[3][1]), (450, [0.25] * 6), (100, [0.25] * 6)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, cell int").repartition(3)
     vectors = vector_topk.quantized(df, "vec_id", "embedding")
-    whole = {r["id"]: r["v"] for r in vectors.collect()}
-    assert not {700, 750, 800, 850} & set(whole)
-    want = set()
-    for q in (q for q in whole if q % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
-        want |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])}
-    got = vector_topk.top_k_inner(vectors, F.col("id") % 50 == 0, 5)
-    assert {tuple(r) for r in got.collect()} == want
+    whole = [(r["id"], r["v"]) for r in vectors.collect()]
+    assert not {700, 750, 800, 850} & {i for i, _ in whole}
+    assert sorted(map(tuple, vector_topk.top_k_inner(vectors, F.col("id") % 50 == 0, 5).collect())) == brute(whole)
+
+
+def test_one_id_in_seven_rows(spark):
+    rows = [(50, [1.0, 0.0])] * 7 + [(51, [1.0, 0.5]), (52, [0.5, 0.5]), (53, [1.0, 0.0])]
+    vectors = vector_topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    got = sorted(map(tuple, vector_topk.top_k_inner(vectors, F.col("id") % 50 == 0, 5).collect()))
+    assert got == brute([(i, [int(256 * x) for x in v]) for i, v in rows]) and len(got) == 35
 
 
 def test_empty_table(spark):

@@ -1,14 +1,18 @@
 """Exact top-k search by a Voronoi kNN join.
 
-Vectors are grouped by their nearest pivot. Summaries of the groups (rows and radius for each ring of a cell) give
-every query a score that its best k neighbours surely reach, and every (query group, cell) the smallest distance from
-the cell's pivot at which a row can still matter. Only such rows are copied to the query group; the group is solved
-in bounded chunks by matrix products, and the chunks' best rows are merged.
+Vectors are grouped by their nearest pivot; pivots are rows, and there are more of them in larger tables. Summaries of the
+groups (rows and radius for each ring of a cell) and the pivots' own scores give every query a score that its best k
+neighbours surely reach, and every (query group, cell) the smallest distance from the cell's pivot at which a row can
+still matter. Only such rows are copied to the query group; the group is solved in bounded chunks by matrix products,
+and the chunks' best rows are merged. Vectors travel packed in the smallest integer type that holds a batch.
 
 With integer components and inner product as score: q.x <= q.p + |q||x - p| for the pivot p of x's cell.
 
-Equal vectors are pre-aggregated: ties go to the smaller id, so of equal vectors only the k + 1 smallest ids can
-appear in any answer, and equal queries are solved once.
+Rows that are equal in vector and id are one row with a count. Ties go to the smaller id, so of equal vectors only the
+k + 1 smallest ids can appear in any answer, and equal queries are solved once.
+
+A query's own row takes no part in its answer, once; other rows of the same id do. If an id is repeated, each of its rows
+is a query with an answer of its own.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null id, take no part;
 vectors are compared with those of their own length only; an empty table gives no rows.
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
 
-PIVOTS, RINGS, QUERY_BLOCK, CHUNK = 16, 8, 512, 4096
+LEAST_PIVOTS, MOST_PIVOTS, QUERY_BLOCK, CHUNK, SCORES = 16, 256, 2048, 16_384, 1 << 22
 
 
 def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
@@ -35,11 +39,22 @@ def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) ->
     return df.where(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
-def _matrix(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """Vectors of a list column, and their lengths."""
+def _matrix(column: pa.Array) -> list[np.ndarray]:
+    """Vectors of a list column."""
     starts = column.offsets.to_numpy()
     flat = column.values.to_numpy(zero_copy_only=False).astype(np.int64)
-    return [flat[a:b] for a, b in zip(starts, starts[1:])], np.diff(starts)
+    return [flat[a:b] for a, b in zip(starts, starts[1:])]
+
+
+def _packed(vectors: list[np.ndarray]) -> pa.Array:
+    """Each vector in the bytes of the smallest integer type for all of them, after the bytes a component takes."""
+    most = max((int(np.abs(v).max()) for v in vectors if len(v)), default=0)
+    size = next(n for n in (1, 2, 4, 8) if most < 1 << (8 * n - 1))
+    return pa.array([bytes([size]) + v.astype(f"i{size}").tobytes() for v in vectors], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=f"i{x[0]}", offset=1).astype(np.int64) for x in column.to_pylist()]
 
 
 def _near(vectors: list[np.ndarray], pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,86 +74,105 @@ def _near(vectors: list[np.ndarray], pivots: list[np.ndarray]) -> tuple[np.ndarr
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products of integer rows."""
     if q.size and x.size and int(np.abs(q).max()) * int(np.abs(x).max()) * q.shape[1] >= 1 << 53:
-        return q.astype(object) @ x.astype(object).T
+        return (q.astype(object) @ x.astype(object).T).astype(np.int64)
     return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
 
 
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k highest scores of each row, ties to the smaller column."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        row, column = np.nonzero(scores >= least[:, None])
+    else:
+        row, column = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((column, -scores[row, column], row))
+    row, column = row[order], column[order]
+    begin = np.searchsorted(row, np.arange(len(scores)))
+    kept = np.arange(len(row)) - begin[row] < k
+    return row[kept], column[kept]
+
+
 def top_k_inner(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row of ``vectors`` (id, v) with ``is_query``."""
-    spark = vectors.sparkSession
     vectors = cut(vectors)
     first = Window.partitionBy("v").orderBy("id")
-    data = vectors.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= k + 1).drop("_rn")
+    data = vectors.groupBy("v", "id").agg(F.count("*").alias("n")).withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= k + 1).select("id", "v", F.least("n", F.lit(k + 1)).cast("int").alias("n"))
     members = vectors.where(is_query)
-    asked = members.groupBy("v").agg(F.min("id").alias("query"))
+    # equal ids may stand for several vectors, so a query is known by its vector's number
+    asked = cut(members.select("v").distinct().select(F.monotonically_increasing_id().alias("query"), "v"))
 
-    pivots = [np.array(r["v"], dtype=np.int64) for r in data.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").collect()]
+    most = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(vectors.count()) // 4))
+    pivots = [np.array(r["v"], dtype=np.int64) for r in data.orderBy(F.xxhash64("id", "v"), "id", "v").limit(most).select("v").collect()]
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, _ = _matrix(b.column("v"))
+            rows = _matrix(b.column("v"))
             cell, far = _near(rows, pivots)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(far), b.column(0), b.column("v")], ["cell", "far", "id", "v"])
+            ring = np.floor(2 * np.log2(far + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(far), pa.array(ring), b.column("id"), _packed(rows), b.column("n")], ["cell", "far", "ring", "id", "v", "n"])
 
-    cells = cut(data.select("id", "v").mapInArrow(to_cells, "cell int, far double, id long, v array<long>"))
-    widest = {r["cell"]: r["far"] for r in cells.groupBy("cell").agg(F.max("far").alias("far")).collect()}
-    ring = F.lit(0)
-    for c, far in widest.items():
-        ring = F.when(F.col("cell") == c, F.least(F.lit(RINGS - 1), F.floor(F.col("far") / F.lit(max(far, 1e-9) / RINGS)))).otherwise(ring)
-    rings = [(r["cell"], r["far"], r["n"]) for r in cells.groupBy("cell", ring.alias("ring")).agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()]
+    cells = cut(data.mapInArrow(to_cells, "cell int, far double, ring int, id long, v binary, n int"))
+    rings = [(r["cell"], r["far"], r["rows"]) for r in cells.groupBy("cell", "ring").agg(F.max("far").alias("far"), F.count("*").alias("rows")).collect()]
+    used = sorted({c for c, _, _ in rings if c >= 0})
 
     def to_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query with its group, the nearest pivot, and for each cell the least distance at which a row matters."""
         for b in batches:
-            rows, _ = _matrix(b.column("v"))
+            rows = _matrix(b.column("v"))
             group, _ = _near(rows, pivots)
             need = []
             for q in rows:
-                size = float(np.sqrt((q.astype(np.float64) ** 2).sum()))
-                dot = {c: float(q.astype(np.float64) @ pivots[c].astype(np.float64)) for c, _, _ in rings if c >= 0 and len(pivots[c]) == len(q)}
-                sure, floor = 0, -math.inf
+                q_ = q.astype(np.float64)
+                size = float(np.sqrt((q_**2).sum()))
+                dot = {c: float(q_ @ pivots[c].astype(np.float64)) for c in used if len(pivots[c]) == len(q)}
+                scored = sorted((float(q_ @ p.astype(np.float64)) for p in pivots if len(p) == len(q)), reverse=True)
+                sure, floor = 0, scored[k] if len(scored) > k else -math.inf
                 for low, n in sorted(((dot[c] - size * far, n) for c, far, n in rings if c in dot), reverse=True):
                     sure += n
                     if sure > k:
-                        floor = low
+                        floor = max(floor, low)
                         break
                 slack = 1e-9 * (abs(floor) + size * size) + 1e-6 if floor > -math.inf else 0.0
                 need.append([{"cell": c, "least": -1.0 if floor == -math.inf or not size else (floor - slack - x) / size} for c, x in dot.items()] + [{"cell": -1, "least": -1.0}])
-            yield pa.RecordBatch.from_arrays([pa.array(group), b.column(0), b.column("v"), pa.array(need, pa.list_(pa.struct([("cell", pa.int32()), ("least", pa.float64())])))], ["grp", "query", "v", "need"])
-
-    queries = cut(asked.select("query", "v").mapInArrow(to_groups, "grp int, query long, v array<long>, need array<struct<cell:int,least:double>>"))
-    sizes = {r["grp"]: r["n"] for r in queries.groupBy("grp").agg(F.count("*").alias("n")).collect()}
-    parts = F.lit(1)
-    for g, n in sizes.items():
-        parts = F.when(F.col("grp") == g, math.ceil(n / QUERY_BLOCK)).otherwise(parts)
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("query"), parts).cast("int"))
+            yield pa.RecordBatch.from_arrays([pa.array(group), b.column(0), _packed(rows), pa.array(need, pa.list_(pa.struct([("cell", pa.int32()), ("least", pa.float64())])))], ["grp", "query", "v", "need"])
+
+    queries = cut(asked.select("query", "v").mapInArrow(to_groups, "grp int, query long, v binary, need array<struct<cell:int,least:double>>"))
+    sizes = queries.groupBy("grp").agg(F.count("*").alias("n")).collect()
+    parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["grp"], math.ceil(r["n"] / QUERY_BLOCK))]), F.col("grp")), F.lit(1)) if sizes else F.lit(1)
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("v"), parts).cast("int"))
     needs = queries.select(F.col("grp").alias("to_grp"), F.col("part").alias("to_part"), F.explode("need").alias("need")).groupBy("to_grp", "to_part", F.col("need.cell").alias("to_cell")).agg(F.min("need.least").alias("least"))
     chunks = max(1, math.ceil(sum(n for _, _, n in rings) / CHUNK))
-    copies = cells.join(needs, (F.col("cell") == F.col("to_cell")) & (F.col("far") >= F.col("least"))).select("to_grp", "to_part", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", "v")
+    copies = cells.join(needs, (F.col("cell") == F.col("to_cell")) & (F.col("far") >= F.col("least"))).select("to_grp", "to_part", F.pmod(F.xxhash64("id", "v"), F.lit(chunks)).cast("int").alias("chunk"), "id", "v", "n")
     spread = queries.select("grp", "part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.col("query").alias("id"), "v")
 
     def solve(asking: pa.Table, having: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
         if asking.num_rows and having.num_rows:
             having = having.sort_by("id")
-            qs, qn = _matrix(asking.column("v").combine_chunks())
-            xs, xn = _matrix(having.column("v").combine_chunks())
-            qid, xid = asking.column("id").to_numpy(), having.column("id").to_numpy()
+            qs, xs = _unpacked(asking.column("v")), _unpacked(having.column("v"))
+            qn, xn = (np.array([len(v) for v in vectors]) for vectors in (qs, xs))
+            qid, xid, times = asking.column("id").to_numpy(), having.column("id").to_numpy(), having.column("n").to_numpy()
             for d in set(qn.tolist()) & set(xn.tolist()):
-                qi, xi = np.flatnonzero(qn == d), np.flatnonzero(xn == d)
-                scores = _products(np.array([qs[i] for i in qi]).reshape(len(qi), d), np.array([xs[i] for i in xi]).reshape(len(xi), d))
-                best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-                out[0] += np.repeat(qid[qi], best.shape[1]).tolist()
-                out[1] += xid[xi][best].ravel().tolist()
-                out[2] += np.take_along_axis(scores, best, axis=1).ravel().tolist()
-        return pa.table([pa.array(x, pa.int64()) for x in out], ["query", "vec_id", "score"])
-
-    part = spread.groupBy("grp", "part", "chunk").cogroup(copies.groupBy("to_grp", "to_part", "chunk")).applyInArrow(solve, "query long, vec_id long, score long")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+                xi = np.flatnonzero(xn == d)
+                x = np.array([xs[i] for i in xi]).reshape(len(xi), d)
+                step = max(1, SCORES // len(xi))
+                every = np.flatnonzero(qn == d)
+                for qi in np.split(every, np.arange(step, len(every), step)):
+                    q = np.array([qs[i] for i in qi]).reshape(len(qi), d)
+                    scores = _products(q, x)
+                    row, column = _best(scores, k + 1)
+                    for to, found in zip(out, (qid[qi[row]], xid[xi[column]], scores[row, column], times[xi[column]], (q[row] == x[column]).all(axis=1))):
+                        to.append(found)
+        names, kinds = ("query", "vec_id", "score", "n", "twin"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        return pa.table([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, kinds)], names)
+
+    part = spread.groupBy("grp", "part", "chunk").cogroup(copies.groupBy("to_grp", "to_part", "chunk")).applyInArrow(solve, "query long, vec_id long, score long, n int, twin boolean")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "twin")
     merged = part.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k + 1)
-    answers = merged.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("_rn", "vec_id", "score"))).alias("best"))
+    answers = merged.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("_rn", "vec_id", "score", "n", "twin"))).alias("best"))
     own = members.select("v", F.col("id").alias("query_id")).join(asked, "v").select("query_id", "query")
-    kept = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    times = lambda x: x["n"] - F.when(x["twin"] & (x["vec_id"] == F.col("query_id")), 1).otherwise(0)
+    kept = F.slice(F.flatten(F.transform("best", lambda x: F.array_repeat(F.struct(x["vec_id"].alias("vec_id"), x["score"].alias("score")), times(x)))), 1, k)
     return (
         own.join(answers, "query")
         .select("query_id", F.posexplode(kept).alias("at", "hit"))
@@ -152,11 +186,11 @@ def op7_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
-  FROM v AS q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
+  SELECT q.row AS query_row, q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v AS q JOIN v ON v.row <> q.row WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rn FROM s)
 SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 5
 """
