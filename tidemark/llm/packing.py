@@ -3,8 +3,9 @@
 Documents are cut into pieces of at most ``max_len`` tokens. The global histogram of piece lengths, which has at most
 ``max_len`` rows whatever the corpus, goes to the driver, where a dynamic programme picks the bucket boundaries that
 minimise padding. Inside each bucket, pieces are dealt to batches of a fixed token budget by their exact global
-position, which is found in two steps (a count for each block of the key space, then a rank inside the block), so
-that a bucket with most of the rows never meets in one task.
+position, which is found in two steps (a count for each range of the order, then a rank inside the range). The order ends
+in a salt, so that neither a bucket with most of the rows nor a doc_id that most of them share meets in one task; pieces
+that only the salt tells apart are equal in all columns.
 
 Defined results: a null or empty text is one piece that holds the end token only; repeated rows are packed as often as
 they occur; a null doc_id sorts as the empty string; no documents give no pieces; other columns are ignored.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, cut, table
 
-MAX_LEN, BUCKETS, TOKEN_BUDGET = 2048, 8, 65536
+MAX_LEN, BUCKETS, TOKEN_BUDGET, RANGE_ROWS = 2048, 8, 65536, 100_000
 
 
 def word_tokens(text: Column) -> Column:
@@ -74,27 +75,27 @@ def pack(docs: DataFrame, n_tokens: Column, max_len: int = MAX_LEN, buckets: int
     """
     if token_budget < max_len:
         raise ValueError("a batch must hold a piece of max_len tokens")
-    cutted = cut(pieces(docs, n_tokens, max_len))
+    cutted = cut(pieces(docs, n_tokens, max_len).withColumn("_salt", F.xxhash64(F.monotonically_increasing_id())))
     histogram = sorted((r["n_tokens"], r["count"]) for r in cutted.groupBy("n_tokens").count().collect())
     total = sum(n for _, n in histogram)
     upper = boundaries([x for x, _ in histogram], [n for _, n in histogram], buckets)
-    blocks = max(1, math.isqrt(total) // 4)
+    ranges = max(1, math.ceil(total / RANGE_ROWS))
     bucket, padded = F.lit(len(upper) - 1), F.lit(upper[-1] if upper else max_len).cast("long")
     for i in range(len(upper) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= upper[i], i).otherwise(bucket)
         padded = F.when(F.col("n_tokens") <= upper[i], F.lit(upper[i]).cast("long")).otherwise(padded)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    placed = cutted.select(
-        "*", bucket.cast("int").alias("bucket"), padded.alias("padded_len"), key.alias("_key"),
-        F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.lit(blocks) / F.lit(float(1 << 32))).alias("_block"),
-    )
-    sizes = placed.groupBy("bucket", "_block").agg(F.count("*").alias("_n"))
-    before = sizes.select("bucket", "_block", (F.sum("_n").over(Window.partitionBy("bucket").orderBy("_block")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "_block").orderBy("_key", "doc_id", "piece", "n_tokens"))
+    order = ["_key", "doc_id", "piece", "n_tokens", "_salt"]
+    placed = cutted.select("*", bucket.cast("int").alias("bucket"), padded.alias("padded_len"), key.alias("_key"))
+    # written, so that the ranges, which Spark takes from a sample, stay the same in all that follows
+    ranged = cut(placed.repartitionByRange(ranges, "bucket", *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("bucket", "_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("bucket", "_range", (F.sum("_n").over(Window.partitionBy("bucket").orderBy("_range")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("bucket", "_range").orderBy(*order))
     position, room = F.col("_before") + F.col("_rank") - 1, F.floor(F.lit(token_budget) / F.col("padded_len"))
     return (
-        placed.withColumn("_rank", rank)
-        .join(before, ["bucket", "_block"])
+        ranged.withColumn("_rank", rank)
+        .join(before, ["bucket", "_range"])
         .select("doc_id", "piece", "start_token", "n_tokens", "bucket", "padded_len", F.floor(position / room).alias("batch"), (position % room).alias("slot"))
     )
 
