@@ -7,7 +7,8 @@ most confident, and they join the other view's training rows. At last both views
 labelled rows that neither has been trained on, with the classes weighted to their share of all labels.
 
 The fit is on bounded samples, taken by a hash of doc_id whatever the size of the table: ``most`` labelled documents
-of each class and ``pool`` unlabelled ones. The scores are of all documents.
+of each class and ``pool`` unlabelled ones; of several rows of one doc_id the smallest by text is learnt from. The scores
+are of all documents.
 
 Defined results: a null or empty text is scored as a text without trigrams; null source or language are values of
 their own; several labels of one document count as the smallest; without labels of both classes every document gets
@@ -149,7 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, pool: int = POOL)
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("y = 0").orderBy(*by_hash).limit(most).unionByName(known.where("y = 1").orderBy(*by_hash).limit(most))
     free = columns.where("doc_id is not null").select("doc_id").join(known, "doc_id", "left_anti").orderBy(*by_hash).limit(pool).select("doc_id", F.lit(-1).alias("y"))
-    picked = columns.join(F.broadcast(chosen.unionByName(free).dropDuplicates(["doc_id"])), "doc_id")
+    wanted = F.broadcast(chosen.unionByName(free).dropDuplicates(["doc_id"]))  # 2 most + pool rows
+    one = columns.join(wanted, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("row"))
+    picked = one.select("doc_id", "y", "row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
