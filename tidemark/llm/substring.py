@@ -195,7 +195,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bloc
     heavy = heavy_minimisers(docs, window, seed, bucket_bytes, one_in)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(3 * total / bucket_bytes))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
     def send(key: tuple, docs: pa.Table) -> pa.Table:
         block = Block(docs, window, seed, buckets, heavy)
