@@ -8,8 +8,8 @@ training documents that the network has not seen.
 The labels are of documents, not of windows. Training therefore alternates: the window of a toxic document that looks
 most toxic (at first by the words' log odds, then by the network) stands for it, against the most suspicious and some
 other windows of clean documents. The sample for training is bounded by ``most`` documents and ``sample_bytes`` of text
-of each class, taken in the order of a hash of doc_id, whatever the number of labelled rows; statistics of the labels are
-of all rows.
+of each class, taken in the order of a hash of doc_id (a text that no longer fits is left out), whatever the number of
+labelled rows; of several rows of one doc_id the smallest text is learnt from. Statistics of the labels are of all rows.
 
 Inputs of a score are the text only. Defined results: a null or empty text is one window without words and gets a
 score; several labels of one document count as the largest; documents without a label are scored only; if there are
@@ -25,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import gru
 from tidemark.llm.common import is_held_out, table
 from tidemark.llm.gru import F32
 
-WINDOW, STRIDE = 24, 12
+WINDOW, STRIDE = 40, 32
 WORD_DIM, CHAR_ROWS, CHAR_DIM, WIDTH, ATTENTION = 12, 4096, 8, 12, 8
 MOST, EPOCHS, PASSES = 2000, 8, 3
 SLICE_BYTES, CHUNK, SAMPLE_BYTES = 4 << 20, 1024, 32 << 20
@@ -221,10 +221,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: Column, most:
         sample = []
         for c in (0, 1):
             chosen = known.where(~held_out).where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-            texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-            earlier = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-            texts = texts.withColumn("_before", F.coalesce(F.sum(F.octet_length("text")).over(earlier), F.lit(0))).where(F.col("_before") < sample_bytes)
-            sample += sorted((r["doc_id"], (r["text"] or "").encode(), c) for r in texts.collect())
+            texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+            left, ids = sample_bytes, []
+            for r in texts.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # ``most`` numbers
+                if r["size"] <= left:
+                    left, ids = left - r["size"], [*ids, r["doc_id"]]
+            sample += sorted((r["doc_id"], r["text"].encode(), c) for r in texts.where(F.col("doc_id").isin(ids)).collect())
         sample.sort(key=lambda r: hash(r[0] * 2654435761 % (1 << 32)))
         toxic = np.array([c for _, _, c in sample], dtype=np.int64)
         share = {c: sizes[c] / max(1, int((toxic == c).sum())) for c in (0, 1)}
