@@ -93,7 +93,7 @@ def test_language_model_against_one_word_at_a_time():
 def test_language_model_learns_from_every_training_document():
     assert math.isclose(sum(gru_lm.ROUNDS), 1) and len(gru_lm.ROUNDS) == len(gru_lm.RATES)
     assert np.concatenate(gru_lm.pieces(np.arange(10_001))).tolist() == list(range(10_001))
-    assert gru_lm.outputs_for(10**6) > gru_lm.outputs_for(10**4) and gru_lm.outputs_for(10**12) == gru_lm.MOST_OUTPUTS
+    assert gru_lm.outputs_for(10**8) > gru_lm.outputs_for(10**7) and gru_lm.outputs_for(10**12) == gru_lm.MOST_OUTPUTS
 
 
 def test_language_model_without_training_rows(spark):
@@ -131,6 +131,53 @@ def test_toxicity_held_out_accuracy_and_odd_rows(spark):
     assert toxicity.score_documents(docs, marks, is_held_out(0), sample_bytes=1).count() == 705
 
 
+def test_gradients_of_attention_embeddings_and_layers(monkeypatch):
+    seen = {}
+
+    class Recorder:
+        def __init__(self, weights, rate):
+            pass
+
+        def step(self, grads):
+            seen.update({k: np.array(g, dtype=float) for k, g in grads.items()})
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["abc", "abd", "xyz", "longer", "words!", "q"]) for _ in range(n)).encode() for n in (3, 12, 55, 1)]
+    words, net = toxicity.Words(texts), toxicity.Network([b"abc", b"xyz"])
+    grid, sizes, _ = words.windows()
+    y = np.array([i % 2 for i in range(len(grid))], dtype=np.float32)
+    monkeypatch.setattr(toxicity.gru, "Adam", Recorder)
+    net.learn(words, grid, sizes, y, 1, 0.1, 0)
+
+    def loss():
+        z, _ = net.logits(words)
+        return float(np.mean(np.log1p(np.exp(np.where(y == 1, -z, z)))))
+
+    assert set(seen) == set(net.w)
+    for k, g in seen.items():
+        for at in np.argsort(-np.abs(g).ravel())[:4]:
+            place, old = np.unravel_index(at, g.shape), net.w[k].ravel()[at]
+            both = []
+            for e in (2e-3, -2e-3):
+                net.w[k][place] = old + e
+                both.append(loss())
+            net.w[k][place] = old
+            assert abs((both[0] - both[1]) / 4e-3 - g[place]) < 0.03 * abs(g[place]) + 2e-4, k
+
+
+def test_a_documents_score_is_that_of_its_most_toxic_window():
+    rows, labels = toxic_rows()
+    texts, y = [t.encode() for _, t in rows], np.array([t for _, t, _ in labels])
+    net, a, b = toxicity.fit(texts, y, np.ones(len(y)), passes=1, epochs=2)
+    some = [b"word1 " * 100 + b"vileness nastyish", b"", b"word7"]
+    found, owner = net.logits(toxicity.Words(some))
+    for k, t in enumerate(some):
+        words = t.split()
+        count = 1 + max(0, -(-(len(words) - toxicity.WINDOW) // toxicity.STRIDE))
+        alone = [net.logits(toxicity.Words([b" ".join(words[i * toxicity.STRIDE : i * toxicity.STRIDE + toxicity.WINDOW])]))[0] for i in range(count)]
+        assert np.allclose(max(float(z.max()) for z in alone), toxicity._largest(found, owner, 3)[k], atol=1e-4)
+
+
 def test_toxicity_without_two_classes(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -159,6 +206,34 @@ def test_quality_held_out_accuracy_and_columns(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["keep"] for r in out)
 
 
+def test_exchange_of_labels_between_the_views_helps():
+    gains = []
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        y = (rng.random(2300) < 0.5).astype(int)
+        # the views are independent given the class, and there are few labels
+        views = [(rng.standard_normal((2300, 20)) + np.where(y, 1, -1)[:, None] * 0.45).astype(np.float32) for _ in range(2)]
+        known = np.where(np.arange(2300) < 32, y, np.where(np.arange(2300) < 1800, -1, 9))
+        used = known != 9
+        right = []
+        for rounds in (0, 4):
+            m = quality.CoTrained([v[used] for v in views], known[used], np.ones(int(used.sum())), rounds=rounds)
+            right.append(float(np.mean([(s[~used] >= 0.5) == y[~used] for s in m.scores(views)[:2]])))
+        gains.append(right[1] - right[0])
+    assert sum(gains) / len(gains) > 0.01
+
+
+def test_quality_scores_one_document_at_a_time(spark):
+    docs = [("a good text of some words", "s", "en", 20), (None, None, None, None), ("BAD!! BAD!! 123", "t", "de", 15)]
+    rng = np.random.default_rng(1)
+    m = quality.CoTrained([rng.random((40, quality.TEXT_DIM)).astype(np.float32), rng.random((40, quality.PAGE_DIM)).astype(np.float32)], np.arange(40) % 2, np.ones(40))
+    views = [np.array([quality.text_view((t or "").encode()) for t, *_ in docs]), np.array([quality.page_view((t or "").encode(), *rest) for t, *rest in docs])]
+    for k in range(3):
+        logits = [a * float(((v[k] - n.mean) * n.scale) @ n.w + n.b) + b for (a, b), n, v in zip(m.platt, m.models, views)]
+        want = [1 / (1 + math.exp(-z)) for z in (*logits, m.joint[0] * sum(logits) + m.joint[1])]
+        assert np.allclose([float(s[k]) for s in m.scores(views)], want, atol=1e-5)
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "s", "en", 1)], "doc_id long, text string, source string, lang string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int")

@@ -48,19 +48,29 @@ def backward(d_states: np.ndarray, kept: list, wh: np.ndarray, keep: np.ndarray)
     """Gradients of the input parts and of ``wh``."""
     width = wh.shape[0]
     da = np.empty((*d_states.shape[:2], 3 * width), dtype=F32)
-    dwh, dh = np.zeros_like(wh), np.zeros_like(d_states[0])
+    dg = np.empty_like(da)
+    dh, back = np.zeros_like(d_states[0]), np.ascontiguousarray(wh.T)
     for t in range(len(d_states) - 1, -1, -1):
         before, g, gates, n = kept[t]
         r, z = gates[:, :width], gates[:, width:]
-        dh = dh + d_states[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * g[:, 2 * width :] * r * (1 - r)
-        dg = np.concatenate([dr, dz, dn * r], axis=1)
+        dh += d_states[t]
+        rest = F32(1) - gates
+        rest *= gates
+        dn = dh * (F32(1) - z)
+        dn *= F32(1) - n * n
+        dz = (before - n) * dh
+        dz *= rest[:, width:]
+        dr = dn * g[:, 2 * width :]
+        dr *= rest[:, :width]
         da[t, :, :width], da[t, :, width : 2 * width], da[t, :, 2 * width :] = dr, dz, dn
-        dwh += before.T @ dg
-        dh = (dh * z + dg @ wh.T) * keep[t][:, None]
-    return da, dwh
+        dg[t, :, : 2 * width] = da[t, :, : 2 * width]
+        dn *= r
+        dg[t, :, 2 * width :] = dn
+        dh *= z
+        dh += dg[t] @ back
+        dh *= keep[t][:, None]
+    befores = np.concatenate([k[0] for k in kept])
+    return da, befores.T @ dg.reshape(-1, 3 * width)
 
 
 class Adam:

@@ -1,7 +1,7 @@
 """Language-model scores of whole documents by a gated recurrent network with a class-factored output.
 
-Words of all training documents are counted. The most frequent ones, about twice the root of the number of distinct
-words and at most ``MOST_OUTPUTS``, have output weights of their own, in as many classes as a class has words; every
+Words of all training documents are counted. The most frequent ones, as many as the root of the number of distinct
+words (``LEAST_OUTPUTS`` to ``MOST_OUTPUTS``), have output weights of their own, in as many classes as a class has words; every
 other word belongs to one of a few classes by its ending, inside which its probability is its smoothed count's share.
 So P(word | history) = P(class | state) P(word | class, state), a proper distribution over known words and one unknown
 word for each ending.
@@ -38,9 +38,9 @@ from tidemark.llm.common import cut, is_held_out, table
 from tidemark.llm.gru import F32
 
 END = b"\n"  # no word holds a line feed
-MOST_OUTPUTS, WIDTH, TABLE = 1 << 14, 16, 1 << 17
-ROUNDS, RATES, STEPS, LANES, PIECE = (1 / 16, 3 / 16, 3 / 4), (0.02, 0.01, 0.01), 16, 256, 4096
-CHUNK = 64
+LEAST_OUTPUTS, MOST_OUTPUTS, WIDTH, TABLE = 1 << 10, 1 << 14, 16, 1 << 18
+ROUNDS, RATES, STEPS, LANES, PIECE = (1 / 16, 3 / 16, 3 / 4), (0.03, 0.02, 0.01), 16, 512, 2048
+CHUNK, ROWS, READ = 64, 32, 16
 SLICE_BYTES, FLUSH = 12 << 20, 200_000
 MARKS, GROUPS = b".,;:!?)]}'\"", 14
 ENDINGS = 2 * GROUPS
@@ -132,28 +132,32 @@ def fresh(v: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
     word = np.full((v.classes, v.size), -30.0)
     word.ravel()[: v.outputs] = np.log(v.frequent)
     in_class = np.logaddexp.reduce(word, axis=1)
+    top = np.concatenate([in_class, np.log(v.mass)])
     return {
         "emb": (rng.standard_normal((v.outputs + ENDINGS + 1, WIDTH)) * 0.3).astype(F32),
         "wx": w(WIDTH, 3 * WIDTH), "wh": w(WIDTH, 3 * WIDTH), "b": np.zeros(3 * WIDTH, dtype=F32),
-        "wc": np.zeros((WIDTH, v.classes + ENDINGS), dtype=F32), "bc": np.concatenate([in_class, np.log(v.mass)]).astype(F32),
-        "ww": np.zeros((v.classes, WIDTH, v.size), dtype=F32), "bw": word.astype(F32),
+        "wc": np.zeros((WIDTH, v.classes + ENDINGS), dtype=F32), "bc": (top - top.max()).astype(F32),
+        "ww": np.zeros((v.classes, WIDTH, v.size), dtype=F32), "bw": (word - in_class[:, None]).astype(F32),
     }
 
 
-def _by_class(unit: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Places of units with outputs of their own in order of their class, and (class, begin, end) of its runs."""
+def _by_class(unit: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units with outputs of their own in pieces of ROWS of one class: their places, the places' numbers in the pieces, the pieces' classes."""
     own = np.flatnonzero(unit < v.outputs)
     kind = (unit[own] // v.size).astype(np.int16)
     order = np.argsort(kind, kind="stable")
-    ends = np.cumsum(np.bincount(kind, minlength=v.classes)).tolist()
-    return own[order], [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+    count = np.bincount(kind, minlength=v.classes)
+    parts = -(-count // ROWS)
+    begin = np.cumsum(parts * ROWS) - parts * ROWS
+    at = np.arange(len(own)) + np.repeat(begin - (np.cumsum(count) - count), count)
+    return own[order], at, np.repeat(np.arange(v.classes), parts)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(axis=1, keepdims=True)
+def _softmax(x: np.ndarray, scale: float = 1.0) -> np.ndarray:
+    """``scale`` times the probabilities, in place; logits are cut at 60 to both sides, in training and scoring alike."""
+    np.clip(x, F32(-60), F32(60), out=x)
     np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], dtype=F32))[:, None]
+    x *= (F32(scale) / (x @ np.ones(x.shape[1], dtype=F32)))[:, None]
     return x
 
 
@@ -194,25 +198,30 @@ def train(w: dict[str, np.ndarray], sequences: list[np.ndarray], v: Vocabulary,
         h = states[-1]
         flat, real = states.reshape(-1, WIDTH), y >= 0
         n = F32(max(1, real.sum()))
-        p = _softmax(flat @ w["wc"] + w["bc"])
+        p = _softmax(flat @ w["wc"] + w["bc"], 1 / n)
         kind = np.where(y < v.outputs, y // v.size, v.classes + y - v.outputs)
         rows = np.flatnonzero(real)
-        p[rows, kind[rows]] -= 1
+        p[rows, kind[rows]] -= 1 / n
         if len(rows) < len(y):
             p[~real] = 0
-        p /= n
         grads = {"wc": flat.T @ p, "bc": p.sum(axis=0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
         d = p @ w["wc"].T
-        order, runs = _by_class(np.where(real, y, v.outputs), v)
-        mine, goal = flat[order], y[order] % v.size
-        back = np.empty_like(mine)
-        for c, i, j in runs:
-            q = _softmax(mine[i:j] @ w["ww"][c] + w["bw"][c])
-            q[np.arange(j - i), goal[i:j]] -= 1
-            q /= n
-            grads["ww"][c], grads["bw"][c] = mine[i:j].T @ q, q.sum(axis=0)
-            back[i:j] = q @ w["ww"][c].T
-        d[order] += back
+        order, at, kinds = _by_class(np.where(real, y, v.outputs), v)
+        mine = np.zeros((len(kinds) * ROWS, WIDTH), dtype=F32)
+        mine[at] = flat[order]
+        deep = mine.reshape(len(kinds), ROWS, WIDTH)
+        own = w["ww"][kinds]
+        q = _softmax((deep @ own + w["bw"][kinds][:, None, :]).reshape(-1, v.size))
+        q[at, y[order] % v.size] -= 1
+        used = np.zeros(len(q), dtype=F32)
+        used[at] = 1 / n
+        q *= used[:, None]
+        q = q.reshape(len(kinds), ROWS, v.size)
+        if len(kinds):
+            first = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+            grads["ww"][kinds[first]] = np.add.reduceat(deep.transpose(0, 2, 1) @ q, first, axis=0)
+            grads["bw"][kinds[first]] = np.add.reduceat(q.reshape(-1, v.size), first * ROWS, axis=0)
+            d[order] += (q @ own.transpose(0, 2, 1)).reshape(-1, WIDTH)[at]
         da, grads["wh"] = gru.backward(d.reshape(states.shape), kept, w["wh"], k)
         da = da.reshape(-1, 3 * WIDTH)
         grads["wx"], grads["b"] = emb.T @ da, da.sum(axis=0)
@@ -224,37 +233,34 @@ def log_probabilities(w: dict[str, np.ndarray], sequences: list[np.ndarray], v:
     """Natural log of the units' probabilities, summed for each sequence; the state runs through a whole sequence."""
     into, target, keep, owner = lanes(sequences, v.outputs + ENDINGS, LANES)
     parts, h, out = w["emb"] @ w["wx"] + w["b"], np.zeros((into.shape[1], WIDTH), dtype=F32), np.zeros(len(sequences))
-    for t in range(0, len(into), 64):
-        states = gru.run(parts[into[t : t + 64]], w["wh"], h, keep[t : t + 64])
+    for t in range(0, len(into), READ):
+        states = gru.run(parts[into[t : t + READ]], w["wh"], h, keep[t : t + READ])
         h = states[-1]
-        y = target[t : t + 64].ravel()
+        y = target[t : t + READ].ravel()
         real = np.flatnonzero(y >= 0)
         flat, y = states.reshape(-1, WIDTH)[real], y[real]
-        logits = flat @ w["wc"] + w["bc"]
         kind = np.where(y < v.outputs, y // v.size, v.classes + y - v.outputs)
-        score = logits[np.arange(len(y)), kind] - _log_sum(logits)
-        order, runs = _by_class(y, v)
-        mine, goal = flat[order], y[order] % v.size
-        more = np.empty(len(order), dtype=F32)
-        for c, i, j in runs:
-            logits = mine[i:j] @ w["ww"][c] + w["bw"][c]
-            more[i:j] = logits[np.arange(j - i), goal[i:j]] - _log_sum(logits)
+        score = _chosen(flat @ w["wc"] + w["bc"], kind)
+        order, at, kinds = _by_class(y, v)
+        mine, goal = np.zeros((len(kinds) * ROWS, WIDTH), dtype=F32), np.zeros(len(kinds) * ROWS, dtype=np.int64)
+        mine[at], goal[at] = flat[order], y[order] % v.size
+        more = _chosen((mine.reshape(len(kinds), ROWS, WIDTH) @ w["ww"][kinds] + w["bw"][kinds][:, None, :]).reshape(-1, v.size), goal)[at]
         score[order] += more
-        out += np.bincount(owner[t : t + 64].ravel()[real], weights=score, minlength=len(sequences))
+        out += np.bincount(owner[t : t + READ].ravel()[real], weights=score, minlength=len(sequences))
     return out
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row; ``x`` is lost."""
-    top = x.max(axis=1)
-    x -= top[:, None]
+def _chosen(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log of one probability of each row of logits, which are lost."""
+    np.clip(x, F32(-60), F32(60), out=x)
+    own = x[np.arange(len(x)), which]
     np.exp(x, out=x)
-    return top + np.log(x @ np.ones(x.shape[1], dtype=F32))
+    return own - np.log(x @ np.ones(x.shape[1], dtype=F32))
 
 
 def outputs_for(distinct: int) -> int:
     """Words with an output of their own for so many distinct ones: the bound is 2 MB of weights."""
-    return min(MOST_OUTPUTS, 2 * (math.isqrt(distinct) + 1))
+    return min(MOST_OUTPUTS, max(LEAST_OUTPUTS, math.isqrt(distinct)))
 
 
 def vocabulary(counts: DataFrame, outputs: int | None = None, table_words: int = TABLE) -> Vocabulary:
@@ -267,7 +273,8 @@ def vocabulary(counts: DataFrame, outputs: int | None = None, table_words: int =
         if left < 0:
             left = -1
             least = max(least, r["band"] + 1)
-    frequent = sorted(((-r["c"], bytes(r["word"])) for r in counts.where(band >= least).collect()))
+    found = counts.where(band >= least).select("word", "c").toArrow()
+    frequent = sorted(zip((-c for c in found.column("c").to_pylist()), found.column("word").to_pylist()))
 
     def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, words = np.zeros(ENDINGS, dtype=np.int64), np.zeros(ENDINGS, dtype=np.int64)
