@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidemark.llm import lines
 
 
@@ -13,47 +15,60 @@ def distance(a, b):
     return row[-1]
 
 
-def edited(rng, line, times):
-    out = list(line)
+def edited(rng, words, times):
+    out = list(words)
     for _ in range(times):
         kind, i = rng.randrange(3), rng.randrange(len(out))
         if kind == 0:
-            out.insert(i, rng.choice("abcé "))
+            out.insert(i, rng.choice("abcé"))
         elif kind == 1:
-            out[i] = rng.choice("abcé ")
-        else:
+            out[i] = rng.choice("abcé")
+        elif len(out) > 1:
             del out[i]
-    return "".join(out)
+    return out
 
 
-def test_banded_distance_and_segments():
+def test_banded_distance():
     rng = random.Random(1)
     for _ in range(6000):
         t = rng.randrange(1, 4)
-        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 18)))
-        b = edited(rng, a, rng.randrange(1, t + 3)) if rng.random() < 0.8 and len(a) > t + 3 else "".join(rng.choice("abc") for _ in range(rng.randrange(1, 18)))
-        near = distance(a, b) <= t
-        assert lines.within(a, b, t) == near
-        assert not near or (int(lines.signatures([a])[0]) ^ int(lines.signatures(["x", b])[1])).bit_count() <= 4 * t
-        if near and min(len(a), len(b)) > t:
-            short, long = sorted((a, b), key=len)
-            own, probes = {k for k, kind in lines.keys(short, t) if kind != lines.PROBE}, {k for k, kind in lines.keys(long, t) if kind == lines.PROBE}
-            assert own & probes
-            if len(short) > 4 * t:
-                heavy = frozenset(own)
-                assert {k for k, kind in lines.keys(short, t, heavy) if kind != lines.PROBE} & {k for k, kind in lines.keys(long, t, heavy) if kind == lines.PROBE}
-
-
-def brute(rows, threshold, least):
+        a = [rng.choice("abc") for _ in range(rng.randrange(1, 18))]
+        b = edited(rng, a, rng.randrange(1, t + 3)) if rng.random() < 0.8 else [rng.choice("abc") for _ in range(rng.randrange(1, 18))]
+        assert lines.within(a, b, t) == (distance(a, b) <= t)
+
+
+def test_lines_within_the_threshold_share_a_key():
+    rng = random.Random(2)
+    for steps in (lines.STEPS, ((4, 1), (9, 2), (14, 3))):
+        for _ in range(1500):
+            a = [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30))]
+            b = edited(rng, a, rng.randrange(0, 4))
+            t = lines.allowed(min(len(a), len(b)), steps)
+            if distance(a, b) > t:
+                continue
+            short, long = sorted((" ".join(a).encode(), " ".join(b).encode()), key=lambda x: x.count(b" "))
+            for heavy in (None, "own"):
+                if heavy:
+                    key, kind, _, _ = lines.keys([short], steps)
+                    heavy = np.sort(key[kind & 3 != lines.PROBE])
+                key, kind, ref, sign = lines.keys([short, long], steps, heavy)
+                probe = kind & 3 == lines.PROBE
+                assert set(key[~probe & (ref == 0)].tolist()) & set(key[(probe if t else ~probe) & (ref == 1)].tolist())
+                assert int(sign[0] ^ sign[1]).bit_count() <= 2 * t
+                assert any((lines.stretch(sign[:1], s, t) == lines.stretch(sign[1:], s, t)).all() for s in range(2 * t + 1))
+
+
+def brute(rows, steps):
+    """Each line against every earlier one; ``rows`` have different doc_ids."""
     places = []
     for k, (d, t) in enumerate(rows):
         for i, x in enumerate([] if t is None else t.split("\n")):
-            places.append(((d is None, d or 0, t), i, k, x.strip(lines.BLANKS)))
-    long = [p for p in places if len(p[3]) >= least]
+            if x.split():
+                places.append(((d is None, d or 0), i, k, x.split()))
     gone = set()
-    for p in long:
-        for q in long:
-            if q[:3] < p[:3] and (q[3] == p[3] or distance(q[3], p[3]) <= threshold):
+    for p in places:
+        for q in places:
+            if q[:3] < p[:3] and (q[3] == p[3] or distance(q[3], p[3]) <= lines.allowed(min(len(q[3]), len(p[3])), steps)):
                 gone.add((p[2], p[1]))
                 break
     out = []
@@ -67,29 +82,33 @@ def brute(rows, threshold, least):
 def corpus(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(2, 6)))
-    common = [" ".join(word() for _ in range(8)) for _ in range(6)]
-    hot = "every page ends with this very line"
-    rows = [(None, common[0]), (1, None), (2, ""), (3, "short\nshort\nshort")]
-    for d in range(10, 60):
+    common = [[word() for _ in range(n)] for n in (5, 8, 9, 12, 19, 20, 21, 40)]
+    hot = "every page of this long book ends with the very same line".split()
+    rows = [(None, " ".join(common[3])), (1, None), (2, ""), (3, "short\nshort\n short \n\nshört"), (4, " ".join(word() for _ in range(3000)))]
+    rows.append((5, f"{rows[-1][1]} more"))
+    for d in range(10, 70):
         text = []
         for _ in range(rng.randrange(1, 5)):
             r = rng.random()
-            text.append(rng.choice(common) if r < 0.2 else edited(rng, rng.choice(common), rng.randrange(1, 4)) if r < 0.6 else " ".join(word() for _ in range(7)))
-        text.append(hot if d % 2 else f"  {hot[:-4]}{d:04d} ")
+            text.append(" ".join(rng.choice(common) if r < 0.2 else edited(rng, rng.choice(common), rng.randrange(1, 4)) if r < 0.6 else [word() for _ in range(rng.randrange(1, 25))]))
+        text.append(" ".join(hot) if d % 3 else f"  {' '.join(hot[:-1])}\t {d:04d} " if d % 2 else " ".join([*hot[:-4], f"{d}x", f"{d}y", f"{d}z", "line"]))
         rows.append((d, "\n".join(text)))
     return rows
 
 
 def test_against_brute_force(spark):
-    for threshold, look, one_in in ((1, 16, 64), (2, 2, 64), (1, 1, 1), (2, 3, 2)):
-        rows = corpus(threshold)
+    for seed, steps, look, one_in, large in ((1, lines.STEPS, 8, 64, 256), (2, lines.STEPS, 1, 1, 4), (3, ((4, 1), (9, 2), (14, 3)), 1, 64, 4), (4, ((6, 1),), 3, 2, 256)):
+        rows = corpus(seed)
         docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, block string").repartition(3)
-        out = lines.remove_lines(docs, threshold=threshold, min_chars=20, first_look=look, block_bytes=800, bucket_bytes=3000 if one_in == 64 else 80, one_in=one_in)
+        out = lines.remove_lines(docs, steps, first_look=look, block_bytes=800, bucket_bytes=4000 if one_in == 64 else 80, one_in=one_in, large=large)
         got = sorted([(r["row"]["doc_id"], r["n_lines"], r["n_removed"], r["kept_text"]) for r in out.collect()], key=repr)
-        assert got == brute(rows, threshold, 20)
+        assert got == brute(rows, steps)
 
 
-def test_repeated_rows_and_empty_table(spark):
-    docs = spark.createDataFrame([(1, "the same line in the same row of both"), (1, "the same line in the same row of both")], "doc_id long, text string")
-    assert sorted(r["n_removed"] for r in lines.remove_lines(docs).collect()) == [0, 1]
+def test_equal_ids_repeated_rows_and_empty_table(spark):
+    rows = [(1, "the same line in the same row of both"), (1, "the same line in the same row of both"), (1, "one\nthe same line in the same row of both"), (1, "two\none"), (None, "two"), (None, "three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = lines.remove_lines(docs, block_bytes=10).collect()
+    assert sum(r["n_lines"] - r["n_removed"] for r in out) == 4 and len(out) == 6
+    assert {x for r in out for x in r["kept_text"].split("\n") if x} == {"one", "two", "three", rows[0][1]}
     assert lines.remove_lines(docs.limit(0)).count() == 0

@@ -1,31 +1,34 @@
 """Near-duplicate lines removed by a segment-partition edit join.
 
-A line (blanks at both ends don't count) of at least ``min_chars`` characters is a duplicate if an equal line, or one
-within ``threshold`` edits, stands earlier in (doc_id, line) order; duplicates are removed, judged on the input.
-Shorter lines are headings and the like, and stay.
+A line is the sequence of its words. It is a duplicate if an equal line, or one within t word edits (a word replaced, put in
+or left out), stands earlier in (doc_id, line) order; t grows with the words of the shorter line (``STEPS``: none below 8
+words, one from 8, two from 20). Duplicates are removed, judged on the input. Lines without words stay.
 
 If two lines are within t edits, one of the t + 1 even segments of the shorter one stands unchanged in the longer one,
-at one of a few places (the multi-match-aware choice). Documents are dealt to blocks by a hash of doc_id; a block sends,
-for each of its distinct lines once, the hashes of its own segments under its length, and of the substrings that could be
-segments of lines up to t characters shorter. Keys meet in buckets. Equal lines are settled there by their hashes, so
-a line that a third of the corpus repeats costs a bucket one entry a block; for the others, candidates go back to
-their blocks, which send the texts, and a banded bit-parallel edit distance decides. A candidate must also agree in all
-but 4 threshold bits of a signature, the parities of a line's hashed pairs of neighbouring characters (an edit changes
-four at most). A line needs only one earlier neighbour: in a group of many lines with a common segment each is first held
-against the ``first_look`` ones of closest signature, and only lines that are still open are held against all the rest.
-All steps are one query, so the shuffles of documents and keys are made once and read again.
-
-A segment that very many lines share (a form letter's beginning) would fill a bucket. Such keys are looked for in a share
-of the documents. If a segment stands unchanged, what is left of both lines is within t edits too, so such a key gives
-way to its combinations with the keys of what is left, in all blocks alike. The list only decides on the way.
-
-Defined results: null and empty texts have no line to remove (null stays null); rows with equal doc_id are ordered by
-text; a null doc_id comes after all others; an empty table gives no rows.
+at one of a few places (the multi-match-aware choice). Documents are dealt to blocks by a hash of doc_id and text; a block
+offers, for each of its distinct lines once, the hashes of its own segments under its length, and of the runs of words
+that could be segments of lines up to t words shorter. Most keys come once; only for those that come again in their bucket
+does a block send what else is needed. Keys meet in buckets. Equal lines are settled there by their hashes, so a
+line that a third of the corpus repeats costs a bucket one entry a block; for the others, the later line's text goes to
+the block of the earlier one, where a banded bit-parallel edit distance decides. A candidate must also agree in all but
+2 t bits of a signature, the parities of a line's hashed words (an edit changes two at most).
+
+A line needs only one earlier neighbour: in the group of a key each is first held against the ``first_look`` ones of closest
+signature, of equally close ones the latest, so that many copies of a line ask many blocks and not the one of the first
+copy; only lines that are still open are held against all the rest. In a large group, lines are compared inside parts
+only that agree in one of 2 t + 1 stretches of the signature, one of which two lines within t edits have in common. The
+same stretches split the keys that very many lines share before they are sent (``heavy``); at most ``MOST_HEAVY`` such keys
+are looked for in a share of the documents, in order of their lines. The list only decides on the way.
+
+Defined results: null and empty texts have no line to remove (null stays null); a null doc_id comes after all others; rows
+with equal doc_id are ordered by line and block; rows equal in doc_id and text share a block; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,19 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 from tidemark.llm.substring import _packed, _unpacked
 
-THRESHOLD, MIN_CHARS, FIRST_LOOK = 1, 30, 2
-BLOCK_BYTES, BUCKET_BYTES, LOOK_AT_ONE_IN = 4 << 20, 8 << 20, 64
-BLANKS = " \t\n\v\f\r"
+STEPS, FIRST_LOOK = ((8, 1), (20, 2)), 3
+BLOCK_BYTES, BUCKET_BYTES, LOOK_AT_ONE_IN, MOST_HEAVY, LARGE, SLICE_BYTES = 4 << 20, 12 << 20, 64, 65_536, 256, 1 << 18
 OWN, PROBE, OWN_FIRST = 0, 1, 2
 LAST = np.iinfo(np.int64).max
+U = np.uint64
+#: Odd, and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+
+
+def allowed(words: int, steps: tuple[tuple[int, int], ...] = STEPS) -> int:
+    """Edits that a line of so many words may be away."""
+    return max([0, *(t for least, t in steps if words >= least)])
 
 
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
@@ -56,49 +67,38 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys(line: str, threshold: int, heavy: frozenset[int] = frozenset()) -> list[tuple[int, int]]:
-    """(key, kind) of a line: its own segments, and the substrings that may be segments of lines as long or shorter."""
-    n, digest, out = len(line), xxhash.xxh64_intdigest, []
-
-    def put(at: int, size: int, salt: int, kind: int) -> None:
-        key = digest(line[at : at + size].encode(), salt)
-        if key not in heavy:
-            out.append((key, kind))
-            return
-        for more, own in keys(line[:at] + line[at + size :], threshold):
-            if (own == PROBE) == (kind == PROBE):
-                out.append((digest(more.to_bytes(8, "little"), key), PROBE if kind == PROBE else OWN_FIRST if kind == own == OWN_FIRST else OWN))
-
-    for i, (at, size) in enumerate(segments(n, threshold)):
-        put(at, size, n * 64 + i, OWN if i else OWN_FIRST)
-    for m in range(max(1, n - threshold), n + 1):
-        for i, (at, size) in enumerate(segments(m, threshold)):
-            left, right = i, threshold - i
-            for start in range(max(0, at - left, at + n - m - right), min(n - size, at + left, at + n - m + right) + 1):
-                put(start, size, m * 64 + i, PROBE)
-    return list(dict.fromkeys(out))
+def patterns(n: int, steps: tuple[tuple[int, int], ...] = STEPS) -> list[tuple[int, int, int, int, int, int]]:
+    """(kind, words m of the shorter line, segment, threshold, start, size) of the keys of a line of n words."""
+    t = allowed(n, steps)
+    out = [(OWN if i else OWN_FIRST, n, i, t, at, size) for i, (at, size) in enumerate(segments(n, t))]
+    for m in range(max(1, n - t), n + 1):
+        t = allowed(m, steps)
+        if t and n - m <= t:
+            for i, (at, size) in enumerate(segments(m, t)):
+                left, right = i, t - i
+                for start in range(max(0, at - left, at + n - m - right), min(n - size, at + left, at + n - m + right) + 1):
+                    out.append((PROBE, m, i, t, start, size))
+    return out
 
 
-def within(a: str, b: str, threshold: int) -> bool:
+def within(a: Sequence, b: Sequence, threshold: int) -> bool:
     """Edit distance at most ``threshold``: a column of the band of 2 threshold + 1 diagonals is one machine word."""
     if abs(len(a) - len(b)) > threshold:
         return False
     short = min(len(a), len(b))
-    low, high = 0, short
-    while low < high:  # common prefix
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    low = 0
+    while low < short and a[low] == b[low]:
+        low += 1
     a, b = a[low:], b[low:]
-    low, high = 0, min(len(a), len(b))
-    while low < high:  # common suffix
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[len(a) - mid :] == b[len(b) - mid :] else (low, mid - 1)
+    low, short = 0, short - low
+    while low < short and a[-1 - low] == b[-1 - low]:
+        low += 1
     a, b = a[: len(a) - low], b[: len(b) - low]
     if not a or not b:
         return max(len(a), len(b)) <= threshold
     width = 2 * threshold + 1
     full = (1 << width) - 1
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     # bit t of a column j stands for row j - threshold + t; rows above the first one count as reached for nothing
@@ -120,169 +120,332 @@ def within(a: str, b: str, threshold: int) -> bool:
     return distance <= threshold
 
 
+def near(a: bytes, b: bytes, steps: tuple[tuple[int, int], ...] = STEPS) -> bool:
+    x, y = a.split(b" "), b.split(b" ")
+    return within(x, y, allowed(min(len(x), len(y)), steps))
+
+
 class Lines:
     """The distinct lines of a block, numbered in order of their first place, the same whatever the order of rows."""
 
-    def __init__(self, docs: pa.Table, min_chars: int):
-        docs = docs.append_column("_text", pc.struct_field(docs.column("_row"), "text"))
+    def __init__(self, docs: pa.Table):
+        docs = docs.append_column("_text", pc.struct_field(docs.column("_row"), "text").cast(pa.binary()))
         self.docs = docs = docs.sort_by([("_id", "ascending"), ("_text", "ascending")])
-        self.ids = docs.column("_id").to_numpy()
-        self.rows: list[list[str]] = []
+        ids = docs.column("_id").to_numpy().tolist()
+        self.texts = docs.column("_text").to_pylist()
         self.refs: list[list[int]] = []
-        index: dict[str, int] = {}
+        index: dict[bytes, int] = {}
         self.doc: list[int] = []
         self.line: list[int] = []
-        for k, text in enumerate(docs.column("_text").to_pylist()):
-            lines = [] if text is None else text.split("\n")
+        for k, text in enumerate(self.texts):
             refs = []
-            for i, x in enumerate(lines):
-                x = x.strip(BLANKS)
-                if len(x) < min_chars:
+            for i, x in enumerate(text.split(b"\n") if text is not None else ()):
+                x = b" ".join(x.split())
+                if not x:
                     refs.append(-1)
                     continue
                 r = index.setdefault(x, len(index))
                 refs.append(r)
                 if r == len(self.doc):
-                    self.doc.append(int(self.ids[k]))
+                    self.doc.append(ids[k])
                     self.line.append(i)
-            self.rows.append(lines)
             self.refs.append(refs)
         self.distinct = list(index)
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """64 parities of each line's hashed pairs of neighbouring characters, its ends included; an edit changes at most four."""
-    if not lines:
-        return np.zeros(0, dtype=np.uint64)
-    chars = np.frombuffer(f"\n{'\n'.join(lines)}\n".encode("utf-32-le"), dtype=np.uint32)
-    code = chars[:-1] * np.uint32(0x9E3779B1) + chars[1:] * np.uint32(0x85EBCA77)
-    code = (code ^ (code >> np.uint32(15))) * np.uint32(0xC2B2AE35)
-    bits = np.uint64(1) << (code >> np.uint32(26)).astype(np.uint64)
-    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1
-    return np.bitwise_xor.reduceat(bits, np.cumsum(sizes) - sizes)
-
-
-_SENT = ("u8", "u8", "u8", "i8", "i4", "i4", "u1")
-
-
-def _send(block: int, lines: Lines, threshold: int, buckets: int, heavy: frozenset[int]) -> pa.Table:
-    key, kind, ref, same = [], [], [], np.zeros(len(lines.distinct), dtype=np.uint64)
-    for r, x in enumerate(lines.distinct):
-        same[r] = xxhash.xxh64_intdigest(x.encode(), 1)
-        for k, t in keys(x, threshold, heavy):
-            key.append(k)
-            kind.append(t)
-            ref.append(r)
-    key_, kind_, ref_ = np.array(key, dtype=np.uint64), np.array(kind, dtype=np.uint8), np.array(ref, dtype=np.int32)
-    bucket = ((key_ >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
+def _mixed(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    x = (x ^ salt * U(0xD6E8FEB86659FD93)) * U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(29)
+    x *= U(0x94D049BB133111EB)
+    return x ^ (x >> U(32))
+
+
+def stretch(sign: np.ndarray, which: int, threshold: int) -> np.ndarray:
+    """One of the 2 threshold + 1 stretches of signatures."""
+    parts = 2 * threshold + 1
+    low, high = 64 * which // parts, 64 * (which + 1) // parts
+    return (sign >> U(low)) & U((1 << (high - low)) - 1)
+
+
+@lru_cache(1 << 14)
+def _pattern_table(n: int, steps: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """Rows (kind, salt, threshold, start, size) of the patterns of a line of n words."""
+    return np.array([(kind, m * 64 + i, t, start, size) for kind, m, i, t, start, size in patterns(n, steps)], dtype=np.int64)
+
+
+@cache
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[U(1)], np.full(2 * SLICE_BYTES, U(base))]))
+
+
+def keys(distinct: list[bytes], steps: tuple[tuple[int, int], ...] = STEPS, heavy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, kind + 4 threshold, number of the line) of all keys of lines, and the lines' signatures."""
+    ends = np.cumsum([0, *(len(x) + 1 for x in distinct)])
+    cuts = [0, *np.flatnonzero(np.diff(ends[:-1] // SLICE_BYTES)).tolist(), len(distinct)]
+    parts = [_keys(distinct[i:j], i, steps, heavy) for i, j in zip(cuts, cuts[1:]) if j > i]
+    return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate((U, np.uint8, np.int64, U)))  # type: ignore[return-value]
+
+
+def _keys(distinct: list[bytes], number: int, steps: tuple[tuple[int, int], ...], heavy: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of words are runs of bytes: their hashes are differences of running sums of a polynomial, moved to the same place."""
+    byte = np.frombuffer(b"\n".join(distinct) + b"\n", dtype=np.uint8)
+    powers, back = _powers(BASE), _powers(BACK)
+    if len(byte) >= len(powers):  # a line longer than a slice
+        powers, back = (np.cumprod(np.concatenate([[U(1)], np.full(len(byte), U(b))])) for b in (BASE, BACK))
+    sums = np.concatenate([np.zeros(1, U), np.cumsum((byte.astype(U) + U(1)) * powers[: len(byte)])])
+    stop = np.flatnonzero((byte == 32) | (byte == 10))
+    start = np.concatenate([[0], stop[:-1] + 1])
+    last = np.flatnonzero(byte[stop] == 10)
+    sizes = np.diff(np.concatenate([[-1], last]))
+    begin = last + 1 - sizes
+    word = _mixed((sums[stop] - sums[start]) * back[start], np.zeros(1, U))
+    sign = np.bitwise_xor.reduceat(U(1) << (word >> U(58)), begin)
+    lengths, which = np.unique(sizes, return_inverse=True)
+    tables = [_pattern_table(int(n), steps) for n in lengths]
+    table, counts = np.concatenate(tables), np.array([len(t) for t in tables])
+    times = counts[which]
+    ref = np.repeat(np.arange(len(sizes)), times)
+    at = np.arange(len(ref)) - np.repeat(np.cumsum(times) - times, times) + (np.cumsum(counts) - counts)[which[ref]]
+    kind, salt, t, first, size = table[at].T
+    a, z = begin[ref] + first, begin[ref] + first + size - 1
+    key = _mixed((sums[stop[z]] - sums[start[a]]) * back[start[a]], salt.astype(U))
+    if heavy is not None and len(heavy):
+        hot = np.flatnonzero(heavy[np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)] == key)
+        rows = np.repeat(hot, 2 * t[hot] + 1)
+        s = np.arange(len(rows)) - np.repeat(np.cumsum(2 * t[hot] + 1) - (2 * t[hot] + 1), 2 * t[hot] + 1)
+        own = np.zeros(len(rows), U)
+        for threshold in np.unique(t[rows]).tolist():
+            for k in range(2 * threshold + 1):
+                mine = (t[rows] == threshold) & (s == k)
+                own[mine] = stretch(sign[ref[rows[mine]]], k, threshold)
+        more = (_mixed(key[rows] ^ own, (1 << 20 | s).astype(U)), np.where((kind[rows] == OWN_FIRST) & (s > 0), OWN, kind[rows]), t[rows], ref[rows])
+        cold = np.delete(np.arange(len(key)), hot)
+        key, kind, t, ref = (np.concatenate([x[cold], y]) for x, y in zip((key, kind, t, ref), more))
+    return key, (kind + 4 * t).astype(np.uint8), ref + number, sign
+
+
+_SENT = ("u4", "u8", "u8", "i8", "i4", "i4", "u1")
+
+
+def places(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key, and its lower half, which will do in a bucket: what meets there is verified."""
+    return ((key >> U(32)) % U(buckets)) << U(32) | (key & U(0xFFFFFFFF))
+
+
+def _parts(place: np.ndarray) -> list[tuple[int, slice]]:
+    """Buckets and their stretches of sorted places."""
+    bucket = place >> U(32)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(place)]
+    return [(int(bucket[i]), slice(i, j)) for i, j in zip(cuts, cuts[1:]) if j > i]
+
+
+def offered(place: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places in order, and whether several refs of the block have them."""
+    order = np.lexsort((ref, place))
+    place, ref = place[order], ref[order]
+    new = np.concatenate([[True], place[1:] != place[:-1]])[: len(place)]
+    other = np.concatenate([[False], (place[1:] == place[:-1]) & (ref[1:] != ref[:-1])])[: len(place)]
+    first = np.flatnonzero(new)
+    return place[first], np.logical_or.reduceat(other, first) if len(first) else other
+
+
+def offer(block: int, place: np.ndarray, ref: np.ndarray) -> pa.Table:
+    """bucket, block, load: the keys alone, a few bytes each."""
+    own, several = offered(place, ref)
+    parts = _parts(own)
+    loads = [_packed(np.diff((own[at] & U(0xFFFFFFFF)).astype(np.int64), prepend=0).astype(np.uint32), np.packbits(several[at])) for _, at in parts]
+    return pa.table([pa.array([b for b, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int32()), pa.array(loads, pa.binary())], ["bucket", "block", "load"])
+
+
+def wanted(bucket: int, loads: pa.Table) -> pa.Table:
+    """to_block, from_bucket, bits: for each block, which of its keys several lines have, there or in other blocks."""
+    own, several = [], []
+    for data in loads.column("load"):
+        key, bits, _ = _unpacked(data.as_py(), "u4", "u1")
+        own.append(np.cumsum(key, dtype=np.uint32))
+        several.append(np.unpackbits(bits, count=len(key)).astype(bool))
+    every = np.sort(np.concatenate(own))
+    common = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[s] for k, s in zip(own, several))]))
+    rows = []
+    for block, key in zip(loads.column("block").to_pylist(), own):
+        hit = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key if len(common) else np.zeros(len(key), dtype=bool)
+        if hit.any():
+            rows.append((block, bucket, _packed(np.packbits(hit))))
+    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["to_block", "from_bucket", "bits"])
+
+
+def chosen(place: np.ndarray, ref: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """Which keys are wanted."""
+    own, _ = offered(place, ref)
+    hit = np.zeros(len(own), dtype=bool)
+    at = dict(_parts(own))
+    for bucket, bits in zip(answers.column("from_bucket").to_pylist(), answers.column("bits").to_pylist()):
+        stretch_ = at[bucket]
+        hit[stretch_] = np.unpackbits(_unpacked(bits, "u1")[0], count=stretch_.stop - stretch_.start).astype(bool)
+    return hit[np.searchsorted(own, place)] if len(own) else np.zeros(0, dtype=bool)
+
+
+def _send(block: int, distinct: list[bytes], doc: np.ndarray, line: np.ndarray, answers: pa.Table, steps: tuple[tuple[int, int], ...], buckets: int, heavy: np.ndarray) -> pa.Table:
+    """Packed rows for each bucket, of the wanted keys."""
+    key, kind, ref, sign = keys(distinct, steps, heavy)
+    place = places(key, buckets)
+    take = chosen(place, ref, answers)
+    place, kind, ref = place[take], kind[take], ref[take]
+    used, number = np.unique(ref, return_inverse=True)
+    same = np.fromiter((xxhash.xxh3_64_intdigest(distinct[r]) for r in used.tolist()), dtype=U, count=len(used))
+    order = np.lexsort((ref, place >> U(32)))
     out: tuple[list, list] = ([], [])
-    doc, line, sign = np.array(lines.doc, dtype=np.int64), np.array(lines.line, dtype=np.int32), signatures(lines.distinct)
-    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-        if len(part):
-            r = ref_[part]
-            out[0].append(int(bucket[part[0]]))
-            out[1].append(_packed(key_[part], same[r], sign[r], np.diff(doc[r], prepend=0), line[r], np.diff(r, prepend=0).astype(np.int32), kind_[part]))
+    for bucket, at in _parts((place >> U(32) << U(32))[order]):
+        part = order[at]
+        r = ref[part]
+        out[0].append(bucket)
+        out[1].append(_packed(place[part].astype(np.uint32), same[number[part]], sign[r], np.diff(doc[r], prepend=0), line[r], np.diff(r, prepend=0).astype(np.int32), kind[part]))
     return pa.table([pa.array(out[0], pa.int32()), pa.array([block] * len(out[0]), pa.int32()), pa.array(out[1], pa.binary())], ["bucket", "block", "load"])
 
 
 MET = "bucket int, block int, ref int, other_block int, other_ref int"
 
 
-def _meet(bucket: int, loads: pa.Table, threshold: int, first_look: int, still: set[tuple[int, int]] | None = None) -> pa.Table:
+def _meet(bucket: int, loads: pa.Table, first_look: int, still: set[tuple[int, int]] | None = None, large: int = LARGE) -> pa.Table:
     """Rows of MET: a line and an earlier candidate, or other_block -1 where an equal line is earlier.
 
     In the group of a key, a line gets the ``first_look`` candidates of closest signature; other_block -2 tells that
     there are more. With ``still`` (block, ref), these lines get all the others instead.
     """
     parts: list[list[np.ndarray]] = [[] for _ in range(8)]
-    for block, data in zip(loads.column("block").to_pylist(), loads.column("load").to_pylist()):
-        key, same, sign, doc, line, ref, kind, _ = _unpacked(data, *_SENT)
-        for to, x in zip(parts, (key, same, sign, np.cumsum(doc), line, np.cumsum(ref), kind, np.full(len(key), block))):
+    for block, data in zip(loads.column("block").to_pylist(), loads.column("load")):
+        key, same, sign, doc, line, ref, kind, _ = _unpacked(data.as_py(), *_SENT)
+        for to, x in zip(parts, (key, same, sign, np.cumsum(doc), line, np.cumsum(ref, dtype=np.int32), kind, np.full(len(key), block, dtype=np.int32))):
             to.append(x)
-    key, same, sign, doc, line, ref, kind, block = (np.concatenate(p) for p in parts)
-    order = np.lexsort((block, line, doc, kind, same, sign, key))
-    key, same, sign, doc, line, ref, kind, block = (x[order] for x in (key, same, sign, doc, line, ref, kind, block))
-    like = np.concatenate([[False], (key[1:] == key[:-1]) & (same[1:] == same[:-1]) & (sign[1:] == sign[:-1])])
-    again = like & np.concatenate([[False], kind[1:] == kind[:-1]])
+    key = np.concatenate(parts[0])
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1], [True]])
+    order = np.sort(order[~(new[:-1] & new[1:])])  # keys that come once meet nothing
+    kept = []
+    while parts:
+        kept.append(np.concatenate(parts.pop(0))[order])
+    order = np.lexsort((kept[7], kept[4], kept[3], kept[6], kept[1], kept[2], kept[0]))
+    key, same, sign, doc, line, ref, kind, block = (x[order] for x in kept)
     out: list[list[np.ndarray]] = [[], [], [], []]
 
     def put(x: np.ndarray, other: np.ndarray | None, mark: int = 0) -> None:
         for to, y in zip(out, (block[x], ref[x], np.full(len(x), mark) if other is None else block[other], np.full(len(x), mark) if other is None else ref[other])):
             to.append(y)
 
-    if still is None:
-        put(np.flatnonzero(again & (kind == OWN_FIRST)), None, -1)
-    keep = np.flatnonzero(~again)
-    first = np.flatnonzero(np.concatenate([[True], key[keep][1:] != key[keep][:-1]])) if len(keep) else np.zeros(0, dtype=np.int64)
-    ends = np.concatenate([first[1:], [len(keep)]]) if len(keep) else first
-    texts = np.add.reduceat((~like[keep]).astype(np.int64), first) if len(keep) else first
-    for g in np.flatnonzero(texts > 1).tolist():
-        rows = keep[first[g] : ends[g]]
-        rows = rows[np.lexsort((block[rows], line[rows], doc[rows]))]
-        probing = kind[rows] == PROBE
+    def compare(rows: np.ndarray) -> None:
+        """``rows`` of one key, in order of place."""
+        probing = kind[rows] & 3 == PROBE
+        if probing.all() or not probing.any():
+            return
+        most = 2 * int(kind[rows[0]] >> 2)
         for side in (True, False):
             at, there = np.flatnonzero(probing == side), np.flatnonzero(probing != side)
             mine, other = rows[at], rows[there]
-            if not len(mine) or not len(other):
-                continue
             signs = sign[other]
             for x, n in zip(mine.tolist(), np.searchsorted(there, at).tolist()):
                 if not n or (still is not None and (int(block[x]), int(ref[x])) not in still):
                     continue
                 far = np.bitwise_count(signs[:n] ^ sign[x])
-                near = np.flatnonzero(far <= 4 * threshold)
-                near = near[(far[near] > 0) | (same[other[near]] != same[x])]
-                if len(near) > first_look:
-                    near = near[np.argsort(far[near], kind="stable")]
+                found = np.flatnonzero(far <= most)
+                found = found[(far[found] > 0) | (same[other[found]] != same[x])]
+                if len(found) > first_look:
+                    found = found[np.lexsort((-found, far[found]))]
                     if still is None:
                         put(np.array([x]), None, -2)
-                near = other[near[:first_look] if still is None else near[first_look:]]
-                put(np.full(len(near), x), near)
+                found = other[found[:first_look] if still is None else found[first_look:]]
+                put(np.full(len(found), x), found)
+
+    if len(key):
+        like = np.concatenate([[False], (key[1:] == key[:-1]) & (same[1:] == same[:-1]) & (sign[1:] == sign[:-1])])
+        again = like & np.concatenate([[False], kind[1:] == kind[:-1]])
+        if still is None:
+            put(np.flatnonzero(again & (kind & 3 == OWN_FIRST)), None, -1)
+        keep = np.flatnonzero(~again)
+        first = np.flatnonzero(np.concatenate([[True], key[keep][1:] != key[keep][:-1]]))
+        ends = np.concatenate([first[1:], [len(keep)]])
+        texts = np.add.reduceat((~like[keep]).astype(np.int64), first)
+        for g in np.flatnonzero(texts > 1).tolist():
+            rows = keep[first[g] : ends[g]]
+            t = int(kind[rows[0]] >> 2)
+            if not t:
+                continue
+            rows = rows[np.lexsort((block[rows], line[rows], doc[rows]))]
+            if len(rows) <= large:
+                compare(rows)
+                continue
+            for s in range(2 * t + 1):
+                v = stretch(sign[rows], s, t)
+                by = np.argsort(v, kind="stable")
+                for part in np.split(by, np.flatnonzero(np.diff(v[by])) + 1):
+                    if len(part) > 1:
+                        compare(rows[part])
     found = [np.concatenate(x).astype(np.int32) if x else np.zeros(0, dtype=np.int32) for x in out]
     return pa.table([pa.array(np.full(len(found[0]), bucket, dtype=np.int32)), *map(pa.array, found)], ["bucket", "block", "ref", "other_block", "other_ref"])
 
 
+def _stored(store: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """First places (doc, line) and texts of a block's distinct lines."""
+    doc, line, tail = _unpacked(store.column("lines")[0].as_py(), "i8", "i4")
+    return doc, line, tail.split(b"\n") if len(doc) else []
+
+
 class _Join:
-    def __init__(self, docs: DataFrame, threshold: int, min_chars: int, block_bytes: int, bucket_bytes: int, one_in: int):
+    def __init__(self, docs: DataFrame, steps: tuple[tuple[int, int], ...], block_bytes: int, bucket_bytes: int, one_in: int):
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.blocks, buckets = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total * (threshold + 2) / 6 / bucket_bytes))
+        self.blocks, self.buckets = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / bucket_bytes))
         # one frame for all steps, so that its shuffle is made once and used again
-        self.docs = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("_id"), F.pmod(F.xxhash64("doc_id"), F.lit(self.blocks)).cast("int").alias("block"))
-        self.threshold, self.min_chars, self.buckets = threshold, min_chars, buckets
+        self.docs = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("_id"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.blocks)).cast("int").alias("block"))
+        self.steps = steps
         self.heavy = self._heavy(max(2, math.ceil(bucket_bytes / (40 * one_in))), one_in)
 
-    def _heavy(self, least: int, one_in: int) -> frozenset[int]:
+    def _heavy(self, least: int, one_in: int) -> np.ndarray:
         """Keys of so many different lines in a share of the documents that all of them would fill a bucket."""
-        threshold, min_chars = self.threshold, self.min_chars
+        steps = self.steps
 
         def run(batches):
             for b in batches:
                 for i in range(0, b.num_rows, 512):
-                    found = [k for x in Lines(pa.Table.from_batches([b.slice(i, 512)]), min_chars).distinct for k, kind in keys(x, threshold) if kind != PROBE]
-                    key, n = np.unique(np.array(found, dtype=np.uint64), return_counts=True)
+                    key, kind, _, _ = keys(Lines(pa.Table.from_batches([b.slice(i, 512)])).distinct, steps)
+                    key, n = np.unique(key[kind & 3 != PROBE], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
         part = self.docs.where(F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(one_in)) == 0)
         sums = part.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        return frozenset(r["key"] & (1 << 64) - 1 for r in sums.collect())
+        return np.sort(np.array([r["key"] for r in sums.orderBy(F.desc("n"), "key").limit(MOST_HEAVY).collect()], dtype=np.int64).view(U))
 
-    def dropped(self, first_look: int) -> DataFrame:
+    def dropped(self, first_look: int, large: int) -> DataFrame:
         """block, ref of the lines of which an equal or near one is earlier."""
-        threshold, min_chars, buckets, heavy = self.threshold, self.min_chars, self.buckets, self.heavy
+        steps, buckets, heavy = self.steps, self.buckets, self.heavy
+
+        def keep(key: tuple, docs: pa.Table) -> pa.Table:
+            lines = Lines(docs)
+            packed = _packed(np.array(lines.doc, dtype=np.int64), np.array(lines.line, dtype=np.int32), tail=b"\n".join(lines.distinct))
+            return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], ["block", "lines"])
 
-        def send(key: tuple, docs: pa.Table) -> pa.Table:
-            return _send(key[0].as_py(), Lines(docs, min_chars), threshold, buckets, heavy)
+        def first(key: tuple, store: pa.Table) -> pa.Table:
+            found, _, ref, _ = keys(_stored(store)[2], steps, heavy)
+            return offer(key[0].as_py(), places(found, buckets), ref)
+
+        def common(key: tuple, loads: pa.Table) -> pa.Table:
+            return wanted(key[0].as_py(), loads)
+
+        def send(key: tuple, store: pa.Table, answers: pa.Table) -> pa.Table:
+            doc, line, distinct = _stored(store)
+            return _send(key[0].as_py(), distinct, doc, line, answers, steps, buckets, heavy)
 
         def meet(key: tuple, loads: pa.Table) -> pa.Table:
-            return _meet(key[0].as_py(), loads, threshold, first_look)
+            return _meet(key[0].as_py(), loads, first_look, None, large)
 
         def meet_rest(key: tuple, loads: pa.Table, still: pa.Table) -> pa.Table:
             if not still.num_rows:
                 return pa.Table.from_batches([], pa.schema([(c, pa.int32()) for c in ("bucket", "block", "ref", "other_block", "other_ref")]))
-            return _meet(key[0].as_py(), loads, threshold, first_look, set(zip(still.column("block").to_pylist(), still.column("ref").to_pylist())))
+            return _meet(key[0].as_py(), loads, first_look, set(zip(still.column("block").to_pylist(), still.column("ref").to_pylist())), large)
 
-        sent = self.docs.groupBy("block").applyInArrow(send, "bucket int, block int, load binary")
+        # each block's distinct lines in one packed row, which is read again by all steps
+        self.store = self.docs.groupBy("block").applyInArrow(keep, "block int, lines binary")
+        offers = self.store.groupBy("block").applyInArrow(first, "bucket int, block int, load binary")
+        answers = offers.groupBy("bucket").applyInArrow(common, "to_block int, from_bucket int, bits binary")
+        sent = self.store.groupBy("block").cogroup(answers.groupBy("to_block")).applyInArrow(send, "bucket int, block int, load binary")
         met = sent.groupBy("bucket").applyInArrow(meet, MET)
         gone = self._near(met.where("other_block >= 0")).unionByName(met.where("other_block = -1").select("block", "ref")).distinct()
         still = met.where("other_block = -2").select("bucket", "block", "ref").distinct().join(gone, ["block", "ref"], "left_anti").select("bucket", "block", "ref")
@@ -290,46 +453,51 @@ class _Join:
         return gone.unionByName(self._near(rest)).distinct()
 
     def _near(self, met: DataFrame) -> DataFrame:
-        """block, ref of the lines that are near the candidate."""
-        threshold, min_chars = self.threshold, self.min_chars
-        pair = ["block", "ref", "other_block", "other_ref"]
-
-        def texts(docs: pa.Table, asked: pa.Table) -> pa.Table:
-            lines = Lines(docs, min_chars).distinct if asked.num_rows else []
-            return pa.table([*(asked.column(c) for c in (*pair, "side")), pa.array([lines[r] for r in asked.column("my_ref").to_pylist()], pa.string())], [*pair, "side", "line"])
-
-        def verify(batches):
-            for b in batches:
-                hit = [a is not None and o is not None and within(a, o, threshold) for a, o in zip(b.column("mine").to_pylist(), b.column("other").to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column("block"), b.column("ref")], ["block", "ref"]).filter(pa.array(hit, pa.bool_()))
-
-        sides = [F.struct(F.lit(i).alias("side"), F.col(b).alias("my_block"), F.col(r).alias("my_ref")) for i, (b, r) in enumerate((pair[:2], pair[2:]))]
-        asked = met.select(*pair).distinct().select(*pair, F.explode(F.array(*sides)).alias("x")).select(*pair, "x.*")
-        found = self.docs.groupBy("block").cogroup(asked.groupBy("my_block")).applyInArrow(texts, "block int, ref int, other_block int, other_ref int, side int, line string")
-        both = found.groupBy(*pair).agg(*[F.max(F.when(F.col("side") == i, F.col("line"))).alias(n) for i, n in enumerate(("mine", "other"))])
-        return both.mapInArrow(verify, "block int, ref int")
-
-
-def remove_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, first_look: int = FIRST_LOOK, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, one_in: int = LOOK_AT_ONE_IN) -> DataFrame:
+        """block, ref of the lines that are near a candidate."""
+        steps = self.steps
+
+        def ask(store: pa.Table, pairs: pa.Table) -> pa.Table:
+            """A line once for each block that has candidates of it, with their refs."""
+            refs: dict[tuple[int, int], set[int]] = {}
+            for r, to, other in zip(*(pairs.column(c).to_pylist() for c in ("ref", "other_block", "other_ref"))):
+                refs.setdefault((to, r), set()).add(other)
+            lines, block = (_stored(store)[2], pairs.column("block")[0].as_py()) if refs else ([], 0)
+            return pa.table(
+                [pa.array([to for to, _ in refs], pa.int32()), pa.array([block] * len(refs), pa.int32()), pa.array([r for _, r in refs], pa.int32()), pa.array([sorted(x) for x in refs.values()], pa.list_(pa.int32())), pa.array([lines[r] for _, r in refs], pa.binary())],
+                ["to_block", "block", "ref", "others", "line"],
+            )
+
+        def answer(store: pa.Table, asked: pa.Table) -> pa.Table:
+            lines = _stored(store)[2] if asked.num_rows else []
+            hit = [any(near(x, lines[o], steps) for o in others) for x, others in zip(asked.column("line").to_pylist(), asked.column("others").to_pylist())]
+            return asked.select(["block", "ref"]).filter(pa.array(hit, pa.bool_()))
+
+        asked = self.store.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(ask, "to_block int, block int, ref int, others array<int>, line binary")
+        return self.store.groupBy("block").cogroup(asked.groupBy("to_block")).applyInArrow(answer, "block int, ref int")
+
+
+def remove_lines(docs: DataFrame, steps: tuple[tuple[int, int], ...] = STEPS, first_look: int = FIRST_LOOK, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, one_in: int = LOOK_AT_ONE_IN, large: int = LARGE) -> DataFrame:
     """row (the columns of ``docs``), n_lines, n_removed, kept_text for every row of ``docs``."""
-    join = _Join(docs, threshold, min_chars, block_bytes, bucket_bytes, one_in)
-    dropped = join.dropped(first_look)
+    join = _Join(docs, steps, block_bytes, bucket_bytes, one_in)
+    dropped = join.dropped(first_look, large)
 
     def apply(docs: pa.Table, dropped: pa.Table) -> pa.Table:
-        lines = Lines(docs, min_chars)
-        gone, seen = set(dropped.column("ref").to_pylist()), set()
-        kept, removed = [], []
-        for rows, refs, text in zip(lines.rows, lines.refs, lines.docs.column("_text").to_pylist()):
+        lines = Lines(docs)
+        gone = np.zeros(len(lines.distinct) + 1, dtype=bool)  # one more for lines without words
+        gone[dropped.column("ref").to_numpy()] = True
+        seen, kept, removed = gone.tolist(), [], []
+        for text, refs in zip(lines.texts, lines.refs):
             out = []
-            for x, r in zip(rows, refs):
-                if r < 0 or (r not in gone and r not in seen):
-                    out.append(x)
+            for i, r in enumerate(refs):
+                if r < 0 or not seen[r]:
+                    out.append(i)
                     if r >= 0:
-                        seen.add(r)
-            kept.append(text if len(out) == len(rows) else "\n".join(out))
-            removed.append(len(rows) - len(out))
-        row = lines.docs.column("_row")
-        return pa.table([row, pa.array([len(x) for x in lines.rows], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_lines", "n_removed", "kept_text"])
+                        seen[r] = True
+            rows = text.split(b"\n") if len(out) < len(refs) else []
+            kept.append(text if len(out) == len(refs) else b"\n".join([rows[i] for i in out]))
+            removed.append(len(refs) - len(out))
+        sizes = pa.array([len(x) for x in lines.refs], pa.int64())
+        return pa.table([lines.docs.column("_row"), sizes, pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "n_lines", "n_removed", "kept_text"])
 
     schema = f"row {join.docs.schema['_row'].dataType.simpleString()}, n_lines long, n_removed long, kept_text string"
     return join.docs.groupBy("block").cogroup(dropped.groupBy("block")).applyInArrow(apply, schema)
