@@ -140,7 +140,9 @@ class Lines:
         for k, text in enumerate(self.texts):
             refs = []
             for i, x in enumerate(text.split(b"\n") if text is not None else ()):
-                x = b" ".join(x.split())
+                x = x.strip()
+                if b"  " in x or b"\t" in x or b"\r" in x or b"\v" in x or b"\f" in x:
+                    x = b" ".join(x.split())
                 if not x:
                     refs.append(-1)
                     continue
