@@ -115,11 +115,14 @@ def top_k_inner(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     rings = [(r["cell"], r["far"], r["rows"]) for r in cells.groupBy("cell", "ring").agg(F.max("far").alias("far"), F.count("*").alias("rows")).collect()]
     used = sorted({c for c, _, _ in rings if c >= 0})
 
+    # no more groups of queries than blocks of them: a row is copied once for each group that may need it
+    groups = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+
     def to_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query with its group, the nearest pivot, and for each cell the least distance at which a row matters."""
+        """Each query with its group, the nearest of the first pivots, and for each cell the least distance at which a row matters."""
         for b in batches:
             rows = _matrix(b.column("v"))
-            group, _ = _near(rows, pivots)
+            group, _ = _near(rows, pivots[:groups])
             need = []
             for q in rows:
                 q_ = q.astype(np.float64)
