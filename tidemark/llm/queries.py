@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, gru_lm, licenses, lines, packing, quality, simhash, substring, toxicity, vector_topk
+from tidemark.llm import decontaminate, gru_lm, licenses, lines, packing, quality, simhash, substring, toxicity, vector_codes, vector_topk
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_gru_lm": gru_lm.op8_gru_lm,
     "op9_line_edit_join": lines.op9_line_edit_join,
     "op10_string_tiling": decontaminate.op10_string_tiling,
+    "op11_annular_codes": vector_codes.op11_annular_codes,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_license_join": licenses.OP4_SQL,
     "op5_superkmer_dedup": substring.OP5_SQL,
     "op7_voronoi_topk": vector_topk.OP7_SQL,
+    "op11_annular_codes": vector_codes.OP11_SQL,
 }
