@@ -62,17 +62,14 @@ class Annulus:
         self.norms, self.wide = norms[self.order], wide
         self.sorted = entries[self.order]
 
-    def _exact(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Squared distances of ``rows`` from the entries at places ``at``."""
-        gap = rows - self.sorted[at]
-        return np.einsum("ij,ij->i", gap, gap)
-
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Index of the nearest entry (ties: the lower), its squared distance, and the number of distances evaluated."""
         m, k = len(rows), len(self.entries)
         reach = 2 * max(self.most, int(np.abs(rows).max()) if rows.size else 0)
         if reach * reach * max(1, self.wide) >= LIMIT:
             raise OverflowError("vector codes: a component, sum or squared distance doesn't fit into 64 bits")
+        kind = np.int32 if reach * reach * max(1, self.wide) < 1 << 31 else np.int64
+        entries, small = self.sorted.astype(kind), rows.astype(kind)
         norm = np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
         code, far = np.full(m, k, dtype=np.int64), np.full(m, np.iinfo(np.int64).max)
         left = np.clip(np.searchsorted(self.norms, norm) - FIRST // 2, 0, max(0, k - FIRST))
@@ -82,7 +79,7 @@ class Annulus:
             # left and right of what has been evaluated, as far as the current best distance allows
             to_left, to_right = np.maximum(low[open_], left[open_] - (step if tried else 0)), np.minimum(high[open_], right[open_] + step)
             for begin, end in ((to_left, left[open_]), (right[open_], to_right)):
-                tried += self._evaluate(rows, open_, begin, end, code, far)
+                tried += self._evaluate(small, entries, open_, begin, end, code, far)
             left[open_], right[open_] = np.minimum(to_left, left[open_]), np.maximum(to_right, right[open_])
             radius = np.sqrt(far[open_].astype(np.float64))
             slack = 1e-9 * (norm[open_] + radius + 1)  # more than any rounding of the norms: the ends are inside
@@ -92,7 +89,7 @@ class Annulus:
             step *= 2
         return code, far, tried
 
-    def _evaluate(self, rows: np.ndarray, which: np.ndarray, begin: np.ndarray, end: np.ndarray, code: np.ndarray, far: np.ndarray) -> int:
+    def _evaluate(self, rows: np.ndarray, entries: np.ndarray, which: np.ndarray, begin: np.ndarray, end: np.ndarray, code: np.ndarray, far: np.ndarray) -> int:
         """Takes the entries from place ``begin`` to ``end`` of each row of ``which`` into ``code`` and ``far``; the number of distances."""
         some = end > begin
         which, begin, spans = which[some], begin[some], (end - begin)[some]
@@ -101,7 +98,9 @@ class Annulus:
             n, own = spans[a:b], which[a:b]
             starts = np.cumsum(n) - n
             at = np.arange(int(n.sum())) - np.repeat(starts, n) + np.repeat(begin[a:b], n)
-            d = self._exact(rows[np.repeat(own, n)], at)
+            gap = np.repeat(rows[own], n, axis=0)
+            gap -= entries[at]
+            d = np.einsum("ij,ij->i", gap, gap)
             least = np.minimum.reduceat(d, starts)
             index = np.minimum.reduceat(np.where(d == np.repeat(least, n), self.order[at], len(self.order)), starts)
             code[own] = np.where(least < far[own], index, np.where(least == far[own], np.minimum(index, code[own]), code[own]))
