@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, gru_lm, licenses, lines, packing, quality, secrets, simhash, substring, toxicity, vector_codes, vector_topk
+from tidemark.llm import conversations, decontaminate, gru_lm, licenses, lines, packing, quality, secrets, simhash, substring, toxicity, vector_codes, vector_topk
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_gru_lm": gru_lm.op8_gru_lm,
     "op9_line_edit_join": lines.op9_line_edit_join,
     "op10_string_tiling": decontaminate.op10_string_tiling,
-    "op12_secret_cnn": secrets.op12_secret_cnn,
     "op11_annular_codes": vector_codes.op11_annular_codes,
+    "op12_secret_cnn": secrets.op12_secret_cnn,
+    "op13_dijkstra_repair": conversations.op13_dijkstra_repair,
 }
 
 ORACLE_SQL = {
