@@ -51,7 +51,7 @@ WITH e(poly_id, x1, y1, x2, y2) AS (VALUES {_edge_rows()}), g AS (SELECT r.row,
 u AS (SELECT poly_id, row, col FROM g JOIN e ON (y1 > row + 0.5) <> (y2 > row + 0.5) AND col + 0.5 < (x2 - x1) * (row + 0.5 - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
 f AS (SELECT DISTINCT o_orderpriority AS day, CAST(floor(o_totalprice / 5000) AS BIGINT) AS col, CAST(floor(CAST(o_orderkey % 5000 AS DOUBLE) / 100) AS BIGINT) AS row FROM orders),
 n AS (SELECT poly_id, count(*) AS n FROM u GROUP BY 1), w AS (SELECT poly_id, day, count(*) AS w FROM u JOIN f USING (row, col) GROUP BY ALL)
-SELECT poly_id, day, w * 0.25 AS area, round(w / n, 6) AS share FROM w JOIN n USING (poly_id)
+SELECT poly_id, day, CAST(w * 0.25 AS DOUBLE) AS area, round(w / n, 6) AS share FROM w JOIN n USING (poly_id)
 """)
 def q_area_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of each unit under each day's flood, by common cells."""

@@ -31,7 +31,7 @@ def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UNINFORMATIVE = f"""(trim(lower(coalesce(category, ''))) IN ('', 'nan', 'none', 'null') OR (NOT {_sql_any("lower(coalesce(category, ''))", normalise.WORK_WORDS)}
-  AND (regexp_matches(trim(lower(coalesce(category, ''))), '^({"|".join(normalise.FUND_BEGINNINGS)})') OR regexp_matches(trim(lower(coalesce(category, ''))), '\\b({"|".join(normalise.FUND_WORDS)})\\b'))))"""
+  AND (regexp_matches(trim(lower(coalesce(category, ''))), '{normalise.FUND_BEGINNING}') OR regexp_matches(trim(lower(coalesce(category, ''))), '{normalise.FUND_WORD}'))))"""
 
 
 @query(f"""

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources import splits
+
 _POSITION = "array<double>"
 _GEOMETRY = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType()), T.StructField("geometries", T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])))])
 
@@ -43,33 +45,59 @@ def _polygon_rings(kind: Column, coordinates: Column) -> Column:
     return F.when(kind == "Polygon", _points(coordinates, 2)).when(kind == "MultiPolygon", F.flatten(_points(coordinates, 3))).otherwise(none)
 
 
-def geojson(spark: SparkSession, path: str, properties: T.StructType, meta: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
-    """(meta, features) of FeatureCollections; a missing file is a layer without features.
+def _documents(spark: SparkSession, path: str, key: str, root: T.StructType, element: T.DataType, box: tuple[float, float, float, float] | None = None, match: tuple[list[str], str] | None = None, range_bytes: int = splits.RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(doc, elements): the members ``root`` of JSON documents, and seq, e of the elements of their array ``key``; large files are read by many tasks.
+
+    Where only Spark can open the files, each is read by one task, and box and match don't apply.
+    """
+    if missing(spark, path):
+        return spark.createDataFrame([], root), spark.createDataFrame([], T.StructType([T.StructField("seq", T.LongType()), T.StructField("e", element)]))
+    files = splits.files_of(spark, path)
+    if files is None:
+        doc = spark.read.schema(T.StructType([*root.fields, T.StructField(key, T.ArrayType(element))])).option("multiLine", True).json(path)
+        return doc.drop(key), doc.select(F.posexplode(key).alias("seq", "e")).withColumn("seq", F.col("seq").cast("long"))
+    rest, elements = splits.json_array(spark, files, key, box, match, range_bytes)
+    return rest.select(F.from_json("element", root).alias("d")).select("d.*"), elements.select("seq", F.from_json("element", element).alias("e"))
+
+
+def in_box(points: Column, box: tuple[float, float, float, float]) -> Column:
+    """Whether the extent of points (array<struct<x,y>>) reaches into west, south, east, north."""
+    west, south, east, north = box
+    end = lambda f, c: f(F.transform(points, lambda p: p[c]))
+    return (end(F.array_min, "x") <= east) & (end(F.array_max, "x") >= west) & (end(F.array_min, "y") <= north) & (end(F.array_max, "y") >= south)
+
+
+def geojson(spark: SparkSession, path: str, properties: T.StructType, meta: T.StructType | None = None, box: tuple[float, float, float, float] | None = None, range_bytes: int = splits.RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(meta, features) of FeatureCollections; a missing file is a layer without features. A file is read in ranges, by many tasks.
 
     features: seq, the properties, geometry_type, point, line (points of a LineString or of all parts) and rings (of the polygonal parts of any
-    geometry, also of a GeometryCollection; other parts are dropped).
+    geometry, also of a GeometryCollection; other parts are dropped). ``box`` (west, south, east, north) keeps the features whose extent
+    reaches into it; the readers apply it before a row is made.
     """
     feature = T.StructType([T.StructField("properties", properties), T.StructField("geometry", _GEOMETRY)])
-    schema = T.StructType([T.StructField("_meta", meta or T.StructType([T.StructField("scan_status", T.StringType())])), T.StructField("features", T.ArrayType(feature))])
-    doc = json_or_empty(spark, path, schema, multi_line=True)
-    f = doc.select(F.posexplode("features").alias("seq", "f")).select("seq", "f.*").where("geometry is not null")
+    root = T.StructType([T.StructField("_meta", meta or T.StructType([T.StructField("scan_status", T.StringType())]))])
+    doc, features = _documents(spark, path, "features", root, feature, box, range_bytes=range_bytes)
+    f = features.select("seq", "e.*").where("geometry is not null")
     kind, xy = F.col("geometry.type"), F.col("geometry.coordinates")
     parts = F.flatten(F.transform("geometry.geometries", lambda g: _polygon_rings(g["type"], g["coordinates"])))
-    return doc.select("_meta.*"), f.select(
+    shaped = f.select(
         "seq", "properties.*", kind.alias("geometry_type"), F.when(kind == "Point", _points(xy, 0)).alias("point"),
         F.when(kind == "LineString", _points(xy, 1)).when(kind == "MultiLineString", F.flatten(_points(xy, 2))).alias("line"),
         F.when(kind == "GeometryCollection", parts).otherwise(_polygon_rings(kind, xy)).alias("rings"),
     )
+    return doc.select("_meta.*"), shaped
 
 
-def roads(spark: SparkSession, path: str, classes: str = r"^(motorway|trunk|primary)(_link)?$") -> DataFrame:
-    """osm_id, highway, ref, name, coords of the ways of a road network export with at least two vertices and a class that matches."""
+def roads(spark: SparkSession, path: str, classes: str = r"^(motorway|trunk|primary)(_link)?$", box: tuple[float, float, float, float] | None = None, range_bytes: int = splits.RANGE_BYTES) -> DataFrame:
+    """osm_id, highway, ref, name, coords of the ways of a road network export with at least two vertices, a class that matches and, with
+    ``box`` (west, south, east, north), an extent that reaches into it. The readers apply class and box before a row is made."""
     node = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
     tags = T.StructType([T.StructField(n, T.StringType()) for n in ("highway", "ref", "name")])
     element = T.StructType([T.StructField("type", T.StringType()), T.StructField("id", T.LongType()), T.StructField("tags", tags), T.StructField("geometry", T.ArrayType(node))])
-    e = json_or_empty(spark, path, T.StructType([T.StructField("elements", T.ArrayType(element))]), multi_line=True).select(F.explode("elements").alias("e")).select("e.*")
-    kept = e.where((F.col("type") == "way") & (F.size("geometry") >= 2) & F.col("tags.highway").rlike(classes))
-    return kept.select(F.col("id").alias("osm_id"), F.col("tags.highway").alias("highway"), F.coalesce("tags.ref", F.lit("")).alias("ref"), F.coalesce("tags.name", F.lit("")).alias("name"), F.transform("geometry", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("coords"))
+    _, found = _documents(spark, path, "elements", T.StructType([T.StructField("version", T.StringType())]), element, box, (["tags", "highway"], classes), range_bytes)
+    kept = found.select("e.*").where((F.col("type") == "way") & (F.size("geometry") >= 2) & F.col("tags.highway").rlike(classes))
+    out = kept.select(F.col("id").alias("osm_id"), F.col("tags.highway").alias("highway"), F.coalesce("tags.ref", F.lit("")).alias("ref"), F.coalesce("tags.name", F.lit("")).alias("name"), F.transform("geometry", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("coords"))
+    return out if box is None else out.where(in_box(F.col("coords"), box))
 
 
 def latest_frame(manifest: Column) -> Column:
