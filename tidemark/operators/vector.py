@@ -60,34 +60,30 @@ def length_inside(segs: DataFrame, edge: DataFrame, key: str, poly: str = "poly_
     return inside_pieces(segs, edge, key, poly, tile).groupBy(key).agg(F.sum((F.col("b") - F.col("a")) * F.col("len")).alias("inside_len"))
 
 
-def near_part(ax: Column, ay: Column, dx: Column, dy: Column, cx: Column, cy: Column, ex: Column, ey: Column, metres: float) -> Column:
-    """struct(lo, hi): the t for which a + t d is at most ``metres`` from the segment from c to c + e; NULLs if there are none.
+def near_parts(pairs: DataFrame, metres: float) -> DataFrame:
+    """``pairs`` (x1, y1, x2, y2 and ex1, ey1, ex2, ey2) with lo, hi: the part of the first segment (0 to 1, or beyond) that is at most
+    ``metres`` from the second; NULLs if there is none.
 
     What is that near forms a disc at either end and a strip between them. The three are convex as one, so the parts of a line
     in each of them, the roots of a quadratic and of linear functions, make one interval.
     """
+    c = F.col
     inf = F.lit(float("inf"))
-
-    def disc(qx: Column, qy: Column) -> tuple[Column, Column]:
-        a, b, c = dx * dx + dy * dy, (ax - qx) * dx + (ay - qy) * dy, (ax - qx) * (ax - qx) + (ay - qy) * (ay - qy) - metres * metres
-        root = F.when(b * b - a * c >= 0, F.sqrt(F.greatest(F.lit(0.0), b * b - a * c)))
-        return F.try_divide(-b - root, a), F.try_divide(-b + root, a)
-
-    def between(f0: Column, f1: Column, low: Column, high: Column) -> tuple[Column, Column]:
-        one, two = F.try_divide(low - f0, f1), F.try_divide(high - f0, f1)
-        flat = (f0 >= low) & (f0 <= high)
-        return F.when(f1 == 0, F.when(flat, -inf)).otherwise(F.least(one, two)), F.when(f1 == 0, F.when(flat, inf)).otherwise(F.greatest(one, two))
-
-    size = F.hypot(ex, ey)
-    ux, uy = F.try_divide(ex, size), F.try_divide(ey, size)
-    across = between((ax - cx) * uy - (ay - cy) * ux, dx * uy - dy * ux, F.lit(-metres), F.lit(metres))
-    along = between((ax - cx) * ux + (ay - cy) * uy, dx * ux + dy * uy, F.lit(0.0), size)
+    over = lambda x, y: F.when(y != 0, x / y)
+    # steps of their own, so that no expression is written out several times
+    d = pairs.withColumns({"_dx": c("x2") - c("x1"), "_dy": c("y2") - c("y1"), "_ex": c("ex2") - c("ex1"), "_ey": c("ey2") - c("ey1"), "_px": c("x1") - c("ex1"), "_py": c("y1") - c("ey1"), "_qx": c("x1") - c("ex2"), "_qy": c("y1") - c("ey2")})
+    d = d.withColumns({"_a": c("_dx") * c("_dx") + c("_dy") * c("_dy"), "_size": F.hypot("_ex", "_ey"), **{f"_b{n}": c(f"_{n}x") * c("_dx") + c(f"_{n}y") * c("_dy") for n in "pq"}})
+    d = d.withColumns({**{f"_r{n}": c(f"_b{n}") * c(f"_b{n}") - c("_a") * (c(f"_{n}x") * c(f"_{n}x") + c(f"_{n}y") * c(f"_{n}y") - metres * metres) for n in "pq"}, "_ux": over(c("_ex"), c("_size")), "_uy": over(c("_ey"), c("_size"))})
+    d = d.withColumns({**{f"_s{n}": F.when(c(f"_r{n}") >= 0, F.sqrt(f"_r{n}")) for n in "pq"}, "_f": c("_px") * c("_uy") - c("_py") * c("_ux"), "_df": c("_dx") * c("_uy") - c("_dy") * c("_ux"), "_g": c("_px") * c("_ux") + c("_py") * c("_uy"), "_dg": c("_dx") * c("_ux") + c("_dy") * c("_uy")})
+    d = d.withColumns({
+        **{f"_{n}{e}": F.when(c(f"_d{n}") == 0, F.when((c(f"_{n}") >= low) & (c(f"_{n}") <= high), -inf if e == 0 else inf)).otherwise(over((low if e == 0 else high) - c(f"_{n}"), c(f"_d{n}"))) for n, low, high in (("f", F.lit(-metres), F.lit(metres)), ("g", F.lit(0.0), c("_size"))) for e in (0, 1)},
+        **{f"_{n}{e}": over(-c(f"_b{n}") + (c(f"_s{n}") if e else -c(f"_s{n}")), c("_a")) for n in "pq" for e in (0, 1)},
+    })
     # greatest() and least() pass over NULLs, which here mean that nothing is inside
-    some = across[0].isNotNull() & along[0].isNotNull()
-    low, high = F.when(some, F.greatest(across[0], along[0])), F.when(some, F.least(across[1], along[1]))
-    strip = (F.when(low <= high, low), F.when(low <= high, high))
-    parts = [disc(cx, cy), disc(cx + ex, cy + ey), strip]
-    return F.struct(F.least(*[p[0] for p in parts]).alias("lo"), F.greatest(*[p[1] for p in parts]).alias("hi"))
+    some = c("_f0").isNotNull() & c("_g0").isNotNull()
+    d = d.withColumns({"_lo": F.when(some, F.greatest(F.least("_f0", "_f1"), F.least("_g0", "_g1"))), "_hi": F.when(some, F.least(F.greatest("_f0", "_f1"), F.greatest("_g0", "_g1")))})
+    d = d.withColumns({"_on": c("_lo") <= c("_hi")})
+    return d.select(*pairs.columns, F.least("_p0", "_q0", F.when(c("_on"), c("_lo"))).alias("lo"), F.greatest("_p1", "_q1", F.when(c("_on"), c("_hi"))).alias("hi"))
 
 
 def length_within(segs: DataFrame, edge: DataFrame, key: str, metres: float, poly: str = "poly_id", tile: float = 1000.0, inside_parts: DataFrame | None = None) -> DataFrame:
@@ -96,9 +92,8 @@ def length_within(segs: DataFrame, edge: DataFrame, key: str, metres: float, pol
     inside_parts: inside_pieces() of the same lines, if the caller has them. Parts of a segment are united in the order in which
     they begin, by a window over the segment's parts.
     """
-    part = near_part(*[F.col(c) for c in ("x1", "y1")], F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), *[F.col(c) for c in ("ex1", "ey1")], F.col("ex2") - F.col("ex1"), F.col("ey2") - F.col("ey1"), metres)
-    near = _meet(segs, edge, key, tile, metres).select(key, "seg", part.alias("p"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("len"))
-    near = near.select(key, "seg", F.greatest(F.lit(0.0), "p.lo").alias("a"), F.when(F.col("p.hi").isNotNull(), F.least(F.lit(1.0), "p.hi")).alias("b"), "len").where("a < b")
+    near = near_parts(_meet(segs, edge, key, tile, metres), metres)
+    near = near.select(key, "seg", F.greatest(F.lit(0.0), "lo").alias("a"), F.when(F.col("hi").isNotNull(), F.least(F.lit(1.0), "hi")).alias("b"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("len")).where("a < b")
     both = near.unionByName(inside_parts if inside_parts is not None else inside_pieces(segs, edge, key, poly, tile)).distinct()
     before = Window.partitionBy(key, "seg").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     fresh = both.withColumn("reached", F.coalesce(F.max("b").over(before), F.lit(0.0)))
