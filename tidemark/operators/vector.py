@@ -93,7 +93,9 @@ def length_within(segs: DataFrame, edge: DataFrame, key: str, metres: float, pol
     they begin, by a window over the segment's parts.
     """
     near = near_parts(_meet(segs, edge, key, tile, metres), metres)
-    near = near.select(key, "seg", F.greatest(F.lit(0.0), "lo").alias("a"), F.when(F.col("hi").isNotNull(), F.least(F.lit(1.0), "hi")).alias("b"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("len")).where("a < b")
+    # the number keeps the filter here: pushed down, it would write the whole interval out several times
+    kept = [F.greatest(F.lit(0.0), "lo").alias("a"), F.when(F.col("hi").isNotNull(), F.least(F.lit(1.0), "hi")).alias("b"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("len"), F.monotonically_increasing_id().alias("_n")]
+    near = near.select(key, "seg", *kept).where("a < b and _n >= 0").drop("_n")
     both = near.unionByName(inside_parts if inside_parts is not None else inside_pieces(segs, edge, key, poly, tile)).distinct()
     before = Window.partitionBy(key, "seg").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     fresh = both.withColumn("reached", F.coalesce(F.max("b").over(before), F.lit(0.0)))
