@@ -51,6 +51,15 @@ def test_language_model_base_and_gain(spark):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in out)
 
 
+def test_tied_counts_fill_the_table(spark):
+    """The most frequent words, ties by their bytes, whatever their counts have in common."""
+    counts = [(f"w{i:02}".encode(), 1) for i in range(40)] + [(f"x{i}".encode(), 5) for i in range(3)]
+    df = spark.createDataFrame(counts, "word binary, c long").repartition(3)
+    for room in (2, 30, 43, 50):
+        v = gru_lm.vocabulary(df, table_words=room)
+        assert list(v.words) == [w for w, _ in sorted(counts, key=lambda r: (-r[1], r[0]))][:room] and (v.total, v.base_mass) == (55, 55 + 0.5 * 44)
+
+
 def test_language_model_is_a_distribution():
     words = [b"w%d" % i for i in range(50)]
     v = gru_lm.Vocabulary(words, list(range(50, 0, -1)), 1275, 50, {gru_lm.ending(w): (0, 0) for w in words}, 20)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import vector_topk
@@ -37,3 +38,17 @@ def test_one_id_in_seven_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_topk.top_k_inner(vector_topk.quantized(df, "vec_id", "embedding"), F.col("id") % 50 == 0, 5).count() == 0
+
+
+@pytest.mark.parametrize("large", [1e30, 1e10])
+def test_numbers_beyond_64_bits_are_an_error(spark, large):
+    rows = [(50, [large, 1.0]), (51, [large, 2.0]), (52, [0.0, 1.0])]
+    vectors = vector_topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    with pytest.raises(Exception, match="doesn't fit into 64 bits"):
+        vector_topk.top_k_inner(vectors, F.col("id") % 50 == 0, 5).collect()
+
+
+def test_large_components_with_scores_that_fit(spark):
+    rows = [(50, [3e5, 1.0, -2e5]), (51, [4e5, 2.0, 1.0]), (52, [-1e5, 1.0, 5e5]), (100, [7.0, -7e5, 1.0])]
+    vectors = vector_topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    assert sorted(map(tuple, vector_topk.top_k_inner(vectors, F.col("id") % 50 == 0, 5).collect())) == brute([(i, [int(256 * x) for x in v]) for i, v in rows])

@@ -264,16 +264,19 @@ def outputs_for(distinct: int) -> int:
 
 
 def vocabulary(counts: DataFrame, outputs: int | None = None, table_words: int = TABLE) -> Vocabulary:
-    """The frequent words (at most ``table_words``, by count) and the statistics of all words."""
+    """The frequent words (at most ``table_words``, by count, then by their bytes) and the statistics of all words."""
     band = F.floor(F.log2("c") * 8)
-    total, distinct, left, least = 0, 0, table_words, 0
+    total, distinct, taken, least, cut_band = 0, 0, 0, math.inf, None
     for r in sorted(counts.groupBy(band.alias("band")).agg(F.count("*").alias("words"), F.sum("c").alias("tokens")).collect(), key=lambda r: -r["band"]):
-        total, distinct, left = total + r["tokens"], distinct + r["words"], left - r["words"]
-        least = r["band"] if left >= 0 else least
-        if left < 0:
-            left = -1
-            least = max(least, r["band"] + 1)
-    found = counts.where(band >= least).select("word", "c").toArrow()
+        total, distinct = total + r["tokens"], distinct + r["words"]
+        if cut_band is None and taken + r["words"] <= table_words:
+            taken, least = taken + r["words"], r["band"]
+        elif cut_band is None:
+            cut_band = r["band"]
+    found = counts.where(band >= least).select("word", "c") if taken else counts.limit(0).select("word", "c")
+    if cut_band is not None and taken < table_words:  # the band that doesn't fit whole, by count and word
+        found = found.unionByName(counts.where(band == cut_band).select("word", "c").orderBy(F.desc("c"), "word").limit(table_words - taken))
+    found = found.toArrow()
     frequent = sorted(zip((-c for c in found.column("c").to_pylist()), found.column("word").to_pylist()))
 
     def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

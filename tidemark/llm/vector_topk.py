@@ -15,7 +15,8 @@ A query's own row takes no part in its answer, once; other rows of the same id d
 is a query with an answer of its own.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null id, take no part;
-vectors are compared with those of their own length only; an empty table gives no rows.
+vectors are compared with those of their own length only; an empty table gives no rows. Components and scores must fit into 64 bits
+after scaling: larger ones raise an error that says so, and nothing is rounded or wrapped around.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, table
 
 LEAST_PIVOTS, MOST_PIVOTS, QUERY_BLOCK, CHUNK, SCORES = 16, 256, 2048, 16_384, 1 << 22
+LIMIT, TOO_LARGE = 1 << 62, "top-k search: a component or score doesn't fit into 64 bits"
 
 
 def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
     """id, v: floor(scale * component) as long, of the vectors that take part."""
+    size = lambda x: F.floor(F.when(F.abs(x.cast("double") * scale) >= float(LIMIT), F.raise_error(F.lit(TOO_LARGE)).cast("double")).otherwise(x.cast("double") * scale))
     usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.coalesce(F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
-    return df.where(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    return df.where(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, size).alias("v"))
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray]:
@@ -74,7 +77,10 @@ def _near(vectors: list[np.ndarray], pivots: list[np.ndarray]) -> tuple[np.ndarr
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products of integer rows."""
     if q.size and x.size and int(np.abs(q).max()) * int(np.abs(x).max()) * q.shape[1] >= 1 << 53:
-        return (q.astype(object) @ x.astype(object).T).astype(np.int64)
+        exact = q.astype(object) @ x.astype(object).T
+        if max(exact.max(), -exact.min()) >= 1 << 63:
+            raise OverflowError(TOO_LARGE)
+        return exact.astype(np.int64)
     return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
 
 
