@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import tiles
 from tidemark.sources.shared import cut
 
 
@@ -42,29 +43,6 @@ def square(r: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1)]
 
 
-def focal(cells: DataFrame, offsets: list[tuple[int, int]], aggregates: list[Column], band: str = "v") -> DataFrame:
-    """row, col and aggregates of ``band`` over the neighbourhood of each cell (NULLs take no part).
-
-    Each cell is copied to the cells that it is a neighbour of, and grouped there: one shuffle of rows times offsets, with partial
-    aggregation where an aggregate allows it. Cells that only have neighbours don't appear.
-    """
-    moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
-    moved = cells.select("row", "col", band, F.explode(moves).alias("m"))
-    spread = moved.select((F.col("row") + F.col("m.i")).alias("row"), (F.col("col") + F.col("m.j")).alias("col"), band, ((F.col("m.i") == 0) & (F.col("m.j") == 0)).alias("_own"))
-    return spread.groupBy("row", "col").agg(F.max("_own").alias("_own"), *aggregates).where("_own").drop("_own")
-
-
-def slope_degrees(cells: DataFrame, size: float, band: str = "elevation") -> DataFrame:
-    """row, col, slope from the gradients between the four neighbours; NULL at the edge."""
-    side = lambda i, j: F.max(F.when((F.col("_i") == i) & (F.col("_j") == j), F.col(band)))
-    moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
-    moved = cells.select("row", "col", band, F.explode(moves).alias("m"))
-    spread = moved.select((F.col("row") + F.col("m.i")).alias("row"), (F.col("col") + F.col("m.j")).alias("col"), band, F.col("m.i").alias("_i"), F.col("m.j").alias("_j"))
-    g = spread.groupBy("row", "col").agg(side(0, 0).alias("own"), side(1, 0).alias("n"), side(-1, 0).alias("s"), side(0, 1).alias("w"), side(0, -1).alias("e")).where("own is not null")
-    dx, dy = (F.col("e") - F.col("w")) / (2 * size), (F.col("s") - F.col("n")) / (2 * size)
-    return g.select("row", "col", F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"))
-
-
 def components(cells: DataFrame) -> DataFrame:
     """row, col, component, size of 8-connected cells (row, col); component is its smallest (row, col) as a struct.
 
@@ -98,8 +76,8 @@ def flood_cells(cells: DataFrame, threshold: Column, least_size: int = 12, focal
     yes = lambda c: F.coalesce(c, F.lit(False))
     raw = yes(F.col("vh") < threshold) & yes(F.col("vh") - F.col("base_vh") < -1.0) & ~yes(F.col("perm")) & yes(F.col("slope") < 5.0) & yes(F.col("plausible"))
     marked = cells.select("row", "col", F.when(raw, 1.0).otherwise(0.0).alias("v"))
-    mean = focal(marked, square(1), [F.avg("v").alias("m")]).select("row", "col", F.when(F.col("m") > focal_share, 1).otherwise(0).alias("v"))
-    mode = focal(mean, disc(1), [F.avg("v").alias("m")]).where("m > 0.5").select("row", "col")
+    mean = tiles.focal(marked, square(1), ["mean"]).select("row", "col", F.when(F.col("mean") > focal_share, 1.0).otherwise(0.0).alias("v"))
+    mode = tiles.focal(mean, disc(1), ["mean"]).where("mean > 0.5").select("row", "col")
     kept = mode.join(cells.where(~yes(F.col("perm")) & yes(F.col("plausible"))).select("row", "col"), ["row", "col"], "left_semi")
     return components(kept).where(F.col("size") >= least_size).select("row", "col", "size")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import raster
+from tidemark.operators import raster, tiles
 
 RAILS = (-24.0, -14.0)
 
@@ -18,7 +18,7 @@ def threshold(cells: DataFrame, rails: tuple[float, float] = RAILS) -> DataFrame
 
 def detect(cells: DataFrame, least_size: int = 12) -> DataFrame:
     """row, col, size of flooded cells of (row, col, vh, base_vh, perm, slope, plausible)."""
-    smooth = raster.focal(cells.select("row", "col", "vh"), raster.disc(1), [F.median("vh").alias("vh")], "vh")
+    smooth = tiles.focal(cells.select("row", "col", "vh"), raster.disc(1), ["median"], "vh").withColumnRenamed("median", "vh")
     ready = cells.drop("vh").join(smooth, ["row", "col"])
     one = F.broadcast(threshold(ready))  # a single row by construction
     return raster.flood_cells(ready.join(one, F.lit(True)), F.col("threshold"), least_size)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bands
-from tidemark.operators import gates, ranking, raster
+from tidemark.operators import gates, ranking, raster, tiles
 from tidemark.plans import rainfall
 from tidemark.queries.base import query, table
 
@@ -97,7 +97,8 @@ SELECT row, col, round(avg(v), 6) AS mean, round(median(v), 6) AS median, count(
 """)
 def q_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and median of the neighbourhood."""
-    return raster.focal(_cells(spark, sf_dir), raster.square(1), [F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"), F.count("v").alias("n")])
+    found = tiles.focal(_cells(spark, sf_dir), raster.square(1), ["mean", "median", "count"], size=64)
+    return found.select("row", "col", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.col("count").alias("n"))
 
 
 @query(f"""
@@ -107,7 +108,7 @@ SELECT row, col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) AS slope FROM
 """)
 def q_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slope from the four neighbours."""
-    return raster.slope_degrees(_cells(spark, sf_dir), 30.0, "v").where("slope is not null").select("row", "col", F.round("slope", 6).alias("slope"))
+    return tiles.slope_degrees(_cells(spark, sf_dir), 30.0, "v", 64).where("slope is not null").select("row", "col", F.round("slope", 6).alias("slope"))
 
 
 @query(f"""
@@ -125,16 +126,18 @@ def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH c AS ({_CELLS}), p AS (SELECT row, avg(v) AS occ FROM c GROUP BY row)
-SELECT count(*) FILTER (WHERE occ >= 11 OR col % 24 = 0) AS permanent, count(*) FILTER (WHERE v < 5 AND NOT (occ >= 11 OR col % 24 = 0)) AS flooded, count(*) FILTER (WHERE v < 5 AND (row < 100 AND (col < 400 OR occ >= 10))) AS plausible FROM c JOIN p USING (row)
+SELECT count(*) FILTER (WHERE occ * 5 >= 50 OR col % 24 = 0) AS permanent, count(*) FILTER (WHERE v < 5 AND NOT (occ * 5 >= 50 OR col % 24 = 0)) AS flooded, count(*) FILTER (WHERE v < 5 AND row / 40.0 < 5) AS standing, count(*) FILTER (WHERE v < 5 AND (row / 40.0 < 3 AND (col / 10.0 < 30 OR occ >= 10.5))) AS plausible FROM c JOIN p USING (row)
 """)
 def q_mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masks as conditions on aligned cells."""
+    """Permanent water and terrain masks on aligned cells."""
     c = _cells(spark, sf_dir)
     j = c.join(c.groupBy("row").agg(F.avg("v").alias("occ")), "row")
-    perm = (F.col("occ") >= 11) | (F.col("col") % 24 == 0)
-    plausible = (F.col("row") < 100) & ((F.col("col") < 400) | (F.col("occ") >= 10))
+    perm = tiles.permanent_water(F.col("occ") * 5, F.when(F.col("col") % 24 == 0, 1))
+    slope = F.col("row") / 40.0
+    plausible = tiles.flood_plausible(slope, F.col("col") / 10.0, F.when(F.col("occ") >= 10.5, F.col("occ")).otherwise(F.lit(None).cast("double")))
     n = lambda x: F.sum(F.when(x, 1).otherwise(0)).cast("long")
-    return j.agg(n(perm).alias("permanent"), n((F.col("v") < 5) & ~perm).alias("flooded"), n((F.col("v") < 5) & plausible).alias("plausible"))
+    dark = F.col("v") < 5
+    return j.agg(n(perm).alias("permanent"), n(dark & ~perm).alias("flooded"), n(dark & tiles.slope_ok(slope)).alias("standing"), n(dark & plausible).alias("plausible"))
 
 
 @query("""
@@ -156,9 +159,20 @@ def q_zonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.groupBy("zone").agg(F.round(F.sum("v"), 3).alias("total"), F.max("v").alias("peak"), F.round(F.avg("v"), 6).alias("mean"), F.sum(F.when(F.col("v") >= 12, 1).otherwise(0)).cast("long").alias("wet"), F.min_by("v", F.col("row") * 10000 + F.col("col")).alias("first"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE c AS ({_CELLS}), b AS (SELECT row, median(v) - 20 AS base_vh FROM c GROUP BY row), o AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM range(-1, 2) a(i), range(-1, 2) b(j)),
+s AS (SELECT c.row, c.col, median(x.v - 25) AS vh FROM c, o, c x WHERE x.row = c.row + o.i AND x.col = c.col + o.j AND abs(o.i) + abs(o.j) <= 1 GROUP BY c.row, c.col),
+h AS (SELECT CAST(floor(vh / 0.25) AS BIGINT) AS bucket, count(*) AS n, avg(vh) AS mean FROM s GROUP BY 1),
+w AS (SELECT bucket, mean, sum(n) OVER u AS w, sum(n * mean) OVER u AS mu, sum(n) OVER () AS total, sum(n * mean) OVER () AS mu_t FROM h WINDOW u AS (ORDER BY bucket ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT greatest(-24.0, least(-14.0, mean)) AS thr FROM w ORDER BY round(CASE WHEN w * (total - w) > 0 THEN pow(mu_t * w - mu * total, 2) / (w * (total - w) * total) ELSE 0 END, 9) DESC, bucket LIMIT 1),
+m AS (SELECT s.row, s.col, CASE WHEN vh < thr AND vh - base_vh < -1 AND s.col % 24 <> 0 THEN 1.0 ELSE 0.0 END AS v FROM s JOIN b ON s.row = b.row CROSS JOIN t),
+f AS (SELECT c.row, c.col, CASE WHEN avg(x.v) > 0.42 THEN 1.0 ELSE 0.0 END AS v FROM m c, o, m x WHERE x.row = c.row + o.i AND x.col = c.col + o.j GROUP BY c.row, c.col),
+k AS (SELECT c.row, c.col, c.row * 10000 + c.col AS id FROM f c, o, f x WHERE x.row = c.row + o.i AND x.col = c.col + o.j AND abs(o.i) + abs(o.j) <= 1 AND c.col % 24 <> 0 GROUP BY c.row, c.col HAVING avg(x.v) > 0.5),
+e AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT CAST(a // 10000 AS BIGINT) AS row, CAST(a % 10000 AS INTEGER) AS col, count(*) AS size FROM r GROUP BY a HAVING count(*) >= 2
+""")
 def q_flood_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole detection on the event grid; tested against a cell-by-cell version."""
+    """The whole detection on the event grid."""
     from tidemark.plans import extent
 
     c = _cells(spark, sf_dir)
