@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import utm
-from tidemark.operators import gates, joins, ranking, raster, rollups, spatial, vector
+from tidemark.operators import gates, joins, outlines, ranking, raster, rollups, spatial, vector
 from tidemark.plans import accountability, extent, lookup, roads
 
 
@@ -119,7 +119,7 @@ def test_detection_equals_cell_by_cell(spark):
 
 def test_outlines_enclose_their_cells(spark):
     cells = [(1, r, c) for r in range(5) for c in range(5) if (r, c) != (2, 2)] + [(2, 9, 9)]
-    rings = vector.rings(vector.outline_edges(frame(spark, cells, "component long, row int, col int"))).collect()
+    rings = outlines.rings(outlines.outline_edges(frame(spark, cells, "component long, row int, col int"))).collect()
     area = lambda r: abs(sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(r, r[1:] + r[:1]))) / 2
     assert sorted((r["component"], area(r["ring"]), len(r["ring"])) for r in rings) == [(1, 1.0, 4), (1, 25.0, 4), (2, 1.0, 4)]
 

@@ -1,4 +1,4 @@
-"""Lines and outlines: lengths inside polygons, distances, simplification, outlines of cells."""
+"""Lines: lengths inside polygons and near them, simplification."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from tidemark.operators.spatial import inside
 
-POINTS = "array<struct<x:double,y:double>>"
 _POINTS_TYPE = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 
@@ -132,42 +131,3 @@ def simplify(coords: pd.Series, tolerance: pd.Series) -> pd.Series:
         return [p for p, k in zip(c, keep) if k]
 
     return pd.Series([one(c, t) for c, t in zip(coords, tolerance)], dtype=object)
-
-
-def outline_edges(cells: DataFrame, key: str = "component") -> DataFrame:
-    """key, x1, y1, x2, y2: sides of cells (row, col) without a neighbour of the same key, the cell on the left."""
-    sides = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dr", "dc", "x1", "y1", "x2", "y2"), s)]) for s in ((-1, 0, 1, 0, 0, 0), (0, -1, 0, 0, 0, 1), (1, 0, 0, 1, 1, 1), (0, 1, 1, 1, 1, 0))])
-    all_sides = cells.select(key, "row", "col", F.explode(sides).alias("s"))
-    other = cells.select(F.col(key).alias("_k"), F.col("row").alias("_r"), F.col("col").alias("_c"))
-    own = all_sides.join(other, (F.col(key) == F.col("_k")) & (F.col("row") + F.col("s.dr") == F.col("_r")) & (F.col("col") + F.col("s.dc") == F.col("_c")), "left_anti")
-    return own.select(key, *[(F.col("col" if n[0] == "x" else "row") + F.col(f"s.{n}")).alias(n) for n in ("x1", "y1", "x2", "y2")])
-
-
-def rings(edges: DataFrame, key: str = "component") -> DataFrame:
-    """key, ring (array<struct<x,y>>): outline edges joined end to end, corners only; a component's edges are one group."""
-    kind = edges.schema[key].dataType.simpleString()
-
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        after: dict[tuple, list[tuple]] = {}
-        for x1, y1, x2, y2 in pdf[["x1", "y1", "x2", "y2"]].sort_values(["x1", "y1", "x2", "y2"]).itertuples(index=False):
-            after.setdefault((x1, y1), []).append((x2, y2))
-        out = []
-        while after:
-            at = start = min(after)
-            ring, before = [], None
-            while True:
-                options = after[at]
-                # where two outlines touch, turn so that the ring stays with its own cell
-                pick = 0 if len(options) == 1 or before is None else max(range(len(options)), key=lambda i: (options[i][0] - at[0]) * (at[1] - before[1]) - (options[i][1] - at[1]) * (at[0] - before[0]))
-                following = options.pop(pick)
-                if not options:
-                    del after[at]
-                if before is None or (following[0] - at[0], following[1] - at[1]) != (at[0] - before[0], at[1] - before[1]):
-                    ring.append({"x": float(at[0]), "y": float(at[1])})
-                before, at = at, following
-                if at == start:
-                    break
-            out.append(ring)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "ring": out})
-
-    return edges.groupBy(key).applyInPandas(assemble, f"{key} {kind}, ring {POINTS}")
