@@ -45,6 +45,20 @@ def test_nearest_equals_brute_force(spark):
     assert close == {(i, j) for i, a, b in sites for j, c, d in sites if km((a, b), (c, d)) <= 300}
 
 
+def test_nearest_in_one_dense_degree(spark):
+    rng = random.Random(8)
+    km = lambda a, b: 2 * 6371.0088 * math.asin(math.sqrt(math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2))
+    sites = [(i, 14 + rng.random(), 121 + rng.random()) for i in range(900)] + [(2000 - i, 14.5, 121.5) for i in range(600)]
+    points = [(i, 14 + rng.random(), 121 + rng.random()) for i in range(150)] + [(500 + i, 14.5, 121.5) for i in range(50)] + [(900, 20.0, 119.0), (901, None, 1.0)]
+    near, wide = frame(spark, points, "id long, lat double, lon double"), frame(spark, sites, "site_id long, lat double, lon double")
+    got = {r["id"]: (r["site_id"], round(r["km"], 6)) for r in spatial.nearest(near, wide, most=20).collect()}
+    assert got == {i: min((round(km((a, b), (c, d)), 6), s) for s, c, d in sites)[::-1] for i, a, b in points if a is not None}
+    places = wide.select("lat", "lon").distinct()
+    width = spatial.dense_cell(places, 1.0, 20)
+    fullest = places.groupBy(F.floor(F.col("lat") / width), F.floor(F.col("lon") / width)).count().agg(F.max("count")).first()[0]
+    assert width < 0.25 and fullest <= 20 and spatial.dense_cell(wide, 1.0, 20, 0.1) == 0.125
+
+
 def test_best_along_a_corridor_in_both_modes(spark):
     s = frame(spark, [(1, 0, 0.9, 5.0), (1, 1, 0.3, 2.0), (1, 2, 0.5, 3.0)], "id long, i int, score double, km double")
     assert spatial.best_along(s).collect()[0][1:] == (0.9, 2.0)

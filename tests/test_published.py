@@ -95,8 +95,8 @@ def test_gates_of_schemas_and_records(spark):
     assert gates.named_arrays(df, ["title"], ["by_type"]) == ["flagged"]
     assert gates.count_columns(df, ["n", "share", "gone"]) == ["share", "gone"]
     rows = spark.createDataFrame([("a", 1.0), ("b", None)], "title string, v double")
-    ids = [r[0] for r in rows.select(normalise.record_id(rows, "project_id")).collect()]
-    assert len(set(ids)) == 2 and all(i.startswith("DPWH-") for i in ids)
+    with pytest.raises(ValueError, match="numbers"):
+        normalise.record_id(rows, "project_id")
     good, bad = normalise.isolated(rows, [("no value", F.col("v").isNull()), ("never", F.col("v") > 5)])
     assert [r["title"] for r in good.collect()] == ["a"] and [(r["title"], r["reason"]) for r in bad.collect()] == [("b", "no value")]
     fact = spark.createDataFrame([("1", 5.0, 1), ("2", None, None)], "project_id string, contract_amount double, idx int")

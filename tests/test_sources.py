@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import normalise
 from tidemark.operators import gates
+from tidemark.plans import accountability
 from tidemark.sources import layers, sinks
 
 PROPS = T.StructType([T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -96,3 +98,18 @@ def test_exact_split_and_templates():
 def test_reliability_points(spark):
     df = spark.createDataFrame([(0, 0.02), (1, 0.04), (1, 1.0)], "y int, p double")
     assert [tuple(r) for r in sinks.curve(df, 10).orderBy("bin").collect()] == [(0, 2, 0.03, 0.5), (9, 1, 1.0, 1.0)]
+
+
+def test_row_numbers_don_t_depend_on_the_layout(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 1).select(F.col("id").alias("k"), F.lit(None).cast("string").alias("title"), F.lit(1).alias("_file"))
+    rows.write.parquet(str(tmp_path / "one"))
+    rows.repartitionByRange(7, "k").sortWithinPartitions("k").write.option("maxRecordsPerFile", 90).parquet(str(tmp_path / "many"))
+    one, many = (layers.numbered(spark, str(tmp_path / n)) for n in ("one", "many"))
+    assert sorted(map(tuple, one.select("k", "_row").collect())) == [(i, i) for i in range(1000)]
+    assert sorted(map(tuple, many.select("k", "_row").collect())) == [(i, i) for i in range(1000)]
+    assert many.columns == ["k", "title", "_file", "_row"]
+    assert many.select(normalise.record_id(many, "project_id").alias("i")).where("i = 'DPWH-999'").count() == 1
+    works = spark.range(0, 30, 1, 1).select(F.lit("Flood control and drainage").alias("category"), F.concat(F.lit("Dike "), "id").alias("title"))
+    works.write.parquet(str(tmp_path / "works"))
+    got = accountability.projects(layers.numbered(spark, str(tmp_path / "works"))).select("project_id", "title").collect()
+    assert sorted(map(tuple, got)) == sorted((f"DPWH-{i}", f"Dike {i}") for i in range(30))

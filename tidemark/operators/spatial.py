@@ -70,24 +70,42 @@ def _candidates(points: DataFrame, sites: DataFrame, km: float, how: str = "inne
     return found.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")))
 
 
-def nearest(points: DataFrame, sites: DataFrame, cell: float = 1.0) -> DataFrame:
+def dense_cell(sites: DataFrame, cell: float, most: int, least: float = 1e-4) -> float:
+    """``cell`` halved until none of its cells holds more than ``most`` of the places of ``sites`` (lat, lon), or it is ``least`` degrees wide.
+
+    All sizes are counted in one pass: a row for each size and cell, of which only the largest count of each size reaches the driver.
+    """
+    widths = [cell]
+    while widths[-1] / 2 >= least:
+        widths.append(widths[-1] / 2)
+    at = lambda c: F.floor(F.col(c) / F.col("w")).cast("long")
+    cells = sites.select("lat", "lon", F.explode(F.array(*map(F.lit, widths))).alias("w")).groupBy("w", at("lat").alias("r"), at("lon").alias("c")).agg(F.count("*").alias("n"))
+    fits = [r["w"] for r in cells.groupBy("w").agg(F.max("n").alias("n")).where(F.col("n") <= most).collect()]
+    return max(fits, default=widths[-1])
+
+
+def nearest(points: DataFrame, sites: DataFrame, cell: float = 1.0, most: int = 1024) -> DataFrame:
     """id, site_id, km for points (id, lat, lon) and sites (site_id, lat, lon): the nearest, ties to the smaller site_id.
 
-    Points look at the sites of their own cell and those around, in cells of ``cell`` degrees at first. What has none within the
-    cells' size looks again in cells twice as large. A point comes to cells as large as the globe only if no site is within a
-    quarter of the way around it. Points without coordinates, and all points if there are no sites, have no row.
+    Points look at the sites of their own cell and those around, in cells of ``cell`` degrees at first, or of as much less as leaves no
+    cell with more than ``most`` sites (dense_cell). What has none within the cells' size looks again in cells twice as large. A point
+    comes to cells as large as the globe only if no site is within a quarter of the way around it. Sites at one place are one
+    site with the smallest id, and points at one place are looked up once, so that no place is a hot key. Points without
+    coordinates, and all points if there are no sites, have no row.
     """
-    points, settled, km = points.select("id", "lat", "lon").where("lat is not null and lon is not null"), None, cell * 111.0
-    sites = sites.where("lat is not null and lon is not null")
+    sites = cut(sites.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("site_id").alias("site_id")))
+    asked = points.select("id", "lat", "lon").where("lat is not null and lon is not null")
+    points, settled = asked.select("lat", "lon").distinct().withColumn("id", F.lit(0)), None
+    km = dense_cell(sites, cell, most) * 111.0
     while True:
         best = cut(_candidates(points, sites, km, "left").groupBy("id", "lat", "lon").agg(F.min(F.when(F.col("site_id").isNotNull(), F.struct("km", "site_id"))).alias("b")))
         last = km > math.pi * EARTH_KM
         sure = F.col("b").isNotNull() if last else F.coalesce(F.col("b.km") <= km, F.lit(False))
-        done = best.where(sure).select("id", F.col("b.site_id").alias("site_id"), F.col("b.km").alias("km"))
+        done = best.where(sure).select("lat", "lon", F.col("b.site_id").alias("site_id"), F.col("b.km").alias("km"))
         settled = done if settled is None else settled.unionByName(done)
         points = best.where(~sure).select("id", "lat", "lon")
         if last or points.isEmpty():
-            return settled
+            return asked.join(settled, ["lat", "lon"]).select("id", "site_id", "km")
         km *= 2
 
 

@@ -16,6 +16,8 @@ def projects(raw: DataFrame) -> DataFrame:
         name = next(c for c in raw.columns if c.lower() == "location")
         located = raw.withColumns({p: normalise.location_part(raw, name, p) for p in ("region", "province") if p not in {c.lower() for c in raw.columns}})
     r = normalise.select_resolved(located)
+    if "project_id" not in normalise.resolve_columns(located.columns):
+        r = r.drop("project_id")  # the row's number stands for it
     category = normalise.blank_to(F.col("category"), F.col("project_type"))
     lat, lon = normalise.float_of(F.col("latitude")), normalise.float_of(F.col("longitude"))
     there = normalise.in_bbox(lat, lon)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import bands, normalise
 from tidemark.operators import joins
 from tidemark.queries.base import query, table
+from tidemark.sources import layers
 
 
 def _sql_any(text: str, words: list[str]) -> str:
@@ -165,3 +166,11 @@ SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[
 def q_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """whole texts without case, marks and punctuation."""
     return table(spark, sf_dir, "documents").select("doc_id", normalise.plain_text(F.col("text")).alias("plain"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'DPWH-' || (row_number() OVER () - 1) END AS record FROM customer")
+def q_record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids of records; those without one have the number of their row."""
+    rows = layers.numbered(spark, f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey")
+    return rows.select("c_custkey", F.when(k % 3 == 0, normalise.record_id(rows, "c_name")).otherwise(normalise.record_id(rows.drop("c_name"), "c_name")).alias("record"))

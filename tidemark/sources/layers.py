@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import normalise
 from tidemark.sources import splits
 
 _POSITION = "array<double>"
@@ -100,6 +101,22 @@ def roads(spark: SparkSession, path: str, classes: str = r"^(motorway|trunk|prim
     return out if box is None else out.where(in_box(F.col("coords"), box))
 
 
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of Parquet files with _row, their place from 0 on in the order of the files' names and of the rows in each.
+
+    A file gives the places of its rows, so that only the rows of each file are counted, and nothing is sorted; the same rows have the same
+    numbers in one file or in many, and however the files are split.
+    """
+    place = "_tidemark_place"
+    rows = spark.read.parquet(path).select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")).alias(place))
+    files = rows.groupBy(F.col(f"{place}.file").alias("_tidemark_file")).agg(F.count("*").alias("_tidemark_n"))
+    # a row for each file
+    up_to = Window.orderBy("_tidemark_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select("_tidemark_file", F.coalesce(F.sum("_tidemark_n").over(up_to), F.lit(0)).alias("_tidemark_before"))
+    joined = rows.join(before, F.col(f"{place}.file") == F.col("_tidemark_file"))
+    return joined.withColumn(normalise.ROW, F.col("_tidemark_before") + F.col(f"{place}.at")).drop(place, "_tidemark_file", "_tidemark_before")
+
+
 def latest_frame(manifest: Column) -> Column:
     """The newest past frame (struct time, path) of a radar manifest."""
     m = F.from_json(manifest, "struct<radar:struct<past:array<struct<time:bigint,path:string>>>>")
