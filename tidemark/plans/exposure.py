@@ -1,8 +1,8 @@
-"""Area of units under observed floods, by cells that both cover."""
+"""What units hold of cells and points, and their area under observed floods."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.spatial import inside
@@ -30,3 +30,25 @@ def peak(units: DataFrame, overlaps: DataFrame, unit: str = "unit") -> DataFrame
     """unit, peak: the largest share of any day, 0 for units that were never covered."""
     most = overlaps.groupBy(unit).agg(F.max("share").alias("peak"))
     return units.select(unit).distinct().join(most, unit, "left").select(unit, F.coalesce("peak", F.lit(0.0)).alias("peak"))
+
+
+def zonal(cells: DataFrame, edge: DataFrame, size: float, aggregates: list[Column], key: str = "poly_id", tile: float | None = None) -> DataFrame:
+    """key and ``aggregates`` over the cells (row, col, other columns; ``size`` wide, counted from zero) whose centres are in each polygon.
+
+    Overlapping polygons count a cell each; polygons without a cell have no row; rows of one cell count as often as they are there.
+    """
+    centre = lambda c: (F.col(c) + 0.5) * size
+    places = cells.select("row", "col").distinct().select(F.struct("row", "col").alias("cell"), centre("col").alias("x"), centre("row").alias("y"))
+    member = inside(places, edge, "cell", "x", "y", key, tile or 16 * size).select(key, "cell.row", "cell.col")
+    return cells.join(member, ["row", "col"]).groupBy(key).agg(*aggregates)
+
+
+def unit_means(points: DataFrame, edge: DataFrame, units: DataFrame, value: str, key: str = "poly_id", tile: float = 1.0) -> DataFrame:
+    """key, n, mean of ``value`` over the points (id, x, y) in each of ``units``; 0 where there is none."""
+    held = points.join(inside(points, edge, "id", "x", "y", key, tile), "id").groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return units.select(key).distinct().join(held, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
+def affected(units: DataFrame, threshold: str, population: str, share: str) -> DataFrame:
+    """mean_threshold, affected: the mean of the thresholds, and the people of the units that a flood covered in part (share > 0)."""
+    return units.agg(F.avg(threshold).alias("mean_threshold"), F.coalesce(F.sum(F.when(F.col(share) > 0, F.col(population))), F.lit(0)).alias("affected"))

@@ -47,7 +47,7 @@ def q_pip_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_INSIDE_SQL} SELECT id, string_agg(CAST(poly_id AS VARCHAR), ',' ORDER BY poly_id) AS polys FROM i GROUP BY id")
 def q_pip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All polygons that hold a point."""
+    """All polygons that hold a point."""
     hits = spatial.inside(_points(spark, sf_dir), spatial.edges(_polygons(spark)), "id", "x", "y", tile=5.0)
     return hits.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("poly_id")), lambda i: i.cast("string")), ",").alias("polys"))
 

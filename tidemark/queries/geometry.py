@@ -1,4 +1,4 @@
-"""Exact geometry and layers of files."""
+"""Exact geometry, zones and layers of files."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import geo
-from tidemark.operators import overlay, spatial, vector
-from tidemark.plans import roads
+from tidemark.operators import outlines, overlay, raster, spatial, vector
+from tidemark.plans import exposure, roads
 from tidemark.queries.base import query, table
+from tidemark.queries.evidence import _INSIDE_SQL, _edge_rows, _points, _polygons
 from tidemark.sources import layers
 from tidemark.sources.shared import shared_folder
 
@@ -122,3 +123,52 @@ def q_layer_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     properties = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
     _, found = layers.geojson(spark, path, properties, box=(120, 10, 122.5, 15.5), range_bytes=1 << 16)
     return found.select("id", "name", F.col("point.x").alias("lon"), F.col("point.y").alias("lat"))
+
+
+@query(f"""
+WITH e(poly_id, x1, y1, x2, y2) AS (VALUES {_edge_rows()}), c AS (SELECT CAST(o_custkey % 50 AS BIGINT) AS row, CAST(o_orderkey % 97 AS BIGINT) AS col, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2),
+i AS (SELECT poly_id, row, col, v FROM c JOIN e ON (y1 > row + 0.5) <> (y2 > row + 0.5) AND col + 0.5 < (x2 - x1) * (row + 0.5 - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT poly_id, count(*) AS n, round(sum(v), 2) AS total, round(max(v), 2) AS peak, round(avg(v), 4) AS mean, round(arg_min(v, row * 1000 + col), 2) AS first FROM i GROUP BY poly_id
+""")
+def q_zonal_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum, maximum, mean and first value of the cells in each polygon."""
+    o = table(spark, sf_dir, "orders")
+    cells = o.groupBy((F.col("o_custkey") % 50).alias("row"), (F.col("o_orderkey") % 97).alias("col")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    kinds = [F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"), F.round(F.max("v"), 2).alias("peak"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.min_by("v", F.col("row") * 1000 + F.col("col")), 2).alias("first")]
+    return exposure.zonal(cells, spatial.edges(_polygons(spark)), 1.0, kinds)
+
+
+@query(f"{_INSIDE_SQL}, m AS (SELECT poly_id, count(*) AS n, avg(i.id % 101) AS mean FROM i GROUP BY poly_id), u AS (SELECT unnest([1, 2, 3, 4, 5]) AS poly_id) SELECT u.poly_id, coalesce(n, 0) AS n, round(coalesce(mean, 0), 6) AS mean FROM u LEFT JOIN m ON u.poly_id = m.poly_id")
+def q_unit_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean over the points in each unit, 0 without any."""
+    points, polygons = _points(spark, sf_dir).withColumn("v", F.col("id") % 101), _polygons(spark)
+    units = polygons.select("poly_id").unionByName(spark.range(1).select(F.lit(5).alias("poly_id")))
+    return exposure.unit_means(points, spatial.edges(polygons), units, "v", tile=5.0).withColumn("mean", F.round("mean", 6))
+
+
+@query("""
+WITH u AS (SELECT c_nationkey AS unit, -16 - (c_nationkey % 9) / 2.0 AS threshold, count(*) * 10 AS population, greatest(0, avg(c_acctbal) - 4500) AS pct FROM customer GROUP BY c_nationkey)
+SELECT round(avg(threshold), 6) AS mean_threshold, CAST(sum(CASE WHEN pct > 0 THEN population ELSE 0 END) AS BIGINT) AS affected FROM u
+""")
+def q_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the thresholds, people of the units that are covered in part."""
+    n = F.col("c_nationkey")
+    units = table(spark, sf_dir, "customer").groupBy(n.alias("unit")).agg((F.count("*") * 10).alias("population"), F.greatest(F.lit(0.0), F.avg("c_acctbal") - 4500).alias("pct")).withColumn("threshold", -16 - (F.col("unit") % 9) / 2.0)
+    return exposure.affected(units, "threshold", "population", "pct").withColumn("mean_threshold", F.round("mean_threshold", 6))
+
+
+@query("""
+WITH RECURSIVE v AS (SELECT user_id AS row, CAST(day(ts) * 24 + hour(ts) AS INTEGER) AS col, round(avg(value), 4) AS v FROM events GROUP BY 1, 2),
+c AS (SELECT row, col, row * 10000 + col AS id FROM v WHERE v >= 12),
+e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON abs(a.row - b.row) + abs(a.col - b.col) <= 1), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), l AS (SELECT a AS id, min(b) AS label FROM r GROUP BY a)
+SELECT n, count(*) AS polygons FROM (SELECT label, CAST(count(*) AS DOUBLE) AS n FROM l GROUP BY label) WHERE n >= 3 GROUP BY n
+""")
+def q_flood_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of the wet cells as polygons of at least three cells, counted by area; what only touches at corners is a polygon each.
+
+    With its holes taken off, a polygon is as large as its cells are many.
+    """
+    e = table(spark, sf_dir, "events")
+    cells = e.groupBy(F.col("user_id").alias("row"), (F.dayofmonth("ts") * 24 + F.hour("ts")).alias("col")).agg(F.round(F.avg("value"), 4).alias("v"))
+    found = outlines.polygons(raster.components(cells.where("v >= 12")), least_area=3.0)
+    return found.groupBy(F.col("area").alias("n")).agg(F.count("*").alias("polygons"))

@@ -55,7 +55,7 @@ def q_prone_unrecorded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1-M3, M5: training on whole held-in groups, Platt scaling, held-out metrics; tested against a Newton solution."""
+    """M2, M3, M5: training on whole held-in groups, Platt scaling, held-out metrics; tested against a Newton solution."""
     s = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") < 3).cast("int").alias("y"), (F.col("vec_id") % 60).alias("event"))
     grouped = s.join(ranking.split_ids(s, "event", 0.3, "42"), "event")
     train, hold = grouped.where("grp = 'train'"), grouped.where("grp = 'holdout'")

@@ -21,7 +21,7 @@ WITH s AS ({_SCENES}), k AS (SELECT scene_id, day FROM s WHERE day >= DATE '1995
 SELECT k.day, count(DISTINCT scene_id) AS n_scenes, count(*) AS n_cells, round(avg(-l_quantity), 6) AS mean_vh FROM k JOIN lineitem ON l_orderkey = scene_id GROUP BY k.day
 """)
 def q_scene_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes by box, dates, mode and polarisation, and one band of their cells by date."""
+    """Scenes by box, dates, mode and polarisation, and one band of their cells by date."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     both = F.when(k % 3 == 0, F.array(F.lit("VV"), F.lit("VH"))).otherwise(F.array(F.lit("VV")))
     collection = table(spark, sf_dir, "orders").select(

@@ -1,4 +1,4 @@
-"""Rasters and time."""
+"""Rasters and time."""
 
 from __future__ import annotations
 
@@ -67,7 +67,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, event_type)
 SELECT day, event_type, n, round(coverage, 6) AS coverage FROM g WHERE rn = 1 AND coverage >= 0.2 ORDER BY day DESC LIMIT 1
 """)
 def q_latest_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest day whose dominant group covers enough."""
+    """The newest day whose dominant group covers enough."""
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     whole = F.broadcast(e.agg(F.countDistinct("user_id").alias("all")))  # one row
     d = e.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("own")).join(whole, F.lit(True)).withColumn("coverage", F.col("own") / F.col("all"))
@@ -154,7 +154,7 @@ WITH c AS ({_CELLS}), z AS (SELECT row // 15 AS zone, v, row, col FROM c)
 SELECT CAST(zone AS BIGINT) AS zone, round(sum(v), 3)::DOUBLE AS total, max(v) AS peak, round(avg(v), 6) AS mean, count(*) FILTER (WHERE v >= 12) AS wet, arg_min(v, row * 10000 + col) AS first FROM z GROUP BY zone
 """)
 def q_zonal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zonal sum, maximum, mean and first value."""
+    """Zonal sum, maximum, mean and first value."""
     z = _cells(spark, sf_dir).withColumn("zone", F.floor(F.col("row") / 15).cast("long"))
     return z.groupBy("zone").agg(F.round(F.sum("v"), 3).alias("total"), F.max("v").alias("peak"), F.round(F.avg("v"), 6).alias("mean"), F.sum(F.when(F.col("v") >= 12, 1).otherwise(0)).cast("long").alias("wet"), F.min_by("v", F.col("row") * 10000 + F.col("col")).alias("first"))
 

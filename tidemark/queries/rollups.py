@@ -35,7 +35,7 @@ WITH f AS (
 SELECT province, n_projects, round(alloc, 2) AS allocation, n_flagged, n_after, round(low_alloc, 2) AS low_allocation, n_passes, (alloc > 0 AND n_passes > 0) AS warrants FROM g
 """)
 def q_province_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass of conditional counts and sums for each province, with the review flag."""
+    """One pass of conditional counts and sums for each province, with the review flag."""
     t = lambda n: table(spark, sf_dir, n)
     f = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     a = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -60,7 +60,7 @@ g AS (SELECT n_name, round(coalesce(score, 0), 3) AS s, coalesce(ev, 0) AS e FRO
 SELECT CASE WHEN s >= 0.6 AND e <= 1 THEN 'under_observed_prone' WHEN e >= 3 THEN 'charted' WHEN s >= 0.6 AND e = 2 THEN 'monitored' ELSE 'low' END AS gap, count(*) AS n FROM g GROUP BY 1
 """)
 def q_gap_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean score and events of each unit, classified and counted."""
+    """Mean score and events of each unit, classified and counted."""
     s = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.avg("c_acctbal") / 6000).alias("score"))
     e = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("events"))
     g = table(spark, sf_dir, "nation").join(s, "n_nationkey", "left").join(e, "n_nationkey", "left")
@@ -126,7 +126,7 @@ WITH c AS (SELECT o_orderkey AS id, o_orderstatus AS signal, 1 AS seq FROM order
 SELECT id, signal FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM c) WHERE rn = 1
 """)
 def q_cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyed cache merged with new results, the newer ones win."""
+    """A keyed cache merged with new results, the newer ones win."""
     o = table(spark, sf_dir, "orders")
     old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("signal"), F.lit(1).alias("seq"))
     new = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.lit("X").alias("signal"), F.lit(2).alias("seq"))
@@ -188,7 +188,7 @@ def q_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 6) AS share, max(o_totalprice) AS peak FROM orders GROUP BY o_orderpriority")
 def q_rounding_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of the total; groups are summed before the total, so the orders are read once."""
+    """Shares of the total; groups are summed before the total, so the orders are read once."""
     g = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"), F.max("o_totalprice").alias("peak"))
     from pyspark.sql import Window
 
