@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import normalise
 from tidemark.operators import gates, joins, rollups, spatial
-from tidemark.plans import accountability, exposure
+from tidemark.plans import accountability, exposure, lookup
 from tidemark.sources import scenes, shared
 
 
@@ -129,3 +129,22 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError):
         shared.shared_folder(Session())
+
+
+def test_evidence_bundle_of_five_layers(spark):
+    xy = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    square = lambda x, y, w: [xy((x, y), (x + w, y), (x + w, y + w), (x, y + w))]
+    points = spark.createDataFrame([(1, 0, 121.0, 14.0), (1, 1, 121.5, 14.0), (2, 0, 130.0, 20.0)], "id long, i int, lon double, lat double")
+    ring = "rings array<array<struct<x:double,y:double>>>"
+    layer = lookup.Layer
+    recurrence = layer(spark.createDataFrame([(1, 14.0, 121.0, 0.9), (2, 14.0, 121.5, 0.3), (3, 20.0, 130.5, 0.8)], "site_id long, lat double, lon double, score double"), None, "2017")
+    history = layer(spark.createDataFrame([(5, 0, square(120.9, 13.9, 1.0)), (4, 3, square(121.4, 13.9, 0.2)), (6, None, square(129.0, 19.0, 2.0))], f"idx long, events int, {ring}"))
+    latest = layer(spark.createDataFrame([(1, square(120.998, 14.005, 0.004))], f"poly_id long, {ring}"), "ok", "2024-07-25")
+    rain = layer(spark.createDataFrame([(1, 14.02, 121.5, "red"), (2, 14.0, 121.0, None)], "site_id long, lat double, lon double, flag string"))
+    road = layer(spark.createDataFrame([(2, "B", "near", xy((121.5, 14.0), (122, 14))), (1, "A", "flooded", xy((121.004, 14.0), (121.002, 14.0))), (3, "A", "flooded", xy((121.0, 14.0))), (4, "C", "clear", xy((121.0, 14.0))), (5, None, "near", xy((121.0, 14.001)))], "seq long, name string, exposure string, coords array<struct<x:double,y:double>>"))
+    got = {(r["id"], r["layer"]): r for r in lookup.bundle(points, recurrence, history, latest, rain, road).collect()}
+    state = lambda i: [got[i, n]["state"] for n in ("recurrence", "history", "latest", "rain", "roads")]
+    assert len(got) == 10 and state(1) == ["intersects", "intersects", "near", "near", "intersects"] and state(2) == ["clear", "near", "clear", "clear", "clear"]
+    assert got[1, "history"]["number"] == 3 and got[1, "latest"]["as_of"] == "2024-07-25" and got[1, "roads"]["names"] == ["A (flooded)", "B (near)", "unnamed road (near)"]
+    folded = {(r["id"], r["layer"]): r for r in lookup.bundle(points, recurrence, history, layer(None), layer(rain.rows, "no_data"), layer(road.rows, "no_usable_pass", "d"), compatible=True).collect()}
+    assert folded[1, "recurrence"]["score"] == 0.9 and [folded[2, n]["state"] for n in ("latest", "rain", "roads")] == ["unavailable", "withheld", "withheld"] and folded[2, "roads"]["as_of"] == "d"

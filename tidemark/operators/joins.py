@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import cut
+
 
 def jaccard_join(left: DataFrame, right: DataFrame, within: list[str], least: float) -> DataFrame:
     """left_id, right_id, jaccard of pairs with equal ``within`` columns whose token sets are alike.
@@ -19,20 +21,21 @@ def jaccard_join(left: DataFrame, right: DataFrame, within: list[str], least: fl
     for df in sides.values():
         tokens = df.select(F.explode("_t").alias("_token"))
         every = tokens if every is None else every.unionByName(tokens)
-    often = every.groupBy("_token").agg(F.count("*").alias("_often"))
+    often = cut(every.groupBy("_token").agg(F.count("*").alias("_often")))
 
-    def prefixes(name: str, tokens: str) -> DataFrame:
+    def prefixes(name: str, number: str) -> DataFrame:
         df = sides[name]
         ordered = df.select("_id", F.explode("_t").alias("_token")).join(often, "_token").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_often", "_token"))).alias("_o"))
         size = F.size("_o")
         first = F.slice("_o", 1, (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
-        return df.join(ordered, "_id").select(*within, F.col("_id").alias(name), F.col("_t").alias(tokens), F.explode(first).alias("_p")).withColumn("_p", F.col("_p._token"))
+        return df.select(*within, "_id").join(ordered, "_id").select(*within, F.col("_id").alias(name), size.alias(number), F.explode(first).alias("_p")).withColumn("_p", F.col("_p._token"))
 
-    near = prefixes("left_id", "_a").join(prefixes("right_id", "_b"), [*within, "_p"])
-    na, nb = F.size("_a"), F.size("_b")
-    near = near.where((na >= least * nb) & (nb >= least * na))
+    # only ids and sizes meet; the sets come to each pair once
+    near = prefixes("left_id", "_n").join(prefixes("right_id", "_m"), [*within, "_p"]).where((F.col("_n") >= least * F.col("_m")) & (F.col("_m") >= least * F.col("_n")))
+    for name, tokens in (("left_id", "_a"), ("right_id", "_b")):
+        near = (near.select("left_id", "right_id").distinct() if name == "left_id" else near).join(sides[name].select(F.col("_id").alias(name), F.col("_t").alias(tokens)), name)
     both = F.size(F.array_intersect("_a", "_b"))
-    return near.select("left_id", "right_id", (both / (na + nb - both)).alias("jaccard")).where(F.col("jaccard") >= least).distinct()
+    return near.select("left_id", "right_id", (both / (F.size("_a") + F.size("_b") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def text_join(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -127,6 +127,39 @@ def q_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.evidence(points, samples, spatial.edges(scaled)).withColumn("score", F.round("score", 6)).withColumn("km", F.round("km", 6))
 
 
+@query(f"""{_KNN_SQL}, e(idx, x1, y1, x2, y2) AS (VALUES {_SCALED}), n AS (SELECT id, min(km) AS km, arg_min(site_id, km * 1000000 + site_id / 1e6) AS site FROM d GROUP BY id),
+i AS (SELECT id, min(idx) AS idx FROM (SELECT id, idx FROM c JOIN e ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY id),
+g(lon, lat) AS (VALUES {", ".join(f"({117 + sum(x for x, _ in r) / len(r) / 10}, {5 + sum(y for _, y in r) / len(r) / 3})" for _, rs in _POLYGONS for r in rs)}),
+f AS (SELECT c.id, min(12742.0176 * asin(sqrt(least(1.0, pow(sin(radians(g.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(g.lat)) * pow(sin(radians(g.lon - c.lon) / 2), 2))))) AS km FROM c, g GROUP BY c.id),
+w AS (SELECT id, string_agg(name, '/' ORDER BY site_id) AS names FROM (SELECT id, site_id, row_number() OVER (PARTITION BY id ORDER BY site_id) AS rn, 'road ' || site_id || CASE WHEN site_id % 3 = 0 THEN ' (flooded)' ELSE ' (near)' END AS name FROM d WHERE km <= 1.0 AND site_id % 3 < 2) WHERE rn <= 12 GROUP BY id),
+r AS (SELECT c.id, n.km, n.site, i.idx, f.km AS far, w.names FROM c JOIN n ON c.id = n.id JOIN f ON c.id = f.id LEFT JOIN i ON c.id = i.id LEFT JOIN w ON c.id = w.id),
+o AS (SELECT id, 'recurrence' AS layer, CASE WHEN km > 2.5 THEN 'clear' WHEN site / 25.0 >= 0.6 THEN 'intersects' ELSE 'near' END AS state, '2017' AS as_of, round(km, 6) AS km, NULL AS number, NULL AS names FROM r
+  UNION ALL SELECT id, 'history', CASE WHEN idx IS NULL THEN 'clear' WHEN idx % 2 > 0 THEN 'intersects' ELSE 'near' END, NULL, NULL, CAST(idx % 2 AS BIGINT), NULL FROM r
+  UNION ALL SELECT id, 'latest', CASE WHEN idx IS NOT NULL THEN 'intersects' WHEN far <= 0.05 THEN 'intersects' WHEN far <= 1 THEN 'near' ELSE 'clear' END, '2024-07-25', CASE WHEN idx IS NOT NULL THEN 0 ELSE round(far, 6) END, NULL, NULL FROM r
+  UNION ALL SELECT id, 'rain', CASE WHEN km > 8 THEN 'clear' WHEN site % 2 = 0 THEN 'near' ELSE 'intersects' END, '2024-07-26', round(km, 6), NULL, CASE WHEN km <= 8 THEN CASE WHEN site % 2 = 0 THEN 'none' ELSE 'red' END END FROM r
+  UNION ALL SELECT id, 'roads', CASE WHEN names IS NULL THEN 'clear' ELSE 'intersects' END, '2024-07-25', NULL, NULL, names FROM r)
+SELECT 'usable' AS kind, * FROM o UNION ALL SELECT 'unusable', id, layer, CASE WHEN layer IN ('recurrence', 'history') THEN state ELSE 'withheld' END, as_of, CASE WHEN layer = 'recurrence' THEN km END, number, NULL FROM o
+UNION ALL SELECT 'missing', id, layer, 'unavailable', NULL, NULL, NULL, NULL FROM o
+""")
+def q_evidence_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five layers for every place, each with its state and date; and as they are where layers are unusable or missing."""
+    points, s = _customers(spark, sf_dir).withColumn("i", F.lit(0)), _sites(spark, sf_dir)
+    scaled = _polygons(spark).withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((117 + p["x"] / 10).alias("x"), (5 + p["y"] / 3).alias("y")))))
+    k = F.col("site_id")
+    recurrence = s.withColumn("score", k / 25.0)
+    history = scaled.select(F.col("poly_id").alias("idx"), (F.col("poly_id") % 2).alias("events"), "rings")
+    rain = s.withColumn("flag", F.when(k % 2 == 0, "none").otherwise("red"))
+    roads_ = s.select(k.alias("seq"), F.concat(F.lit("road "), k).alias("name"), F.when(k % 3 == 0, "flooded").when(k % 3 == 1, "near").otherwise("clear").alias("exposure"), F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("coords"))
+    layer = lookup.Layer
+
+    def kind(name: str, status: str, there: bool) -> DataFrame:
+        of = lambda rows, as_of: layer(rows if there else None, status, as_of if there else None)
+        found = lookup.bundle(points, of(recurrence, "2017"), of(history, None), of(scaled, "2024-07-25"), of(rain, "2024-07-26"), of(roads_, "2024-07-25"))
+        return found.select(F.lit(name).alias("kind"), "id", "layer", "state", "as_of", F.round("km", 6).alias("km"), "number", F.array_join("names", "/").alias("names"))
+
+    return kind("usable", "ok", True).unionByName(kind("unusable", "no_usable_pass", True)).unionByName(kind("missing", "ok", False))
+
+
 @query()
 def q_road_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of roads in the water; tested on a small fixture."""
