@@ -41,7 +41,8 @@ END = b"\n"  # no word holds a line feed
 LEAST_OUTPUTS, MOST_OUTPUTS, WIDTH, TABLE = 1 << 10, 1 << 14, 16, 1 << 18
 ROUNDS, RATES, STEPS, LANES, PIECE = (1 / 16, 3 / 16, 3 / 4), (0.03, 0.02, 0.01), 16, 512, 2048
 CHUNK, ROWS, READ = 64, 32, 16
-SLICE_BYTES, FLUSH = 12 << 20, 200_000
+SLICE_BYTES, SLICE_UNITS, FLUSH = 12 << 20, 2 << 20, 200_000
+PLACES, PACKED = 1 << 20, np.dtype("<u2")  # units are fewer than 65,536: MOST_OUTPUTS and the endings
 MARKS, GROUPS = b".,;:!?)]}'\"", 14
 ENDINGS = 2 * GROUPS
 
@@ -299,13 +300,62 @@ def pieces(sequence: np.ndarray) -> list[np.ndarray]:
     return [sequence] if len(sequence) <= PIECE else [sequence[i : i + PIECE] for i in range(0, len(sequence), PIECE)]
 
 
-def learn(docs: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS, rates: tuple[float, ...] = RATES) -> dict[str, np.ndarray]:
-    """Weights learnt from all of ``docs`` (doc_id, text), a share ``rounds[r]`` of them in round r, each by local training and averaging."""
+def numbered(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """row, doc_id, place (by hash, below PLACES), units (packed numbers of two bytes), n_tokens, n_known, base, own and strange (words that aren't
+    in the table, and how often) for every row of ``docs`` (doc_id, text): what training and scoring need of a text, made once.
+
+    base: the base model's sum over the words of the table; own: what the table's rare words have less than their units.
+    """
+    mass = np.concatenate([np.zeros(v.outputs), np.log10(v.mass)])
+    base_mass = math.log10(v.base_mass)
+    rare = np.where(v.unit >= v.outputs, v.log_count - mass[v.unit], 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        frequent = len(v.words)
+        for b in batches:
+            for first, texts in _texts(b):
+                units, sums, sizes, word, times = [], [], [0], [], []
+                for t in texts:
+                    words = [*t.lower().split(), END]
+                    at = v.numbers(words)
+                    units.append(v.unit[at].astype(PACKED).tobytes())
+                    strange = np.flatnonzero(at >= frequent)
+                    sums.append((len(words), len(words) - len(strange), float(v.log_count[at].sum()) - len(words) * base_mass, float(rare[at].sum())))
+                    if len(strange):
+                        unknown = Counter([words[i] for i in strange.tolist()])
+                        word += unknown
+                        times += unknown.values()
+                    sizes.append(len(word))
+                n = len(texts)
+                unknown_words = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]))
+                columns = [pa.array(c, t) for c, t in zip(zip(*sums), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), b.column("doc_id").slice(first, n), b.column("place").slice(first, n), pa.array(units, pa.binary()), *columns, unknown_words], ["row", "doc_id", "place", "units", "n_tokens", "n_known", "base", "own", "strange"])
+                row += n
+
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(PLACES)).alias("place"), "text")
+    return ready.mapInArrow(run, "row long, doc_id long, place long, units binary, n_tokens long, n_known long, base double, own double, strange array<struct<word:binary,times:long>>")
+
+
+def _sequences(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Texts' units, SLICE_UNITS at a time, and the place of the first."""
+    first, rows, size = 0, [], 0
+    for i, x in enumerate(column):
+        rows.append(np.frombuffer(x.as_buffer(), dtype=PACKED).astype(np.int32))
+        size += len(rows[-1])
+        if size >= SLICE_UNITS:
+            yield first, rows
+            first, rows, size = i + 1, [], 0
+    if rows:
+        yield first, rows
+
+
+def learn(texts: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS, rates: tuple[float, ...] = RATES) -> dict[str, np.ndarray]:
+    """Weights learnt from all of ``texts`` (place, units), a share ``rounds[r]`` of them in round r, each by local training and averaging."""
     w = fresh(v)
     names, shapes = list(w), {k: x.shape for k, x in w.items()}
     size = sum(x.size for x in w.values())
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    edges = np.round(np.cumsum((0, *rounds)) * (1 << 20)).astype(int).tolist()
+    edges = np.round(np.cumsum((0, *rounds)) * PLACES).astype(int).tolist()
 
     def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
         sizes = np.cumsum([math.prod(shapes[k]) for k in names])[:-1]
@@ -318,8 +368,8 @@ def learn(docs: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS, ra
             own, tokens = unpack(start.copy()), 0
             adam = gru.Adam(own, rate)
             for b in batches:
-                for _, texts in _texts(b):
-                    sequences = [s for t in texts for s in pieces(v.units([*t.lower().split(), END]))]
+                for _, found in _sequences(b.column("units")):
+                    sequences = [s for x in found for s in pieces(x)]
                     train(own, sequences, v, rate, adam=adam)
                     tokens += sum(map(len, sequences))
             if tokens:
@@ -329,7 +379,7 @@ def learn(docs: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS, ra
                     [pa.array(np.full(n, float(tokens))), pa.array(np.arange(n, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * CHUNK), pa.array(flat))], ["n", "i", "w"]
                 )
 
-        part = docs.where((place >= edges[r]) & (place < edges[r + 1])).select("text")
+        part = texts.where((F.col("place") >= edges[r]) & (F.col("place") < edges[r + 1])).select("units")
         copies = part.mapInArrow(run, "n double, i int, w array<float>")
         sums = copies.groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(F.col("w")[k] * F.col("n")).alias(f"w{k}") for k in range(CHUNK)])
         found = sums.select("i", F.array(*[F.col(f"w{k}") / F.col("n") for k in range(CHUNK)]).alias("w")).toArrow()
@@ -339,46 +389,21 @@ def learn(docs: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS, ra
     return w
 
 
-def score(docs: DataFrame, v: Vocabulary, w: dict[str, np.ndarray], counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score for every row of ``docs`` (doc_id, text)."""
-    mass = np.concatenate([np.zeros(v.outputs), np.log10(v.mass)])
-    base_mass = math.log10(v.base_mass)
-    rare = np.where(v.unit >= v.outputs, v.log_count - mass[v.unit], 0.0)
+def score(texts: DataFrame, v: Vocabulary, w: dict[str, np.ndarray], counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score for every row of ``texts``, as numbered() makes them."""
+    kept = ("row", "doc_id", "n_tokens", "n_known", "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        frequent = len(v.words)
         for b in batches:
-            ids = b.column("doc_id")
-            for first, texts in _texts(b):
-                owner, word, times, sequences, sums = [], [], [], [], []
-                for k, t in enumerate(texts):
-                    words = [*t.lower().split(), END]
-                    at = v.numbers(words)
-                    sequences.append(v.unit[at])
-                    strange = np.flatnonzero(at >= frequent)
-                    sums.append((len(words), len(words) - len(strange), float(v.log_count[at].sum()) - len(words) * base_mass, float(rare[at].sum())))
-                    if len(strange):
-                        unknown = Counter([words[i] for i in strange.tolist()])
-                        owner += [row + k] * len(unknown)
-                        word += unknown
-                        times += unknown.values()
-                found = log_probabilities(w, sequences, v) / math.log(10)
-                n, some = len(texts), len(word)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([np.arange(row, row + n), np.array(owner, dtype=np.int64)])), pa.concat_arrays([ids.slice(first, n), pa.nulls(some, pa.int64())]),
-                        pa.array([b"\n%d" % (row + k) for k in range(n)] + word, pa.binary()), pa.array([0] * n + times, pa.int64()),
-                        pa.array([s[0] for s in sums] + [0] * some, pa.int64()), pa.array([s[1] for s in sums] + [0] * some, pa.int64()),
-                        pa.array([s[2] for s in sums] + [0.0] * some), pa.array([s[3] + x for s, x in zip(sums, found.tolist())] + [0.0] * some),
-                    ],
-                    ["row", "doc_id", "word", "times", "n_tokens", "n_known", "base", "own"],
-                )
-                row += n
+            found = np.concatenate([log_probabilities(w, sequences, v) for _, sequences in _sequences(b.column("units"))] or [np.zeros(0)])
+            own = b.column("own").to_numpy() + found / math.log(10)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(own)], [*kept, "own"])
 
+    whole = texts.select(*kept, "units", "own").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, own double")
     # a document's own row has a word that is none and differs from document to document: no key is hot
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, word binary, times long, n_tokens long, n_known long, base double, own double")
-    joined = parts.join(counts, "word", "left").withColumn("more", F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5))
+    whole = whole.select("row", "doc_id", F.concat(F.lit("\n"), F.col("row").cast("string")).cast("binary").alias("word"), F.lit(0).cast("long").alias("times"), "n_tokens", "n_known", "base", "own")
+    strange = texts.select("row", F.explode("strange").alias("s")).select("row", F.lit(None).cast("long").alias("doc_id"), "s.word", "s.times", *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known")], *[F.lit(0.0).alias(c) for c in ("base", "own")])
+    joined = whole.unionByName(strange).join(counts, "word", "left").withColumn("more", F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5))
     return joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.col("more")).alias("base_score"), F.sum(F.col("own") + F.col("more")).alias("score"),
@@ -386,11 +411,11 @@ def score(docs: DataFrame, v: Vocabulary, w: dict[str, np.ndarray], counts: Data
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; the model learns from rows not held out."""
-    training = docs.where(~held_out)
-    counts = cut(word_counts(training))
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; the model learns from rows not held out (a condition on doc_id)."""
+    counts = cut(word_counts(docs.where(~held_out)))
     v = vocabulary(counts)
-    scored = score(docs, v, learn(training, v), counts)
+    texts = cut(numbered(docs, v))
+    scored = score(texts, v, learn(texts.where(~held_out), v), counts)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
