@@ -78,5 +78,12 @@ def test_documents_against_brute_force_with_odd_rows(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == plain_components(plain)
 
 
+def test_rows_without_an_id(spark):
+    same, other = "the river rose over night", "another text of its own that nobody repeats"
+    rows = [(None, same, "x", "x"), (7, same, "x", "x"), (5, same, "x", "x"), (None, other, "x", "x"), (None, None, "x", "x"), (9, " ", "x", "x")]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
+    assert sorted((repr(r["doc_id"]), repr(r["component_id"])) for r in out) == sorted([("None", "5"), ("7", "5"), ("5", "5"), ("None", "None"), ("None", "9"), ("9", "9")])
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
