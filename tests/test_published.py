@@ -74,8 +74,13 @@ def test_cached_tables_and_views_are_made_once(spark, tmp_path):
     path = f"{tmp_path}/kept"
     assert [scenes.cached(spark, path, make).count() for _ in range(2)] == [3, 3] and len(made) == 1
     scenes.cached(spark, path, make, refresh=True)
+    # what is refreshed may be read to make it
+    assert scenes.cached(spark, path, lambda: spark.read.parquet(path).unionByName(spark.range(10, 12)), refresh=True).count() == 5
     with pytest.raises(ValueError):
         scenes.cached(spark, f"{tmp_path}/empty", lambda: spark.range(0))
+    with pytest.raises(ValueError):
+        scenes.cached(spark, path, lambda: spark.range(0), refresh=True)
+    assert scenes.cached(spark, path, make).count() == 5
     assert len(made) == 2 and [scenes.view(spark, "kept_view", make).count() for _ in range(2)] == [3, 3] and len(made) == 3
 
 

@@ -9,6 +9,7 @@ from tidemark.functions import scoring
 from tidemark.operators import ranking, rollups
 from tidemark.plans import recurrence
 from tidemark.queries.base import query, table
+from tidemark.sources.shared import cut
 
 _WEIGHTS = [round(((i * 37) % 11 - 5) / 4, 2) for i in range(64)]
 _SCORED = "WITH s AS (SELECT CAST(quality AS INTEGER) AS y, 1 / (1 + exp(-(n_chars - 2000) / 1500.0)) AS p FROM labels JOIN documents USING (doc_id))"
@@ -59,7 +60,7 @@ def q_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") < 3).cast("int").alias("y"), (F.col("vec_id") % 60).alias("event"))
     grouped = s.join(ranking.split_ids(s, "event", 0.3, "42"), "event")
     train, hold = grouped.where("grp = 'train'"), grouped.where("grp = 'holdout'")
-    scored = recurrence.decision(recurrence.train(train), hold).persist()
+    scored = cut(recurrence.decision(recurrence.train(train), hold))
     a, b = recurrence.platt(scored)
     return recurrence.evaluate(recurrence.calibrated(scored, a, b))
 

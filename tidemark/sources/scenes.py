@@ -83,15 +83,21 @@ def in_country(units: DataFrame, country: str, name: str = "ADM0_NAME") -> DataF
 
 
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
-    """The table at ``path``; made and written first if it isn't there, or if ``refresh`` asks for it. An empty result is never written."""
+    """The table at ``path``; made and written first if it isn't there, or if ``refresh`` asks for it. An empty result is never written.
+
+    The new table is written beside the old one and takes its place when it is whole, so that ``make`` may read what it replaces.
+    """
     if refresh or missing(spark, path):
-        made = make().persist()
-        try:
-            if made.isEmpty():
-                raise ValueError(f"nothing to write to {path}")
-            made.write.mode("overwrite").parquet(path)
-        finally:
-            made.unpersist()
+        beside = f"{path.rstrip('/')}.new"
+        make().write.mode("overwrite").parquet(beside)
+        old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside))
+        fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+        if spark.read.parquet(beside).isEmpty():
+            fs.delete(new, True)
+            raise ValueError(f"nothing to write to {path}")
+        fs.delete(old, True)
+        if not fs.rename(new, old):
+            raise OSError(f"{beside} can't be renamed to {path}")
     return spark.read.parquet(path)
 
 
