@@ -5,6 +5,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.functions.geo import utm
 from tidemark.operators import gates, joins, outlines, ranking, raster, rollups, spatial, vector
 from tidemark.plans import accountability, extent, lookup, roads
@@ -59,6 +60,13 @@ def test_nearest_in_one_dense_degree(spark):
     assert width < 0.25 and fullest <= 20 and spatial.dense_cell(wide, 1.0, 20, 0.1) == 0.125
 
 
+def test_boundaries_of_words_are_those_of_ascii(spark):
+    rows = [("und und\u00dfverc",), ("x\u00fcund und",), ("und und",), ("und undx",), ("und und_",), ("an und und.",)]
+    found = frame(spark, rows, "t string").where(F.col("t").rlike(text.ascii_bounds(r"\bund und\b"))).collect()
+    assert [r["t"] for r in found] == [rows[i][0] for i in (0, 1, 2, 5)]
+    assert text.ascii_bounds(r"\\b\d") == r"\\b\d"
+
+
 def test_best_along_a_corridor_in_both_modes(spark):
     s = frame(spark, [(1, 0, 0.9, 5.0), (1, 1, 0.3, 2.0), (1, 2, 0.5, 3.0)], "id long, i int, score double, km double")
     assert spatial.best_along(s).collect()[0][1:] == (0.9, 2.0)

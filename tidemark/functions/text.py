@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ def near_each_other(text: Column, a: str, b: str, within: int = 240) -> Column:
     return F.coalesce(text.rlike(f"{a}{gap}{b}") | text.rlike(f"{b}{gap}{a}"), F.lit(False))
 
 
+def ascii_bounds(pattern: str) -> str:
+    r"""``pattern`` with each ``\b`` as a boundary of ASCII words, whatever letters the runtime's own ``\b`` counts."""
+    return re.sub(r"\\(.)", lambda m: r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))" if m[1] == "b" else m[0], pattern, flags=re.DOTALL)
+
+
 def forbidden_keys(json: Column, keys: Sequence[str]) -> Column:
     """Keys of the list that occur as keys anywhere in a JSON text, sorted."""
     found = F.regexp_extract_all(json, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), 1)
