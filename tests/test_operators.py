@@ -60,6 +60,23 @@ def test_nearest_in_one_dense_degree(spark):
     assert width < 0.25 and fullest <= 20 and spatial.dense_cell(wide, 1.0, 20, 0.1) == 0.125
 
 
+def test_nearest_ties_to_a_millimetre(spark):
+    # three sites to the west, east and south, equally far but for the last digits of a double
+    sites = frame(spark, [(9, 10.0, 119.9), (4, 10.0, 120.1), (7, 10.0, 120.1), (5, 10.3, 120.0)], "site_id long, lat double, lon double")
+    points = frame(spark, [(i, 10.0, 120.0 + i * 1e-10) for i in range(-4, 5)], "id long, lat double, lon double")
+    assert {r["site_id"] for r in spatial.nearest(points, sites).collect()} == {4}
+    assert {r["site_id"] for r in spatial.nearest(points, sites.withColumn("site_id", -F.col("site_id"))).collect()} == {-9}
+
+
+def test_all_sites_of_crowded_places(spark):
+    where = [(0.0, 179.95), (0.0, -179.95), (0.1, 179.9), (3.0, 0.0)]
+    points = frame(spark, [(i, *where[i % 4]) for i in range(40)], "id long, lat double, lon double")
+    sites = frame(spark, [(i, *where[i % 3]) for i in range(3000)], "site_id long, lat double, lon double")
+    got = spatial.within_km(points, sites, 30.0).groupBy("id").agg(F.countDistinct("site_id").alias("n"), F.count("*").alias("m")).collect()
+    assert {(r["id"], r["n"], r["m"]) for r in got} == {(i, 3000, 3000) for i in range(40) if i % 4 < 3}
+    assert max(r["n"] for r in spatial._at_places(sites, "site_id", "s", 100).select(F.size("s").alias("n")).collect()) < 250
+
+
 def test_boundaries_of_words_are_those_of_ascii(spark):
     rows = [("und und\u00dfverc",), ("x\u00fcund und",), ("und und",), ("und undx",), ("und und_",), ("an und und.",)]
     found = frame(spark, rows, "t string").where(F.col("t").rlike(text.ascii_bounds(r"\bund und\b"))).collect()

@@ -60,13 +60,17 @@ def _rows_and_columns(lat: Column, lon: Column, km: float, row: Column | None =
 
 
 def _candidates(points: DataFrame, sites: DataFrame, km: float, how: str = "inner") -> DataFrame:
-    """id, lat, lon with site_id, km of at least all sites within ``km``: those of the cell of a point and of the cells around it, across the date line too."""
-    row, column, _ = _rows_and_columns(F.col("s_lat"), F.col("s_lon"), km)
-    place = sites.select("site_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).select("*", row.alias("_row"), column.alias("_col"))
-    rows = points.select("id", "lat", "lon", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.floor(F.col("lat") / F.lit(km / 111.0)).cast("long") + i)).alias("_row"))
-    _, column, columns = _rows_and_columns(F.col("lat"), F.col("lon"), km, F.col("_row"))
-    cells = rows.select("id", "lat", "lon", "_row", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(column + i, columns)))).alias("_col"))
-    found = cells.join(place, ["_row", "_col"], how)
+    """points and the other columns of sites with _row, _col, km: at least all sites within ``km``, those that reach into the cell of a point.
+
+    Each site (lat, lon) stands in its own cell and in those around it, across the date line too, and each point (lat, lon) in its own only: what
+    is grouped by cell and point needs no other shuffle than that of the points.
+    """
+    own, near = F.floor(F.col("s_lat") / F.lit(km / 111.0)).cast("long"), F.array(*map(F.lit, (-1, 0, 1)))
+    rows = sites.withColumnsRenamed({"lat": "s_lat", "lon": "s_lon"}).withColumn("_row", F.explode(F.transform(near, lambda i: own + i)))
+    _, column, columns = _rows_and_columns(F.col("s_lat"), F.col("s_lon"), km, F.col("_row"))
+    place = rows.withColumn("_col", F.explode(F.array_distinct(F.transform(near, lambda i: F.pmod(column + i, columns)))))
+    row, column, _ = _rows_and_columns(F.col("lat"), F.col("lon"), km)
+    found = points.select("*", row.alias("_row"), column.alias("_col")).join(place, ["_row", "_col"], how)
     return found.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")))
 
 
@@ -84,8 +88,12 @@ def dense_cell(sites: DataFrame, cell: float, most: int, least: float = 1e-4) ->
     return max(fits, default=widths[-1])
 
 
-def nearest(points: DataFrame, sites: DataFrame, cell: float = 1.0, most: int = 1024) -> DataFrame:
-    """id, site_id, km for points (id, lat, lon) and sites (site_id, lat, lon): the nearest, ties to the smaller site_id.
+#: Distances of sites are equal if they are so to a millimetre.
+SAME_KM = 1e-6
+
+
+def nearest(points: DataFrame, sites: DataFrame, cell: float = 1.0, most: int = 16) -> DataFrame:
+    """id, site_id, km for points (id, lat, lon) and sites (site_id, lat, lon): the nearest in whole millimetres, ties to the smaller site_id.
 
     Points look at the sites of their own cell and those around, in cells of ``cell`` degrees at first, or of as much less as leaves no
     cell with more than ``most`` sites (dense_cell). What has none within the cells' size looks again in cells twice as large. A point
@@ -95,23 +103,37 @@ def nearest(points: DataFrame, sites: DataFrame, cell: float = 1.0, most: int =
     """
     sites = cut(sites.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("site_id").alias("site_id")))
     asked = points.select("id", "lat", "lon").where("lat is not null and lon is not null")
-    points, settled = asked.select("lat", "lon").distinct().withColumn("id", F.lit(0)), None
+    points, settled = asked.select("lat", "lon").distinct(), None
     km = dense_cell(sites, cell, most) * 111.0
     while True:
-        best = cut(_candidates(points, sites, km, "left").groupBy("id", "lat", "lon").agg(F.min(F.when(F.col("site_id").isNotNull(), F.struct("km", "site_id"))).alias("b")))
+        found = _candidates(points, sites, km, "left").withColumn("mm", F.floor(F.col("km") / SAME_KM + 0.5))
+        best = cut(found.groupBy("_row", "_col", "lat", "lon").agg(F.min(F.when(F.col("site_id").isNotNull(), F.struct("mm", "site_id", "km"))).alias("b")))
         last = km > math.pi * EARTH_KM
-        sure = F.col("b").isNotNull() if last else F.coalesce(F.col("b.km") <= km, F.lit(False))
+        sure = F.col("b").isNotNull() if last else F.coalesce(F.col("b.km") <= km - 2 * SAME_KM, F.lit(False))
         done = best.where(sure).select("lat", "lon", F.col("b.site_id").alias("site_id"), F.col("b.km").alias("km"))
         settled = done if settled is None else settled.unionByName(done)
-        points = best.where(~sure).select("id", "lat", "lon")
+        points = best.where(~sure).select("lat", "lon")
         if last or points.isEmpty():
             return asked.join(settled, ["lat", "lon"]).select("id", "site_id", "km")
         km *= 2
 
 
+def _at_places(df: DataFrame, key: str, many: str, most: int = 1024) -> DataFrame:
+    """lat, lon and arrays ``many`` of the keys that stand there, some ``most`` to an array at the utmost."""
+    known = df.select("lat", "lon", key).where("lat is not null and lon is not null")
+    parts = known.groupBy("lat", "lon").agg(F.ceil(F.count("*") / most).alias("_parts"))
+    crowded = parts.where("_parts > 1")
+    dealt = known.join(crowded, ["lat", "lon"], "left").withColumn("_part", F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1))))
+    return dealt.groupBy("lat", "lon", "_part").agg(F.collect_list(key).alias(many)).drop("_part")
+
+
 def within_km(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
-    """id, site_id, km of all pairs at most ``km`` apart: an equi-join on cells of that size, then the distance."""
-    return _candidates(points, sites, km).where(F.col("km") <= km).select("id", "site_id", "km")
+    """id, site_id, km of all pairs at most ``km`` apart: an equi-join on cells of that size, then the distance.
+
+    Places meet, once however many points and sites stand there; a pair's row is made of theirs at the end.
+    """
+    met = _candidates(_at_places(points, "id", "_ids"), _at_places(sites, "site_id", "_sites"), km).where(F.col("km") <= km)
+    return met.select("_ids", F.explode("_sites").alias("site_id"), "km").select(F.explode("_ids").alias("id"), "site_id", "km")
 
 
 def nearest_ring(points: DataFrame, polygons: DataFrame, key: str = "poly_id", rings: str = "rings", cell: float = 1.0) -> DataFrame:
