@@ -105,8 +105,9 @@ def q_corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.id % 100 AS grp, round(max(d.site_id / 25.0), 6) AS score, round(min(d.km), 6) AS km FROM d JOIN b ON d.id = b.id AND d.km = b.km GROUP BY 1""")
 def q_corridor_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best score and distance along several points."""
-    near = spatial.nearest(_customers(spark, sf_dir), _sites(spark, sf_dir), cell=1.0)
-    best = spatial.best_along(near.select((F.col("id") % 100).alias("id"), F.col("id").alias("i"), (F.col("site_id") / 25.0).alias("score"), "km"))
+    # of equally near sites the one with the best score, that is the largest number, counts
+    near = spatial.nearest(_customers(spark, sf_dir), _sites(spark, sf_dir).withColumn("site_id", -F.col("site_id")), cell=1.0)
+    best = spatial.best_along(near.select((F.col("id") % 100).alias("id"), F.col("id").alias("i"), (-F.col("site_id") / 25.0).alias("score"), "km"))
     return best.select(F.col("id").alias("grp"), F.round("score", 6).alias("score"), F.round("km", 6).alias("km"))
 
 
