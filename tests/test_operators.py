@@ -98,6 +98,25 @@ def test_jaccard_join_equals_brute_force(spark):
     assert got == {(a, b) for a, p, x in sets for b, q, y in sets if p == q and len(set(x) & set(y)) >= 0.6 * len(set(x) | set(y))}
 
 
+@pytest.mark.parametrize("span", [4, 1 << 16])
+def test_earlier_alike_rows_equal_brute_force(spark, span):
+    rng = random.Random(3)
+    rows = [(i * 3 % 200, "ab"[i % 2], rng.choices("pqrst", k=rng.randrange(1, 5))) for i in range(200)]
+    got = {r["left_id"]: (r["right_id"], r["n"]) for r in joins.jaccard_earlier(frame(spark, rows, "id long, p string, tokens array<string>"), ["p"], 0.6, span).collect()}
+    want = {}
+    for i, p, t in rows:
+        less = [j for j, q, u in rows if j < i and p == q and len({*t} & {*u}) / len({*t} | {*u}) >= 0.6]
+        if less:
+            want[i] = (min(less), len(less))
+    assert got == want
+
+
+def test_copies_are_not_made_into_pairs(spark):
+    rows = spark.range(20_000).select("id", F.lit("a").alias("p"), F.array(F.lit("x"), F.lit("y")).alias("tokens"))
+    found = joins.jaccard_earlier(rows, ["p"], 0.6, 512)
+    assert found.agg(F.min("right_id"), F.max("right_id"), F.sum("n"), F.count("*")).first() == (0, 0, 19_999 * 20_000 // 2, 19_999)
+
+
 def test_text_join_prefers_exact_to_prefix(spark):
     left = frame(spark, [(1, "quezon city"), (2, "quezon"), (3, "que"), (4, "other"), (5, "")], "left_id long, text string")
     right = frame(spark, [(1, "quezon province"), (2, "quezon")], "right_id long, text string")
