@@ -82,3 +82,15 @@ def test_published_lines_are_fine_where_wet(spark):
     got = {r["osm_id"]: r["geometry"] and [tuple(p) for p in r["geometry"]] for r in roads.published(rows, exposed).collect()}
     assert got[1] == [(121.0, 14.5), (121.01, 14.5003), (121.02, 14.5)] and got[2] == got[3] == [(121.0, 14.5), (121.02, 14.5)]
     assert len(got[4]) == 3 and got[5] is None and got[6] == [(121.0, 14.5)]
+
+
+def test_long_segments_stand_in_the_tiles_they_pass(spark):
+    long = lines(spark, [(1, [(0, 0), (100, 100)]), (2, [(0, 100), (100, 0)]), (3, [(50, 0), (50, 100)]), (4, [(100, 7), (0, 7)])])
+    tiles = {}
+    for r in vector._spread(long, 1.0).collect():
+        tiles.setdefault(r["id"], set()).add((r["tx"], r["ty"]))
+    assert all(len(t) < 410 for t in tiles.values())  # of 10,201 in the box
+    for r in long.collect():
+        for k in range(1000):
+            t = (k + 0.5) / 1000
+            assert (math.floor(r["x1"] + (r["x2"] - r["x1"]) * t), math.floor(r["y1"] + (r["y2"] - r["y1"]) * t)) in tiles[r["id"]]

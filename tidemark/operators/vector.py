@@ -20,17 +20,24 @@ def segments(lines: DataFrame, key: str, coords: str) -> DataFrame:
     return s.withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).where("len > 0")
 
 
-def _tiles(x1: Column, y1: Column, x2: Column, y2: Column, tile: float, halo: float = 0.0) -> list[Column]:
-    low = lambda a, b: F.floor((F.least(a, b) - halo) / tile).cast("long")
-    high = lambda a, b: F.floor((F.greatest(a, b) + halo) / tile).cast("long")
-    return [F.sequence(low(x1, x2), high(x1, x2)), F.sequence(low(y1, y2), high(y1, y2))]
+def _spread(segs: DataFrame, tile: float, halo: float = 0.0) -> DataFrame:
+    """``segs`` with tx, ty: the tiles that a segment passes at most ``halo`` away, column by column, not all those of its box."""
+    at = lambda c: F.floor(c / tile).cast("long")
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    left, right = F.least(x1, x2), F.greatest(x1, x2)
+    columns = segs.withColumn("tx", F.explode(F.sequence(at(left - halo), at(right + halo))))
+    # heights at the two ends of what lies in the column and its halo; more than rounding can lose is added
+    y = lambda x: F.when(x1 == x2, y1).otherwise(y1 + (y2 - y1) * (F.least(right, F.greatest(left, x)) - x1) / (x2 - x1))
+    spare = halo + tile * 1e-6
+    ends = columns.withColumns({"_y1": y(F.col("tx") * tile - spare), "_y2": F.when(x1 == x2, y2).otherwise(y((F.col("tx") + 1) * tile + spare))})
+    return ends.withColumn("ty", F.explode(F.sequence(at(F.least("_y1", "_y2") - spare), at(F.greatest("_y1", "_y2") + spare)))).drop("_y1", "_y2")
 
 
 def _meet(segs: DataFrame, edge: DataFrame, key: str, tile: float, halo: float) -> DataFrame:
     """Segments and polygon edges that share a tile; pairs may repeat."""
-    cols = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    a = segs.select(key, "seg", *cols, *[t.alias(n) for t, n in zip(_tiles(*cols, tile, halo), ("tx", "ty"))]).select(key, "seg", "x1", "y1", "x2", "y2", F.explode("tx").alias("tx"), "ty").withColumn("ty", F.explode("ty"))
-    b = edge.select(*[F.col(f"{c}").alias(f"e{c}") for c in ("x1", "y1", "x2", "y2")], *[t.alias(n) for t, n in zip(_tiles(*cols, tile), ("tx", "ty"))]).select("ex1", "ey1", "ex2", "ey2", F.explode("tx").alias("tx"), "ty").withColumn("ty", F.explode("ty"))
+    ends = ("x1", "y1", "x2", "y2")
+    a = _spread(segs.select(key, "seg", *ends), tile, halo)
+    b = _spread(edge.select(*ends), tile).withColumnsRenamed({c: f"e{c}" for c in ends})
     return a.join(b, ["tx", "ty"])
 
 

@@ -22,7 +22,7 @@ def exposure(roads: DataFrame, water: DataFrame, usable: bool, buffer_m: float =
     """
     named = roads.withColumn("c", bands.corridor_of(F.col("ref"), F.col("name"))).where(bands.road_in_scope(F.col("highway"), F.col("ref"), F.col("c.is_expressway")))
     metric = named.withColumn("m", F.transform("coords", lambda p: geo.utm(p["x"], p["y"])))
-    segs = vector.segments(metric, "osm_id", "m")
+    segs = cut(vector.segments(metric, "osm_id", "m"))  # the projection is dear and its segments are read several times
     lengths = segs.groupBy("osm_id").agg(F.sum("len").alias("length_m"))
     within = cut(vector.inside_pieces(segs, water, "osm_id", tile=tile))
     wet = within.groupBy("osm_id").agg(F.sum((F.col("b") - F.col("a")) * F.col("len")).alias("inside_len"))
