@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.spatial import inside
+from tidemark.operators import cover
 
 _POINTS_TYPE = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
@@ -20,92 +20,22 @@ def segments(lines: DataFrame, key: str, coords: str) -> DataFrame:
     return s.withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).where("len > 0")
 
 
-def _spread(segs: DataFrame, tile: float, halo: float = 0.0) -> DataFrame:
-    """``segs`` with tx, ty: the tiles that a segment passes at most ``halo`` away, column by column, not all those of its box."""
-    at = lambda c: F.floor(c / tile).cast("long")
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    left, right = F.least(x1, x2), F.greatest(x1, x2)
-    columns = segs.withColumn("tx", F.explode(F.sequence(at(left - halo), at(right + halo))))
-    # heights at the two ends of what lies in the column and its halo; more than rounding can lose is added
-    y = lambda x: F.when(x1 == x2, y1).otherwise(y1 + (y2 - y1) * (F.least(right, F.greatest(left, x)) - x1) / (x2 - x1))
-    spare = halo + tile * 1e-6
-    ends = columns.withColumns({"_y1": y(F.col("tx") * tile - spare), "_y2": F.when(x1 == x2, y2).otherwise(y((F.col("tx") + 1) * tile + spare))})
-    return ends.withColumn("ty", F.explode(F.sequence(at(F.least("_y1", "_y2") - spare), at(F.greatest("_y1", "_y2") + spare)))).drop("_y1", "_y2")
-
-
-def _meet(segs: DataFrame, edge: DataFrame, key: str, tile: float, halo: float) -> DataFrame:
-    """Segments and polygon edges that share a tile; pairs may repeat."""
-    ends = ("x1", "y1", "x2", "y2")
-    a = _spread(segs.select(key, "seg", *ends), tile, halo)
-    b = _spread(edge.select(*ends), tile).withColumnsRenamed({c: f"e{c}" for c in ends})
-    return a.join(b, ["tx", "ty"])
-
-
-def inside_pieces(segs: DataFrame, edge: DataFrame, key: str, poly: str = "poly_id", tile: float = 1000.0) -> DataFrame:
-    """key, seg, a, b, len: the parts (from a to b of a segment, 0 to 1) that lie in any of the polygons.
-
-    A segment is cut at all its crossings with polygon edges; a piece lies inside if its middle does.
-    """
-    m = _meet(segs, edge, key, tile, 0.0)
-    dx, dy, ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("ex2") - F.col("ex1"), F.col("ey2") - F.col("ey1")
-    cross = dx * ey - dy * ex
-    t = ((F.col("ex1") - F.col("x1")) * ey - (F.col("ey1") - F.col("y1")) * ex) / cross
-    u = ((F.col("ex1") - F.col("x1")) * dy - (F.col("ey1") - F.col("y1")) * dx) / cross
-    hits = m.where(cross != 0).select(key, "seg", t.alias("t"), u.alias("u")).where("t > 0 and t < 1 and u >= 0 and u <= 1")
-    cuts = hits.groupBy(key, "seg").agg(F.array_sort(F.collect_set("t")).alias("cuts"))
-    whole = segs.join(cuts, [key, "seg"], "left").withColumn("c", F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
-    zipped = F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c") - 1).alias("b"))
-    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * (F.col("p.a") + F.col("p.b")) / 2
-    pieces = whole.select(key, "seg", "x1", "y1", "x2", "y2", "len", F.explode(zipped).alias("p")).select(key, "seg", "p.a", "p.b", "len", F.struct(key, "seg", "p").alias("piece"), at("x1", "x2").alias("mx"), at("y1", "y2").alias("my"))
-    wet = inside(pieces, edge, "piece", "mx", "my", poly, tile).select("piece").distinct()
-    return pieces.join(wet, "piece", "left_semi").select(key, "seg", "a", "b", "len")
+_spread = cover.spread
 
 
 def length_inside(segs: DataFrame, edge: DataFrame, key: str, poly: str = "poly_id", tile: float = 1000.0) -> DataFrame:
     """key, inside_len: the length of each line in any of the polygons, so that overlapping polygons count once."""
-    return inside_pieces(segs, edge, key, poly, tile).groupBy(key).agg(F.sum((F.col("b") - F.col("a")) * F.col("len")).alias("inside_len"))
-
-
-def near_parts(pairs: DataFrame, metres: float) -> DataFrame:
-    """``pairs`` (x1, y1, x2, y2 and ex1, ey1, ex2, ey2) with lo, hi: the part of the first segment (0 to 1, or beyond) that is at most
-    ``metres`` from the second; NULLs if there is none.
-
-    What is that near forms a disc at either end and a strip between them. The three are convex as one, so the parts of a line
-    in each of them, the roots of a quadratic and of linear functions, make one interval.
-    """
-    c = F.col
-    inf = F.lit(float("inf"))
-    over = lambda x, y: F.when(y != 0, x / y)
-    # steps of their own, so that no expression is written out several times
-    d = pairs.withColumns({"_dx": c("x2") - c("x1"), "_dy": c("y2") - c("y1"), "_ex": c("ex2") - c("ex1"), "_ey": c("ey2") - c("ey1"), "_px": c("x1") - c("ex1"), "_py": c("y1") - c("ey1"), "_qx": c("x1") - c("ex2"), "_qy": c("y1") - c("ey2")})
-    d = d.withColumns({"_a": c("_dx") * c("_dx") + c("_dy") * c("_dy"), "_size": F.hypot("_ex", "_ey"), **{f"_b{n}": c(f"_{n}x") * c("_dx") + c(f"_{n}y") * c("_dy") for n in "pq"}})
-    d = d.withColumns({**{f"_r{n}": c(f"_b{n}") * c(f"_b{n}") - c("_a") * (c(f"_{n}x") * c(f"_{n}x") + c(f"_{n}y") * c(f"_{n}y") - metres * metres) for n in "pq"}, "_ux": over(c("_ex"), c("_size")), "_uy": over(c("_ey"), c("_size"))})
-    d = d.withColumns({**{f"_s{n}": F.when(c(f"_r{n}") >= 0, F.sqrt(f"_r{n}")) for n in "pq"}, "_f": c("_px") * c("_uy") - c("_py") * c("_ux"), "_df": c("_dx") * c("_uy") - c("_dy") * c("_ux"), "_g": c("_px") * c("_ux") + c("_py") * c("_uy"), "_dg": c("_dx") * c("_ux") + c("_dy") * c("_uy")})
-    d = d.withColumns({
-        **{f"_{n}{e}": F.when(c(f"_d{n}") == 0, F.when((c(f"_{n}") >= low) & (c(f"_{n}") <= high), -inf if e == 0 else inf)).otherwise(over((low if e == 0 else high) - c(f"_{n}"), c(f"_d{n}"))) for n, low, high in (("f", F.lit(-metres), F.lit(metres)), ("g", F.lit(0.0), c("_size"))) for e in (0, 1)},
-        **{f"_{n}{e}": over(-c(f"_b{n}") + (c(f"_s{n}") if e else -c(f"_s{n}")), c("_a")) for n in "pq" for e in (0, 1)},
-    })
-    # greatest() and least() pass over NULLs, which here mean that nothing is inside
-    some = c("_f0").isNotNull() & c("_g0").isNotNull()
-    d = d.withColumns({"_lo": F.when(some, F.greatest(F.least("_f0", "_f1"), F.least("_g0", "_g1"))), "_hi": F.when(some, F.least(F.greatest("_f0", "_f1"), F.greatest("_g0", "_g1")))})
-    d = d.withColumns({"_on": c("_lo") <= c("_hi")})
-    return d.select(*pairs.columns, F.least("_p0", "_q0", F.when(c("_on"), c("_lo"))).alias("lo"), F.greatest("_p1", "_q1", F.when(c("_on"), c("_hi"))).alias("hi"))
-
-
-def length_within(segs: DataFrame, edge: DataFrame, key: str, metres: float, poly: str = "poly_id", tile: float = 1000.0, inside_parts: DataFrame | None = None) -> DataFrame:
-    """key, near_len: the length of each line in the polygons or at most ``metres`` from them; what is near to several counts once.
-
-    inside_parts: inside_pieces() of the same lines, if the caller has them. Parts of a segment are united in the order in which
-    they begin, by a window over the segment's parts.
-    """
-    near = near_parts(_meet(segs, edge, key, tile, metres), metres)
-    # the number keeps the filter here: pushed down, it would write the whole interval out several times
-    kept = [F.greatest(F.lit(0.0), "lo").alias("a"), F.when(F.col("hi").isNotNull(), F.least(F.lit(1.0), "hi")).alias("b"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("len"), F.monotonically_increasing_id().alias("_n")]
-    near = near.select(key, "seg", *kept).where("a < b and _n >= 0").drop("_n")
-    both = near.unionByName(inside_parts if inside_parts is not None else inside_pieces(segs, edge, key, poly, tile)).distinct()
-    before = Window.partitionBy(key, "seg").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = both.withColumn("reached", F.coalesce(F.max("b").over(before), F.lit(0.0)))
-    return fresh.groupBy(key).agg(F.sum(F.greatest(F.lit(0.0), F.col("b") - F.greatest("a", "reached")) * F.col("len")).alias("near_len"))
+    return cover.line_lengths(segs, edge, key, {"inside_len": 0.0}, poly, tile)
+
+
+def length_within(segs: DataFrame, edge: DataFrame, key: str, metres: float, poly: str = "poly_id", tile: float = 1000.0) -> DataFrame:
+    """key, near_len: the length of each line in the polygons or at most ``metres`` from them; what is near to several counts once."""
+    return cover.line_lengths(segs, edge, key, {"near_len": metres}, poly, tile)
+
+
+def lengths(segs: DataFrame, edge: DataFrame, key: str, metres: float, poly: str = "poly_id", tile: float = 1000.0) -> DataFrame:
+    """key, inside_len, near_len: both lengths in one pass."""
+    return cover.line_lengths(segs, edge, key, {"inside_len": 0.0, "near_len": metres}, poly, tile)
 
 
 def _simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:

@@ -24,10 +24,7 @@ def exposure(roads: DataFrame, water: DataFrame, usable: bool, buffer_m: float =
     metric = named.withColumn("m", F.transform("coords", lambda p: geo.utm(p["x"], p["y"])))
     segs = cut(vector.segments(metric, "osm_id", "m"))  # the projection is dear and its segments are read several times
     lengths = segs.groupBy("osm_id").agg(F.sum("len").alias("length_m"))
-    within = cut(vector.inside_pieces(segs, water, "osm_id", tile=tile))
-    wet = within.groupBy("osm_id").agg(F.sum((F.col("b") - F.col("a")) * F.col("len")).alias("inside_len"))
-    near = vector.length_within(segs, water, "osm_id", buffer_m, tile=tile, inside_parts=within)
-    j = named.join(lengths, "osm_id").join(wet, "osm_id", "left").join(near, "osm_id", "left")
+    j = named.join(lengths, "osm_id").join(vector.lengths(segs, water, "osm_id", buffer_m, tile=tile), "osm_id", "left")
     flooded, close = (F.coalesce(c, F.lit(0.0)) if usable else F.lit(0.0) for c in ("inside_len", "near_len"))
     return j.select(
         "osm_id", "c.road_name", "c.corridor", "c.is_expressway", F.round("length_m", 1).alias("length_m"), F.round(flooded, 1).alias("flooded_m"), F.round(close, 1).alias("near_m"), F.round(flooded / F.col("length_m"), 4).alias("fraction"),

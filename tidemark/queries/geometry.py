@@ -78,9 +78,7 @@ def q_road_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "orders").select(k.alias("id"), F.array(_point(k * 31 % 991, y), _point(k * 31 % 991 + 2 + k % 40, y)).alias("coords"))
     water = spatial.edges(_flood_boxes(spark, sf_dir).where("poly_id % 5 <> 0"))
     segs = vector.segments(lines, "id", "coords")
-    inside = vector.length_inside(segs, water, "id", tile=16.0)
-    near = vector.length_within(segs, water, "id", _NEAR, tile=16.0)
-    found = lines.select("id").join(inside, "id", "left").join(near, "id", "left")
+    found = lines.select("id").join(vector.lengths(segs, water, "id", _NEAR, tile=16.0), "id", "left")
     return found.select("id", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("inside_len", "near_len")])
 
 
