@@ -1,126 +1,54 @@
-"""Exact areas of unions and intersections of polygons, from their edges alone.
+"""Exact areas of unions and intersections of polygons, from their edges alone, tile by tile (``cover``).
 
-Edges are cut where they cross, by joins on tiles. A piece between two cuts lies as a whole inside or outside every polygon, which the
-number of edges below its middle tells (even-odd, so that holes, several parts and outlines that cross themselves need no repair). The area
-of a figure is the sum over its boundary of the areas under its pieces, positive where the figure is below and negative where it is
-above. The boundary of a union is made of the pieces that no other polygon of the set covers; that of an intersection, of the pieces of
-each boundary that the other set covers.
-
-Edges that coincide are told apart by shifting each polygon down by an infinitely small amount of its own, in the order of (side, set,
-polygon, edge); areas don't depend on it. Everything is an equi-join on (tile column, tile row) or (polygon, tile column), then sums: no
-polygon, set or map is collected anywhere.
+Whatever lies inside by even-odd parity is covered, so holes, several parts and outlines that cross themselves need no repair. No polygon,
+set or map is collected anywhere; a task sees the edges of one tile.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import cut
-
-#: Coordinates closer than this, relative to their size, are the same.
-SAME = 1e-12
-
-
-def shapes(edge: DataFrame, key: str, set_col: str | Column, side: int = 0) -> DataFrame:
-    """of (struct side, set), poly (struct side, set, poly), edge (struct side, set, poly, edge), x1, y1, x2, y2: edges of polygons (key, x1, y1,
-    x2, y2) as members of sets, from left to right."""
-    of = F.col(set_col) if isinstance(set_col, str) else set_col
-    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    swap = (F.col("x1") > F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") > F.col("y2")))
-    turned = [F.when(swap, b).otherwise(a).alias(n) for a, b, n in zip(ends, ends[2:] + ends[:2], ("x1", "y1", "x2", "y2"))]
-    out = edge.where("x1 <> x2 or y1 <> y2").select(of.alias("set"), F.col(key).alias("poly"), *turned)
-    # an edge that is there twice bounds nothing under even-odd parity
-    out = out.groupBy("set", "poly", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n")).where("n % 2 = 1")
-    who = [F.lit(side).alias("side"), F.col("set"), F.col("poly"), F.xxhash64("x1", "y1", "x2", "y2").alias("edge")]
-    return out.select(F.struct(*who[:2]).alias("of"), F.struct(*who[:3]).alias("poly"), F.struct(*who).alias("edge"), "x1", "y1", "x2", "y2")
-
-
-def _tiles(tile: float) -> list[Column]:
-    """tx, ty: every tile that the box of an edge reaches into."""
-    low, high = (lambda a, b: F.floor(F.least(a, b) / tile).cast("long")), (lambda a, b: F.floor(F.greatest(a, b) / tile).cast("long"))
-    return [F.explode(F.sequence(low(F.col(a), F.col(b)), high(F.col(a), F.col(b)))).alias(n) for a, b, n in (("x1", "x2", "tx"), ("y1", "y2", "ty"))]
-
-
-def _other(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"o_{c}") if c in columns else F.col(c) for c in df.columns])
-
-
-#: Polygons matter to each other inside a set and across the sides.
-_RELATED = "of.side <> o_of.side or of = o_of"
-_SHAPE = ["of", "poly", "edge", "x1", "y1", "x2", "y2"]
-
-
-def pieces(shape: DataFrame, tile: float) -> DataFrame:
-    """of, poly, edge, piece, x1, y1, x2, y2: the edges of shapes(), cut at all crossings with edges that matter to them."""
-    tx, ty = _tiles(tile)
-    spread = shape.select(*_SHAPE, tx).select("*", ty)
-    pair = spread.select("of", "edge", "x1", "y1", "x2", "y2", "tx", "ty").join(_other(spread, _SHAPE), ["tx", "ty"]).where(f"({_RELATED}) and edge <> o_edge")
-    dx, dy, ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("o_x2") - F.col("o_x1"), F.col("o_y2") - F.col("o_y1")
-    gx, gy = F.col("o_x1") - F.col("x1"), F.col("o_y1") - F.col("y1")
-    cross = dx * ey - dy * ex
-    slanted = F.abs(cross) > SAME * F.hypot(dx, dy) * F.hypot(ex, ey)
-    hits = pair.where(slanted).select("edge", ((gx * ey - gy * ex) / cross).alias("t"), ((gx * dy - gy * dx) / cross).alias("u"))
-    cuts = hits.where("t > 1e-12 and t < 1 - 1e-12 and u >= -1e-9 and u <= 1 + 1e-9").groupBy("edge").agg(F.array_sort(F.collect_set("t")).alias("cuts"))
-    whole = shape.join(cuts, "edge", "left").withColumn("c", F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
-    part = whole.select(*_SHAPE, F.posexplode(F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c") - 1).alias("b"))).alias("piece", "p"))
-    at = lambda c, d, s: F.when(s == 1, F.col(f"{c}2")).otherwise(F.col(f"{c}1") + d * s)
-    a, b = F.col("p.a"), F.col("p.b")
-    return part.select("of", "poly", "edge", "piece", at("x", dx, a).alias("_1"), at("y", dy, a).alias("_2"), at("x", dx, b).alias("x2"), at("y", dy, b).alias("y2")).withColumnsRenamed({"_1": "x1", "_2": "y1"})
-
-
-def boundary(shape: DataFrame, tile: float) -> DataFrame:
-    """of, x1, y1, x2, y2, sign (1: the set lies below, -1: above) and covers (the sets of the other side that cover it), for all pieces on
-    the boundaries of the sets' unions that aren't vertical."""
-    shape = cut(shape)
-    middle = [F.struct("edge", "piece").alias("id"), "of", "poly", "edge", "x1", "y1", "x2", "y2", ((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my")]
-    flat = cut(pieces(shape, tile).where("x1 < x2").select(*middle))
-    column = lambda c: F.floor(c / tile).cast("long")
-    box = shape.groupBy(F.col("of").alias("o_of"), F.col("poly").alias("o_poly")).agg(F.min("x1").alias("w"), F.max("x2").alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"))
-    tiles = box.select("*", F.explode(F.sequence(column(F.col("w")), column(F.col("e")))).alias("tx")).select("*", F.explode(F.sequence(column(F.col("s")), column(F.col("n")))).alias("ty"))
-    near = flat.select("id", "of", "poly", "edge", "mx", "my", column(F.col("mx")).alias("tx"), column(F.col("my")).alias("ty")).join(tiles, ["tx", "ty"])
-    near = near.where(f"({_RELATED}) and mx between w and e and my between s and n").select("id", "of", "poly", "edge", "mx", "my", "o_of", "o_poly", "tx")
-    standing = _other(shape.where("x1 < x2").select("poly", "edge", "x1", "y1", "x2", "y2", F.explode(F.sequence(column(F.col("x1")), column(F.col("x2")))).alias("tx")), _SHAPE)
-    m = near.join(standing, ["o_poly", "tx"]).where("mx >= o_x1 and mx < o_x2")
-    ex, ey = F.col("o_x2") - F.col("o_x1"), F.col("o_y2") - F.col("o_y1")
-    over = (ex * (F.col("my") - F.col("o_y1")) - ey * (F.col("mx") - F.col("o_x1"))) / F.hypot(ex, ey)
-    same = F.abs(over) <= SAME * (F.abs("mx") + F.abs("my") + 1)
-    below = F.when(same, F.col("o_edge") > F.col("edge")).otherwise(over > 0)
-    parity = m.groupBy("id", "of", "poly", "o_of", "o_poly").agg((F.count_if(below) % 2).alias("odd")).where("odd = 1")
-    seen = parity.groupBy("id").agg(
-        F.count_if(F.col("poly") == F.col("o_poly")).alias("own"), F.count_if((F.col("of") == F.col("o_of")) & (F.col("poly") != F.col("o_poly"))).alias("hidden"),
-        F.collect_set(F.when(F.col("of") != F.col("o_of"), F.col("o_of"))).alias("covers"),
-    )
-    free = flat.join(seen, "id", "left").where("coalesce(hidden, 0) = 0")
-    return free.select("of", "x1", "y1", "x2", "y2", F.when(F.col("own") == 1, 1).otherwise(-1).alias("sign"), "covers")
-
-
-def _areas(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, area from the pieces of boundaries; heights are measured from the lowest one, so that large parts don't have to cancel out."""
-    base = lines.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(F.least("y1", "y2")).alias("base"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    under = F.col("sign") * (F.col("x2") - F.col("x1")) * (F.col("y1") - F.col("base") + F.col("y2") - F.col("base")) / 2
-    return lines.join(base, same).groupBy(*keys).agg(F.sum(under).alias("area"))
+from tidemark.operators import cover
+
+
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
 def union_area(edge: DataFrame, key: str, set_col: str | Column, tile: float) -> DataFrame:
-    """set, area of the union of each set's polygons; edge: key, the set's columns, x1, y1, x2, y2."""
-    lines = cut(boundary(shapes(edge, key, set_col), tile).select(F.col("of.set").alias("set"), "x1", "y1", "x2", "y2", "sign"))
-    return _areas(lines, ["set"])
+    """set, area of the union of each set's polygons; edge: key, the set's columns, x1, y1, x2, y2. Sets without an area are left out."""
+    rows = cover.in_tiles(edge.select(_column(set_col).alias("set"), F.col(key).alias("key"), "x1", "y1", "x2", "y2"), "key", ["set"], tile)
+
+    def run(at: tuple, rows: pa.Table) -> pa.Table:
+        found = cover.area(cover.tile_box(at[1].as_py(), at[2].as_py(), tile), cover.shape_of([rows]), np.zeros(1, dtype=bool))
+        return pa.table([rows.column("set").slice(0, 1), pa.array([found])], ["set", "area"])
+
+    parts = cover.by_tile(rows, "set").applyInArrow(run, f"set {rows.schema['set'].dataType.simpleString()}, area double")
+    return parts.groupBy("set").agg(F.sum("area").alias("area")).where("area > 0")
 
 
 def intersection_area(a: DataFrame, b: DataFrame, a_key: str, b_key: str, a_set: str | Column, b_set: str | Column, tile: float) -> DataFrame:
     """a_set, b_set, area of the intersections of each set's union of ``a`` with each one's of ``b``; pairs that share no area are left out."""
-    column = lambda c: F.col(c) if isinstance(c, str) else c
-    kinds = [df.select(F.struct(column(k).alias("k"), column(s).alias("s")).alias("t")).schema["t"].dataType for df, k, s in ((a, a_key, a_set), (b, b_key, b_set))]
-
-    def side(df: DataFrame, key: str, of: str | Column, at: int) -> DataFrame:
-        # both sides' ids have their own place, since their types may differ
-        pair = lambda c, i: F.struct(*[(column(c) if j == at else F.lit(None).cast(kinds[j][i].dataType)).alias(n) for j, n in enumerate("ab")])
-        return shapes(df.select(pair(key, 0).alias("poly"), pair(of, 1).alias("set"), "x1", "y1", "x2", "y2"), "poly", "set", at)
-
-    lines = boundary(side(a, a_key, a_set, 0).unionByName(side(b, b_key, b_set, 1)), tile)
-    each = lines.select("of", "x1", "y1", "x2", "y2", "sign", F.explode("covers").alias("over"))
-    first = F.col("of.side") == 0
-    a_of, b_of = F.when(first, F.col("of.set.a")).otherwise(F.col("over.set.a")), F.when(first, F.col("over.set.b")).otherwise(F.col("of.set.b"))
-    return _areas(cut(each.select(a_of.alias("a_set"), b_of.alias("b_set"), "x1", "y1", "x2", "y2", "sign")), ["a_set", "b_set"]).where("area > 0")
+
+    def side(df: DataFrame, key: str, of: str | Column, name: str) -> DataFrame:
+        e = df.select(_column(of).alias(name), F.to_json(F.struct(_column(of).alias("s"))).alias("of"), F.col(key).alias("key"), "x1", "y1", "x2", "y2")
+        return cover.in_tiles(e, "key", [name, "of"], tile)
+
+    def by_set(rows: pa.Table) -> list[pa.Table]:
+        number = rows.column("of").combine_chunks().dictionary_encode().indices.to_numpy()
+        return [rows.take(pa.array(np.flatnonzero(number == i))) for i in np.unique(number)]
+
+    def run(at: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        box = cover.tile_box(at[0].as_py(), at[1].as_py(), tile)
+        pairs = [(x, y) for x in by_set(left) for y in by_set(right)] if left.num_rows and right.num_rows else []
+        found = [cover.area(box, cover.shape_of([x, y]), np.zeros(2, dtype=bool)) for x, y in pairs]
+        sets = [pa.concat_arrays([pair[i].column(n).slice(0, 1).combine_chunks() for pair in pairs]) if pairs else rows.column(n).slice(0, 0) for i, (n, rows) in enumerate((("a_set", left), ("b_set", right)))]
+        return pa.table([*sets, pa.array(found, pa.float64())], ["a_set", "b_set", "area"])
+
+    one, two = side(a, a_key, a_set, "a_set"), side(b, b_key, b_set, "b_set")
+    schema = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n, df in (("a_set", one), ("b_set", two)))
+    parts = cover.by_tile(one).cogroup(cover.by_tile(two)).applyInArrow(run, f"{schema}, area double")
+    return parts.groupBy("a_set", "b_set").agg(F.sum("area").alias("area")).where("area > 0")
