@@ -50,3 +50,20 @@ def test_masks(spark):
     df = spark.createDataFrame(rows, "occ double, river int, slope double, elevation double")
     got = df.select(tiles.permanent_water(F.col("occ"), F.col("river")), tiles.slope_ok(F.col("slope")), tiles.flood_plausible(F.col("slope"), F.col("elevation"), F.col("occ"))).collect()
     assert [tuple(r) for r in got] == [(True, True, True), (True, True, False), (True, True, False), (False, True, True), (False, True, True), (False, True, False)]
+
+
+def test_components_pass_over_many_tiles(spark):
+    rng = random.Random(5)
+    cells = {(r, c) for r in range(-20, 20) for c in range(-20, 20) if rng.random() < 0.38}
+    label = {}
+    for start in sorted(cells):
+        todo = [start] if start not in label else []
+        while todo:
+            r, c = todo.pop()
+            if (r, c) in cells and (r, c) not in label:
+                label[r, c] = start
+                todo += [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    frame = spark.createDataFrame(sorted(cells) + sorted(cells)[:50], "row long, col int")
+    for size in (3, 7, 256):
+        got = {(r["row"], r["col"]): (tuple(r["component"]), r["size"]) for r in raster.components(frame, size).collect()}
+        assert got == {k: (v, list(label.values()).count(v)) for k, v in label.items()}
