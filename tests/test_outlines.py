@@ -90,3 +90,20 @@ def test_long_outlines_need_few_rounds(spark):
     snake = {(2 * r, c) for r in range(6) for c in range(25)} | {(2 * r + 1, 24 if r % 2 == 0 else 0) for r in range(5)}
     ((_, _, area, rings),) = outlines.polygons(frame(spark, [(1, *p) for p in snake])).collect()
     assert area == len(snake) and len(rings) == 1
+
+
+def test_runs_of_small_tiles_make_the_same_rings(spark):
+    rng = random.Random(9)
+    cells = frame(spark, [(k, r, c) for k in (1, 2) for r in range(-12, 12) for c in range(-12, 12) if rng.random() < 0.7])
+    edges = outlines.outline_edges(cells).cache()
+    want = {tuple(r) for r in outlines.chained(edges, size=1 << 20).collect()}
+    following = {}
+    for k, ring, pos, corner, *e in want:
+        following[k, ring, pos] = (e, corner)
+    for (k, ring, pos), (e, corner) in following.items():
+        before, _ = following[k, ring, pos - 1] if pos else following[k, ring, max(p for a, b, p in following if (a, b) == (k, ring))]
+        assert before[2:] == e[:2] and corner == ((before[2] - before[0], before[3] - before[1]) != (e[2] - e[0], e[3] - e[1]))
+        assert pos or tuple(ring) == tuple(e)
+    assert len(want) == edges.count()
+    for size in (1, 5):
+        assert {tuple(r) for r in outlines.chained(edges, size=size).collect()} == want

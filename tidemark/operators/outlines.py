@@ -1,19 +1,23 @@
 """Outlines of connected cells as polygons, put together across tasks.
 
-Every side of a cell without a neighbour of its component is a directed edge with the cell on its left, where rows count downwards. Each edge finds the one that
-follows it by a join on the point between them; rings are then found by pointer jumping on the table of edges: in each round an edge
-learns the smallest edge within twice as many steps as before, and how far away it is, so that the rounds grow with the logarithm of the
-longest ring. The smallest edge names the ring and the steps to it give the order, without a component or a ring in one task. Areas are
+Every side of a cell without a neighbour of its component is a directed edge with the cell on its left, where rows count downwards. Edges go to
+the tile in which they begin and to the one in which they end; there each finds the one that follows it. Rings that a tile holds whole are done in it; of
+the others it tells only the runs that enter and leave. These are put together by pointer jumping: in each round a run learns the smallest edge within
+twice as many runs as before, and how far away it is, so that the rounds grow with the logarithm of the longest ring. The smallest
+edge names the ring and the steps to it give the order, without a component or a long ring in one task. Areas are
 sums over edges, so small polygons and all but the largest go before any ring becomes a value. Only the corners of the rings that stay are
 collected, each ring as the one value that it is in the result.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.spatial import inside
+from tidemark.operators.tiles import SIZE
 from tidemark.operators.vector import simplify
 from tidemark.sources.shared import cut
 
@@ -27,34 +31,106 @@ def outline_edges(cells: DataFrame, key: str = "component") -> DataFrame:
     return own.select(key, *[(F.col("col" if n[0] == "x" else "row") + F.col(f"s.{n}")).alias(n) for n in ("x1", "y1", "x2", "y2")])
 
 
-def chained(edges: DataFrame, key: str = "component") -> DataFrame:
+def _number(rows: pa.Table) -> np.ndarray:
+    return rows.column("name").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def _linked(rows: pa.Table, key: str, top: int, left: int, size: int) -> pa.Table:
+    """Rows of a tile (see ``chained``) from the edges that begin in it (own) and those that only end in it."""
+    e = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("x1", "y1", "x2", "y2")], axis=1)
+    k, mine = _number(rows), rows.column("own").to_numpy(zero_copy_only=False)
+    order = np.lexsort((e[:, 3], e[:, 2], e[:, 1], e[:, 0], k, ~mine))  # own ones come first, in the order of key and edge
+    e, k, n, source = e[order], k[order], int(mine.sum()), rows.column(key).take(pa.array(order))
+    code = lambda x, y: (k * size + x - left) * size + y - top
+    start = code(e[:, 0], e[:, 1])[:n]
+    ends = np.flatnonzero((e[:, 2] // size == left // size) & (e[:, 3] // size == top // size))
+    wanted = code(e[:, 2], e[:, 3])[ends]
+    first, last = np.searchsorted(start, wanted), np.searchsorted(start, wanted, "right") - 1
+    there = first <= last
+    ends, first, last = ends[there], first[there], last[there]
+    d = e[:, 2:] - e[:, :2]
+    turn = lambda a, b: d[b, 0] * d[a, 1] - d[b, 1] * d[a, 0]
+    follows = np.where(turn(ends, last) >= turn(ends, first), last, first)
+    corner = np.ones(n, dtype=bool)
+    corner[follows] = (d[follows] != d[ends]).any(axis=1)
+    within = ends < n
+    follow, back = np.full(n, -1), np.full(n, -1)
+    follow[ends[within]], back[follows[within]] = follows[within], ends[within]
+    # to the beginning of each run by doubling steps; what has none is a ring
+    jump, off, span = np.where(back < 0, np.arange(n), back), (back >= 0).astype(np.int64), 1
+    while span < n:
+        jump, off, span = jump[jump], off + off[jump], span * 2
+    closed = back[jump] >= 0 if n else np.zeros(0, dtype=bool)
+    low, steps, ahead, span = np.arange(n), np.zeros(n, dtype=np.int64), np.where(closed, follow, np.arange(n)), 1
+    while span < n:
+        better = low[ahead] < low
+        low, steps, ahead, span = np.where(better, low[ahead], low), np.where(better, steps[ahead] + span, steps), ahead[ahead], span * 2
+    count = np.bincount(low[closed], minlength=n) if n else low
+    ring, run = np.flatnonzero(closed), np.flatnonzero(~closed)
+    run = run[np.argsort(jump[run], kind="stable")]
+    heads = np.flatnonzero(np.diff(jump[run], prepend=-1))
+    least = np.minimum.reduceat(run, heads) if len(run) else run
+    head, tail = jump[run[heads]], run[(follow[run] < 0)]
+    tail = tail[np.argsort(jump[tail])]
+    visit = np.flatnonzero(~within)
+    none = lambda m: np.zeros(m, dtype=np.int64)
+    parts = [
+        (RING, ring, low[ring], ring, none(len(ring)), (count[low[ring]] - steps[ring]) % np.maximum(count[low[ring]], 1), corner[ring]),
+        (RUN, run, jump[run], run, none(len(run)), off[run], corner[run]),
+        (PATH, tail, head, least, off[tail] + 1, off[least], np.zeros(len(tail), dtype=bool)),
+        (LINK, ends[visit], follows[visit], ends[visit], none(len(visit)), none(len(visit)), np.zeros(len(visit), dtype=bool)),
+    ]
+    kind = np.concatenate([np.full(len(p[1]), p[0], dtype=np.int32) for p in parts])
+    a, b, c, size_, at, bends = (np.concatenate([p[i] for p in parts]) for i in range(1, 7))
+    return pa.table([pa.array(kind), source.take(pa.array(a)), _edges(e[a]), _edges(e[b]), _edges(e[c]), pa.array(size_), pa.array(at), pa.array(bends)], ["kind", key, "edge", "head", "low", "n", "pos", "corner"])
+
+
+def _edges(e: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in e.T], ["x1", "y1", "x2", "y2"])
+
+
+#: What a tile tells: edges of rings that it holds whole, edges of runs that leave it, these runs, and which run follows an edge from outside.
+RING, RUN, PATH, LINK = range(4)
+_EDGE = "struct<x1:long,y1:long,x2:long,y2:long>"
+
+
+def chained(edges: DataFrame, key: str = "component", size: int = SIZE) -> DataFrame:
     """key, ring, pos, corner, x1, y1, x2, y2: edges with their ring, their place in it and whether it turns where they begin.
 
     ring: the smallest of its edges (struct x1, y1, x2, y2), where pos is 0. Where two outlines touch, a ring stays with its own cells.
     """
-    edge = F.struct("x1", "y1", "x2", "y2")
-    e = cut(edges.select(F.struct(F.col(key).alias("key"), edge.alias("edge")).alias("id"), key, "x1", "y1", "x2", "y2"))
-    following = e.select(F.col(key).alias("_key"), F.col("x1").alias("_x"), F.col("y1").alias("_y"), F.col("id").alias("next"), (F.col("x2") - F.col("x1")).alias("_dx"), (F.col("y2") - F.col("y1")).alias("_dy"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    pair = e.join(following, F.col(key).eqNullSafe(F.col("_key")) & (F.col("x2") == F.col("_x")) & (F.col("y2") == F.col("_y")))
-    turn = F.struct((F.col("_dx") * dy - F.col("_dy") * dx).alias("turn"), F.col("next"), ((F.col("_dx") != dx) | (F.col("_dy") != dy)).alias("bends"))
-    linked = cut(pair.groupBy("id").agg(F.max(turn).alias("t")).select("id", "t.next", "t.bends"))
-    now = cut(linked.select("id", "next", F.col("id").alias("low"), F.lit(0).cast("long").alias("steps")))
-    span, before = 1, None
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+    tile = lambda n: F.floor(F.col(n) / F.lit(size)).cast("long")
+    own = F.struct(tile("x1").alias("tx"), tile("y1").alias("ty"), F.lit(True).alias("own"))
+    other = F.struct(tile("x2").alias("tx"), tile("y2").alias("ty"), F.lit(False).alias("own"))
+    inner = (tile("x1") == tile("x2")) & (tile("y1") == tile("y2"))
+    dealt = edges.select(key, F.to_json(F.struct(key)).alias("name"), "x1", "y1", "x2", "y2", F.explode(F.when(inner, F.array(own)).otherwise(F.array(own, other))).alias("t"))
+
+    def run(at: tuple, rows: pa.Table) -> pa.Table:
+        return _linked(rows, key, at[1].as_py() * size, at[0].as_py() * size, size)
+
+    found = dealt.select(key, "name", "x1", "y1", "x2", "y2", "t.tx", "t.ty", "t.own").groupBy("tx", "ty").applyInArrow(run, f"kind int, {key} {kinds[key]}, edge {_EDGE}, head {_EDGE}, low {_EDGE}, n long, pos long, corner boolean")
+    found = cut(found)
+    links = found.where(F.col("kind") == LINK).select(F.col(key).alias("_key"), F.col("edge").alias("_edge"), F.col("head").alias("_next"))
+    paths = found.where(F.col("kind") == PATH).join(links, F.col(key).eqNullSafe(F.col("_key")) & (F.col("edge") == F.col("_edge")))
+    name = lambda c: F.struct(F.col(key).alias("key"), F.col(c).alias("edge"))
+    now = paths.select(name("head").alias("id"), name("_next").alias("next"), name("low").alias("low"), F.col("pos").alias("steps"), F.col("n").alias("far"), "n")
+    now, before = cut(now), None
     while True:
         mark = now.agg(F.sum(F.xxhash64("id", "low").cast("decimal(38,0)"))).first()[0]  # one number
         if mark == before:
             break
         before = mark
-        ahead = now.select(F.col("id").alias("next"), F.col("next").alias("n2"), F.col("low").alias("l2"), F.col("steps").alias("s2"))
+        ahead = now.select(F.col("id").alias("next"), F.col("next").alias("n2"), F.col("low").alias("l2"), F.col("steps").alias("s2"), F.col("far").alias("f2"))
         lower = F.col("l2") < F.col("low")
-        now = cut(now.join(ahead, "next").select("id", F.col("n2").alias("next"), F.when(lower, F.col("l2")).otherwise(F.col("low")).alias("low"), F.when(lower, F.col("s2") + span).otherwise(F.col("steps")).alias("steps")))
-        span *= 2
-    sizes = now.groupBy("low").agg(F.count("*").alias("n"))
-    placed = now.join(sizes, "low").select("id", F.col("low.edge").alias("ring"), ((F.col("n") - F.col("steps")) % F.col("n")).alias("pos"))
-    bends = linked.select(F.col("next").alias("id"), F.col("bends").alias("corner"))
+        now = cut(now.join(ahead, "next").select("id", F.col("n2").alias("next"), F.when(lower, F.col("l2")).otherwise(F.col("low")).alias("low"), F.when(lower, F.col("far") + F.col("s2")).otherwise(F.col("steps")).alias("steps"), (F.col("far") + F.col("f2")).alias("far"), "n"))
+    sizes = now.groupBy("low").agg(F.sum("n").alias("all"))
+    placed = now.join(sizes, "low").select("id", F.col("low.edge").alias("ring"), "steps", "all")
+    runs = found.where(F.col("kind") == RUN).select(name("head").alias("id"), key, "edge", F.col("pos").alias("off"), "corner").join(placed, "id").select(key, "ring", F.pmod(F.col("off") - F.col("steps"), F.col("all")).alias("pos"), "corner", "edge")
+    whole = found.where(F.col("kind") == RING).select(key, F.col("head").alias("ring"), "pos", "corner", "edge").unionByName(runs)
     ends = ("x1", "y1", "x2", "y2")
-    return placed.join(bends, "id").select(F.col("id.key").alias(key), "ring", "pos", "corner", *[F.col(f"id.edge.{n}").alias(n) for n in ends])
+    ring = F.struct(*[F.col(f"ring.{n}").cast(kinds[n]).alias(n) for n in ends])
+    return whole.select(key, ring.alias("ring"), "pos", "corner", *[F.col(f"edge.{n}").cast(kinds[n]).alias(n) for n in ends])
 
 
 def ring_areas(chain: DataFrame, key: str = "component") -> DataFrame:
