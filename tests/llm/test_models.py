@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -243,6 +244,20 @@ def test_quality_scores_one_document_at_a_time(spark):
         assert np.allclose([float(s[k]) for s in m.scores(views)], want, atol=1e-5)
 
 
+def test_quality_fit_takes_little_more_memory_than_its_sample():
+    rng = np.random.default_rng(2)
+    y = np.where(np.arange(4000) < 800, np.arange(4000) % 2, -1)
+    text = (rng.random((4000, quality.TEXT_DIM)) + 0.2 * (np.arange(4000) % 2)[:, None]).astype(np.float16)
+    page = rng.random((4000, quality.PAGE_DIM)).astype(np.float32)
+    tracemalloc.start()
+    m = quality.CoTrained([text, page], y, np.ones(4000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * text.nbytes
+    single = quality.CoTrained([text.astype(np.float32), page], y, np.ones(4000))
+    assert all(np.array_equal(a, b) for a, b in zip(m.scores([text, page]), single.scores([text, page])))
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "s", "en", 1)], "doc_id long, text string, source string, lang string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int")

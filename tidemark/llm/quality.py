@@ -8,7 +8,7 @@ labelled rows that neither has been trained on, with the classes weighted to the
 
 The fit is on bounded samples, taken by a hash of doc_id whatever the size of the table: ``most`` labelled documents
 of each class and ``pool`` unlabelled ones; of several rows of one doc_id the smallest by text is learnt from. The scores
-are of all documents.
+are of all documents. The driver holds the sample of the text view in half precision and standardises only the rows of a fit.
 
 Defined results: a null or empty text is scored as a text without trigrams; null source or language are values of
 their own; several labels of one document count as the smallest; without labels of both classes every document gets
@@ -18,6 +18,7 @@ other columns are passed on untouched.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,8 @@ from tidemark.llm.toxicity import _platt
 TEXT_DIM, SOURCE_DIM, LANG_DIM, STATS = 2048, 32, 8, 14
 MOST, POOL, ROUNDS, EXCHANGED = 2000, 4000, 4, 200
 KEEP_FROM = 0.5
+#: Columns and rows that are taken to single precision together.
+COLUMNS, ROWS = 256, 512
 PAGE_DIM = STATS + SOURCE_DIM + LANG_DIM
 #: Kinds of bytes: lower, upper, digit, blank, line feed, full stop or comma, other mark, beyond ASCII.
 _KIND = np.full(256, 6, dtype=np.uint8)
@@ -71,14 +74,18 @@ def page_view(text: bytes, source: str | None, lang: str | None, n_chars: int |
 
 
 class Logistic:
-    """Weighted logistic regression with an L2 penalty on standardised columns, by full-batch Adam."""
+    """Weighted logistic regression with an L2 penalty on standardised columns, by full-batch Adam; rows may be in half precision."""
 
-    def __init__(self, x: np.ndarray):
-        self.mean, self.scale = x.mean(axis=0), 1 / (x.std(axis=0) + np.float32(1e-3))
+    def __init__(self, x: np.ndarray, rows: np.ndarray):
+        parts = (x[rows, i : i + COLUMNS].astype(np.float32) for i in range(0, x.shape[1], COLUMNS))
+        mean, scale = zip(*((p.mean(axis=0), 1 / (p.std(axis=0) + np.float32(1e-3))) for p in parts))
+        self.mean, self.scale = np.concatenate(mean), np.concatenate(scale)
         self.w, self.b = np.zeros(x.shape[1], dtype=np.float32), 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 120) -> None:
-        x, p = (x - self.mean) * self.scale, (weight / weight.sum()).astype(np.float32)
+        x, p = x.astype(np.float32), (weight / weight.sum()).astype(np.float32)
+        x -= self.mean
+        x *= self.scale
         m = v = np.zeros(len(self.w) + 1, dtype=np.float32)
         for t in range(1, steps + 1):
             d = p * (1 / (1 + np.exp(-np.clip(x @ self.w + self.b, -30, 30))) - y)
@@ -88,7 +95,8 @@ class Logistic:
             self.w, self.b = self.w - s[:-1].astype(np.float32), self.b - float(s[-1])
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) * self.scale @ self.w + self.b
+        parts = [(x[i : i + ROWS].astype(np.float32) - self.mean) * self.scale @ self.w + self.b for i in range(0, len(x), ROWS)]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.float32)
 
 
 class CoTrained:
@@ -99,7 +107,7 @@ class CoTrained:
         known = np.flatnonzero(y >= 0)
         apart, first = known[np.arange(len(known)) % 4 == 3], known[np.arange(len(known)) % 4 != 3]
         pool = np.flatnonzero(y < 0)
-        self.models = [Logistic(x[np.concatenate([first, pool])]) for x in views]
+        self.models = [Logistic(x, np.concatenate([first, pool])) for x in views]
         rows, labels = [first, first], [y[first].astype(np.float32)] * 2
         weights = [weight[first]] * 2
         share = float((weight[known] * (y[known] == 1)).sum() / weight[known].sum())
@@ -159,15 +167,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, pool: int = POOL)
             for i in range(0, b.num_rows, 256):
                 c = b.slice(i, 256)
                 text, page = _views(c.column("text"), c.column("source"), c.column("lang"), c.column("n_chars"))
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("y"), pa.array([x.astype(np.float16).tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in page], pa.binary())], ["doc_id", "y", "text", "page"])
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("y"), pa.array([zlib.compress(x.astype(np.float16).tobytes(), 1) for x in text], pa.binary()), pa.array([x.tobytes() for x in page], pa.binary())], ["doc_id", "y", "text", "page"])
 
-    got = picked.mapInArrow(run, "doc_id long, y int, text binary, page binary").toArrow().sort_by("doc_id")
-    order = np.argsort([xxhash.xxh64_intdigest(str(i)) for i in got.column("doc_id").to_pylist()], kind="stable")
-    y = got.column("y").to_numpy()[order]
+    got = picked.mapInArrow(run, "doc_id long, y int, text binary, page binary").toArrow()
+    ids, y = got.column("doc_id").to_pylist(), got.column("y").to_numpy()
+    order = sorted(range(len(ids)), key=lambda k: (xxhash.xxh64_intdigest(str(ids[k])), ids[k]))
+    y = y[order]
     if {0, 1} - set(y.tolist()):
         return float((y == 1).any() or not (y == 0).any())
-    text = np.array([np.frombuffer(x, dtype=np.float16) for x in got.column("text").to_pylist()], dtype=np.float32)[order]
-    page = np.array([np.frombuffer(x, dtype=np.float32) for x in got.column("page").to_pylist()])[order]
+    text, page = np.empty((len(ids), TEXT_DIM), dtype=np.float16), np.empty((len(ids), PAGE_DIM), dtype=np.float32)
+    for k, t, p in zip(np.argsort(order), got.column("text"), got.column("page")):
+        text[k], page[k] = np.frombuffer(zlib.decompress(t.as_py()), dtype=np.float16), np.frombuffer(p.as_py(), dtype=np.float32)
+    del got
     weight = np.array([1.0 if k < 0 else sizes[int(k)] / max(1, int((y == k).sum())) for k in y])
     return CoTrained([text, page], y, weight)
 
