@@ -138,3 +138,40 @@ def test_candidates_are_scored_as_by_the_model():
             want.append((s, int(best.argmax()), e))
     shape = [{"start": s, "end": e, "label": b, "windows": w} for s, e, b, w in secrets.candidates(t, base)]
     assert secrets._added(model, shape, [{"start": s, "kind": k, "end": e} for s, k, e, _ in base]) == want
+
+
+def test_all_windows_are_learnt_from_and_parts_agree_with_one(spark):
+    rng = random.Random(8)
+    found = sorted({w: bits for t in corpus(rng, 900) for _, _, bits, ws in secrets.candidates(t, secrets.base_spans(t)) for w in ws}.items())
+    seen = spark.createDataFrame(found, "window string, label int").repartition(3)
+    bits = np.array([b for _, b in found])
+    y = (bits[:, None] >> np.arange(3)) & 1
+    for size in (10**6, 300):
+        model = secrets.learnt(seen, size=size)
+        z = secrets.unseen_logits(model.nets, [w for w, _ in found])
+        for k in range(3):
+            scale, shift = secrets._platt(z[:, k], y[:, k].astype(float), np.ones(len(z)))
+            assert np.allclose([model.scale[k], model.shift[k]], [scale, shift], atol=1e-3)
+            t = secrets.threshold(z[:, k], y[:, k] > 0, secrets.RECALL)
+            assert np.isclose(model.least[k], max(0.5, 1 / (1 + np.exp(-(model.scale[k] * t + model.shift[k])))), atol=1e-4)
+            over = model.scores([w for w, _ in found])[:, k] >= model.least[k]
+            assert over[y[:, k] > 0].mean() >= 0.99 and over[y[:, k] == 0].mean() < 0.01
+    again = secrets.learnt(seen.repartition(7), size=300)
+    assert np.array_equal(again.least, model.least) and np.array_equal(secrets._flat(again.nets), secrets._flat(model.nets))
+
+
+def test_thresholds_and_calibration_are_of_all_windows(spark):
+    """More findings than were once looked at: the places of thresholds are counted in all of them."""
+    rng = np.random.default_rng(3)
+    z = rng.standard_normal((9000, 3)).astype(np.float32)
+    bits = rng.integers(0, 8, 9000)
+    z[bits & 1 == 1, 0] += 2
+    rows = [(p, z[p::5].tobytes(), bits[p::5].astype(np.uint8).tobytes()) for p in range(5)]
+    judged = spark.createDataFrame(rows, "part int, z binary, label binary")
+    y = ((bits[:, None] >> np.arange(3)) & 1) > 0
+    got = secrets.thresholds(judged, {k: int(y[:, k].sum()) for k in range(3)}, 0.99)
+    assert [got[k] for k in range(3)] == [secrets.threshold(z[:, k].astype(float), y[:, k], 0.99) for k in range(3)]
+    want = [secrets._platt(z[:, k].astype(float), y[:, k].astype(float), np.ones(9000)) for k in range(3)]
+    assert np.allclose(np.array(secrets.calibrated(judged)).T, want, atol=1e-6)
+    x = np.array([-1e30, -2.5, -0.0, 0.0, 1e-30, 3.0], np.float32)
+    assert (np.diff(secrets.ordered(x)) >= 0).all() and [secrets._number(int(i)) for i in secrets.ordered(x)] == x.tolist()

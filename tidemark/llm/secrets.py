@@ -14,8 +14,11 @@ logistic fit on such scores. Its threshold is the highest at which ``RECALL`` of
 the middle of the gap to the next negative, but never a calibrated score under one half. Candidates at or above a threshold that no
 base span overlaps are added.
 
-Training is bounded by ``most`` distinct windows of each kind and of negatives, in the order of a hash of their characters, whatever the size
-of the corpus; base spans, candidates and scores are of all texts. The work of a row is linear in its text.
+All distinct windows are learnt from: they are dealt to parts of about ``PART`` by a hash of their characters, in each of ``ROUNDS`` rounds
+every part trains a copy of the networks, and the copies are averaged by a shuffle over the weights, in whole numbers, so that their order
+doesn't matter. Calibrations (sums of Newton steps over the parts) and thresholds (counts by the leading bits of the scores, then by the next
+ones) are exact ones of all windows too. No part and no step on the driver grows with the corpus but for a few numbers of each part.
+The work of a row is linear in its text.
 
 Defined results: a null text is an empty one, without spans; places count code points; repeated rows are scanned each; ids may
 be null; kinds without a base span in the whole table have no output of their own, so nothing is added for them; an empty table
@@ -24,6 +27,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -51,7 +55,9 @@ TELLING = re.compile(r"[0-9]|[a-z][A-Za-z+/_-]*[A-Z]")
 BEFORE, VALUE, AFTER = 24, 32, 8
 WIDE = BEFORE + VALUE + AFTER
 CODES, CHAR_DIM, SPAN, FILTERS = 97, 8, 5, 24
-MOST, EPOCHS, STEPS, BATCH, BLOT, LOUD, RECALL, LEAST_SCORE = 2000, 10, 300, 64, 0.15, 0.2, 0.99, 0.5
+EPOCHS, STEPS, BATCH, BLOT, LOUD, RECALL, LEAST_SCORE = 10, 300, 64, 0.15, 0.2, 0.99, 0.5
+PART, RATES = 4096, (0.01, 0.01, 0.01, 0.01, 0.002, 0.002)
+ROUNDS = len(RATES)
 SCORED = 4096
 
 
@@ -171,21 +177,25 @@ def threshold(logit: np.ndarray, found: np.ndarray, recall: float) -> float:
     return float((top + under.max()) / 2) if len(under) else float(top) - 1.0
 
 
-def fit(x: np.ndarray, y: np.ndarray, epochs: int, seed: int) -> Network:
-    """A network from codes of windows and their (rows, kinds) targets."""
+def passes(rows: float, epochs: int = EPOCHS) -> int:
+    """How often a round sees the rows of a part; few rows are seen more often."""
+    return -(-max(epochs, math.ceil(STEPS * BATCH / max(1, 2 * rows))) // ROUNDS)
+
+
+def learn(net: Network, x: np.ndarray, y: np.ndarray, share: np.ndarray, epochs: int, rate: float, seed: tuple[int, ...]) -> None:
+    """A round of training on codes of windows and their (rows, kinds) targets; ``share``: of the kinds in all windows."""
+    if not len(x):
+        return
     bare = x.copy()
     bare[:, :BEFORE] = bare[:, BEFORE + VALUE :] = 0
     is_bare = np.repeat([False, True], len(x))
     x, y = np.concatenate([x, bare]), np.concatenate([y, y])
     weight = np.ones((len(y), len(KINDS)), F32)
     weight[is_bare, 0] = 1 - y[is_bare, 0]  # without its name an assigned value isn't known as one
-    weight *= np.where(y > 0, np.clip(0.5 / np.maximum(y.mean(axis=0), 1e-3), 1, 50), 1).astype(F32)
-    net, rng = Network(seed), np.random.default_rng(seed)
-    adam = gru.Adam(net.w, 0.01)
+    weight *= np.where(y > 0, np.clip(0.5 / np.maximum(share, 1e-3), 1, 50), 1).astype(F32)
+    rng, adam = np.random.default_rng(seed), gru.Adam(net.w, rate)
     around = np.concatenate([np.arange(BEFORE), np.arange(BEFORE + VALUE, WIDE)])
-    epochs = max(epochs, -(-STEPS * BATCH // max(1, len(x))))  # few rows are seen more often
-    for epoch in range(epochs if len(x) else 0):
-        adam.rate = 0.01 if epoch < epochs * 2 // 3 else 0.002
+    for _ in range(epochs):
         for pick in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
             seen = x[pick]
             loud = (rng.random(len(pick)) < LOUD)[:, None] & (seen >= ord("a") - 31) & (seen <= ord("z") - 31)
@@ -193,11 +203,18 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int, seed: int) -> Network:
             blots = (rng.random((len(pick), len(around))) < BLOT) & (seen[:, around] > 0)
             seen[:, around] = np.where(blots, CODES - 1, seen[:, around])
             adam.step(net.gradients(seen, y[pick], weight[pick])[1])
+
+
+def fit(x: np.ndarray, y: np.ndarray, epochs: int, seed: int) -> Network:
+    """A network from codes of windows and their (rows, kinds) targets, as one part."""
+    net = Network(seed)
+    for r, rate in enumerate(RATES):
+        learn(net, x, y, y.mean(axis=0) if len(y) else np.zeros(len(KINDS)), passes(len(x), epochs), rate, (seed, r, 0))
     return net
 
 
 def train(rows: list[str], labels: np.ndarray, epochs: int = EPOCHS, recall: float = RECALL) -> Model | None:
-    """A model from windows and bits of their kinds; None where there are no findings or nothing else."""
+    """A model from windows in memory and bits of their kinds; None where there are no findings or nothing else. ``learnt`` does it on Spark."""
     y = ((labels[:, None] >> np.arange(len(KINDS))) & 1).astype(F32)
     if not len(rows) or not y.any() or y.any(axis=1).all():
         return None
@@ -212,6 +229,181 @@ def train(rows: list[str], labels: np.ndarray, epochs: int = EPOCHS, recall: flo
     return Model(nets, scale, shift, least)
 
 
+def _bits(label: np.ndarray) -> np.ndarray:
+    """(rows, kinds) of zeros and ones."""
+    return (label[:, None] >> np.arange(len(KINDS))) & 1
+
+
+def _pack(key: tuple, rows: pa.Table) -> pa.Table:
+    """The windows of a part in one row: codes, which network scores them, bits of their kinds."""
+    rows = rows.sort_by("window")
+    text = rows.column("window").to_pylist()
+    columns = (codes(text), np.fromiter(map(half, text), dtype=np.int64), rows.column("label").to_numpy())
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.astype(np.uint8).tobytes()], pa.binary()) for x in columns)], ["part", "codes", "half", "label"])
+
+
+def _parts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    for part, *columns in zip(b.column("part").to_pylist(), *(b.column(c) for c in ("codes", "half", "label"))):
+        x, of, label = (np.frombuffer(c.as_py(), dtype=np.uint8).astype(np.int64) for c in columns)
+        yield part, x.reshape(-1, WIDE), of, label
+
+
+def _flat(nets: tuple[Network, Network]) -> np.ndarray:
+    return np.concatenate([x.ravel() for net in nets for x in net.w.values()]).astype(np.float64)
+
+
+def _networks(flat: np.ndarray) -> tuple[Network, Network]:
+    nets, at = (Network(7), Network(8)), 0
+    for net in nets:
+        for k, x in net.w.items():
+            net.w[k] = flat[at : at + x.size].reshape(x.shape).astype(F32)
+            at += x.size
+    return nets
+
+
+#: Weights are summed as whole numbers of this part of one.
+GRAIN = 2.0**32
+
+
+def _averaged(packed: DataFrame, nets: tuple[Network, Network], share: np.ndarray, epochs: list[int], rate: float, r: int) -> tuple[Network, Network]:
+    """The networks after a round: the means of the parts' copies, weighted by the rows that these have learnt from."""
+    start = _flat(nets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, x, of, label in _parts(b):
+                own, y = _networks(start), _bits(label).astype(F32)
+                for k, net in enumerate(own):
+                    learn(net, x[of != k], y[of != k], share[k], epochs[k], rate, (7 + k, r, part))
+                n = np.repeat([int((of != k).sum()) for k in (0, 1)], len(start) // 2)
+                whole = np.round(_flat(own) * GRAIN).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start), dtype=np.int32)), pa.array(n), pa.array(whole)], ["i", "n", "w"])
+
+    exact = F.col("w").cast("decimal(38,0)") * F.col("n")
+    sums = packed.mapInArrow(run, "i int, n long, w long").groupBy("i").agg(F.sum("n").alias("n"), F.sum(exact).alias("w"))
+    found = sums.where("n > 0").select("i", (F.col("w").cast("double") / F.col("n") / GRAIN).alias("w")).toArrow()
+    flat = start.copy()
+    flat[found.column("i").to_numpy()] = found.column("w").to_numpy()
+    return _networks(flat)
+
+
+def _judged(packed: DataFrame, nets: tuple[Network, Network]) -> DataFrame:
+    """part, z, label: the logits of all windows by the networks that haven't learnt their values, and bits of their kinds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, x, of, label in _parts(b):
+                z = np.zeros((len(x), len(KINDS)), F32)
+                for k, net in enumerate(nets):
+                    z[of == k] = net.logits(x[of == k])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([z.tobytes()], pa.binary()), pa.array([label.astype(np.uint8).tobytes()], pa.binary())], ["part", "z", "label"])
+
+    return cut(packed.mapInArrow(run, "part int, z binary, label binary"))
+
+
+def _logits(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for part, z, label in zip(b.column("part").to_pylist(), b.column("z"), b.column("label")):
+        yield part, np.frombuffer(z.as_py(), dtype=F32).reshape(-1, len(KINDS)), _bits(np.frombuffer(label.as_py(), dtype=np.uint8)) > 0
+
+
+def calibrated(judged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """scale and shift of every kind: the logistic fit of ``_platt``, whose sums are taken over the parts."""
+    a, b = np.ones(len(KINDS)), np.zeros(len(KINDS))
+    for _ in range(50):
+
+        def run(batches: Iterator[pa.RecordBatch], a=a, b=b) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, z, y in _logits(batch):
+                    x = z.astype(np.float64)
+                    p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+                    g, r = p - y, p * (1 - p) + 1e-9
+                    sums = np.stack([(r * x * x).sum(axis=0), (r * x).sum(axis=0), r.sum(axis=0), (g * x).sum(axis=0), g.sum(axis=0)])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sums.ravel().tolist()], pa.list_(pa.float64()))], ["part", "sums"])
+
+        rows = sorted((r["part"], r["sums"]) for r in judged.mapInArrow(run, "part int, sums array<double>").collect())
+        xx, x, one, gx, g = np.sum([s for _, s in rows], axis=0).reshape(5, len(KINDS))
+        steps = [np.linalg.solve([[xx[k] + 1e-2, x[k]], [x[k], one[k] + 1e-2]], [gx[k] + 1e-2 * (a[k] - 1), g[k]]) for k in range(len(KINDS))]
+        da, db = np.clip(np.array(steps).T, -1, 1)
+        a, b = a - da, b - db
+        if max(np.abs(da).max(), np.abs(db).max()) < 1e-10:
+            break
+    return np.maximum(a, 1e-3), b
+
+
+def ordered(z: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 below 2^32 in the order of single-precision numbers."""
+    bits = (z + F32(0)).view(np.int32).astype(np.int64)
+    return np.where(bits < 0, bits ^ 0x7FFFFFFF, bits) + (1 << 31)
+
+
+def _number(place: int) -> float:
+    bits = place - (1 << 31)
+    return float(np.array([bits ^ 0x7FFFFFFF if bits < 0 else bits]).astype(np.int32).view(F32)[0])
+
+
+def thresholds(judged: DataFrame, counts: dict[int, int], recall: float) -> dict[int, float]:
+    """``threshold`` of every kind in ``counts`` (its findings): its place is counted by ever more leading bits of the logits."""
+    left = {k: min(n, math.ceil(recall * n)) for k, n in counts.items()}
+    prefix, before = dict.fromkeys(counts, 0), 32
+    for shift in (21, 10, 0):
+
+        def run(batches: Iterator[pa.RecordBatch], prefix=dict(prefix), before=before, shift=shift) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for _, z, y in _logits(b):
+                    for k, p in prefix.items():
+                        place = ordered(z[y[:, k], k])
+                        bin_, n = np.unique(place[place >> before == p] >> shift, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, dtype=np.int32)), pa.array(bin_), pa.array(n)], ["kind", "bin", "n"])
+
+        rows = judged.mapInArrow(run, "kind int, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect()  # 2048 a kind at most
+        done: set[int] = set()
+        for kind, bin_, n in sorted(((r["kind"], r["bin"], r["n"]) for r in rows), reverse=True):
+            if kind in done:
+                continue
+            if left[kind] <= n:
+                prefix[kind] = bin_
+                done.add(kind)
+            else:
+                left[kind] -= n
+        before = shift
+    top = {k: _number(p) for k, p in prefix.items()}
+
+    def under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, z, y in _logits(b):
+                for k, t in top.items():
+                    x = z[~y[:, k] & (z[:, k] < t), k]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([float(x.max())])], ["kind", "z"])
+
+    next_ = {r["kind"]: r["z"] for r in judged.mapInArrow(under, "kind int, z double").groupBy("kind").agg(F.max("z").alias("z")).collect()}
+    return {k: (t + next_[k]) / 2 if k in next_ else t - 1.0 for k, t in top.items()}
+
+
+def learnt(seen: DataFrame, recall: float = RECALL, size: int = PART) -> Model | None:
+    """The model of all distinct windows (window, label); None where there are no findings or nothing else."""
+    of = F.crc32(F.substring("window", BEFORE + 1, VALUE).cast("binary")) % 2
+    counts = {(r["half"], r["label"]): r["n"] for r in seen.groupBy(of.alias("half"), "label").agg(F.count("*").alias("n")).collect()}  # 16 at most
+    found = {k: sum(n for (_, label), n in counts.items() if label >> k & 1) for k in range(len(KINDS))}
+    found = {k: n for k, n in found.items() if n}
+    if not found or not any(label == 0 for _, label in counts):
+        return None
+    parts = math.ceil(sum(counts.values()) / size)
+    rows = [sum(n for (h, _), n in counts.items() if h != k) for k in (0, 1)]  # that network k learns from
+    share = np.array([[sum(n for (h, label), n in counts.items() if h != k and label >> i & 1) / max(1, rows[k]) for i in range(len(KINDS))] for k in (0, 1)])
+    dealt = seen.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(parts)).cast("int")).repartition(parts, "part")
+    packed = cut(dealt.groupBy("part").applyInArrow(_pack, "part int, codes binary, half binary, label binary"))
+    nets = (Network(7), Network(8))
+    for r, rate in enumerate(RATES):
+        nets = _averaged(packed, nets, share, [passes(n / parts) for n in rows], rate, r)
+    judged = _judged(packed, nets)
+    scale, shift = calibrated(judged)
+    least = np.full(len(KINDS), 2.0)
+    for k, t in thresholds(judged, found, recall).items():
+        least[k] = max(LEAST_SCORE, 1 / (1 + np.exp(-np.clip(scale[k] * t + shift[k], -30, 30))))
+    return Model(nets, scale, shift, least)
+
+
 SPANS = "array<struct<start:long,kind:int,end:long>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.int32()), ("windows", pa.list_(pa.string()))]))
@@ -228,17 +420,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(spans, _SPAN), pa.array(found, _FOUND)], ["id", "base", "found"])
 
 
-def find_secrets(docs: DataFrame, id_col: str, text_col: str, most: int = MOST, recall: float = RECALL) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str, text_col: str, recall: float = RECALL) -> DataFrame:
     """id, base and added: the spans (start, kind, end) of the patterns and of the network, each by start and kind."""
     kind = dict(docs.dtypes)[id_col]
     found = "array<struct<start:long,end:long,label:int,windows:array<string>>>"
     scanned = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scan, f"id {kind}, base {SPANS}, found {found}"))
     seen = scanned.select(F.explode("found").alias("f")).select("f.label", F.explode("f.windows").alias("window"))
     seen = cut(seen.groupBy("window").agg(F.bit_or("label").alias("label")))
-    rows: dict[str, int] = {}
-    for wanted in [F.col("label") == 0, *[F.col("label").bitwiseAND(1 << k) != 0 for k in range(len(KINDS))]]:
-        rows |= {r["window"]: r["label"] for r in seen.where(wanted).orderBy(F.xxhash64("window"), "window").limit(most).collect()}
-    model = train(list(rows), np.array(list(rows.values()), dtype=np.int64), recall=recall)
+    model = learnt(seen, recall)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
