@@ -112,3 +112,39 @@ def test_equal_ids_repeated_rows_and_empty_table(spark):
     assert sum(r["n_lines"] - r["n_removed"] for r in out) == 4 and len(out) == 6
     assert {x for r in out for x in r["kept_text"].split("\n") if x} == {"one", "two", "three", rows[0][1]}
     assert lines.remove_lines(docs.limit(0)).count() == 0
+
+
+def test_keys_meet_in_one_step_for_all_kinds_of_rows(spark):
+    docs = spark.createDataFrame([(d, t) for d, t in corpus(1) if d is not None], "doc_id long, text string")
+    out = lines.remove_lines(docs, first_look=1, block_bytes=800, bucket_bytes=4000)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Final Plan" in final and final.count(" meet(") == 1
+
+
+def test_small_groups_at_once_equal_groups_one_by_one(monkeypatch):
+    distinct = sorted({x for _, t in corpus(5) if t for x in t.encode().split(b"\n") if x})
+    at = np.arange(len(distinct)) % 3
+    parts = [[x for x, k in zip(distinct, at) if k == b] for b in range(3)]
+    none = np.zeros(0, np.uint64)
+    offers = [lines.offer(b, lines.places(key, 1), ref) for b, p in enumerate(parts) for key, _, ref, _ in [lines.keys(p)]]
+    answers = lines.wanted(0, lines.pa.concat_tables(offers))
+    loads = []
+    for b, p in enumerate(parts):
+        mine = answers.filter(lines.pc.equal(answers.column("to_block"), b))
+        loads.append(lines._send(b, p, np.arange(len(p)) * 7 % 11, np.arange(len(p), dtype=np.int32), mine, lines.STEPS, 1, none))
+    loads = lines.pa.concat_tables(loads)
+    for look in (0, 1, 3):
+        found = []
+        for small in (lines.SMALL, 0):
+            monkeypatch.setattr(lines, "SMALL", small)
+            first = lines._meet(0, loads, look)
+            still = {(r["block"], r["ref"]) for r in first.to_pylist() if r["other_block"] == -2}
+            found.append([sorted(map(tuple, (r.values() for r in t.to_pylist()))) for t in (first, lines._meet(0, loads, look, still))])
+        monkeypatch.undo()
+        assert found[0] == found[1] and found[0][0] and (look or found[0][1])
+
+
+def test_blanks_between_words():
+    for text in (b"", b"a  b", b" \t a\v\fb\r\n\r\n  c     d ", b"a\x1cb\xc2\x85"):
+        assert [x.split() for x in lines._plain(text).split(b"\n")] == [x.split() for x in text.split(b"\n")] and b"  " not in lines._plain(text)

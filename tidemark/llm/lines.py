@@ -41,10 +41,11 @@ from tidemark.llm.common import table
 from tidemark.llm.substring import _packed, _unpacked
 
 STEPS, FIRST_LOOK = ((8, 1), (20, 2)), 3
-BLOCK_BYTES, BUCKET_BYTES, LOOK_AT_ONE_IN, MOST_HEAVY, LARGE, SLICE_BYTES = 4 << 20, 12 << 20, 64, 65_536, 256, 1 << 18
+BLOCK_BYTES, BUCKET_BYTES, LOOK_AT_ONE_IN, MOST_HEAVY, LARGE, SMALL, SLICE_BYTES = 4 << 20, 12 << 20, 64, 65_536, 256, 32, 1 << 18
 OWN, PROBE, OWN_FIRST = 0, 1, 2
 LAST = np.iinfo(np.int64).max
 U = np.uint64
+_SPACES = bytes.maketrans(b"\t\r\v\f", b"    ")
 #: Odd, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
@@ -125,6 +126,15 @@ def near(a: bytes, b: bytes, steps: tuple[tuple[int, int], ...] = STEPS) -> bool
     return within(x, y, allowed(min(len(x), len(y)), steps))
 
 
+def _plain(text: bytes) -> bytes:
+    """The same words in the same lines, single spaces between them."""
+    if b"\t" in text or b"\r" in text or b"\v" in text or b"\f" in text:
+        text = text.translate(_SPACES)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text
+
+
 class Lines:
     """The distinct lines of a block, numbered in order of their first place, the same whatever the order of rows."""
 
@@ -139,10 +149,8 @@ class Lines:
         self.line: list[int] = []
         for k, text in enumerate(self.texts):
             refs = []
-            for i, x in enumerate(text.split(b"\n") if text is not None else ()):
+            for i, x in enumerate(_plain(text).split(b"\n") if text is not None else ()):
                 x = x.strip()
-                if b"  " in x or b"\t" in x or b"\r" in x or b"\v" in x or b"\f" in x:
-                    x = b" ".join(x.split())
                 if not x:
                     refs.append(-1)
                     continue
@@ -241,14 +249,21 @@ def _parts(place: np.ndarray) -> list[tuple[int, slice]]:
     return [(int(bucket[i]), slice(i, j)) for i, j in zip(cuts, cuts[1:]) if j > i]
 
 
+def _distinct(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct places in order; an order of the rows by place, and where each distinct one begins in it."""
+    order = np.argsort(place)
+    place = place[order]
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(place)])
+    return place[first], order, first
+
+
 def offered(place: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places in order, and whether several refs of the block have them."""
-    order = np.lexsort((ref, place))
-    place, ref = place[order], ref[order]
-    new = np.concatenate([[True], place[1:] != place[:-1]])[: len(place)]
-    other = np.concatenate([[False], (place[1:] == place[:-1]) & (ref[1:] != ref[:-1])])[: len(place)]
-    first = np.flatnonzero(new)
-    return place[first], np.logical_or.reduceat(other, first) if len(first) else other
+    own, order, first = _distinct(place)
+    if not len(own):
+        return own, np.zeros(0, dtype=bool)
+    ref = ref[order]
+    return own, np.minimum.reduceat(ref, first) < np.maximum.reduceat(ref, first)
 
 
 def offer(block: int, place: np.ndarray, ref: np.ndarray) -> pa.Table:
@@ -276,22 +291,22 @@ def wanted(bucket: int, loads: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["to_block", "from_bucket", "bits"])
 
 
-def chosen(place: np.ndarray, ref: np.ndarray, answers: pa.Table) -> np.ndarray:
-    """Which keys are wanted."""
-    own, _ = offered(place, ref)
+def chosen(place: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """The numbers of the wanted keys, ascending."""
+    own, order, first = _distinct(place)
     hit = np.zeros(len(own), dtype=bool)
     at = dict(_parts(own))
     for bucket, bits in zip(answers.column("from_bucket").to_pylist(), answers.column("bits").to_pylist()):
         stretch_ = at[bucket]
         hit[stretch_] = np.unpackbits(_unpacked(bits, "u1")[0], count=stretch_.stop - stretch_.start).astype(bool)
-    return hit[np.searchsorted(own, place)] if len(own) else np.zeros(0, dtype=bool)
+    return np.sort(order[np.repeat(hit, np.diff(first, append=len(place)))])
 
 
 def _send(block: int, distinct: list[bytes], doc: np.ndarray, line: np.ndarray, answers: pa.Table, steps: tuple[tuple[int, int], ...], buckets: int, heavy: np.ndarray) -> pa.Table:
     """Packed rows for each bucket, of the wanted keys."""
     key, kind, ref, sign = keys(distinct, steps, heavy)
     place = places(key, buckets)
-    take = chosen(place, ref, answers)
+    take = chosen(place, answers)
     place, kind, ref = place[take], kind[take], ref[take]
     used, number = np.unique(ref, return_inverse=True)
     same = np.fromiter((xxhash.xxh3_64_intdigest(distinct[r]) for r in used.tolist()), dtype=U, count=len(used))
@@ -357,6 +372,32 @@ def _meet(bucket: int, loads: pa.Table, first_look: int, still: set[tuple[int, i
                 found = other[found[:first_look] if still is None else found[first_look:]]
                 put(np.full(len(found), x), found)
 
+    def compare_small(rows: np.ndarray, count: np.ndarray, most: np.ndarray) -> None:
+        """As compare(), for all small groups at once; ``count`` rows each."""
+        if not len(rows):
+            return
+        group = np.repeat(np.arange(len(count)), count)
+        rows = rows[np.lexsort((block[rows], line[rows], doc[rows], group))]
+        probing, mine = kind[rows] & 3 == PROBE, (block[rows].astype(np.int64) << 32) | ref[rows]
+        open_ = None if still is None else np.isin(mine, np.array([b << 32 | r for b, r in still], dtype=np.int64))
+        pairs = []
+        for d in range(1, int(count.max())):
+            at = np.flatnonzero((group[d:] == group[:-d]) & (probing[d:] != probing[:-d]) & (True if open_ is None else open_[d:]))
+            x, other = rows[at + d], rows[at]
+            far = np.bitwise_count(sign[x] ^ sign[other])
+            take = (far <= most[group[at]]) & ((far > 0) | (same[x] != same[other]))
+            pairs.append(np.stack([at + d, at, far])[:, take])
+        x, other, far = np.concatenate(pairs, axis=1)
+        by = np.lexsort((-other, far, x))
+        x, other = x[by], other[by]
+        begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+        times = np.diff(begin, append=len(x))
+        rank = np.arange(len(x)) - np.repeat(begin, times)
+        if still is None:
+            put(rows[x[begin[times > first_look]]], None, -2)
+        take = rank < first_look if still is None else rank >= first_look
+        put(rows[x[take]], rows[other[take]])
+
     if len(key):
         like = np.concatenate([[False], (key[1:] == key[:-1]) & (same[1:] == same[:-1]) & (sign[1:] == sign[:-1])])
         again = like & np.concatenate([[False], kind[1:] == kind[:-1]])
@@ -366,11 +407,13 @@ def _meet(bucket: int, loads: pa.Table, first_look: int, still: set[tuple[int, i
         first = np.flatnonzero(np.concatenate([[True], key[keep][1:] != key[keep][:-1]]))
         ends = np.concatenate([first[1:], [len(keep)]])
         texts = np.add.reduceat((~like[keep]).astype(np.int64), first)
-        for g in np.flatnonzero(texts > 1).tolist():
+        count, threshold = ends - first, kind[keep[first]] >> 2
+        some = (texts > 1) & (threshold > 0)
+        small = some & (count <= min(SMALL, large))
+        compare_small(keep[np.repeat(small, count)], count[small], 2 * threshold[small].astype(np.int64))
+        for g in np.flatnonzero(some & ~small).tolist():
             rows = keep[first[g] : ends[g]]
-            t = int(kind[rows[0]] >> 2)
-            if not t:
-                continue
+            t = int(threshold[g])
             rows = rows[np.lexsort((block[rows], line[rows], doc[rows]))]
             if len(rows) <= large:
                 compare(rows)
@@ -443,39 +486,57 @@ class _Join:
                 return pa.Table.from_batches([], pa.schema([(c, pa.int32()) for c in ("bucket", "block", "ref", "other_block", "other_ref")]))
             return _meet(key[0].as_py(), loads, first_look, set(zip(still.column("block").to_pylist(), still.column("ref").to_pylist())), large)
 
+        def settle(found: pa.Table) -> pa.Table:
+            """bucket, block, ref once: bucket -1 for the lines that go, the bucket of the others that have more candidates there."""
+            ref, bucket = found.column("ref").to_numpy(), found.column("bucket").to_numpy()
+            gone = np.unique(ref[bucket < 0])
+            more = np.unique(np.stack([bucket, ref])[:, (bucket >= 0) & ~np.isin(ref, gone)], axis=1)
+            bucket, ref = np.concatenate([np.full(len(gone), -1, dtype=np.int32), more[0]]), np.concatenate([gone, more[1]])
+            return pa.table([pa.array(bucket), pa.array([found.column("block")[0].as_py()] * len(ref), pa.int32()), pa.array(ref)], ["bucket", "block", "ref"])
+
         # each block's distinct lines in one packed row, which is read again by all steps
         self.store = self.docs.groupBy("block").applyInArrow(keep, "block int, lines binary")
         offers = self.store.groupBy("block").applyInArrow(first, "bucket int, block int, load binary")
         answers = offers.groupBy("bucket").applyInArrow(common, "to_block int, from_bucket int, bits binary")
         sent = self.store.groupBy("block").cogroup(answers.groupBy("to_block")).applyInArrow(send, "bucket int, block int, load binary")
-        met = sent.groupBy("bucket").applyInArrow(meet, MET)
-        gone = self._near(met.where("other_block >= 0")).unionByName(met.where("other_block = -1").select("block", "ref")).distinct()
-        still = met.where("other_block = -2").select("bucket", "block", "ref").distinct().join(gone, ["block", "ref"], "left_anti").select("bucket", "block", "ref")
-        rest = sent.groupBy("bucket").cogroup(still.groupBy("bucket")).applyInArrow(meet_rest, MET)
-        return gone.unionByName(self._near(rest)).distinct()
+        # what meets goes through one shuffle, marks and all, and is told apart behind it: no step runs once for each kind of row
+        settled = self._near(sent.groupBy("bucket").applyInArrow(meet, MET)).groupBy("block").applyInArrow(settle, "bucket int, block int, ref int")
+        rest = sent.groupBy("bucket").cogroup(settled.where("bucket >= 0").groupBy("bucket")).applyInArrow(meet_rest, MET)
+        return settled.where("bucket < 0").unionByName(self._near(rest)).select("block", "ref")
 
     def _near(self, met: DataFrame) -> DataFrame:
-        """block, ref of the lines that are near a candidate."""
+        """block, ref, bucket: -1 for the lines that are near a candidate or marked as such, else that of a mark -2."""
         steps = self.steps
 
         def ask(store: pa.Table, pairs: pa.Table) -> pa.Table:
             """A line once for each block that has candidates of it, with their refs."""
             refs: dict[tuple[int, int], set[int]] = {}
-            for r, to, other in zip(*(pairs.column(c).to_pylist() for c in ("ref", "other_block", "other_ref"))):
-                refs.setdefault((to, r), set()).add(other)
-            lines, block = (_stored(store)[2], pairs.column("block")[0].as_py()) if refs else ([], 0)
+            marks: set[tuple[int, int]] = set()
+            for r, to, other, bucket in zip(*(pairs.column(c).to_pylist() for c in ("ref", "other_block", "other_ref", "bucket"))):
+                if to < 0:
+                    marks.add((r, bucket if to == -2 else -1))
+                else:
+                    refs.setdefault((to, r), set()).add(other)
+            gone = {r for r, bucket in marks if bucket < 0}
+            refs = {k: x for k, x in refs.items() if k[1] not in gone}
+            lines, block = _stored(store)[2] if refs else [], pairs.column("block")[0].as_py() if pairs.num_rows else 0
+            none, n = [None] * len(marks), len(refs) + len(marks)
             return pa.table(
-                [pa.array([to for to, _ in refs], pa.int32()), pa.array([block] * len(refs), pa.int32()), pa.array([r for _, r in refs], pa.int32()), pa.array([sorted(x) for x in refs.values()], pa.list_(pa.int32())), pa.array([lines[r] for _, r in refs], pa.binary())],
-                ["to_block", "block", "ref", "others", "line"],
+                [
+                    pa.array([to for to, _ in refs] + [block] * len(marks), pa.int32()), pa.array([block] * n, pa.int32()), pa.array([r for _, r in refs] + [r for r, _ in marks], pa.int32()), pa.array([-1] * len(refs) + [b for _, b in marks], pa.int32()),
+                    pa.array([sorted(x) for x in refs.values()] + none, pa.list_(pa.int32())), pa.array([lines[r] for _, r in refs] + none, pa.binary()),
+                ],
+                ["to_block", "block", "ref", "bucket", "others", "line"],
             )
 
         def answer(store: pa.Table, asked: pa.Table) -> pa.Table:
-            lines = _stored(store)[2] if asked.num_rows else []
-            hit = [any(near(x, lines[o], steps) for o in others) for x, others in zip(asked.column("line").to_pylist(), asked.column("others").to_pylist())]
-            return asked.select(["block", "ref"]).filter(pa.array(hit, pa.bool_()))
+            """Lines that are near one of their candidates, and the marks as they came."""
+            lines = _stored(store)[2] if asked.column("line").null_count < asked.num_rows else []
+            hit = [x is None or any(near(x, lines[o], steps) for o in others) for x, others in zip(asked.column("line").to_pylist(), asked.column("others").to_pylist())]
+            return asked.select(["block", "ref", "bucket"]).filter(pa.array(hit, pa.bool_()))
 
-        asked = self.store.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(ask, "to_block int, block int, ref int, others array<int>, line binary")
-        return self.store.groupBy("block").cogroup(asked.groupBy("to_block")).applyInArrow(answer, "block int, ref int")
+        asked = self.store.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(ask, "to_block int, block int, ref int, bucket int, others array<int>, line binary")
+        return self.store.groupBy("block").cogroup(asked.groupBy("to_block")).applyInArrow(answer, "block int, ref int, bucket int")
 
 
 def remove_lines(docs: DataFrame, steps: tuple[tuple[int, int], ...] = STEPS, first_look: int = FIRST_LOOK, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, one_in: int = LOOK_AT_ONE_IN, large: int = LARGE) -> DataFrame:
