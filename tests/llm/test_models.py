@@ -262,3 +262,31 @@ def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "s", "en", 1)], "doc_id long, text string, source string, lang string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.keep_good(docs, labels).count() == 1 and quality.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_layer_with_gates_apart_equals_the_plain_one():
+    rng = np.random.default_rng(4)
+    time, rows, width = 6, 5, 4
+    a, wh = rng.standard_normal((time, rows, 3 * width)).astype(np.float32), rng.standard_normal((width, 3 * width)).astype(np.float32)
+    keep, d = (rng.random((time, rows)) > 0.3).astype(np.float32), rng.standard_normal((time, rows, width)).astype(np.float32)
+    a[0, 0], a[1, 1] = 300, -300  # far beyond what exp holds
+    h = rng.standard_normal((rows, width)).astype(np.float32)
+    states, kept = gru.forward(a, wh, h, keep)
+    da, dwh = gru.backward(d, kept, wh, keep)
+    layer = gru.Layer(time + 2, rows, width)
+    parts = gru.apart(a.reshape(-1, 3 * width)).reshape(3, time, rows, width)
+    assert np.allclose(layer.forward(parts, gru.apart(wh), h, keep == 0), states, atol=1e-6)
+    da_apart, dwh_apart = layer.backward(d, gru.apart(wh), keep == 0)
+    assert np.allclose(gru.together(da_apart.reshape(3, -1, width)).reshape(da.shape), da, atol=1e-5)
+    assert np.allclose(gru.together(dwh_apart), dwh, atol=1e-5)
+
+
+def test_words_of_a_batch_in_slices(monkeypatch):
+    monkeypatch.setattr(gru_lm, "SLICE_BYTES", 8)
+    texts = ["", None, " A  b\n", "É\x1cX y  C\tc\vd\fe\rF ", "word" * 9, None, "\n", "end"]
+    batch = gru_lm.pa.RecordBatch.from_arrays([gru_lm.pa.array(texts, gru_lm.pa.string())], ["text"])
+    found, slices = {}, 0
+    for first, sizes, words in gru_lm._words(batch):
+        ends, slices = np.cumsum(sizes), slices + 1
+        found |= {first + i: words.to_pylist()[end - n : end] for i, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist()))}
+    assert slices > 2 and found == {i: (t or "").encode().lower().split() for i, t in enumerate(texts)}

@@ -24,11 +24,11 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +40,9 @@ from tidemark.llm.gru import F32
 END = b"\n"  # no word holds a line feed
 LEAST_OUTPUTS, MOST_OUTPUTS, WIDTH, TABLE = 1 << 10, 1 << 14, 16, 1 << 18
 ROUNDS, RATES, STEPS, LANES, PIECE = (1 / 16, 3 / 16, 3 / 4), (0.03, 0.02, 0.01), 16, 512, 2048
-CHUNK, ROWS, READ = 64, 32, 16
-SLICE_BYTES, SLICE_UNITS, FLUSH = 12 << 20, 2 << 20, 200_000
-PLACES, PACKED = 1 << 20, np.dtype("<u2")  # units are fewer than 65,536: MOST_OUTPUTS and the endings
+CHUNK, ROWS, READ, CACHE = 64, 32, 16, 1 << 18
+SLICE_BYTES, SLICE_UNITS = 12 << 20, 2 << 20
+PLACES, PACKED = 1 << 20, np.dtype("<u2")  # units are fewer than 32,768: MOST_OUTPUTS and the endings
 MARKS, GROUPS = b".,;:!?)]}'\"", 14
 ENDINGS = 2 * GROUPS
 
@@ -54,49 +54,33 @@ def ending(word: bytes) -> int:
     return (GROUPS if len(bare) < len(word) else 0) + ((last - 97) // 2 if 97 <= last <= 122 else GROUPS - 1)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """Slices of a batch: the number of the first row, and the texts."""
-    rows, size, first = [], 0, 0
-    for i, t in enumerate(batch.column("text").cast(pa.binary())):
-        rows.append(t.as_py() or b"")
-        size += len(rows[-1])
-        if size >= SLICE_BYTES:
-            yield first, rows
-            rows, size, first = [], 0, i + 1
-    if rows:
-        yield first, rows
+def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """Slices of a batch: the number of the first row, how many words each text has, and all words."""
+    text = batch.column("text").cast(pa.string())
+    size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1).tolist(), len(text)]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text.slice(i, j - i), "")))
+            words = found.flatten()
+            full = pc.greater(pc.binary_length(words), 0)  # a blank at an end leaves an empty one
+            row = np.repeat(np.arange(j - i), np.diff(found.offsets.to_numpy()))[full.to_numpy(zero_copy_only=False)]
+            yield i, np.bincount(row, minlength=j - i), words.filter(full).cast(pa.binary())
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary), c: over all texts, with the end of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
-            count.clear()
-            return b
-
         for b in batches:
-            for _, texts in _texts(b):
-                for t in texts:
-                    count.update(t.lower().split())
-                    count[END] += 1
-                    if len(count) > FLUSH:
-                        yield out()
-        yield out()
+            for _, sizes, words in _words(b):
+                found = words.value_counts()
+                word, n = pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([found.field("counts"), pa.array([len(sizes)], pa.int64())])
+                yield pa.RecordBatch.from_arrays([word, n], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-class _Index(dict):
-    """Numbers of the frequent words; any other word has the number of its ending after them."""
-
-    def __missing__(self, word: bytes) -> int:
-        return len(self) + ending(word)
-
-
 class Vocabulary:
     """Frequent words with their counts, the first ``outputs`` of which have outputs of their own."""
 
@@ -111,20 +95,6 @@ class Vocabulary:
         # mass of each ending: counts of its words plus one half for each of them and for its unknown word
         self.mass = np.array([ending_rows.get(e, (0, 0))[0] + 0.5 * (ending_rows.get(e, (0, 0))[1] + 1) for e in range(ENDINGS)])
         self.frequent = np.array(counts[: self.outputs], dtype=np.float64) + 0.5
-        self._index: _Index | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None}
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers in the table; len(words of the table) + ending for words that aren't there."""
-        if self._index is None:
-            self._index = _Index(zip(self.words, range(len(self.words))))
-        return np.fromiter(map(self._index.__getitem__, words), dtype=np.int32, count=len(words))
-
-    def units(self, words: list[bytes]) -> np.ndarray:
-        """Units: an output's number, or outputs + ending."""
-        return self.unit[self.numbers(words)]
 
 
 def fresh(v: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
@@ -142,6 +112,33 @@ def fresh(v: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
     }
 
 
+class _Room:
+    """Arrays for the logits of a window, made once; those of classes hold as many rows as a processor's cache takes."""
+
+    def __init__(self, rows: int, v: Vocabulary):
+        self.rows = max(128, CACHE // (4 * (v.classes + ENDINGS)))
+        self.flat, self.top = np.ones((rows, WIDTH + 1), dtype=F32), np.empty((self.rows, v.classes + ENDINGS), dtype=F32)
+        self.word = np.empty((rows // ROWS + v.classes, ROWS, v.size), dtype=F32)
+
+    def classes(self, states: np.ndarray, w: dict[str, np.ndarray]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Rows, their states and a one behind each, and their logits, which the next rows take the place of."""
+        flat, top = self.flat[: len(states)], np.concatenate([w["wc"], w["bc"][None]])
+        flat[:, :WIDTH] = states
+        for i in range(0, len(flat), self.rows):
+            some = flat[i : i + self.rows]
+            yield slice(i, i + len(some)), some, np.matmul(some, top, out=self.top[: len(some)])
+
+    def words(self, deep: np.ndarray, kinds: np.ndarray, own: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+        out = np.matmul(deep, own, out=self.word[: len(kinds)])
+        out += w["bw"][kinds][:, None, :]
+        return out.reshape(-1, out.shape[2])
+
+
+def _within(w: np.ndarray, b: np.ndarray) -> bool:
+    """No logit of states, which lie within one, is cut."""
+    return float((np.abs(w).sum(axis=-2) + np.abs(b)).max()) < 60
+
+
 def _by_class(unit: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Units with outputs of their own in pieces of ROWS of one class: their places, the places' numbers in the pieces, the pieces' classes."""
     own = np.flatnonzero(unit < v.outputs)
@@ -154,16 +151,17 @@ def _by_class(unit: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray,
     return own[order], at, np.repeat(np.arange(v.classes), parts)
 
 
-def _softmax(x: np.ndarray, scale: float = 1.0) -> np.ndarray:
-    """``scale`` times the probabilities, in place; logits are cut at 60 to both sides, in training and scoring alike."""
-    np.clip(x, F32(-60), F32(60), out=x)
+def _softmax(x: np.ndarray, scale: float = 1.0, within: bool = False) -> np.ndarray:
+    """``scale`` times the probabilities, in place; logits are cut at 60 to both sides, in training and scoring alike, if not ``within``."""
+    if not within:
+        np.clip(x, F32(-60), F32(60), out=x)
     np.exp(x, out=x)
     x *= (F32(scale) / (x @ np.ones(x.shape[1], dtype=F32)))[:, None]
     return x
 
 
 def lanes(sequences: list[np.ndarray], start: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences laid into lanes: inputs, targets (-1: none), keep (0 at a beginning) and owner, each (time, lanes)."""
+    """Sequences laid into lanes: inputs, targets (-1: none), whether one begins, and owner, each (time, lanes)."""
     sizes = np.array([len(s) for s in sequences])
     count = int(max(1, min(count, sizes.sum() // max(1, sizes.max()) + 1)))
     free, places = np.zeros(count, dtype=np.int64), []
@@ -176,43 +174,51 @@ def lanes(sequences: list[np.ndarray], start: int, count: int) -> tuple[np.ndarr
         heapq.heappush(heap, (at + int(sizes[i]), k))
         free[k] = at + sizes[i]
     time = int(free.max())
-    into, target, owner = np.full((count, time), start, dtype=np.int32), np.full((count, time), -1, dtype=np.int32), np.zeros((count, time), dtype=np.int32)
-    keep = np.ones((count, time), dtype=F32)
+    into, target, owner = np.full((count, time), start, dtype=np.int16), np.full((count, time), -1, dtype=np.int16), np.zeros((count, time), dtype=np.int32)
+    begins = np.zeros((count, time), dtype=bool)
     for i, k, at in places:
         s = sequences[i]
         target[k, at : at + len(s)] = s
         into[k, at + 1 : at + len(s)] = s[:-1]
         into[k, at] = start
-        keep[k, at] = 0
+        begins[k, at] = True
         owner[k, at : at + len(s)] = i
-    return tuple(np.ascontiguousarray(x.T) for x in (into, target, keep, owner))  # type: ignore[return-value]
+    return tuple(np.ascontiguousarray(x.T) for x in (into, target, begins, owner))  # type: ignore[return-value]
 
 
 def train(w: dict[str, np.ndarray], sequences: list[np.ndarray], v: Vocabulary, rate: float, width: int = LANES, adam: gru.Adam | None = None) -> None:
     """One pass of truncated backpropagation over sequences of units; ``w`` changes in place."""
-    into, target, keep, _ = lanes(sequences, v.outputs + ENDINGS, width)
+    into, target, begins, _ = lanes(sequences, v.outputs + ENDINGS, width)
     h, adam = np.zeros((into.shape[1], WIDTH), dtype=F32), adam or gru.Adam(w, rate)
+    layer, room = gru.Layer(STEPS, into.shape[1], WIDTH), _Room(STEPS * into.shape[1], v)
+    parts, ones = np.empty((3, STEPS * into.shape[1], WIDTH), dtype=F32), np.ones(STEPS * into.shape[1], dtype=F32)
+    deltas = np.empty((STEPS * into.shape[1], WIDTH), dtype=F32)
     for t in range(0, len(into), STEPS):
-        x, y, k = into[t : t + STEPS], target[t : t + STEPS].ravel(), keep[t : t + STEPS]
-        emb = w["emb"][x.ravel()]
-        states, kept = gru.forward((emb @ w["wx"] + w["b"]).reshape(*x.shape, -1), w["wh"], h, k)
-        h = states[-1]
+        x, y, clear = into[t : t + STEPS], target[t : t + STEPS].ravel().astype(np.int32), begins[t : t + STEPS]
+        emb, wx, wh = w["emb"].take(x.ravel(), axis=0), gru.apart(w["wx"]), gru.apart(w["wh"])
+        a = np.matmul(emb, wx, out=parts[:, : len(emb)])
+        a += w["b"].reshape(3, 1, WIDTH)
+        states = layer.forward(a.reshape(3, *x.shape, WIDTH), wh, h, clear)
+        h = states[-1].copy()
         flat, real = states.reshape(-1, WIDTH), y >= 0
         n = F32(max(1, real.sum()))
-        p = _softmax(flat @ w["wc"] + w["bc"], 1 / n)
         kind = np.where(y < v.outputs, y // v.size, v.classes + y - v.outputs)
-        rows = np.flatnonzero(real)
-        p[rows, kind[rows]] -= 1 / n
-        if len(rows) < len(y):
-            p[~real] = 0
-        grads = {"wc": flat.T @ p, "bc": p.sum(axis=0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
-        d = p @ w["wc"].T
+        grads = {"ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
+        top, d, wide, within = np.zeros((WIDTH + 1, v.classes + ENDINGS), dtype=F32), deltas[: len(y)], w["wc"].T, _within(w["wc"], w["bc"])
+        for at, some, p in room.classes(flat, w):
+            _softmax(p, 1 / n, within)
+            p[np.arange(len(p)), kind[at]] -= 1 / n
+            if not real[at].all():
+                p[~real[at]] = 0
+            top += some.T @ p
+            np.matmul(p, wide, out=d[at])
+        grads["wc"], grads["bc"] = top[:WIDTH], top[WIDTH]
         order, at, kinds = _by_class(np.where(real, y, v.outputs), v)
         mine = np.zeros((len(kinds) * ROWS, WIDTH), dtype=F32)
         mine[at] = flat[order]
         deep = mine.reshape(len(kinds), ROWS, WIDTH)
         own = w["ww"][kinds]
-        q = _softmax((deep @ own + w["bw"][kinds][:, None, :]).reshape(-1, v.size))
+        q = _softmax(room.words(deep, kinds, own, w))
         q[at, y[order] % v.size] -= 1
         used = np.zeros(len(q), dtype=F32)
         used[at] = 1 / n
@@ -223,37 +229,47 @@ def train(w: dict[str, np.ndarray], sequences: list[np.ndarray], v: Vocabulary,
             grads["ww"][kinds[first]] = np.add.reduceat(deep.transpose(0, 2, 1) @ q, first, axis=0)
             grads["bw"][kinds[first]] = np.add.reduceat(q.reshape(-1, v.size), first * ROWS, axis=0)
             d[order] += (q @ own.transpose(0, 2, 1)).reshape(-1, WIDTH)[at]
-        da, grads["wh"] = gru.backward(d.reshape(states.shape), kept, w["wh"], k)
-        da = da.reshape(-1, 3 * WIDTH)
-        grads["wx"], grads["b"] = emb.T @ da, da.sum(axis=0)
-        grads["emb"] = gru.rows_sum(x.ravel(), da @ w["wx"].T, len(w["emb"]))
+        da, dwh = layer.backward(d.reshape(states.shape), wh, clear)
+        da = da.reshape(3, -1, WIDTH)
+        grads["wh"], grads["wx"], grads["b"] = gru.together(dwh), gru.together(np.matmul(emb.T, da)), (ones[: len(y)] @ da).ravel()
+        d = da[0] @ wx[0].T
+        d += da[1] @ wx[1].T
+        d += da[2] @ wx[2].T
+        grads["emb"] = gru.rows_sum(x.ravel(), d, len(w["emb"]))
         adam.step(grads)
 
 
 def log_probabilities(w: dict[str, np.ndarray], sequences: list[np.ndarray], v: Vocabulary) -> np.ndarray:
     """Natural log of the units' probabilities, summed for each sequence; the state runs through a whole sequence."""
-    into, target, keep, owner = lanes(sequences, v.outputs + ENDINGS, LANES)
-    parts, h, out = w["emb"] @ w["wx"] + w["b"], np.zeros((into.shape[1], WIDTH), dtype=F32), np.zeros(len(sequences))
-    for t in range(0, len(into), READ):
-        states = gru.run(parts[into[t : t + READ]], w["wh"], h, keep[t : t + READ])
-        h = states[-1]
-        y = target[t : t + READ].ravel()
+    into, target, begins, owner = lanes(sequences, v.outputs + ENDINGS, LANES)
+    count, within = into.shape[1], (_within(w["wc"], w["bc"]), _within(w["ww"], w["bw"]))
+    parts, wh, h, out = gru.apart(w["emb"] @ w["wx"] + w["b"]), gru.apart(w["wh"]), np.zeros((count, WIDTH), dtype=F32), np.zeros(len(sequences))
+    read = min(len(into), READ * LANES // count)  # a window has as many words whatever the number of lanes
+    layer, room, a = gru.Layer(read, count, WIDTH), _Room(read * count, v), np.empty((3, read, count, WIDTH), dtype=F32)
+    for t in range(0, len(into), read):
+        x = into[t : t + read]
+        for part, to in zip(parts, a):
+            part.take(x, axis=0, out=to[: len(x)], mode="clip")
+        states = layer.forward(a[:, : len(x)], wh, h, begins[t : t + read])
+        h = states[-1].copy()
+        y = target[t : t + read].ravel().astype(np.int32)
         real = np.flatnonzero(y >= 0)
-        flat, y = states.reshape(-1, WIDTH)[real], y[real]
+        flat, y = states.reshape(-1, WIDTH).take(real, axis=0), y[real]
         kind = np.where(y < v.outputs, y // v.size, v.classes + y - v.outputs)
-        score = _chosen(flat @ w["wc"] + w["bc"], kind)
+        score = np.concatenate([_chosen(x, kind[at], within[0]) for at, _, x in room.classes(flat, w)] or [np.zeros(0, dtype=F32)])
         order, at, kinds = _by_class(y, v)
         mine, goal = np.zeros((len(kinds) * ROWS, WIDTH), dtype=F32), np.zeros(len(kinds) * ROWS, dtype=np.int64)
         mine[at], goal[at] = flat[order], y[order] % v.size
-        more = _chosen((mine.reshape(len(kinds), ROWS, WIDTH) @ w["ww"][kinds] + w["bw"][kinds][:, None, :]).reshape(-1, v.size), goal)[at]
+        more = _chosen(room.words(mine.reshape(len(kinds), ROWS, WIDTH), kinds, w["ww"][kinds], w), goal, within[1])[at]
         score[order] += more
-        out += np.bincount(owner[t : t + READ].ravel()[real], weights=score, minlength=len(sequences))
+        out += np.bincount(owner[t : t + read].ravel()[real], weights=score, minlength=len(sequences))
     return out
 
 
-def _chosen(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+def _chosen(x: np.ndarray, which: np.ndarray, within: bool) -> np.ndarray:
     """Log of one probability of each row of logits, which are lost."""
-    np.clip(x, F32(-60), F32(60), out=x)
+    if not within:
+        np.clip(x, F32(-60), F32(60), out=x)
     own = x[np.arange(len(x)), which]
     np.exp(x, out=x)
     return own - np.log(x @ np.ones(x.shape[1], dtype=F32))
@@ -312,38 +328,44 @@ def numbered(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        frequent = len(v.words)
+        frequent, table_ = len(v.words), pa.array(v.words, pa.binary())
         for b in batches:
-            for first, texts in _texts(b):
-                units, sums, sizes, word, times = [], [], [0], [], []
-                for t in texts:
-                    words = [*t.lower().split(), END]
-                    at = v.numbers(words)
-                    units.append(v.unit[at].astype(PACKED).tobytes())
-                    strange = np.flatnonzero(at >= frequent)
-                    sums.append((len(words), len(words) - len(strange), float(v.log_count[at].sum()) - len(words) * base_mass, float(rare[at].sum())))
-                    if len(strange):
-                        unknown = Counter([words[i] for i in strange.tolist()])
-                        word += unknown
-                        times += unknown.values()
-                    sizes.append(len(word))
-                n = len(texts)
-                unknown_words = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]))
-                columns = [pa.array(c, t) for c, t in zip(zip(*sums), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), b.column("doc_id").slice(first, n), b.column("place").slice(first, n), pa.array(units, pa.binary()), *columns, unknown_words], ["row", "doc_id", "place", "units", "n_tokens", "n_known", "base", "own", "strange"])
+            for first, sizes, words in _words(b):
+                n, ends = len(sizes), np.cumsum(sizes + 1) - 1
+                words = pa.concat_arrays([words, pa.array([END], pa.binary())])
+                which = np.full(len(words) - 1 + n, len(words) - 1)  # every text's words and an end
+                inner = np.ones(len(which), dtype=bool)
+                inner[ends] = False
+                which[inner] = np.arange(len(words) - 1)
+                at = pc.fill_null(pc.index_in(words, value_set=table_), frequent).to_numpy(zero_copy_only=False)[which]
+                strange = np.flatnonzero(at == frequent)
+                kinds = words.take(pa.array(which[strange])).dictionary_encode()
+                code, unknown = kinds.indices.to_numpy(), kinds.dictionary
+                at[strange] += np.fromiter(map(ending, unknown.to_pylist()), dtype=np.int32, count=len(unknown))[code]
+                of = np.repeat(np.arange(n), sizes + 1)[strange]
+                pair, times = np.unique(of * max(1, len(unknown)) + code, return_counts=True)
+                of_pair, code = np.divmod(pair, max(1, len(unknown)))
+                count = lambda x: np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n))]).astype(np.int32)
+                unknown_words = pa.ListArray.from_arrays(pa.array(count(of_pair)), pa.StructArray.from_arrays([unknown.take(pa.array(code)), pa.array(times)], ["word", "times"]))
+                places = np.concatenate([[0], ends + 1]).astype(np.int32) * PACKED.itemsize
+                units = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(places), pa.py_buffer(v.unit[at].astype(PACKED))])
+                known = sizes + 1 - np.bincount(of, minlength=n)
+                base, own = np.add.reduceat(v.log_count[at], ends - sizes) - (sizes + 1) * base_mass, np.add.reduceat(rare[at], ends - sizes)
+                columns = map(pa.array, (sizes + 1, known, base, own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), b.column("doc_id").slice(first, n), b.column("place").slice(first, n), units, *columns, unknown_words], ["row", "doc_id", "place", "units", "n_tokens", "n_known", "base", "own", "strange"])
                 row += n
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(PLACES)).alias("place"), "text")
     return ready.mapInArrow(run, "row long, doc_id long, place long, units binary, n_tokens long, n_known long, base double, own double, strange array<struct<word:binary,times:long>>")
 
 
-def _sequences(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Texts' units, SLICE_UNITS at a time, and the place of the first."""
+def _sequences(column: pa.Array, most: int = SLICE_UNITS) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Texts' units, ``most`` at a time, and the place of the first."""
     first, rows, size = 0, [], 0
     for i, x in enumerate(column):
-        rows.append(np.frombuffer(x.as_buffer(), dtype=PACKED).astype(np.int32))
+        rows.append(np.frombuffer(x.as_buffer(), dtype=PACKED))
         size += len(rows[-1])
-        if size >= SLICE_UNITS:
+        if size >= most:
             yield first, rows
             first, rows, size = i + 1, [], 0
     if rows:
@@ -395,7 +417,7 @@ def score(texts: DataFrame, v: Vocabulary, w: dict[str, np.ndarray], counts: Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.concatenate([log_probabilities(w, sequences, v) for _, sequences in _sequences(b.column("units"))] or [np.zeros(0)])
+            found = np.concatenate([log_probabilities(w, sequences, v) for _, sequences in _sequences(b.column("units"), 2 * SLICE_UNITS)] or [np.zeros(0)])
             own = b.column("own").to_numpy() + found / math.log(10)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(own)], [*kept, "own"])
 
