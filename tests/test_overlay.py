@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tidemark.operators import overlay, spatial
+from tidemark.queries import geometry
 
 RINGS = "poly_id long, day string, rings array<array<struct<x:double,y:double>>>"
 
@@ -95,3 +96,26 @@ def test_far_coordinates_and_empty_tables(spark):
     none = frame(spark, polygons).where("poly_id > 5")
     assert overlay.union_area(none, "poly_id", "day", 10.0).count() == 0
     assert overlay.intersection_area(none, frame(spark, polygons), "poly_id", "poly_id", "day", "day", 1000.0).count() == 0
+
+
+def test_edges_take_columns_of_their_polygon_along(spark):
+    rows = [(i, d, [[{"x": float(x), "y": float(y)} for x, y in square(i, 0, 1)]]) for i, d in ((1, "a"), (2, None), (2, "b"))]
+    got = spatial.edges(spark.createDataFrame(rows, RINGS), also=("day",)).collect()
+    assert sorted((r["poly_id"], r["day"] or "") for r in got) == sorted((i, d) for i, d in ((1, "a"), (2, ""), (2, "b")) for _ in range(4))
+
+
+def joins_in(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+@pytest.fixture(scope="module")
+def places(tmp_path_factory, spark):
+    folder = str(tmp_path_factory.mktemp("places"))
+    spark.range(1, 40).selectExpr("id as c_custkey", "concat('d', id % 3) as c_mktsegment").write.parquet(f"{folder}/customer.parquet")
+    spark.range(0, 25).selectExpr("cast(id as int) as n_nationkey").write.parquet(f"{folder}/nation.parquet")
+    return folder
+
+
+def test_overlaps_join_no_table_of_polygons(spark, places):
+    # only the results of the units meet their areas; polygons joined by key were broadcast, since compressed files look small
+    assert joins_in(geometry.q_overlap_exact(spark, places)) == 1

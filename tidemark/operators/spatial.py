@@ -11,15 +11,16 @@ from tidemark.functions.geo import EARTH_KM, corridor_steps, haversine_km
 from tidemark.sources.shared import cut
 
 
-def edges(polygons: DataFrame, key: str = "poly_id", rings: str = "rings") -> DataFrame:
-    """key, x1, y1, x2, y2: the edges of all rings (array<array<struct<x,y>>>); open rings are closed.
+def edges(polygons: DataFrame, key: str = "poly_id", rings: str = "rings", also: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns ``also`` of the polygon, x1, y1, x2, y2: the edges of all rings (array<array<struct<x,y>>>); open rings are closed.
 
     Degenerate rings (fewer than three points) are dropped; holes and several parts need no care under even-odd parity.
     """
-    ring = polygons.select(key, F.explode(rings).alias("ring")).where(F.size("ring") >= 3)
+    own = [key, *also]
+    ring = polygons.select(*own, F.explode(rings).alias("ring")).where(F.size("ring") >= 3)
     following = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
-    pair = ring.select(key, F.explode(F.arrays_zip(F.col("ring").alias("a"), following.alias("b"))).alias("e"))
-    return pair.select(key, F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+    pair = ring.select(*own, F.explode(F.arrays_zip(F.col("ring").alias("a"), following.alias("b"))).alias("e"))
+    return pair.select(*own, F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
 
 
 def inside(points: DataFrame, edge: DataFrame, id_col: str, x: str, y: str, key: str = "poly_id", tile: float = 1.0) -> DataFrame:

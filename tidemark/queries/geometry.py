@@ -51,8 +51,7 @@ SELECT unit, day, CAST(count(*) AS DOUBLE) AS area, round(count(*) / CAST(any_va
 """)
 def q_overlap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact area of each unit under each day's floods, which overlap each other as the units do."""
-    polygons, n = _flood_boxes(spark, sf_dir), F.col("n_nationkey")
-    floods = spatial.edges(polygons).join(polygons.select("poly_id", "day"), "poly_id")
+    floods, n = spatial.edges(_flood_boxes(spark, sf_dir), also=("day",)), F.col("n_nationkey")
     units = table(spark, sf_dir, "nation").select(n.alias("unit"), F.array(_box(n % 5 * 190, F.floor(n / 5) * 95, 200 + n, 100 + n)).alias("rings"))
     both = overlay.intersection_area(spatial.edges(units, "unit"), floods, "unit", "poly_id", "unit", "day", 16.0)
     whole = overlay.union_area(spatial.edges(units, "unit"), "unit", "unit", 64.0).select(F.col("set").alias("a_set"), F.col("area").alias("whole"))
