@@ -119,3 +119,7 @@ def places(tmp_path_factory, spark):
 def test_overlaps_join_no_table_of_polygons(spark, places):
     # only the results of the units meet their areas; polygons joined by key were broadcast, since compressed files look small
     assert joins_in(geometry.q_overlap_exact(spark, places)) == 1
+
+
+def test_unions_join_no_table_of_polygons(spark, places):
+    assert joins_in(geometry.q_union_area(spark, places)) == 0

@@ -40,8 +40,7 @@ r AS (SELECT k, day, x, y, h, unnest(range(x, x + w)) AS cx FROM c), f AS (SELEC
 @query(f"WITH {_FLOOD_CELLS} SELECT day, CAST(count(*) AS DOUBLE) AS area FROM f GROUP BY day")
 def q_union_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of the union of overlapping polygons."""
-    polygons = _flood_boxes(spark, sf_dir)
-    edge = spatial.edges(polygons).join(polygons.select("poly_id", "day"), "poly_id")
+    edge = spatial.edges(_flood_boxes(spark, sf_dir), also=("day",))
     return overlay.union_area(edge, "poly_id", "day", 16.0).select(F.col("set").alias("day"), F.round("area", 6).alias("area"))
 
 
