@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
-from tidemark.operators import spatial, vector
+from tidemark.operators import cover, spatial, vector
 from tidemark.plans import roads
 
 XY = "array<struct<x:double,y:double>>"
@@ -94,3 +94,49 @@ def test_long_segments_stand_in_the_tiles_they_pass(spark):
         for k in range(1000):
             t = (k + 0.5) / 1000
             assert (math.floor(r["x1"] + (r["x2"] - r["x1"]) * t), math.floor(r["y1"] + (r["y2"] - r["y1"]) * t)) in tiles[r["id"]]
+
+
+def test_metres_of_arrays_are_those_of_the_expression(spark):
+    grid = spark.range(0, 400).select((F.lit(116.0) + (F.col("id") % 20) * 0.6).alias("lon"), (F.floor(F.col("id") / 20) * 1.1).alias("lat"))
+    rows = grid.withColumn("m", geo.utm(F.col("lon"), F.col("lat"))).collect()
+    x, y = geo.utm_arrays(np.array([r["lon"] for r in rows]), np.array([float(r["lat"]) for r in rows]))
+    assert np.allclose(x, [r["m"]["x"] for r in rows], rtol=0, atol=1e-6) and np.allclose(y, [r["m"]["y"] for r in rows], rtol=0, atol=1e-6)
+
+
+def test_segments_in_metres_of_odd_lines(spark):
+    bend = [(121.0, 14.5), (121.0, 14.5), (121.01, 14.5), (121.01, 14.51)]
+    rows = [(1, points(bend)), (2, None), (3, []), (4, points(bend[:1])), (None, points(bend[1:3])), (5, [{"x": 121.0, "y": None}, *points(bend[2:])])]
+    got = vector.utm_segments(spark.createDataFrame(rows, f"osm_id long, coords {XY}"), "osm_id", "coords").collect()
+    assert sorted(str(r["osm_id"]) for r in got) == ["1", "1", "5", "None"]
+    metric = spark.createDataFrame(rows, f"osm_id long, coords {XY}").withColumn("m", F.transform("coords", lambda p: geo.utm(p["x"], p["y"])))
+    want = vector.segments(metric, "osm_id", "m").drop("seg")
+    of = lambda found: sorted((str(r["osm_id"]), *(round(r[c], 6) for c in ("x1", "y1", "x2", "y2", "len"))) for r in found)
+    assert of(got) == of(want.collect())
+
+
+def test_no_filter_projects_roads_again(spark):
+    at = lambda a, b: F.struct((121 + (F.col("id") % a) / 1000).alias("x"), (14.5 + (F.col("id") % b) / 1000).alias("y"))
+    lines_ = spark.range(0, 50).select(F.col("id").alias("osm_id"), F.lit("trunk").alias("highway"), F.lit("").alias("ref"), F.lit("SLEX").alias("name"), F.array(at(7, 5), at(9, 8)).alias("coords"))
+    found = roads.exposure(lines_, water(spark, [(1, [[(284000, 1603000), (285000, 1603000), (285000, 1605000)]])]), True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "sinh" not in plan and "atan2" not in plan
+
+
+def test_tiles_fit_the_lines_and_crowded_ones_are_dealt_out(spark, monkeypatch):
+    rng = random.Random(7)
+    polygons = [(i, [[(rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(4)]]) for i in range(5)]
+    segs = lines(spark, [(i, [(rng.uniform(-20, 120), rng.uniform(-20, 120)) for _ in range(3)]) for i in range(40)])
+    of = lambda tile: {r["id"]: tuple(round(r[c], 6) for c in ("len", "inside_len", "near_len")) for r in vector.lengths(segs, water(spark, polygons), "id", 4.0, tile=tile, whole="len").collect()}
+    want = of(1000.0)
+    size = {r["id"]: round(r["len"], 6) for r in segs.groupBy("id").agg(F.sum("len").alias("len")).collect()}
+    assert {k: v[0] for k, v in want.items()} == size
+    edge = cover.in_tiles(water(spark, polygons), "poly_id", [], 5.0, 4.0)
+    larger, crowded = cover.fitted(cover.spread(segs, 5.0), edge, 5.0)
+    assert larger > 4 and crowded.count() == 0 and cover.spread(segs, 5.0 * larger).count() < 4 * segs.count()
+    assert of(5.0) == want
+    monkeypatch.setattr(cover, "CROWD", 30)
+    larger, crowded = cover.fitted(cover.spread(segs, 50.0), edge, 50.0)
+    assert larger == 1 and crowded.agg(F.max("parts")).first()[0] > 1
+    assert of(50.0) == want
+    monkeypatch.setattr(cover, "CROWD", 1)
+    assert cover.fitted(cover.spread(segs, 5.0), edge, 5.0)[0] == 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +42,20 @@ def utm(lon: Column, lat: Column, central: float = 123.0) -> Column:
     return F.struct((_EAST + _SCALE * _RADIUS * x).alias("x"), (_SCALE * _RADIUS * y).alias("y"))
 
 
+def utm_arrays(lon: np.ndarray, lat: np.ndarray, central: float = 123.0) -> tuple[np.ndarray, np.ndarray]:
+    """x, y in metres as utm() gives them, for arrays inside a task: as an expression over the points of a line, the series is
+    evaluated anew wherever Spark puts it, and so in every filter that it infers."""
+    e = 2 * math.sqrt(_N) / (1 + _N)
+    phi, lam = np.radians(lat), np.radians(lon - central)
+    t = np.sinh(np.arctanh(np.sin(phi)) - e * np.arctanh(e * np.sin(phi)))
+    xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.sqrt(1 + t * t))
+    x, y = eta.copy(), xi.copy()
+    for j, k in enumerate(_ALPHA, 1):
+        x += k * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+        y += k * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+    return _EAST + _SCALE * _RADIUS * x, _SCALE * _RADIUS * y
+
+
 def utm_inverse(x: Column, y: Column, central: float = 123.0) -> Column:
     """struct(x, y) in degrees (longitude, latitude) of metres as utm() gives them; the way there and back errs by less than a millimetre."""
     xi, eta = y / (_SCALE * _RADIUS), (x - _EAST) / (_SCALE * _RADIUS)

@@ -19,9 +19,14 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.shared import cut
+
 #: Edges in a cell that isn't cut any more, pairs of line and edge likewise, the most cuts, and numbers in one step's arrays.
 LEAF, PAIRS, DEPTH, STEP = 100, 20_000, 14, 1 << 20
 
+#: Lines or edges that one task holds of a tile at a time, and tiles that lines may pass on an average.
+CROWD, PASSED = 200_000, 3
+
 Box = tuple[float, float, float, float]
 
 
@@ -228,16 +233,16 @@ def area(box: Box, s: Shape, full: np.ndarray, depth: int = 0) -> float:
 
 
 def near_parts(p: np.ndarray, d: np.ndarray, e: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """The part (lo, hi) of each line p + t d that is at most ``reach`` from each edge; lo above hi if there is none.
+    """The part (lo, hi) of each line p + t d that is at most ``reach`` from the edge beside it; lo above hi if there is none.
 
     What is that near forms a disc at either end and a strip between them. The three are convex as one, so the parts of a line
     in each of them, the roots of a quadratic and of linear functions, make one interval.
     """
-    dx, dy, inf = d[:, :1], d[:, 1:], np.inf
+    (dx, dy), inf = d.T, np.inf
     a = dx * dx + dy * dy
-    lo, hi = np.full((len(p), len(e)), inf), np.full((len(p), len(e)), -inf)
+    lo, hi = np.full(len(p), inf), np.full(len(p), -inf)
     for at in (e[:, :2], e[:, 2:]):
-        px, py = p[:, :1] - at[:, 0], p[:, 1:] - at[:, 1]
+        px, py = (p - at).T
         b = px * dx + py * dy
         root = b * b - a * (px * px + py * py - reach * reach)
         size = np.sqrt(np.maximum(root, 0))
@@ -245,7 +250,7 @@ def near_parts(p: np.ndarray, d: np.ndarray, e: np.ndarray, reach: float) -> tup
     ex, ey = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
     size = np.hypot(ex, ey)
     ux, uy = ex / size, ey / size
-    px, py = p[:, :1] - e[:, 0], p[:, 1:] - e[:, 1]
+    px, py = (p - e[:, :2]).T
     low, high = np.full_like(lo, -inf), np.full_like(hi, inf)
     for at, slope, least, most in ((px * uy - py * ux, dx * uy - dy * ux, -reach, np.full_like(size, reach)), (px * ux + py * uy, dx * ux + dy * uy, 0.0, size)):
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -257,8 +262,30 @@ def near_parts(p: np.ndarray, d: np.ndarray, e: np.ndarray, reach: float) -> tup
     return np.where(strip, np.minimum(lo, low), lo), np.where(strip, np.maximum(hi, high), hi)
 
 
-def lengths(box: Box, s: Shape, p: np.ndarray, d: np.ndarray, who: np.ndarray, reach: float, out: np.ndarray, depth: int = 0) -> None:
-    """Adds to ``out`` the share of each line p + t d (0 to 1) that lies in the cell and in a polygon, or at most ``reach`` from one.
+def met(p: np.ndarray, q: np.ndarray, e: np.ndarray, reach: float, spare: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (line, edge) of which the line from p to q may come ``reach`` near to the edge, by line, and which of these may cross."""
+    far = reach + spare
+    low, high = np.minimum(p, q), np.maximum(p, q)
+    bottom, top = np.minimum(e[:, 1], e[:, 3]) - far, np.maximum(e[:, 1], e[:, 3]) + far
+    line, edge = np.nonzero((low[:, :1] <= e[:, 2] + far) & (high[:, :1] >= e[:, 0] - far) & (low[:, 1:] <= top) & (high[:, 1:] >= bottom))
+    if not len(line):
+        return line, edge, np.zeros(0, dtype=bool)
+    (px, py), (qx, qy), (ax, ay, bx, by) = p[line].T, q[line].T, e[edge].T
+    ux, uy = bx - ax, by - ay
+    size = np.hypot(ux, uy)
+    one, two = ((px - ax) * uy - (py - ay) * ux) / size, ((qx - ax) * uy - (qy - ay) * ux) / size
+    side = np.maximum(np.minimum(one, two), -np.maximum(one, two))  # how far the line stays on one side of the edge
+    ux, uy = qx - px, qy - py
+    size = np.maximum(np.hypot(ux, uy), 1e-300)
+    one, two = ((ax - px) * uy - (ay - py) * ux) / size, ((bx - px) * uy - (by - py) * ux) / size
+    side = np.maximum(side, np.maximum(np.minimum(one, two), -np.maximum(one, two)))
+    keep = side <= far
+    return line[keep], edge[keep], side[keep] <= spare
+
+
+def lengths(box: Box, s: Shape, p: np.ndarray, d: np.ndarray, who: np.ndarray, reach: float, out: np.ndarray, depth: int = 0, inside: np.ndarray | None = None) -> None:
+    """Adds to ``out`` the share of each line p + t d (0 to 1) that lies in the cell and in a polygon, or at most ``reach`` from one; to ``inside``,
+    if given, the share in a polygon.
 
     A line along the border of two cells belongs to the upper or right one.
     """
@@ -275,32 +302,61 @@ def lengths(box: Box, s: Shape, p: np.ndarray, d: np.ndarray, who: np.ndarray, r
     who, a, b = who[there], a[there], b[there]
     if not len(who):
         return
-    full, s = narrowed(box, s, 1, reach)
+    full, near = narrowed(box, s, 1, reach)
     if full[0]:
         out[who] += b - a
+        if inside is not None:  # the cell may be near to an edge everywhere and not be covered
+            lengths(box, s, p, d, who, 0.0, inside, depth)
         return
+    s = near
     if not len(s.e):
         return
     if len(s.e) > 16 and len(s.e) * len(who) > PAIRS and depth < DEPTH:
         for b_, c in quarters(box, s):
-            lengths(b_, c, p, d, who, reach, out, depth + 1)
+            lengths(b_, c, p, d, who, reach, out, depth + 1, inside)
         return
+    spare = 1e-9 * (np.abs(box).max() + 1)
     step = max(1, STEP // len(s.e))
     for i in range(0, len(who), step):
         w, a_, b_ = who[i : i + step], a[i : i + step, None], b[i : i + step, None]
-        bounds, on = covered(p[w] + a_ * d[w], p[w] + b_ * d[w], box, s, full)
-        bounds = a_ + bounds * (b_ - a_)
+        start, end = p[w] + a_ * d[w], p[w] + b_ * d[w]
+        line, edge, crosses = met(start, end, s.e, reach, spare)
+        crossing = np.zeros(len(w), dtype=bool)
+        crossing[line[crosses]] = True
+        # a line that crosses no edge is covered whole or not at all
+        plain, crossing = np.flatnonzero(~crossing), np.flatnonzero(crossing)
+        share = np.zeros(len(w))
+        middle = (start[plain] + end[plain]) / 2
+        wet = plain[parity(box, s, middle[:, 0], middle[:, 1]).any(axis=1)]
+        share[wet] = (b_ - a_)[wet, 0]
+        bounds, on = covered(start[crossing], end[crossing], box, s, full)
+        bounds = a_[crossing] + bounds * (b_ - a_)[crossing]
+        share[crossing] = (np.diff(bounds, axis=1) * on).sum(axis=1)
+        if inside is not None:
+            inside[w] += share
         if not reach:
-            out[w] += (np.diff(bounds, axis=1) * on).sum(axis=1)
+            out[w] += share
             continue
-        lo, hi = near_parts(p[w], d[w], s.e, reach)
-        lo, hi = np.concatenate([np.maximum(lo, a_), bounds[:, :-1]], axis=1), np.concatenate([np.minimum(hi, b_), np.where(on, bounds[:, 1:], -1.0)], axis=1)
+        # what is near and what is inside, as parts of each line that has both or the first alone, side by side
+        some = np.zeros(len(w), dtype=bool)
+        some[line] = True
+        some[wet] = False
+        out[w[~some]] += share[~some]
+        row, rows = np.cumsum(some) - 1, int(some.sum())
+        mine = some[line]
+        line, edge = line[mine], edge[mine]
+        place = np.arange(len(line)) - np.searchsorted(line, line)
+        width = int(place.max(initial=-1)) + 1
+        lo, hi = np.full((rows, width + on.shape[1]), 2.0), np.full((rows, width + on.shape[1]), -1.0)
+        found = near_parts(p[w[line]], d[w[line]], s.e[edge], reach)
+        lo[row[line], place], hi[row[line], place] = np.maximum(found[0], a_[line, 0]), np.minimum(found[1], b_[line, 0])
+        lo[row[crossing], width:], hi[row[crossing], width:] = bounds[:, :-1], np.where(on, bounds[:, 1:], -1.0)
         lo = np.where(lo < hi, lo, 2.0)
         hi = np.where(lo < hi, hi, -1.0)
         order = np.argsort(lo, axis=1)
         lo, hi = np.take_along_axis(lo, order, axis=1), np.take_along_axis(hi, order, axis=1)
-        reached = np.maximum.accumulate(np.concatenate([np.full((len(w), 1), -1.0), hi[:, :-1]], axis=1), axis=1)
-        out[w] += np.maximum(0.0, hi - np.maximum(lo, reached)).sum(axis=1)
+        reached = np.maximum.accumulate(np.concatenate([np.full((rows, 1), -1.0), hi[:, :-1]], axis=1), axis=1)
+        out[w[some]] += np.maximum(0.0, hi - np.maximum(lo, reached)).sum(axis=1)
 
 
 def by_tile(rows: DataFrame, *sets: str) -> GroupedData:
@@ -313,23 +369,58 @@ def tile_box(tx: int, ty: int, tile: float) -> Box:
     return tx * tile, ty * tile, (tx + 1) * tile, (ty + 1) * tile
 
 
-def line_lengths(segs: DataFrame, edge: DataFrame, key: str, reach: dict[str, float], poly: str, tile: float) -> DataFrame:
-    """key and, for each name of ``reach``, the length of each line in the polygons or at most so far from them; lines without any may be missing."""
-    kind = segs.schema[key].dataType.simpleString()
-    lines = spread(segs.select(key, "x1", "y1", "x2", "y2", "len"), tile)
-    water = in_tiles(edge, poly, [], tile, max(reach.values()))
+def fitted(lines: DataFrame, water: DataFrame, tile: float) -> tuple[int, DataFrame]:
+    """How many tiles to put together each way so that lines (x1, y1, tx, ty) pass few of them, as long as no task gets more than CROWD edges;
+    and of these larger tiles the ones of more than CROWD lines: tx, ty, parts. Of every CROWD lines at most one row is left."""
+    begins = (F.floor(F.col("x1") / tile) == F.col("tx")) & (F.floor(F.col("y1") / tile) == F.col("ty"))
+    seen = cut(lines.groupBy("tx", "ty").agg(F.count("*").alias("n"), F.count_if(begins).alias("own")))
+    n, own = seen.agg(F.sum("n"), F.sum("own")).first()
+    larger = lambda f: [F.floor(F.col(c) / f).alias(c) for c in ("tx", "ty")]
+    f = 1
+    while own and 1 + (n / own - 1) / f > PASSED:
+        f *= 2
+    while f > 1 and (water.groupBy(*larger(f)).count().agg(F.max("count")).first()[0] or 0) > CROWD:
+        f //= 2
+    full = seen.groupBy(*larger(f)).agg(F.sum("n").alias("n")).where(F.col("n") > CROWD)
+    return f, full.select("tx", "ty", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+
+
+def line_lengths(segs: DataFrame, edge: DataFrame, key: str, reach: dict[str, float], poly: str, tile: float, whole: str | None = None) -> DataFrame:
+    """key and, for each name of ``reach``, the length of each line in the polygons or at most so far from them; lines without any may be missing.
+
+    With ``whole``, the length of each line is under that name too, and none is missing. Lines that are long against the tiles get larger ones;
+    where more lines stand in a tile than one task should hold, they are dealt to several, each with the tile's edges.
+    """
+    kind, halo = segs.schema[key].dataType.simpleString(), max(reach.values())
+    segs = segs.select(key, "x1", "y1", "x2", "y2")
+    f, crowded = fitted(spread(segs, tile), in_tiles(edge, poly, [], tile, halo), tile)
+    tile *= f
+    crowded = F.broadcast(crowded)
+    part = F.coalesce(F.pmod(F.xxhash64(key, "x1", "y1", "x2", "y2"), F.col("parts")).cast("int"), F.lit(0))
+    lines = spread(segs, tile).join(crowded, ["tx", "ty"], "left").select(key, "x1", "y1", "x2", "y2", "tx", "ty", part.alias("part"))
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    water = in_tiles(edge, poly, [], tile, halo).join(crowded, ["tx", "ty"], "left").withColumn("part", parts).drop("parts")
+    near = [n for n, far in reach.items() if far]
+    in_passing = [n for n, far in reach.items() if not far] if near else []
 
     def run(at: tuple, lines: pa.Table, rows: pa.Table) -> pa.Table:
-        x1, y1, x2, y2, size = (lines.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2", "len"))
-        box, s = tile_box(at[0].as_py(), at[1].as_py(), tile), shape_of([rows])
-        found = []
-        for far in reach.values():
-            share = np.zeros(len(x1))
-            if len(x1) and rows.num_rows:
-                lengths(box, s, np.stack([x1, y1], axis=1), np.stack([x2 - x1, y2 - y1], axis=1), np.arange(len(x1)), far, share)
-            found.append(share * size)
-        some = np.any(np.array(found) > 0, axis=0)
-        return pa.table([lines.column(key), *map(pa.array, found)], [key, *reach]).filter(pa.array(some))
-
-    parts = by_tile(lines).cogroup(by_tile(water)).applyInArrow(run, f"{key} {kind}, " + ", ".join(f"{n} double" for n in reach))
-    return parts.groupBy(key).agg(*[F.sum(n).alias(n) for n in reach])
+        x1, y1, x2, y2 = (lines.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2"))
+        found = {n: np.zeros(len(x1)) for n in reach}
+        if len(x1) and rows.num_rows:
+            box, s = tile_box(at[1].as_py(), at[2].as_py(), tile), shape_of([rows])
+            p, d = np.stack([x1, y1], axis=1), np.stack([x2 - x1, y2 - y1], axis=1)
+            for n, far in reach.items():
+                if n not in in_passing:
+                    inside = found[in_passing[0]] if in_passing and n == near[0] else None
+                    lengths(box, s, p, d, np.arange(len(x1)), far, found[n], inside=inside)
+        for n in in_passing[1:]:
+            found[n] = found[in_passing[0]]
+        if whole:  # counted where the line begins
+            found[whole] = ((np.floor(x1 / tile) == at[1].as_py()) & (np.floor(y1 / tile) == at[2].as_py())).astype(float)
+        some = np.flatnonzero(np.any([f > 0 for f in found.values()], axis=0))
+        size = np.hypot(x2 - x1, y2 - y1)[some]
+        return pa.table([lines.column(key).take(pa.array(some)), *(pa.array(found[n][some] * size) for n in names)], [key, *names])
+
+    names = [*([whole] if whole else []), *reach]
+    found = by_tile(lines, "part").cogroup(by_tile(water, "part")).applyInArrow(run, f"{key} {kind}, " + ", ".join(f"{n} double" for n in names))
+    return found.groupBy(key).agg(*[F.sum(n).alias(n) for n in names])

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import geo
 from tidemark.operators import cover
 
 _POINTS_TYPE = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
@@ -20,6 +23,28 @@ def segments(lines: DataFrame, key: str, coords: str) -> DataFrame:
     return s.withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).where("len > 0")
 
 
+def utm_segments(lines: DataFrame, key: str, coords: str) -> DataFrame:
+    """key, x1, y1, x2, y2, len in metres of the segments of lines (array<struct<x,y>>, degrees)."""
+
+    def run(batches):
+        for batch in batches:
+            points = batch.column(1)
+            size = pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False)
+            flat = points.flatten()
+            lon, lat = (pc.cast(pc.struct_field(flat, c), pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            x, y = geo.utm_arrays(lon, lat)
+            first = np.ones(len(x), dtype=bool)
+            first[np.cumsum(size)[size > 0] - 1] = False
+            a = np.flatnonzero(first)
+            length = np.hypot(x[a + 1] - x[a], y[a + 1] - y[a])
+            some = length > 0
+            a, of = a[some], np.repeat(np.arange(len(size)), np.maximum(size - 1, 0))[some]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *map(pa.array, (x[a], y[a], x[a + 1], y[a + 1], length[some]))], [key, "x1", "y1", "x2", "y2", "len"])
+
+    kind = lines.schema[key].dataType.simpleString()
+    return lines.select(key, coords).mapInArrow(run, f"{key} {kind}, x1 double, y1 double, x2 double, y2 double, len double")
+
+
 _spread = cover.spread
 
 
@@ -33,9 +58,9 @@ def length_within(segs: DataFrame, edge: DataFrame, key: str, metres: float, pol
     return cover.line_lengths(segs, edge, key, {"near_len": metres}, poly, tile)
 
 
-def lengths(segs: DataFrame, edge: DataFrame, key: str, metres: float, poly: str = "poly_id", tile: float = 1000.0) -> DataFrame:
-    """key, inside_len, near_len: both lengths in one pass."""
-    return cover.line_lengths(segs, edge, key, {"inside_len": 0.0, "near_len": metres}, poly, tile)
+def lengths(segs: DataFrame, edge: DataFrame, key: str, metres: float, poly: str = "poly_id", tile: float = 1000.0, whole: str | None = None) -> DataFrame:
+    """key, inside_len, near_len: both lengths in one pass; with ``whole`` so named, each line's own length too, and no line is missing."""
+    return cover.line_lengths(segs, edge, key, {"inside_len": 0.0, "near_len": metres}, poly, tile, whole)
 
 
 def _simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bands, geo
 from tidemark.operators import rollups, vector
-from tidemark.sources.shared import cut
 
 #: Metres by which a published line may differ from the road: where it is wet or near, and elsewhere.
 FINE_M, COARSE_M = 12.0, 110.0
@@ -21,11 +20,10 @@ def exposure(roads: DataFrame, water: DataFrame, usable: bool, buffer_m: float =
     roads: osm_id, highway, ref, name, coords (array<struct<x,y>>, degrees); water: edges of polygons (poly_id, x1, y1, x2, y2, metres).
     """
     named = roads.withColumn("c", bands.corridor_of(F.col("ref"), F.col("name"))).where(bands.road_in_scope(F.col("highway"), F.col("ref"), F.col("c.is_expressway")))
-    metric = named.withColumn("m", F.transform("coords", lambda p: geo.utm(p["x"], p["y"])))
-    segs = cut(vector.segments(metric, "osm_id", "m"))  # the projection is dear and its segments are read several times
-    lengths = segs.groupBy("osm_id").agg(F.sum("len").alias("length_m"))
-    j = named.join(lengths, "osm_id").join(vector.lengths(segs, water, "osm_id", buffer_m, tile=tile), "osm_id", "left")
-    flooded, close = (F.coalesce(c, F.lit(0.0)) if usable else F.lit(0.0) for c in ("inside_len", "near_len"))
+    found = vector.lengths(vector.utm_segments(named, "osm_id", "coords"), water, "osm_id", buffer_m, tile=tile, whole="length_m")
+    # both sides are as long as the table; of compressed files Spark thinks that they are small enough to be broadcast
+    j = named.hint("merge").join(found, "osm_id")
+    flooded, close = (F.col(c) if usable else F.lit(0.0) for c in ("inside_len", "near_len"))
     return j.select(
         "osm_id", "c.road_name", "c.corridor", "c.is_expressway", F.round("length_m", 1).alias("length_m"), F.round(flooded, 1).alias("flooded_m"), F.round(close, 1).alias("near_m"), F.round(flooded / F.col("length_m"), 4).alias("fraction"),
         bands.exposure_class(F.lit(usable), F.col("length_m"), flooded, close).alias("exposure"),
