@@ -140,3 +140,33 @@ def test_tiles_fit_the_lines_and_crowded_ones_are_dealt_out(spark, monkeypatch):
     assert of(50.0) == want
     monkeypatch.setattr(cover, "CROWD", 1)
     assert cover.fitted(cover.spread(segs, 5.0), edge, 5.0)[0] == 1
+
+
+def test_all_lines_are_simplified_at_once_as_each_by_itself(spark):
+    def alone(x, y, tolerance):
+        keep, todo = {0, len(x) - 1}, [(0, len(x) - 1)]
+        while todo:
+            a, b = todo.pop()
+            far = math.hypot(x[b] - x[a], y[b] - y[a])
+            off = [abs((x[i] - x[a]) * (y[b] - y[a]) - (y[i] - y[a]) * (x[b] - x[a])) / far if far else math.hypot(x[i] - x[a], y[i] - y[a]) for i in range(a + 1, b)]
+            if off and max(off) > tolerance:
+                k = a + 1 + off.index(max(off))
+                keep.add(k)
+                todo += [(a, k), (k, b)]
+        return [i in keep for i in range(len(x))]
+
+    rng = random.Random(5)
+    own = [[(rng.randrange(9), rng.randrange(9)) for _ in range(rng.choice([0, 1, 2, 3, 4, 9, 40]))] for _ in range(60)]
+    own += [[*p, p[0]] for p in own if p]
+    flat, tolerance = np.array([q for p in own for q in p], dtype=float), np.array([rng.choice([0.5, 1.0, 3.0]) for _ in own])
+    got = vector._kept(np.array([len(p) for p in own]), flat[:, 0], flat[:, 1], tolerance)
+    assert got.tolist() == [k for p, t in zip(own, tolerance) if p for k in alone([x for x, _ in p], [y for _, y in p], t)]
+    rows = spark.createDataFrame([(i, points(p)) for i, p in enumerate(own)] + [(-1, None)], f"i long, c {XY}")
+    found = {r["i"]: r["s"] for r in rows.select("i", vector.simplify("c", F.lit(1.0)).alias("s")).collect()}
+    assert found[-1] is None and all(len(found[i]) == (sum(alone(*zip(*p), 1.0)) if p else 0) for i, p in enumerate(own))
+
+
+def test_published_lines_hold_no_series_as_expression(spark):
+    rows = spark.createDataFrame([(1, points([(121.0, 14.5), (121.01, 14.5003), (121.02, 14.5)]))], f"osm_id long, coords {XY}")
+    found = roads.published(rows, spark.createDataFrame([(1, "near")], "osm_id long, exposure string"))
+    assert "sinh" not in found._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -70,6 +70,20 @@ def utm_inverse(x: Column, y: Column, central: float = 123.0) -> Column:
     return F.struct((F.degrees(F.atan2(F.sinh(b), F.cos(a))) + central).alias("x"), F.degrees(lat).alias("y"))
 
 
+def utm_inverse_arrays(x: np.ndarray, y: np.ndarray, central: float = 123.0) -> tuple[np.ndarray, np.ndarray]:
+    """Degrees as utm_inverse() gives them, for arrays inside a task."""
+    xi, eta = y / (_SCALE * _RADIUS), (x - _EAST) / (_SCALE * _RADIUS)
+    a, b = xi.copy(), eta.copy()
+    for j, k in enumerate(_BETA, 1):
+        a -= k * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+        b -= k * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+    chi = np.arcsin(np.sin(a) / np.cosh(b))
+    lat = chi.copy()
+    for j, k in enumerate(_DELTA, 1):
+        lat += k * np.sin(2 * j * chi)
+    return np.degrees(np.arctan2(np.sinh(b), np.cos(a))) + central, np.degrees(lat)
+
+
 def rounded(coords: Column, digits: int = 5) -> Column:
     """An array of struct(x, y) with rounded coordinates."""
     return F.transform(coords, lambda c: F.struct(F.round(c["x"], digits).alias("x"), F.round(c["y"], digits).alias("y")))

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from tidemark.sources.shared import cut
 
-#: Edges in a cell that isn't cut any more, pairs of line and edge likewise, the most cuts, and numbers in one step's arrays.
-LEAF, PAIRS, DEPTH, STEP = 100, 20_000, 14, 1 << 20
+#: Edges in a cell that isn't cut any more, pairs of line and edge likewise, the most cuts, and numbers in one step's arrays (as a cache holds).
+LEAF, PAIRS, DEPTH, STEP = 100, 20_000, 14, 1 << 16
 
 #: Lines or edges that one task holds of a tile at a time, and tiles that lines may pass on an average.
 CROWD, PASSED = 200_000, 3

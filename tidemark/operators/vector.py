@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -28,10 +27,7 @@ def utm_segments(lines: DataFrame, key: str, coords: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            points = batch.column(1)
-            size = pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False)
-            flat = points.flatten()
-            lon, lat = (pc.cast(pc.struct_field(flat, c), pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            size, lon, lat = _flat(batch.column(1))
             x, y = geo.utm_arrays(lon, lat)
             first = np.ones(len(x), dtype=bool)
             first[np.cumsum(size)[size > 0] - 1] = False
@@ -63,33 +59,60 @@ def lengths(segs: DataFrame, edge: DataFrame, key: str, metres: float, poly: str
     return cover.line_lengths(segs, edge, key, {"inside_len": 0.0, "near_len": metres}, poly, tile, whole)
 
 
-def _simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    keep = np.zeros(len(x), dtype=bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(x) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        dx, dy = x[b] - x[a], y[b] - y[a]
-        size = np.hypot(dx, dy)
-        px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
-        off = np.abs(px * dy - py * dx) / size if size > 0 else np.hypot(px, py)
-        k = int(off.argmax())
-        if off[k] > tolerance:
-            keep[a + 1 + k] = True
-            todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    return keep
-
-
-@F.pandas_udf(_POINTS_TYPE)
-def simplify(coords: pd.Series, tolerance: pd.Series) -> pd.Series:
+def _flat(coords: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many points each line has, and x and y of all of them."""
+    size = pc.fill_null(pc.list_value_length(coords), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = coords.flatten()
+    x, y = (pc.cast(pc.struct_field(flat, c), pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+    return size, x, y
+
+
+def _lines(size: np.ndarray, x: np.ndarray, y: np.ndarray, null: np.ndarray) -> pa.Array:
+    points = pa.StructArray.from_arrays([pa.array(x, from_pandas=True), pa.array(y, from_pandas=True)], ["x", "y"])
+    offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null, False)), points)
+
+
+def _kept(size: np.ndarray, x: np.ndarray, y: np.ndarray, tolerance: np.ndarray) -> np.ndarray:
+    """Which points of the lines, laid end to end, stay: Douglas-Peucker, all lines at once, level by level."""
+    keep, some = np.zeros(len(x), dtype=bool), size > 0
+    b = np.cumsum(size)[some] - 1
+    a, t = b + 1 - size[some], tolerance[some]
+    keep[a] = keep[b] = True
+    while True:
+        wide = b - a >= 2
+        a, b, t = a[wide], b[wide], t[wide]
+        if not len(a):
+            return keep
+        n = b - a - 1
+        starts, span = np.cumsum(n) - n, np.repeat(np.arange(len(a)), n)
+        i = np.arange(len(span)) - starts[span] + a[span] + 1
+        dx, dy = (x[b] - x[a])[span], (y[b] - y[a])[span]
+        px, py, far = x[i] - x[a][span], y[i] - y[a][span], np.hypot(dx, dy)
+        off = np.where(far > 0, np.abs(px * dy - py * dx) / np.where(far > 0, far, 1), np.hypot(px, py))
+        most = np.maximum.reduceat(off, starts)
+        at = np.flatnonzero((off == most[span]) & (most > t)[span])
+        split, first = np.unique(span[at], return_index=True)
+        m = i[at[first]]
+        keep[m] = True
+        a, b, t = np.concatenate([a[split], m]), np.concatenate([m, b[split]]), np.concatenate([t[split], t[split]])
+
+
+@F.arrow_udf(_POINTS_TYPE)
+def simplify(coords: pa.Array, tolerance: pa.Array) -> pa.Array:
     """Douglas-Peucker: points that stand off by more than the tolerance; ends stay."""
-
-    def one(c, t):
-        if c is None or len(c) < 3:
-            return c
-        keep = _simplified(np.array([p["x"] for p in c]), np.array([p["y"] for p in c]), t)
-        return [p for p, k in zip(c, keep) if k]
-
-    return pd.Series([one(c, t) for c, t in zip(coords, tolerance)], dtype=object)
+    size, x, y = _flat(coords)
+    keep = _kept(size, x, y, tolerance.to_numpy(zero_copy_only=False))
+    left = np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size))
+    return _lines(left, x[keep], y[keep], coords.is_null().to_numpy(zero_copy_only=False))
+
+
+@F.arrow_udf(_POINTS_TYPE)
+def utm_simplify(coords: pa.Array, tolerance: pa.Array) -> pa.Array:
+    """simplify() of lines in degrees, by metres of ``geo.utm``."""
+    size, lon, lat = _flat(coords)
+    x, y = geo.utm_arrays(lon, lat)
+    keep = _kept(size, x, y, tolerance.to_numpy(zero_copy_only=False))
+    left = np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size))
+    lon, lat = geo.utm_inverse_arrays(x[keep], y[keep])
+    return _lines(left, lon, lat, coords.is_null().to_numpy(zero_copy_only=False))

@@ -41,7 +41,7 @@ def published(roads: DataFrame, exposed: DataFrame, digits: int = 5) -> DataFram
 
     Roads without coordinates, or with fewer than two, keep what they have.
     """
-    metric = exposed.join(roads.select("osm_id", F.transform("coords", lambda p: geo.utm(p["x"], p["y"])).alias("_m")), "osm_id", "left")
+    # as long as the table on both sides, so no broadcast by the size of compressed files
+    both = exposed.hint("merge").join(roads.select("osm_id", F.col("coords").alias("_c")), "osm_id", "left")
     tolerance = F.when(F.col("exposure").isin("flooded", "near"), FINE_M).otherwise(COARSE_M)
-    back = F.transform(vector.simplify("_m", tolerance), lambda p: geo.utm_inverse(p["x"], p["y"]))
-    return metric.withColumn("geometry", geo.rounded(back, digits)).drop("_m")
+    return both.withColumn("geometry", geo.rounded(vector.utm_simplify("_c", tolerance), digits)).drop("_c")
